@@ -49,11 +49,11 @@ def ordered_position(
     numbered = numbered.drop(_MID, _PID, _FIRST)
     if not keys:
         return numbered
-    starts = numbered.groupBy(*keys).agg(F.min(name).alias(_FIRST))
-    match = [numbered[k].eqNullSafe(starts[k]) for k in keys]
-    return numbered.join(starts, match).select(
-        *[numbered[c] for c in numbered.columns if c != name], (numbered[name] - starts[_FIRST]).alias(name)
-    )
+    # keys may be NULL, so they are renamed and compared null-safely
+    starts = numbered.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(name).alias(_FIRST))
+    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    shifted = numbered.join(starts, match).withColumn(name, F.col(name) - F.col(_FIRST))
+    return shifted.drop(_FIRST, *[f"__{k}" for k in keys])
 
 
 def with_document_id(df: DataFrame, order: Sequence[str], name: str = "document_id", **kwargs) -> DataFrame:
