@@ -9,6 +9,7 @@ is_not_null, is_primary_key, is_foreign_key``. Keys are
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.ddl import column_line, foreign_key_line, quoted_names
 from nlsql_spark.functions.text import normalize_identifier
 
 CATALOG_COLUMNS = [
@@ -163,8 +164,17 @@ def nest_catalog(catalog: DataFrame, keys: DataFrame | None = None, examples: Da
             "examples": F.coalesce(F.col("examples"), F.array().cast("array<array<string>>")),
         }
     )
+    # the text of each column and key is made here, once per table, not once per question
+    single_pk = F.size("pk") == 1
+    tables = tables.withColumns(
+        {
+            "columns": F.transform("columns", lambda c: c.withField("line", column_line(c, single_pk))),
+            "fks": F.transform("fks", lambda fk: fk.withField("line", foreign_key_line(fk))),
+            "pk_line": F.concat(F.lit("PRIMARY KEY ("), quoted_names(F.col("pk")), F.lit(")")),
+        }
+    )
     return tables.groupBy("database_name").agg(
-        _ordered(["table_pos", "table_name", "columns", "pk", "fks", "examples"]).alias("tables")
+        _ordered(["table_pos", "table_name", "columns", "pk", "pk_line", "fks", "examples"]).alias("tables")
     )
 
 

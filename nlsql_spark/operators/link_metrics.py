@@ -17,13 +17,19 @@ def link_set_ops(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return both.groupBy(*LINK).agg(F.bool_or("p").alias("in_pred"), F.bool_or("t").alias("in_truth"))
 
 
-def question_link_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per question: number of predicted, true and common links."""
-    return link_set_ops(pred, truth).groupBy("question_id").agg(
+def question_link_counts(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Per question: number of predicted, true and common links.
+
+    ``questions`` (question_id) adds the questions that have no link on either side.
+    """
+    counts = link_set_ops(pred, truth).groupBy("question_id").agg(
         F.count_if("in_pred").alias("n_pred"),
         F.count_if("in_truth").alias("n_truth"),
         F.count_if(F.col("in_pred") & F.col("in_truth")).alias("n_both"),
     )
+    if questions is None:
+        return counts
+    return questions.select("question_id").join(counts, "question_id", "left").na.fill(0, ["n_pred", "n_truth", "n_both"])
 
 
 def _fpr():
@@ -39,26 +45,26 @@ def _column_recall():
     return F.avg(F.try_divide(F.col("n_both").cast("double"), F.col("n_truth")))
 
 
-def link_fpr(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def link_fpr(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """Share of predicted links that are not true, over all questions together; 0 without predictions."""
-    return question_link_counts(pred, truth).agg(_fpr().alias("false_positive_rate"))
+    return question_link_counts(pred, truth, questions).agg(_fpr().alias("false_positive_rate"))
 
 
-def link_recall(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def link_recall(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """Share of questions whose true links are all predicted."""
-    return question_link_counts(pred, truth).agg(_recall().alias("recall"))
+    return question_link_counts(pred, truth, questions).agg(_recall().alias("recall"))
 
 
-def column_recall(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def column_recall(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """Mean share of true links found; questions without true links are left out and counted."""
-    return question_link_counts(pred, truth).agg(
+    return question_link_counts(pred, truth, questions).agg(
         _column_recall().alias("column_recall"), F.count_if(F.col("n_truth") == 0).alias("without_truth")
     )
 
 
-def link_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def link_metrics(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """All three scores in one pass."""
-    return question_link_counts(pred, truth).agg(
+    return question_link_counts(pred, truth, questions).agg(
         _fpr().alias("false_positive_rate"), _recall().alias("recall"), _column_recall().alias("column_recall"),
         F.count("*").alias("questions"),
     )

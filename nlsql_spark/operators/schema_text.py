@@ -63,17 +63,6 @@ def union_per_table(links: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("table_name"), every(n).alias("columns")))
 
 
-def _quoted(names: Column) -> Column:
-    return F.array_join(F.transform(names, lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
-
-
-def _column_line(c: Column, single_pk: Column) -> Column:
-    default = F.coalesce(F.concat(F.lit("  default "), c["default_value"]), F.lit(""))
-    null = F.when(c["is_not_null"], F.lit("  not null")).otherwise(F.lit("  null"))
-    pk = F.when(c["is_primary_key"] & single_pk, F.lit("  PRIMARY KEY")).otherwise(F.lit(""))
-    return F.concat(F.lit("`"), c["column_name"], F.lit("` "), F.upper(c["data_format"]), default, null, pk)
-
-
 def shuffle_columns(columns: Column, seed: int, salt: Column) -> Column:
     """A repeatable shuffle: columns in order of a hash of their name."""
     keyed = F.transform(
@@ -103,22 +92,14 @@ def _table_text(t: Column, wanted: Column, shuffle_seed: int | None, all_constra
     ).otherwise(t["columns"])
     if shuffle_seed is not None:
         columns = shuffle_columns(columns, shuffle_seed, t["table_name"])
-    single_pk = F.size(t["pk"]) == 1
     covered = lambda names: F.size(F.array_except(names, wanted)) == 0
     if all_constraints:
         covered_by_filter, covered = covered, lambda names: (F.size(wanted) == 0) | covered_by_filter(names)
-    fk_lines = F.transform(
-        F.filter(t["fks"], lambda fk: covered(fk["local"])),
-        lambda fk: F.concat(
-            F.lit("FOREIGN KEY ("), _quoted(fk["local"]), F.lit(") REFERENCES `"), fk["ref_table"], F.lit("` ("),
-            _quoted(fk["ref"]), F.lit(")"),
-        ),
+    fk_lines = F.transform(F.filter(t["fks"], lambda fk: covered(fk["local"])), lambda fk: fk["line"])
+    pk_line = F.when((F.size(t["pk"]) > 1) & covered(t["pk"]), F.array(t["pk_line"])).otherwise(
+        F.array().cast("array<string>")
     )
-    pk_line = F.when(
-        (F.size(t["pk"]) > 1) & covered(t["pk"]),
-        F.array(F.concat(F.lit("PRIMARY KEY ("), _quoted(t["pk"]), F.lit(")"))),
-    ).otherwise(F.array().cast("array<string>"))
-    column_lines = F.transform(columns, lambda c: _column_line(c, single_pk))
+    column_lines = F.transform(columns, lambda c: c["line"])
     body = F.array_join(F.concat(column_lines, fk_lines, pk_line), ",\n")
     create = F.concat(F.lit("CREATE TABLE `"), t["table_name"], F.lit("`\n(\n"), body, F.lit("\n);"))
 
