@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nlsql_spark.functions.draws import uniform
+from nlsql_spark.functions.draws import digest, uniform
 
 
 def l2_normalize(v: Column) -> Column:
@@ -17,5 +17,8 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def hash_vector(key: Column, dim: int, seed: int = 0) -> Column:
-    """A repeatable stand-in vector: ``dim`` uniform draws from the key."""
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: uniform(F.lit(seed), key, i))
+    """A repeatable stand-in vector: ``dim`` uniform draws from the key's digest.
+
+    The digest is the repeated item, so a long key is hashed once and not per dimension.
+    """
+    return F.transform(F.array_repeat(digest(key), dim), lambda h, i: uniform(F.lit(seed), h, i))

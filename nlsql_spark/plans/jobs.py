@@ -21,6 +21,7 @@ from nlsql_spark.operators.retry import train_val_split
 from nlsql_spark.operators.schema_text import apply_links, render_ddl
 from nlsql_spark.operators.scoring import execution_accuracy, pair_results, valid_efficiency_score
 from nlsql_spark.operators.training_tables import build_vocab, pad_batches, tokenized_dataset
+from nlsql_spark.session import cut_lineage
 
 
 def retrieval_documents(
@@ -92,7 +93,8 @@ def probe_report(samples: DataFrame, fn: EmbedFn | None = None, ratio: float = 0
     """Labelled contexts, their vectors, a probe on the training part, its report on the rest."""
     contexts = probe_contexts(samples).withColumn("example_id", F.xxhash64("question_id", "item"))
     vectors = embed(contexts.select("example_id", F.col("text").alias("input_to_embed")), fn, dim=dim, seed=seed)
-    data = vectors.join(contexts.select("example_id", "label"), "example_id")
+    # read by the split, by every training pass and by the report: embedded once
+    data = cut_lineage(vectors.join(contexts.select("example_id", "label"), "example_id"))
     split = train_val_split(data, "example_id", ratio, seed)
     model = train_probe(split.filter("is_train"), maxIter=20)
     return binary_report(score_probe(model, split.filter("not is_train")))

@@ -136,19 +136,21 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog_columns(raw)
 
 
-def read_column_descriptions(spark: SparkSession, folder: str, database_name: str) -> DataFrame:
+def read_column_descriptions(
+    spark: SparkSession, folder: str, database_name: str, table_from: str = r"/([^/]+)\.csv$"
+) -> DataFrame:
     """Description CSVs of one database (a file per table), all values trimmed and lower-cased.
 
-    Of several rows for a column the last one counts.
+    Of several rows for a column the last one counts. ``table_from`` finds the table in the file path.
     """
     cols = ["original_column_name", "column_name", "column_description", "data_format", "value_description"]
     raw = spark.read.csv(
         folder, header=True, multiLine=True, escape='"', schema=", ".join(f"{c} string" for c in cols), pathGlobFilter="*.csv"
     )
-    file_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    table_name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), table_from, 1)
     # files are not split, so the row ids of a file rise in file order
     clean = raw.select(
-        F.lower(F.regexp_replace(F.url_decode(file_name), r"\.csv$", "")).alias("table_name"),
+        F.lower(table_name).alias("table_name"),
         *[normalize_text(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols],
         F.monotonically_increasing_id().alias("__row"),
     )
