@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
+from nlsql_spark.functions.binding import let
 
 
 def strip(c: Column) -> Column:
@@ -62,28 +63,36 @@ def representative_values(values: Column, data_format: Column, k: int = K.TOP_VA
     ``values`` is the value list of one column record, already in the format's own type order:
     numeric formats compare as numbers, dates as text.
     """
-    present = drop_null_items(values)
-    numbers = F.transform(present, lambda v: F.struct(v.try_cast("double").alias("n"), v.alias("v")))
-    as_number = data_format.isin("integer", "real")
-    span = F.when(
-        as_number, F.concat_ws(" ", F.array_min(numbers)["v"], F.array_max(numbers)["v"])
-    ).otherwise(F.concat_ws(" ", F.array_min(present), F.array_max(present)))
-    ranked = F.array_sort(
-        F.transform(
-            F.array_distinct(present),
-            lambda v: F.struct(
-                (-F.size(F.filter(present, lambda x: x == v))).alias("n"),
-                F.array_position(present, v).alias("pos"),
-                v.alias("v"),
-            ),
+
+    def number_span(present: Column) -> Column:
+        numbers = F.transform(present, lambda v: F.struct(v.try_cast("double").alias("n"), v.alias("v")))
+        return let(numbers, lambda xs: F.concat_ws(" ", F.array_min(xs)["v"], F.array_max(xs)["v"]))
+
+    def text_span(present: Column) -> Column:
+        return F.concat_ws(" ", F.array_min(present), F.array_max(present))
+
+    def top(present: Column) -> Column:
+        ranked = F.array_sort(
+            F.transform(
+                F.array_distinct(present),
+                lambda v: F.struct(
+                    (-F.size(F.filter(present, lambda x: x == v))).alias("n"),
+                    F.array_position(present, v).alias("pos"),
+                    v.alias("v"),
+                ),
+            )
+        )
+        return serialize_values(F.transform(F.slice(ranked, 1, k), lambda r: r["v"]))
+
+    def pick(present: Column) -> Column:
+        return (
+            F.when(~is_known_format(data_format) | (F.size(present) == 0), F.lit(""))
+            .when(data_format == "text", top(present))
+            .when(data_format.isin("integer", "real"), number_span(present))
+            .otherwise(text_span(present))
         )
-    )
-    top = serialize_values(F.transform(F.slice(ranked, 1, k), lambda r: r["v"]))
-    return (
-        F.when(~is_known_format(data_format) | (F.size(present) == 0), F.lit(""))
-        .when(data_format == "text", top)
-        .otherwise(span)
-    )
+
+    return let(drop_null_items(values), pick)
 
 
 def excluded_column(

@@ -148,26 +148,32 @@ def link_by_tokens(
         F.min("table_pos").alias("table_pos"),
         F.array_sort(F.collect_list(F.struct("column_pos", "column_name"))).alias("all_columns"),
     )
-    # a name match stands for the whole table, so its columns ride along with that one row
-    wide = targets.join(tables, ["database_name", "table_name"]).select(
-        "database_name", "token", "table_pos", "table_name",
-        F.when(F.col("column_name").isNull(), F.col("all_columns")).alias("whole"),
-        F.filter("all_columns", lambda c: c["column_name"] == F.col("column_name")).alias("one"),
+    # one row per (word, table): the columns the word names, or the whole table for a name word
+    named = (
+        targets.groupBy("database_name", "token", "table_name")
+        .agg(F.collect_set("column_name").alias("names"), F.bool_or(F.col("column_name").isNull()).alias("is_table"))
+        .join(tables, ["database_name", "table_name"])
+        .select(
+            "database_name", "token", "table_pos", "table_name",
+            F.filter("all_columns", lambda c: F.array_contains("names", c["column_name"])).alias("one"),
+            F.when(F.col("is_table"), F.col("all_columns")).alias("whole"),
+        )
     )
-    hits = words.join(wide, ["database_name", "token"])
+    # a question's matches are at most its database's schema; one shuffle serves both steps and the join
+    hits = words.join(named, ["database_name", "token"]).repartition("question_id")
     per_table = hits.groupBy("question_id", "table_pos", "table_name").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("one")))).alias("matched"),
-        F.max("whole").alias("whole"),
+        F.flatten(F.collect_list("one")).alias("matched"), F.max("whole").alias("whole")
     )
-    chosen = F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("whole"))
-    link = F.struct("table_name", F.transform(chosen, lambda c: c["column_name"]).alias("columns"))
+    columns = F.when(F.size("matched") > 0, F.array_sort(F.array_distinct("matched"))).otherwise(F.col("whole"))
     linked = per_table.groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("table_pos", link.alias("link")))).alias("links")
+        F.array_sort(F.collect_list(F.struct("table_pos", "table_name", columns.alias("columns")))).alias("tables")
+    )
+    links = F.transform(
+        "tables",
+        lambda t: F.struct(t["table_name"].alias("table_name"), F.transform(t["columns"], lambda c: c["column_name"]).alias("columns")),
     )
     return questions.join(linked, "question_id", "left").select(
-        "question_id",
-        "question",
-        F.coalesce(F.transform("links", lambda x: x["link"]), F.expr(EMPTY_LINK)).alias("schema_links"),
+        "question_id", "question", F.coalesce(links, F.expr(EMPTY_LINK)).alias("schema_links")
     )
 
 
@@ -187,9 +193,13 @@ def pairs_to_links(df: DataFrame, pairs: str = "pairs", output: str = "schema_li
 
 
 def links_flat(links: DataFrame, col: str = "schema_links") -> DataFrame:
-    """One row per (question, table, column)."""
-    per_table = links.select("question_id", F.inline(col))
-    return per_table.select("question_id", "table_name", F.explode("columns").alias("column_name"))
+    """One row per (question, table, column).
+
+    The outer forms keep Spark from adding a size filter that would evaluate the links twice.
+    """
+    per_table = links.select("question_id", F.inline_outer(col))
+    flat = per_table.select("question_id", "table_name", F.explode_outer("columns").alias("column_name"))
+    return flat.filter("column_name is not null")
 
 
 def link_by_embedding(neighbours: DataFrame, documents: DataFrame, questions: DataFrame | None = None) -> DataFrame:

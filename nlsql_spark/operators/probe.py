@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
+from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.text import strip
 
 
@@ -34,27 +35,24 @@ def probe_contexts_column(steps: Column) -> Column:
 
     A right step gives all right texts so far; a wrong step gives the previous context plus its text.
     """
-    items = labelled_items(steps)
-    n = F.size(items)
-    # right texts up to i; the last right item at or before i; the wrong texts after it
-    upto = lambda i: F.slice(items, F.lit(1), i + 1)
-    texts = lambda xs: F.transform(xs, lambda x: x["text"])
-    rights = lambda i: texts(F.filter(upto(i), lambda x: x["label"] == K.LABEL_CORRECT))
-    last_right = lambda i: F.array_max(
-        F.transform(upto(i), lambda x, j: F.when(x["label"] == K.LABEL_CORRECT, j + 1).otherwise(F.lit(0)))
+    start = F.expr(
+        "named_struct('done', cast(array() as array<struct<context:string,label:int>>), 'rights', '')"
     )
-    # leading empty texts leave no blank behind; stripped texts never start with one
-    prefix = lambda i: F.ltrim(F.array_join(rights(i), " "))
-
-    def context(x: Column, i: Column) -> Column:
-        start = last_right(i)
-        run = F.array_join(texts(F.slice(items, start + 1, i + 1 - start)), " ")
-        wrong = F.when(start == 0, run).otherwise(F.concat(prefix(i), F.lit(" "), run))
-        return F.struct(
-            F.when(x["label"] == K.LABEL_CORRECT, prefix(i)).otherwise(wrong).alias("context"), x["label"].alias("label")
+
+    def add(state: Column, item: Column) -> Column:
+        done, rights, text = state["done"], state["rights"], item["text"]
+        wrong = item["label"] == K.LABEL_WRONG
+        before = F.when(wrong, F.try_element_at(done, F.lit(-1))["context"]).when(rights != "", rights)
+        context = F.coalesce(F.concat(before, F.lit(" "), text), text)
+        return let(
+            context,
+            lambda c: F.struct(
+                F.concat(done, F.array(F.struct(c.alias("context"), item["label"].alias("label")))).alias("done"),
+                F.when(wrong, rights).otherwise(c).alias("rights"),
+            ),
         )
 
-    return F.when(n > 0, F.transform(items, context)).otherwise(F.array().cast("array<struct<context:string,label:int>>"))
+    return F.aggregate(labelled_items(steps), start, add, lambda state: state["done"])
 
 
 def probe_contexts(samples: DataFrame, key: tuple[str, ...] = ("question_id",)) -> DataFrame:
@@ -62,9 +60,10 @@ def probe_contexts(samples: DataFrame, key: tuple[str, ...] = ("question_id",))
     head = F.concat(
         F.lit(f"{K.CONTEXT} "), F.col("prompt"), F.lit(f"{K.QUESTION} "), F.col("question"), F.lit(f"\n{K.REASONING} ")
     )
+    # the outer form keeps Spark from adding a size filter that would evaluate the contexts twice
     tall = samples.select(
-        *key, head.alias("__head"), F.posexplode(probe_contexts_column(F.col("reasoning_steps"))).alias("item", "c")
-    )
+        *key, head.alias("__head"), F.posexplode_outer(probe_contexts_column(F.col("reasoning_steps"))).alias("item", "c")
+    ).filter("item is not null")
     return tall.select(*key, "item", F.concat("__head", "c.context").alias("text"), F.col("c.label").alias("label"))
 
 

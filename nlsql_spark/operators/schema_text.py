@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.draws import digest
 from nlsql_spark.functions.text import normalize_identifier
 from nlsql_spark.operators.linking import LINKS_TYPE, join_catalog, pairs_to_links
@@ -17,23 +18,24 @@ def repair_links_column(links: Column, tables: Column) -> Column:
             F.transform(link["columns"], normalize_identifier).alias("columns"),
         ),
     )
-    table_of = lambda link: F.filter(tables, lambda t: t["table_name"] == link["table_name"])
-    known = F.filter(normal, lambda link: F.size(table_of(link)) > 0)
-
-    def mend(link: Column) -> Column:
-        columns = F.get(table_of(link), 0)["columns"]
-        names = F.transform(columns, lambda c: c["column_name"])
-        keys = F.transform(
-            F.filter(columns, lambda c: c["is_primary_key"] | c["is_foreign_key"]), lambda c: c["column_name"]
-        )
-        real = F.filter(link["columns"], lambda c: F.array_contains(names, c))
-        full = F.concat(real, F.array_except(keys, real))
-        return F.struct(
-            link["table_name"].alias("table_name"),
-            F.when(F.size(real) == 0, names).otherwise(full).alias("columns"),
-        )
 
-    return F.coalesce(F.transform(known, mend), F.array().cast(LINKS_TYPE))
+    def mend(link: Column, table: Column) -> Column:
+        columns = table["columns"]
+        name = lambda c: c["column_name"]
+        names = F.transform(columns, name)
+        keys = F.transform(F.filter(columns, lambda c: c["is_primary_key"] | c["is_foreign_key"]), name)
+        real = F.filter(link["columns"], lambda c: F.array_contains(names, c))
+        full = lambda found: F.when(F.size(found) == 0, names).otherwise(F.concat(found, F.array_except(keys, found)))
+        return F.struct(link["table_name"].alias("table_name"), let(real, full).alias("columns"))
+
+    # unknown tables have no match and so leave nothing
+    mended = F.transform(
+        normal,
+        lambda link: F.transform(
+            F.filter(tables, lambda t: t["table_name"] == link["table_name"]), lambda t: mend(link, t)
+        ),
+    )
+    return F.coalesce(F.flatten(mended), F.array().cast(LINKS_TYPE))
 
 
 def repair_links(links: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -87,11 +89,15 @@ def sample_rows_text(names: Column, rows: Column) -> Column:
 
 
 def _table_text(t: Column, wanted: Column, shuffle_seed: int | None, all_constraints: bool) -> Column:
-    columns = F.when(
+    chosen = F.when(
         F.size(wanted) > 0, F.filter(t["columns"], lambda c: F.array_contains(wanted, c["column_name"]))
     ).otherwise(t["columns"])
     if shuffle_seed is not None:
-        columns = shuffle_columns(columns, shuffle_seed, t["table_name"])
+        chosen = shuffle_columns(chosen, shuffle_seed, t["table_name"])
+    return let(chosen, lambda columns: _statement(t, columns, wanted, all_constraints))
+
+
+def _statement(t: Column, columns: Column, wanted: Column, all_constraints: bool) -> Column:
     covered = lambda names: F.size(F.array_except(names, wanted)) == 0
     if all_constraints:
         covered_by_filter, covered = covered, lambda names: (F.size(wanted) == 0) | covered_by_filter(names)
@@ -132,9 +138,14 @@ def ddl_text(
     if links is None:
         return full
     chosen = union_per_table(links) if union_links else last_per_table(links)
-    table_of = lambda link: F.filter(tables, lambda t: t["table_name"] == link["table_name"])
-    known = F.filter(chosen, lambda link: F.size(table_of(link)) > 0)
-    linked = F.array_join(F.transform(known, lambda link: text(F.get(table_of(link), 0), link["columns"])), "\n\n")
+    # unknown tables have no match and so leave nothing
+    texts = F.transform(
+        chosen,
+        lambda link: F.transform(
+            F.filter(tables, lambda t: t["table_name"] == link["table_name"]), lambda t: text(t, link["columns"])
+        ),
+    )
+    linked = F.array_join(F.flatten(texts), "\n\n")
     return F.when(F.coalesce(F.size(links), F.lit(0)) > 0, linked).otherwise(full)
 
 

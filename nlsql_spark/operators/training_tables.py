@@ -7,7 +7,7 @@ from nlsql_spark import constants as K
 from nlsql_spark.functions import training as T
 from nlsql_spark.functions.text import strip
 from nlsql_spark.operators.ordering import ordered_position
-from nlsql_spark.session import broadcast_if_small
+from nlsql_spark.session import broadcast_if_small, cut_lineage
 
 
 def words(text: Column) -> Column:
@@ -18,7 +18,10 @@ def words(text: Column) -> Column:
 
 
 def build_vocab(df: DataFrame, text: str = "text", min_count: int = 1, **numbering) -> DataFrame:
-    """``token, id``: the special tokens, then the words by falling count (ties: alphabetical)."""
+    """``token, id``: the special tokens, then the words by falling count (ties: alphabetical).
+
+    The counts are materialised: the texts are read once, and encoding reads the small table.
+    """
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
         .groupBy("token")
@@ -26,7 +29,7 @@ def build_vocab(df: DataFrame, text: str = "text", min_count: int = 1, **numberi
         .filter((F.col("n") >= min_count) & ~F.col("token").isin(K.SPECIAL_TOKENS))
         .withColumn("rank", -F.col("n"))
     )
-    ranked = ordered_position(counts, ["rank", "token"], name="id", **numbering).select(
+    ranked = ordered_position(cut_lineage(counts), ["rank", "token"], name="id", **numbering).select(
         "token", (F.col("id") + len(K.SPECIAL_TOKENS)).cast("int").alias("id")
     )
     fixed = [(token, i) for i, token in enumerate(K.SPECIAL_TOKENS)]

@@ -84,7 +84,8 @@ def training_batches(
     """Vocabulary, ids and padded batches of a sample table."""
     corpus = F.concat_ws(" ", "prompt", "question", F.array_join("reasoning_steps", " "), "query") if text is None else text
     vocab = build_vocab(samples.select(corpus.alias("text")))
-    ids = tokenized_dataset(samples, vocab, kind, mode, key)
+    # numbering the rows takes a second pass: over stored ids, not over the texts
+    ids = cut_lineage(tokenized_dataset(samples, vocab, kind, mode, key))
     labels = "target_ids" if kind == "instruction" and mode == "train" else None
     return pad_batches(ids, list(key), batch_size, multiple, side, K.SPECIAL_TOKENS.index(K.PAD), labels)
 

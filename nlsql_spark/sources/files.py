@@ -52,7 +52,7 @@ def read_json_array(spark: SparkSession, path: str, id_col: str = "pos") -> Data
 
 def validate_entries(df: DataFrame, entry: str = "entry", variants: dict[str, list[str]] = ENTRY_VARIANTS) -> tuple[DataFrame, DataFrame]:
     """(good, rejects): an entry must have exactly the fields of one variant, which ``variant`` names."""
-    keys = F.json_object_keys(entry)
+    keys = F.col("__keys")
 
     def fits(extra: list[str]) -> Column:
         wanted = F.array(*[F.lit(k) for k in ENTRY_REQUIRED + extra])
@@ -61,7 +61,7 @@ def validate_entries(df: DataFrame, entry: str = "entry", variants: dict[str, li
     variant = F.lit(None).cast("string")
     for name, extra in variants.items():
         variant = F.when(fits(extra), F.lit(name)).otherwise(variant)
-    tagged = df.withColumn("variant", variant)
+    tagged = df.withColumn("__keys", F.json_object_keys(entry)).withColumn("variant", variant).drop("__keys")
     return tagged.filter("variant is not null"), tagged.filter("variant is null").drop("variant")
 
 

@@ -185,7 +185,7 @@ WITH {TURNS_SQL}, {STEPS_SQL}, src AS (SELECT question_id AS id, 0 AS copy, reas
 SELECT id AS question_id, item, label, md5(context) AS context FROM contexts""")
 def _(spark, sf):
     wrong = R.corrupt_steps(steps(spark, sf), 0.5, R.MULTIPLE, R.FROM_PAST_AND_FUTURE, 31)
-    c = wrong.select("question_id", F.posexplode(probe_contexts_column(F.col("reasoning_steps"))).alias("item", "c"))
+    c = wrong.select("question_id", F.posexplode_outer(probe_contexts_column(F.col("reasoning_steps"))).alias("item", "c"))
     return c.select("question_id", "item", F.col("c.label").alias("label"), F.md5("c.context").alias("context"))
 
 
@@ -198,7 +198,7 @@ def _(spark, sf):
         "reasoning_steps",
         lambda s, i: F.when(i % 2 == 0, F.concat(F.lit("Wrong "), (i + 1).cast("string"), F.lit(". [BACK] "), s)).otherwise(s),
     )
-    c = questions(spark, sf).select("question_id", F.posexplode(probe_contexts_column(marked)).alias("item", "c"))
+    c = questions(spark, sf).select("question_id", F.posexplode_outer(probe_contexts_column(marked)).alias("item", "c"))
     return c.select("question_id", "item", F.col("c.label").alias("label"), F.col("c.context").alias("context"))
 
 
