@@ -144,34 +144,33 @@ def link_by_tokens(
         )
     else:
         targets = entities
-    tables = catalog.groupBy("database_name", "table_name").agg(
-        F.min("table_pos").alias("table_pos"),
-        F.array_sort(F.collect_list(F.struct("column_pos", "column_name"))).alias("all_columns"),
-    )
-    # one row per (word, table): the columns the word names, or the whole table for a name word
+    on = ["database_name", "table_name"]
+    ordered = F.array_sort(F.collect_list(F.struct("column_pos", "column_name")))
+    tables = catalog.groupBy(*on).agg(F.min("table_pos").alias("table_pos"), ordered["column_name"].alias("all_columns"))
+    # one row per (word, table): places of the columns the word names, none if it names the table only
     named = (
-        targets.groupBy("database_name", "token", "table_name")
-        .agg(F.collect_set("column_name").alias("names"), F.bool_or(F.col("column_name").isNull()).alias("is_table"))
-        .join(tables, ["database_name", "table_name"])
-        .select(
-            "database_name", "token", "table_pos", "table_name",
-            F.filter("all_columns", lambda c: F.array_contains("names", c["column_name"])).alias("one"),
-            F.when(F.col("is_table"), F.col("all_columns")).alias("whole"),
-        )
+        targets.groupBy(*on, "token")
+        .agg(F.collect_set("column_name").alias("names"))
+        .join(tables, on)
     )
-    # a question's matches are at most its database's schema; one shuffle serves both steps and the join
-    hits = words.join(named, ["database_name", "token"]).repartition("question_id")
-    per_table = hits.groupBy("question_id", "table_pos", "table_name").agg(
-        F.flatten(F.collect_list("one")).alias("matched"), F.max("whole").alias("whole")
+    places = F.filter(
+        F.transform("all_columns", lambda c, i: F.when(F.array_contains("names", c), i)), lambda i: i.isNotNull()
     )
-    columns = F.when(F.size("matched") > 0, F.array_sort(F.array_distinct("matched"))).otherwise(F.col("whole"))
-    linked = per_table.groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("table_pos", "table_name", columns.alias("columns")))).alias("tables")
+    named = named.select(*on, "token", places.alias("places"))
+    # only places travel; a question's matches are at most its database's schema. Partitioned by
+    # question once, which serves both groupings and the last join
+    hits = words.join(named, ["database_name", "token"]).drop("token").repartition("question_id")
+    per_table = hits.groupBy("question_id", *on).agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")
     )
-    links = F.transform(
-        "tables",
-        lambda t: F.struct(t["table_name"].alias("table_name"), F.transform(t["columns"], lambda c: c["column_name"]).alias("columns")),
+    named_columns = F.transform(F.array_sort("places"), lambda i: F.get("all_columns", i))
+    columns = F.when(F.size("places") > 0, named_columns).otherwise(F.col("all_columns"))
+    linked = (
+        per_table.join(tables, on)
+        .groupBy("question_id")
+        .agg(F.array_sort(F.collect_list(F.struct("table_pos", "table_name", columns.alias("columns")))).alias("tables"))
     )
+    links = F.transform("tables", lambda t: F.struct(t["table_name"].alias("table_name"), t["columns"].alias("columns")))
     return questions.join(linked, "question_id", "left").select(
         "question_id", "question", F.coalesce(links, F.expr(EMPTY_LINK)).alias("schema_links")
     )

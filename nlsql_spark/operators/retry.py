@@ -132,8 +132,10 @@ def build_retry_dataset(
     """
     kept = exclude_databases(questions, list(skip_databases)) if skip_databases else questions
     joined = join_catalog(kept, catalog, "required", keys)
-    links = substring_links(F.col("sql_query"), F.col("tables"))
-    samples = _with_prompt(joined, ddl_text(F.col("tables"), links))
+    # named columns, since the schema text uses the links, and the prompt the text, several times
+    linked = joined.withColumn("__links", substring_links(F.col("sql_query"), F.col("tables")))
+    schemas = linked.withColumn("__schema", ddl_text(F.col("tables"), F.col("__links")))
+    samples = _with_prompt(schemas, F.col("__schema"))
     return corrupt_steps(replicate(samples, copies), p, num, pool, seed)
 
 

@@ -13,7 +13,8 @@ from nlsql_spark.session import broadcast_if_small, cut_lineage
 def words(text: Column) -> Column:
     """Blank-separated words; special tokens stand alone even where they touch a word."""
     specials = "|".join("\\Q" + token + "\\E" for token in K.SPECIAL_TOKENS)
-    spaced = F.regexp_replace(text, f"({specials})", " $1 ")
+    bracketed = F.contains(text, F.lit("[")) | F.contains(text, F.lit("<"))
+    spaced = F.when(bracketed, F.regexp_replace(text, f"({specials})", " $1 ")).otherwise(text)
     return F.filter(F.split(strip(spaced), r"\s+"), lambda w: w != "")
 
 
@@ -52,16 +53,6 @@ def encode(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "text",
     return df.join(ids, key, "left").withColumn(output, F.coalesce(F.col(output), none))
 
 
-def encode_columns(df: DataFrame, vocab: DataFrame, key: list[str], texts: dict[str, str]) -> DataFrame:
-    """Several text columns (text -> ids column) in one pass over the vocabulary."""
-    tall = df.select(*key, F.explode(F.create_map(*[x for t in texts for x in (F.lit(t), F.col(t))])).alias("__f", "__text"))
-    coded = encode(tall, vocab, [*key, "__f"], "__text", "__ids").drop("__text")
-    wide = coded.groupBy(*key).agg(
-        *[F.first(F.when(F.col("__f") == t, F.col("__ids")), ignorenulls=True).alias(out) for t, out in texts.items()]
-    )
-    return df.join(wide, key)
-
-
 def tokenized_dataset(samples: DataFrame, vocab: DataFrame, kind: str, mode: str = "train", key: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """Ids, attention and labels of ``pretraining``, ``instruction`` or ``probe`` samples.
 
@@ -92,12 +83,14 @@ def tokenized_dataset(samples: DataFrame, vocab: DataFrame, kind: str, mode: str
     if mode == "eval":
         coded = encode(texts.select(*keys, c("full").alias("text")), vocab, keys)
         return coded.select(*keys, c("ids").alias("input_ids")).withColumn("attention_mask", T.full_attention(c("input_ids")))
-    coded = encode_columns(texts, vocab, keys, {"full": "input_ids", "source": "source_ids"})
+    # a word is an id, so the source part is as long as its word list
+    sized = texts.select(*keys, c("full").alias("text"), F.size(words(c("source"))).alias("source_len"))
+    coded = encode(sized, vocab, keys)
     return coded.select(
         *keys,
-        "input_ids",
-        T.full_attention(c("input_ids")).alias("attention_mask"),
-        T.mask_source_labels(c("input_ids"), F.size("source_ids")).alias("target_ids"),
+        c("ids").alias("input_ids"),
+        T.full_attention(c("ids")).alias("attention_mask"),
+        T.mask_source_labels(c("ids"), c("source_len")).alias("target_ids"),
     )
 
 
