@@ -7,7 +7,7 @@ from nlsql_spark import constants as K
 from nlsql_spark.functions import training as T
 from nlsql_spark.functions.text import strip
 from nlsql_spark.operators.ordering import ordered_position
-from nlsql_spark.session import broadcast_if_small, cut_lineage
+from nlsql_spark.session import broadcast_if_small, materialize
 
 
 def words(text: Column) -> Column:
@@ -30,7 +30,7 @@ def build_vocab(df: DataFrame, text: str = "text", min_count: int = 1, **numberi
         .filter((F.col("n") >= min_count) & ~F.col("token").isin(K.SPECIAL_TOKENS))
         .withColumn("rank", -F.col("n"))
     )
-    ranked = ordered_position(cut_lineage(counts), ["rank", "token"], name="id", **numbering).select(
+    ranked = ordered_position(materialize(counts), ["rank", "token"], name="id", **numbering).select(
         "token", (F.col("id") + len(K.SPECIAL_TOKENS)).cast("int").alias("id")
     )
     fixed = [(token, i) for i, token in enumerate(K.SPECIAL_TOKENS)]

@@ -21,7 +21,7 @@ from nlsql_spark.operators.retry import train_val_split
 from nlsql_spark.operators.schema_text import apply_links, render_ddl
 from nlsql_spark.operators.scoring import execution_accuracy, pair_results, valid_efficiency_score
 from nlsql_spark.operators.training_tables import build_vocab, pad_batches, tokenized_dataset
-from nlsql_spark.session import cut_lineage
+from nlsql_spark.session import materialize
 
 
 def retrieval_documents(
@@ -85,7 +85,7 @@ def training_batches(
     corpus = F.concat_ws(" ", "prompt", "question", F.array_join("reasoning_steps", " "), "query") if text is None else text
     vocab = build_vocab(samples.select(corpus.alias("text")))
     # numbering the rows takes a second pass: over stored ids, not over the texts
-    ids = cut_lineage(tokenized_dataset(samples, vocab, kind, mode, key))
+    ids = materialize(tokenized_dataset(samples, vocab, kind, mode, key))
     labels = "target_ids" if kind == "instruction" and mode == "train" else None
     return pad_batches(ids, list(key), batch_size, multiple, side, K.SPECIAL_TOKENS.index(K.PAD), labels)
 
@@ -95,7 +95,7 @@ def probe_report(samples: DataFrame, fn: EmbedFn | None = None, ratio: float = 0
     contexts = probe_contexts(samples).withColumn("example_id", F.xxhash64("question_id", "item"))
     vectors = embed(contexts.select("example_id", F.col("text").alias("input_to_embed")), fn, dim=dim, seed=seed)
     # read by the split, by every training pass and by the report: embedded once
-    data = cut_lineage(vectors.join(contexts.select("example_id", "label"), "example_id"))
+    data = materialize(vectors.join(contexts.select("example_id", "label"), "example_id"))
     split = train_val_split(data, "example_id", ratio, seed)
     model = train_probe(split.filter("is_train"), maxIter=20)
     return binary_report(score_probe(model, split.filter("not is_train")))

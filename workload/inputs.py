@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
 from nlsql_spark.operators.catalog import resolve_foreign_keys
+from nlsql_spark.session import materialize
 
 DB = "corpus"
 
@@ -41,6 +42,11 @@ CATALOG_TYPED = "CASE column_pos % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'real' WH
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue is a stored table: it is derived once and then read by every step that needs it."""
+    return materialize(_catalog(spark, sf))
+
+
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(spark, sf).select(
         "database_name", "table_name", "table_pos", "column_name", "column_pos",
         F.expr(CATALOG_TYPED).alias("data_format"),
@@ -74,7 +80,7 @@ def raw_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve_foreign_keys(raw_keys(spark, sf))
+    return materialize(resolve_foreign_keys(raw_keys(spark, sf)))
 
 
 CATALOG_SQL = f"""
@@ -113,7 +119,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("question_id"))
         .agg(
             F.min("l_partkey").alias("pa"), F.max("l_partkey").alias("pb"), F.count("*").alias("n_lines"),
-            F.min("l_linenumber").alias("first_line"), F.min("l_returnflag").alias("flag"),
+            F.min("l_linenumber").alias("first_line"), F.chr(F.min(F.ascii("l_returnflag"))).alias("flag"),
         )
     )
     part = table(spark, sf, "part")
@@ -165,6 +171,11 @@ questions AS (SELECT question_id, database_name,
     first_line FROM q1)"""
 
 
+def stored_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions as a written table, for queries that read them several times."""
+    return materialize(questions(spark, sf))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     return c.select(

@@ -8,8 +8,7 @@ from nlsql_spark.operators import linking as L
 from nlsql_spark.operators.retry import exclude_databases
 from nlsql_spark.plans.jobs import link_report
 from workload.inputs import (
-    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, TURNS_SQL, WORD_CATALOG_SQL, catalog, keys, links_text, questions,
-    raw_keys, table, tokens_sql, turns, word_catalog,
+    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, TURNS_SQL, WORD_CATALOG_SQL, catalog, keys, links_text, questions, stored_questions, table, tokens_sql, turns, word_catalog,
 )
 from workload.registry import query
 
@@ -82,7 +81,7 @@ token_links AS (SELECT q.question_id, coalesce(string_agg(table_name || '(' || c
 @query("join_03_link_by_tokens", f"""
 WITH {CATALOG_SQL}, {QUESTIONS_SQL}, {token_links_sql('questions', 'catalog', 'qtok = etok')} SELECT * FROM token_links""")
 def _(spark, sf):
-    return L.link_by_tokens(questions(spark, sf), catalog(spark, sf)).select("question_id", links_text().alias("links"))
+    return L.link_by_tokens(stored_questions(spark, sf), catalog(spark, sf)).select("question_id", links_text().alias("links"))
 
 
 @query("join_03_link_by_tokens_texts", f"""
@@ -145,7 +144,7 @@ bare AS (SELECT t.question_id, c.table_name, c.column_name FROM t JOIN catalog c
 SELECT * FROM known UNION SELECT * FROM bare""")
 def _(spark, sf):
     w = F.split("sql_query", " ")
-    q = questions(spark, sf)
+    q = stored_questions(spark, sf)
     used = q.select("question_id", "database_name", w[4].alias("name"), F.lit("t1").alias("alias"))
     columns = q.select("question_id", "database_name", F.lit("t1").alias("qualifier"), F.rtrim(w[1], F.lit(",")).alias("column_name")).unionByName(
         q.select("question_id", "database_name", F.lit("").alias("qualifier"), F.upper(w[6]).alias("column_name"))
@@ -261,7 +260,7 @@ WHERE NOT list_contains(sl.columns, c.column_name)""")
 def _(spark, sf):
     from nlsql_spark.operators.schema_text import repair_links
 
-    q, c = questions(spark, sf), catalog(spark, sf)
+    q, c = stored_questions(spark, sf), catalog(spark, sf)
     linked = L.link_by_substring(q, c).join(q.select("question_id", "database_name"), "question_id")
     mended = repair_links(linked.withColumn("old", F.col("schema_links")), c)
     added = F.filter(
@@ -293,5 +292,5 @@ every AS (SELECT q.question_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_truth,
     FROM questions q LEFT JOIN both_sides USING (question_id))
 SELECT {FPR_SQL}, {RECALL_SQL}, {COLUMN_SQL}, count(*) AS questions FROM every""")
 def _(spark, sf):
-    m = link_report(questions(spark, sf), catalog(spark, sf))
+    m = link_report(stored_questions(spark, sf), catalog(spark, sf))
     return m.select(*[F.round(x, 6).alias(x) for x in ("false_positive_rate", "recall", "column_recall")], "questions")

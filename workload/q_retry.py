@@ -10,7 +10,8 @@ from nlsql_spark.operators.catalog import identifier_pool
 from nlsql_spark.operators.linking import link_by_substring
 from nlsql_spark.operators.probe import labelled_items, probe_contexts, probe_contexts_column
 from workload.inputs import (
-    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, TURNS_SQL, catalog, keys, questions, table, turns, uniform_sql,
+    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, TURNS_SQL, catalog, keys, questions, stored_questions,
+    table, turns, uniform_sql,
 )
 from workload.q_schema import LINKED_WANT, PK_SQL, ddl_sql
 from workload.q_text import STEPS_SQL, lit_sql, md5
@@ -101,7 +102,7 @@ SELECT question_id, md5(CASE WHEN flagged THEN {NO_STEPS} ELSE {WITH_STEPS} END)
 FROM (SELECT *, difficulty = 'simple' AS flagged FROM ctx)""")
 def _(spark, sf):
     """Samples of simple questions have no steps; their prompt holds the question."""
-    q, c = questions(spark, sf), catalog(spark, sf)
+    q, c = stored_questions(spark, sf), catalog(spark, sf)
     given = q.withColumn("reasoning_steps", F.when(F.col("difficulty") != "simple", F.col("reasoning_steps")))
     out = R.attach_context(given, link_by_substring(q, c), c, keys(spark, sf))
     return out.select("question_id", F.md5("prompt").alias("prompt"), "question")

@@ -7,7 +7,8 @@ from nlsql_spark.operators import schema_text as S
 from nlsql_spark.operators.linking import link_by_substring
 from nlsql_spark.plans.jobs import schema_prompts
 from workload.inputs import (
-    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, catalog, keys, links_text, questions, table,
+    CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, catalog, keys, links_text, stored_questions,
+    table,
 )
 from workload.q_text import lit_sql
 from workload.registry import query
@@ -55,7 +56,7 @@ LINKED_WANT = """wl AS (SELECT sl.question_id AS id, q.database_name, sl.table_n
 WITH {CATALOG_SQL}, {KEYS_SQL}, {QUESTIONS_SQL}, {SUBSTRING_SQL}, {PK_SQL}, {LINKED_WANT}, {ddl_sql('wl', True)}
 SELECT question_id, coalesce(schema, 'none') AS database_schema FROM questions LEFT JOIN ddl ON ddl.id = question_id""")
 def _(spark, sf):
-    q, c = questions(spark, sf), catalog(spark, sf)
+    q, c = stored_questions(spark, sf), catalog(spark, sf)
     asked = q.select("question_id", "database_name", F.lit("none").alias("database_schema"))
     out = S.apply_links(asked, link_by_substring(q, c), c, keys(spark, sf), repair=False)
     return out.select("question_id", "database_schema")
@@ -107,9 +108,9 @@ mended AS (SELECT question_id, database_name, table_name, column_name, table_pos
     UNION ALL SELECT question_id, database_name, table_name, column_name, table_pos, 1, column_pos FROM missing)"""
 
 
-def _messy(spark, sf):
-    q, c = questions(spark, sf), catalog(spark, sf)
-    links = link_by_substring(q, c).join(q.select("question_id", "database_name", "knowledge", "sql_query"), "question_id")
+def _messy(spark, sf, q):
+    c = catalog(spark, sf)
+    links = link_by_substring(q, c).join(q.select("question_id", "database_name"), "question_id")
     messy = F.transform(
         "schema_links",
         lambda x: F.struct(
@@ -126,7 +127,7 @@ WITH {CATALOG_SQL}, {QUESTIONS_SQL}, {SUBSTRING_SQL}, {MENDED_SQL},
 g AS (SELECT question_id, table_name, any_value(table_pos) AS ord, string_agg(column_name, '|' ORDER BY part, place, column_name) AS cols FROM mended GROUP BY 1, 2)
 SELECT question_id, coalesce(string_agg(table_name || '(' || cols || ')', ';' ORDER BY ord), '') AS links FROM questions LEFT JOIN g USING (question_id) GROUP BY 1""")
 def _(spark, sf):
-    links, c = _messy(spark, sf)
+    links, c = _messy(spark, sf, stored_questions(spark, sf))
     return S.repair_links(links, c).select("question_id", links_text().alias("links"))
 
 
@@ -144,9 +145,10 @@ WITH {CATALOG_SQL}, {KEYS_SQL}, {QUESTIONS_SQL}, {SUBSTRING_SQL}, {PK_SQL}, {MEN
 
 @query("join_10_apply_links", _prompt_sql("SELECT q.question_id, md5(coalesce(ddl.schema, fddl.schema)) AS database_schema"))
 def _(spark, sf):
-    links, c = _messy(spark, sf)
+    asked = stored_questions(spark, sf)
+    links, c = _messy(spark, sf, asked)
     k = keys(spark, sf)
-    q = questions(spark, sf).join(S.render_ddl(c, k), "database_name").select("question_id", "database_name", "database_schema")
+    q = asked.join(S.render_ddl(c, k), "database_name").select("question_id", "database_name", "database_schema")
     return S.apply_links(q, links, c, k).select("question_id", F.md5("database_schema").alias("database_schema"))
 
 
@@ -154,6 +156,7 @@ def _(spark, sf):
 SELECT q.question_id, md5(replace(replace(replace({SQL_TEMPLATE}, '{{question}}', question), '{{database_schema}}', coalesce(ddl.schema, fddl.schema)),
     '{{knowledge}}', coalesce(knowledge, ''))) AS prompt"""))
 def _(spark, sf):
-    links, c = _messy(spark, sf)
-    out = schema_prompts(questions(spark, sf), links, c, keys(spark, sf))
+    asked = stored_questions(spark, sf)
+    links, c = _messy(spark, sf, asked)
+    out = schema_prompts(asked, links, c, keys(spark, sf))
     return out.select("question_id", F.md5("prompt").alias("prompt"))
