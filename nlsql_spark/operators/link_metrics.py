@@ -1,8 +1,10 @@
 """Link scores: false-positive rate, recall, column recall."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlsql_spark.operators.linking import LINKS_TYPE
+
 LINK = ["question_id", "table_name", "column_name"]
 
 
@@ -32,6 +34,41 @@ def question_link_counts(pred: DataFrame, truth: DataFrame, questions: DataFrame
     return questions.select("question_id").join(counts, "question_id", "left").na.fill(0, ["n_pred", "n_truth", "n_both"])
 
 
+def _pair_names(links: Column) -> Column:
+    """The distinct (table, column) pairs of a link list, as texts."""
+    per_table = lambda x: F.transform(x["columns"], lambda c: F.concat_ws("\x00", x["table_name"], c))
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(links, F.array().cast(LINKS_TYPE)), per_table)))
+
+
+def nested_link_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """The same counts from link lists (question_id, schema_links), one row a question on each side.
+
+    Pairs are compared inside the row, so the shuffle carries questions and not single links.
+    """
+    joined = pred.select("question_id", F.col("schema_links").alias("p")).join(
+        truth.select("question_id", F.col("schema_links").alias("t")), "question_id", "full_outer"
+    )
+    named = joined.select("question_id", _pair_names(F.col("p")).alias("p"), _pair_names(F.col("t")).alias("t"))
+    return named.select(
+        "question_id",
+        F.size("p").cast("long").alias("n_pred"),
+        F.size("t").cast("long").alias("n_truth"),
+        F.size(F.array_intersect("p", "t")).cast("long").alias("n_both"),
+    )
+
+
+def nested_link_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """All three scores from link lists."""
+    return _scores(nested_link_counts(pred, truth))
+
+
+def _scores(counts: DataFrame) -> DataFrame:
+    return counts.agg(
+        _fpr().alias("false_positive_rate"), _recall().alias("recall"), _column_recall().alias("column_recall"),
+        F.count("*").alias("questions"),
+    )
+
+
 def _fpr():
     n_pred, n_both = F.sum("n_pred"), F.sum("n_both")
     return F.coalesce(F.try_divide((n_pred - n_both).cast("double"), n_pred), F.lit(0.0))
@@ -64,10 +101,7 @@ def column_recall(pred: DataFrame, truth: DataFrame, questions: DataFrame | None
 
 def link_metrics(pred: DataFrame, truth: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """All three scores in one pass."""
-    return question_link_counts(pred, truth, questions).agg(
-        _fpr().alias("false_positive_rate"), _recall().alias("recall"), _column_recall().alias("column_recall"),
-        F.count("*").alias("questions"),
-    )
+    return _scores(question_link_counts(pred, truth, questions))
 
 
 def assert_same_ids(a: DataFrame, b: DataFrame, key: str = "question_id") -> DataFrame:

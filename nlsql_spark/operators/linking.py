@@ -157,6 +157,9 @@ def link_by_tokens(
         F.transform("all_columns", lambda c, i: F.when(F.array_contains("names", c), i)), lambda i: i.isNotNull()
     )
     named = named.select(*on, "token", places.alias("places"))
+    if edit_distance == 0:
+        # a few words per catalogue row, so the catalogue's size bounds it; near words have no such bound
+        named = broadcast_if_small(named, measure=catalog)
     # only places travel; a question's matches are at most its database's schema. Partitioned by
     # question once, which serves both groupings and the last join
     hits = words.join(named, ["database_name", "token"]).drop("token").repartition("question_id")

@@ -10,6 +10,10 @@ from nlsql_spark.operators.ordering import ordered_position
 from nlsql_spark.session import broadcast_if_small, materialize
 
 
+# vocabulary rows (a word and a number) up to which it is broadcast
+BROADCAST_WORDS = 1_000_000
+
+
 def words(text: Column) -> Column:
     """Blank-separated words; special tokens stand alone even where they touch a word."""
     specials = "|".join("\\Q" + token + "\\E" for token in K.SPECIAL_TOKENS)
@@ -45,7 +49,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "text",
     """
     unknown = K.SPECIAL_TOKENS.index(K.UNK)
     placed = df.select(*key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-    found = placed.join(broadcast_if_small(vocab), "token", "left").select(
+    found = placed.join(broadcast_if_small(vocab, BROADCAST_WORDS), "token", "left").select(
         *key, F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("t")
     )
     ids = found.groupBy(*key).agg(F.array_sort(F.collect_list("t"))["id"].alias(output))

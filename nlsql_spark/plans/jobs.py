@@ -11,8 +11,8 @@ from nlsql_spark.functions.text import clean_sql, map_difficulty, question_text,
 from nlsql_spark.operators.confidence import confidence_per_sequence, marker_confidence
 from nlsql_spark.operators.execution import execution_match
 from nlsql_spark.operators.knn import knn
-from nlsql_spark.operators.link_metrics import link_metrics
-from nlsql_spark.operators.linking import link_by_embedding, link_by_substring, link_by_tokens, links_flat
+from nlsql_spark.operators.link_metrics import nested_link_metrics
+from nlsql_spark.operators.linking import link_by_embedding, link_by_substring, link_by_tokens
 from nlsql_spark.operators.model_steps import EmbedFn, GenerateFn, echo, embed, generate
 from nlsql_spark.operators.ordering import union_all
 from nlsql_spark.operators.probe import binary_report, probe_contexts, score_probe, train_probe
@@ -131,8 +131,7 @@ def execution_report(
 
 def link_report(questions: DataFrame, catalog: DataFrame, edit_distance: int = 0) -> DataFrame:
     """Token links scored against ground-truth links."""
-    pred = links_flat(link_by_tokens(questions, catalog, edit_distance)).filter("table_name <> ''")
-    return link_metrics(pred, links_flat(link_by_substring(questions, catalog)), questions)
+    return nested_link_metrics(link_by_tokens(questions, catalog, edit_distance), link_by_substring(questions, catalog))
 
 
 def marker_report(tokens: DataFrame, is_marker: Column, **options) -> DataFrame:

@@ -54,6 +54,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that is one single task (a small file) before work that costs processor time."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if cores > 1 and scan.rdd.getNumPartitions() == 1 else scan
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count at most ``max_rows + 1`` rows to learn whether a table may be broadcast."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -30,6 +30,8 @@ def test_link_metrics(spark, truth, pred, expected):
     row = M.link_metrics(p, t).first()
     assert (row["false_positive_rate"], row["recall"], row["column_recall"]) == expected
     assert M.link_fpr(p, t).first()[0] == expected[0]
+    nest = lambda df: df.groupBy("question_id", "table_name").agg(F.collect_list("column_name").alias("columns")).groupBy("question_id").agg(F.collect_list(F.struct("table_name", "columns")).alias("schema_links"))
+    assert M.nested_link_metrics(nest(p), nest(t)).first() == row
     assert M.link_recall(p, t).first()[0] == expected[1]
     assert M.column_recall(p, t).first()["column_recall"] == expected[2]
 

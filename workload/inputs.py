@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
 from nlsql_spark.operators.catalog import resolve_foreign_keys
-from nlsql_spark.session import materialize
+from nlsql_spark.session import materialize, spread
 
 DB = "corpus"
+LONG_TEXTS = ["documents", "conversations"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan) if name in LONG_TEXTS else scan
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
