@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.draws import digest
 from nlsql_spark.functions.text import normalize_identifier
+from nlsql_spark.operators.catalog import nest_catalog
 from nlsql_spark.operators.linking import LINKS_TYPE, join_catalog, pairs_to_links
+from nlsql_spark.session import broadcast_if_small
 
 
 def repair_links_column(links: Column, tables: Column) -> Column:
@@ -151,8 +153,6 @@ def ddl_text(
 
 def render_ddl(catalog: DataFrame, keys: DataFrame | None = None, examples: DataFrame | None = None, **options) -> DataFrame:
     """The full schema text, once per database."""
-    from nlsql_spark.operators.catalog import nest_catalog
-
     nested = nest_catalog(catalog, keys, examples)
     return nested.select("database_name", ddl_text(F.col("tables"), **options).alias("database_schema"))
 
@@ -163,14 +163,19 @@ def apply_links(
     catalog: DataFrame,
     keys: DataFrame | None = None,
     repair: bool = True,
+    full_schema: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Replace each question's schema text by that of its links; without links the old text stays.
 
     ``questions``: question_id, database_name, database_schema, ...; ``links``: question_id, schema_links.
+    With ``full_schema`` (database_name, database_schema; see ``render_ddl``) the old text comes from
+    there: it is long, so it joins after the questions have met their links and is never shuffled.
     """
     linked = questions.join(links.select("question_id", "schema_links"), "question_id", "left")
     joined = join_catalog(linked, catalog, "required", keys)
+    if full_schema is not None:
+        joined = joined.join(broadcast_if_small(full_schema, measure=catalog), "database_name")
     chosen = F.coalesce("schema_links", F.array().cast(LINKS_TYPE))
     if repair:
         chosen = repair_links_column(chosen, F.col("tables"))

@@ -1,5 +1,6 @@
 """Training tables: vocabulary, ids, masks, padded batches."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,10 +8,10 @@ from nlsql_spark import constants as K
 from nlsql_spark.functions import training as T
 from nlsql_spark.functions.text import strip
 from nlsql_spark.operators.ordering import ordered_position
-from nlsql_spark.session import broadcast_if_small, materialize
+from nlsql_spark.session import materialize
 
 
-# vocabulary rows (a word and a number) up to which it is broadcast
+# vocabulary rows (a word and a number) up to which it is sent to every task
 BROADCAST_WORDS = 1_000_000
 
 
@@ -41,15 +42,34 @@ def build_vocab(df: DataFrame, text: str = "text", min_count: int = 1, **numberi
     return df.sparkSession.createDataFrame(fixed, "token string, id int").unionByName(ranked)
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "text", output: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: list[str],
+    text: str = "text",
+    output: str = "ids",
+    broadcast_words: int = BROADCAST_WORDS,
+) -> DataFrame:
     """Replace each text by its word ids (unknown words: ``<unk>``).
 
-    A join on the word: the vocabulary is broadcast when small, else AQE splits hot words. Only
-    (key, position, id) is regrouped, and a group is one text.
+    A vocabulary of up to ``broadcast_words`` goes to every task, which looks the words up in Arrow
+    batches: no word is shuffled. A larger one is joined on the word (AQE splits hot words), and
+    (key, position, id) is regrouped by text.
     """
     unknown = K.SPECIAL_TOKENS.index(K.UNK)
+    head = vocab.select("token", "id").limit(broadcast_words + 1).toPandas()
+    if len(head) <= broadcast_words:
+        table = df.sparkSession.sparkContext.broadcast(dict(zip(head["token"], head["id"].tolist())))
+
+        @F.pandas_udf("array<int>")
+        def look_up(texts: pd.Series) -> pd.Series:
+            find = table.value.get
+            return texts.map(lambda found: [find(word, unknown) for word in found])
+
+        return df.withColumn(output, look_up(words(F.coalesce(F.col(text), F.lit("")))))
+
     placed = df.select(*key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-    found = placed.join(broadcast_if_small(vocab, BROADCAST_WORDS), "token", "left").select(
+    found = placed.join(vocab, "token", "left").select(
         *key, F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("t")
     )
     ids = found.groupBy(*key).agg(F.array_sort(F.collect_list("t"))["id"].alias(output))

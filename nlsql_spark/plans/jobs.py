@@ -50,7 +50,9 @@ def vector_links(
     asked = questions.select(
         F.col("question_id").alias("example_id"), question_text(F.col("question"), F.col("knowledge")).alias("input_to_embed")
     )
-    near = knn(embed(asked, fn, is_query=True, **options), embed(texts, fn, **options), k)
+    # the search reads its sides more than once: the model runs once, into stored vectors
+    asked_vectors = materialize(embed(asked, fn, is_query=True, **options))
+    near = knn(asked_vectors, materialize(embed(texts, fn, **options)), k)
     return link_by_embedding(near, documents, asked)
 
 
@@ -64,8 +66,7 @@ def schema_prompts(
     **template,
 ) -> DataFrame:
     """``question_id, prompt`` with the schema of the repaired links, or the whole schema without links."""
-    full = questions.join(render_ddl(catalog, keys), "database_name")
-    with_schema = apply_links(full, links, catalog, keys, repair)
+    with_schema = apply_links(questions, links, catalog, keys, repair, render_ddl(catalog, keys))
     knowledge = F.col("knowledge")
     prompt = fill_prompt(prompt_template(kind, knowledge, **template), F.col("database_schema"), knowledge, F.col("question"))
     return with_schema.select("question_id", prompt.alias("prompt"))

@@ -44,8 +44,9 @@ def test_vocab_and_encode(spark):
     ids = {r["token"]: r["id"] for r in vocab.collect()}
     n = len(K.SPECIAL_TOKENS)
     assert {t: ids[t] for t in "abc"} == {"b": n, "a": n + 1, "c": n + 2}
-    got = {r["question_id"]: r["ids"] for r in encode(df, vocab, ["question_id"]).collect()}
-    assert got == {1: [n, n + 1, n, ids["[SQL]"], n + 2], 2: [], 3: [UNK, n]}
+    for limit in (1_000_000, 3):
+        got = {r["question_id"]: r["ids"] for r in encode(df, vocab, ["question_id"], broadcast_words=limit).collect()}
+        assert got == {1: [n, n + 1, n, ids["[SQL]"], n + 2], 2: [], 3: [UNK, n]}
 
 
 def test_tokenized_datasets(spark, samples):

@@ -91,15 +91,21 @@ def _(spark, sf):
     return accuracy.withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("flt_04_is_executable", f"""
-WITH {QUESTIONS_SQL} SELECT question_id, false AS executable FROM (SELECT max(question_id) AS question_id FROM questions)
-UNION ALL SELECT {' UNION ALL SELECT '.join(f"{i}, {'false' if i in RUNS else 'true'}" for i, *_ in BENCHMARK)}""")
+@query("flt_04_is_executable", """
+SELECT min(p_partkey) AS question_id, true AS executable FROM part GROUP BY p_brand
+UNION ALL SELECT -1 - min(p_partkey), false FROM part GROUP BY p_type""")
 def _(spark, sf):
-    """The benchmark predictions, and a derived question whose table does not exist."""
+    """A query per brand that resolves, and one per type that asks for a column of that name."""
     _views(spark, sf)
-    last = questions(spark, sf).agg(F.max_by("sql_query", "question_id").alias("q"), F.max("question_id").alias("question_id"))
-    texts = _benchmark(spark).select("question_id", F.col("predicted_sql").alias("q")).unionByName(last.select("question_id", "q"))
-    return E.executable_flags(spark, texts, "q")
+    part = table(spark, sf, "part")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    good = part.groupBy("p_brand").agg(F.min("p_partkey").alias("question_id")).select(
+        "question_id", text("SELECT count(*) FROM part WHERE p_brand = '", F.col("p_brand"), "'").alias("q")
+    )
+    bad = part.groupBy("p_type").agg((-1 - F.min("p_partkey")).alias("question_id")).select(
+        "question_id", text("SELECT ", F.col("p_type"), " FROM part").alias("q")
+    )
+    return E.executable_flags(spark, good.unionByName(bad), "q")
 
 
 # predictions per order: two versions, the later one wins; orders of large first line have none

@@ -11,7 +11,7 @@ from nlsql_spark.plans.jobs import retrieval_documents
 from nlsql_spark.session import shared_dir
 from nlsql_spark.sources import files as S
 from nlsql_spark.sources import writers as W
-from workload.inputs import CATALOG_SQL, QUESTIONS_SQL, SUBSTRING_SQL, catalog, links_text, questions, table
+from workload.inputs import CATALOG_SQL, QUESTIONS_SQL, SUBSTRING_SQL, catalog, links_text, questions, stored_questions, table
 from workload.q_text import SAMPLES_SQL, samples
 from workload.registry import query
 
@@ -43,15 +43,20 @@ def _(spark, sf):
 
 
 @query("src_01_read_questions", f"""
-WITH {QUESTIONS_SQL} SELECT question_id, database_name, question, sql_query, coalesce(knowledge, '') AS knowledge FROM questions WHERE first_line = 2""")
+WITH {QUESTIONS_SQL} SELECT question_id, database_name, question, sql_query, coalesce(knowledge, '') AS knowledge, difficulty FROM questions""")
 def _(spark, sf):
     """Dev entries written as question-set files, each one JSON array of bounded size, and read back."""
     folder = _folder(spark)
-    dev = _entries(spark, sf).filter(F.get_json_object("entry", "$.difficulty").isNotNull())
-    arrays = O.chunk(dev, "question_id", 1_000).groupBy("chunk").agg(F.collect_list("entry").alias("e"))
+    fields = [
+        F.col("database_name").alias("db_id"), F.col("question"), F.coalesce("knowledge", F.lit("")).alias("evidence"),
+        F.col("sql_query").alias("SQL"), F.col("question_id"), F.col("difficulty"),
+    ]
+    entries = stored_questions(spark, sf).select("question_id", F.to_json(F.struct(*fields)).alias("entry"))
+    arrays = O.chunk(entries, "question_id", 5_000).groupBy("chunk").agg(F.collect_list("entry").alias("e"))
     text = F.concat(F.lit("["), F.array_join("e", ","), F.lit("]"))
     arrays.select("chunk", text.alias("value")).write.partitionBy("chunk").text(folder)
-    return S.read_questions(spark, f"{folder}/*").select("question_id", "database_name", "question", "sql_query", "knowledge")
+    back = S.read_questions(spark, f"{folder}/*")
+    return back.select("question_id", "database_name", "question", "sql_query", "knowledge", "difficulty")
 
 
 @query("src_04_read_jsonl", f"WITH {QUESTIONS_SQL} SELECT question_id, question, knowledge, array_to_string(reasoning_steps, '|') AS steps FROM questions")

@@ -148,8 +148,8 @@ def _(spark, sf):
     asked = stored_questions(spark, sf)
     links, c = _messy(spark, sf, asked)
     k = keys(spark, sf)
-    q = asked.join(S.render_ddl(c, k), "database_name").select("question_id", "database_name", "database_schema")
-    return S.apply_links(q, links, c, k).select("question_id", F.md5("database_schema").alias("database_schema"))
+    q = asked.select("question_id", "database_name")
+    return S.apply_links(q, links, c, k, full_schema=S.render_ddl(c, k)).select("question_id", F.md5("database_schema").alias("database_schema"))
 
 
 @query("job_05_schema_prompts", _prompt_sql(f"""
