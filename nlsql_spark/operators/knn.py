@@ -10,25 +10,41 @@ from pyspark.sql import functions as F
 
 BLOCK_QUERIES = 4_096
 BLOCK_DOCS = 65_536
+# numbers held by one distance matrix or candidate table inside a task (64 MB)
+MATRIX_CELLS = 8_000_000
 _HITS = "query_id long, doc_id long, distance double"
 
 
-def _block_top(queries: np.ndarray, query_ids: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
-    """The k nearest docs of each query in one block; ties go to the lower id."""
-    approx = (queries**2).sum(1)[:, None] + (docs**2).sum(1)[None, :] - 2.0 * queries @ docs.T
+def _exact_top(queries: np.ndarray, near: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
+    """(row, doc place, distance) of the k nearest candidates per row, by exact distance and then id."""
+    rows, picked = np.nonzero(near)
+    exact = ((docs[picked] - queries[rows]) ** 2).sum(1)
+    order = np.lexsort((doc_ids[picked], exact, rows))
+    rows, picked, exact = rows[order], picked[order], exact[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], picked[best], exact[best]
+
+
+def _block_top(queries: np.ndarray, query_ids: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest docs of each query in one block; ties go to the lower id.
+
+    A matrix product only picks candidates (with some slack for rounding). Queries go in slices that
+    bound the matrix, and again by their number of candidates: many copies of a doc make many ties.
+    """
     kept = min(k, len(doc_ids))
-    border = np.partition(approx, kept - 1, axis=1)[:, kept - 1 : kept]
-    slack = 1e-9 * (1.0 + np.abs(border))
-    near = approx <= border + slack
-    out = []
-    for row in range(len(query_ids)):
-        picked = np.flatnonzero(near[row])
-        exact = ((docs[picked] - queries[row]) ** 2).sum(1)
-        best = np.lexsort((doc_ids[picked], exact))[:kept]
-        out.append(
-            pd.DataFrame({"query_id": query_ids[row], "doc_id": doc_ids[picked][best], "distance": exact[best]})
-        )
-    return out
+    norms = (docs**2).sum(1)[None, :]
+    found: list[pd.DataFrame] = []
+    step = max(1, MATRIX_CELLS // len(doc_ids))
+    for at in range(0, len(query_ids), step):
+        part, ids = queries[at : at + step], query_ids[at : at + step]
+        approx = (part**2).sum(1)[:, None] + norms - 2.0 * part @ docs.T
+        border = np.partition(approx, kept - 1, axis=1)[:, kept - 1 : kept]
+        near = approx <= border + 1e-9 * (1.0 + np.abs(border))
+        share = np.cumsum(near.sum(1)) * docs.shape[1] // MATRIX_CELLS
+        for rows in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(share)) + 1):
+            r, d, x = _exact_top(part[rows], near[rows], docs, doc_ids, kept)
+            found.append(pd.DataFrame({"query_id": ids[rows][r], "doc_id": doc_ids[d], "distance": x}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _local_search(query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -40,7 +56,7 @@ def _local_search(query_ids: np.ndarray, queries: np.ndarray, k: int):
             if batch.empty:
                 continue
             docs = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            found = pd.concat(_block_top(queries, query_ids, docs, batch["example_id"].to_numpy(), k))
+            found = _block_top(queries, query_ids, docs, batch["example_id"].to_numpy(), k)
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["query_id", "distance", "doc_id"]).groupby("query_id").head(k)
         if best is not None:
@@ -59,12 +75,7 @@ def _block_search(k: int):
             )
         docs, doc_ids = np.stack(ds["embedding"].to_numpy()).astype(np.float64), ds["example_id"].to_numpy()
         queries, query_ids = np.stack(qs["embedding"].to_numpy()).astype(np.float64), qs["example_id"].to_numpy()
-        # slices keep the distance matrix at about 64 MB
-        step = max(1, 8_000_000 // len(doc_ids))
-        parts: list[pd.DataFrame] = []
-        for at in range(0, len(query_ids), step):
-            parts += _block_top(queries[at : at + step], query_ids[at : at + step], docs, doc_ids, k)
-        return pd.concat(parts, ignore_index=True)
+        return _block_top(queries, query_ids, docs, doc_ids, k)
 
     return search
 

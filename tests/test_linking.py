@@ -109,6 +109,21 @@ def test_knn_block_path_equals_brute_force(spark):
         assert got == want
 
 
+def test_knn_with_many_copies(spark, monkeypatch):
+    """A third of the documents are one vector; ties go to the lowest ids, in small slices too."""
+    from nlsql_spark.operators import knn as module
+
+    rows = [(i, [1.0, 1.0] if i % 3 == 0 else [float(i), 2.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "example_id long, embedding array<float>")
+    query = spark.createDataFrame([(7, [1.0, 1.0]), (8, [1.0, 1.1])], "example_id long, embedding array<float>")
+    monkeypatch.setattr(module, "MATRIX_CELLS", 100)
+    got = knn(query, df.coalesce(1), 4).orderBy("query_id", "rank").collect()
+    # the copies 0, 3, 6, ... are nearest and tie with each other
+    assert [r["doc_id"] for r in got] == [0, 3, 6, 9, 0, 3, 6, 9]
+    local = module._block_top(*(module.np.array(x) for x in ([[1.0, 1.0]], [7], [v for _, v in rows], [i for i, _ in rows])), 4)
+    assert list(local["doc_id"]) == [0, 3, 6, 9]
+
+
 def test_repair(spark, make_catalog):
     catalog = make_catalog({"t": [("id", True, False), "a", ("ref", False, True), "b"], "u": ["x", "y"]})
     schema = f"question_id long, question string, database_name string, schema_links {L.LINKS_TYPE}"
