@@ -1,4 +1,4 @@
 """All registered queries of the package."""
 
-from llm import q_langid  # noqa: F401
+from llm import q_langid, q_tokens  # noqa: F401
 from llm.registry import ORACLE, QUERIES  # noqa: F401
