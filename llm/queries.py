@@ -1,4 +1,4 @@
 """All registered queries of the package."""
 
-from llm import q_chat, q_langid, q_quality, q_tokens  # noqa: F401
+from llm import q_chat, q_langid, q_quality, q_tokens, q_warc  # noqa: F401
 from llm.registry import ORACLE, QUERIES  # noqa: F401
