@@ -222,3 +222,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             "near_item_ids": F.array_sort(F.array_distinct(F.coalesce("near_item_ids", none))),
         }
     ).withColumn("n_hit", covered(F.col("spans")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window; all columns."""
+    found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("n_hit > 0")
+    gone = broadcast_if_small(stored(found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()), 100_000)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (row_key(text_col) == F.col("_tie")), "left_anti")
