@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, row_key, spread, stored, text_bytes
+from llm.common import byte_slices, free_name, row_key, spread, stored, text_bytes
 from llm.hashing import LOWER, NOT_ALNUM, Prefix, runs
 from nlsql_spark.session import broadcast_if_small
 
@@ -227,5 +227,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns."""
     found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("n_hit > 0")
-    gone = broadcast_if_small(stored(found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()), 100_000)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (row_key(text_col) == F.col("_tie")), "left_anti")
+    doc, tie = free_name(docs, "gone_doc"), free_name(docs, "gone_tie")
+    gone = broadcast_if_small(stored(found.select(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).distinct()), 100_000)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (row_key(text_col) == F.col(tie)), "left_anti")

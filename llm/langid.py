@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import byte_slices, spread, text_bytes
+from llm.common import byte_slices, free_name, spread, text_bytes
 
 DIMS = 4096
 SAMPLE_ROWS = 2400
@@ -153,8 +153,9 @@ def sample_ids(labelled: DataFrame, id_col: str, lang_col: str, rows: int) -> Da
 def train(docs: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """Fit on a bounded sample of the rows where ``usable`` holds and the language is known."""
     labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = sample_ids(labelled, id_col, lang_col, sample_rows)
-    chosen = labelled.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id"), "left_semi").select(lang_col, text_col)
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = sample_ids(labelled, "id", "lang", sample_rows)
+    chosen = labelled.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_id"), "left_semi").select("lang", "text")
 
     def work(batches):
         for batch in batches:
@@ -185,7 +186,7 @@ def fit(lang: np.ndarray, x: np.ndarray) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with ``lang_pred`` and ``score`` (columns of these names are replaced)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "_letter")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     place = [f.name for f in kept].index(text_col)
 
@@ -200,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     lang[some], score[some] = model.predict(features(text.take(pa.array(some))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "letter"))
     return spread(docs.select(*[f"`{f.name}`" for f in kept], letter)).mapInArrow(work, schema)
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, row_key, spread, stored
+from llm.common import byte_slices, free_name, row_key, spread, stored
 from llm.hashing import U, mix
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -170,7 +170,7 @@ def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     here = F.struct("doc_id", "tie", "number")
     sketched = scanned.filter(F.col("keys").isNotNull()).select(F.col("line").alias("node"), "keys", "doc_id", "tie", "number")
     # the signature of a line is a function of its text: any of its rows will do
-    labels = similar_lines(docs, sketched, width, percent)
+    labels = similar_lines(docs, sketched, width, percent, bands * rows)
     lines = scanned.select("line", "doc_id", "tie", "number")
     joined = lines.join(labels, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("group"), "doc_id", "tie", "number")
     joined = stored(joined)
@@ -178,7 +178,7 @@ def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return joined.join(first, "group").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tie", "number")
 
 
-def similar_lines(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
+def similar_lines(docs: DataFrame, sketched: DataFrame, width: int, percent: int, values: int) -> DataFrame:
     """(node, component) of distinct lines that have a similar line."""
     keys = sketched.select("node", "keys")
     each = keys.select("node", F.explode("keys").alias("key"))
@@ -190,19 +190,21 @@ def similar_lines(docs: DataFrame, sketched: DataFrame, width: int, percent: int
     one = sketched.join(broadcast_if_small(nodes, 200_000), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tie", "number")).alias("at"))
     contents = stored(line_texts(docs, one.select("node", "at.doc_id", "at.tie", "at.number")).dropDuplicates(["node"]))
     grouped = near.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    return similar_components(grouped, contents, lambda t: line_sets(t, width), (percent, 100))
+    return similar_components(grouped, contents, lambda t: line_sets(t, width), (percent, 100), values)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts, plus ``n_lines_removed``; all rows and columns stay."""
-    keyed = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_tie": row_key(text_col)})
-    gone = duplicate_lines(keyed.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), F.col(text_col).alias("text")), **how)
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_doc"), F.col("tie").alias("_gone_tie")).agg(F.collect_set("number").alias("_gone"))
+    doc, tie, gone_doc, gone_tie, out_lines = (free_name(docs, n) for n in ("this_doc", "this_tie", "gone_doc", "gone_tie", "gone_lines"))
+    keyed = docs.withColumns({doc: F.col(id_col).cast("long"), tie: row_key(text_col)})
+    gone = duplicate_lines(keyed.select(F.col(doc).alias("doc_id"), F.col(tie).alias("tie"), F.col(text_col).alias("text")), **how)
+    gone = gone.groupBy(F.col("doc_id").alias(gone_doc), F.col("tie").alias(gone_tie)).agg(F.collect_set("number").alias(out_lines))
     gone = broadcast_if_small(stored(gone), 100_000)
-    out = keyed.join(gone, F.col("_doc").eqNullSafe(F.col("_gone_doc")) & (F.col("_tie") == F.col("_gone_tie")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    out = out.withColumn("n_lines_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    out = keyed.join(gone, F.col(doc).eqNullSafe(F.col(gone_doc)) & (F.col(tie) == F.col(gone_tie)), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(out_lines, i)), "\n")
+    same = F.col(out_lines).isNull()
+    out = out.withColumn(text_col, F.when(same, F.col(text_col)).otherwise(kept))
+    out = out.withColumn("n_lines_removed", F.when(same, 0).otherwise(F.size(out_lines)).cast("long"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")

@@ -1,10 +1,11 @@
 """Links between similar sets: band keys propose, full sets decide, and no bucket is expanded into all its pairs.
 
-Round 1 compares every member of a bucket with the bucket's smallest node. After each round the confirmed links
-are joined into components; a bucket needs more work only while it holds members of different components
-whose pair was not compared yet. Small buckets of that kind give all those pairs; in larger ones one more node
-of the smallest component is compared with every member of other components, round by round. So each pair of
-bucket members is either compared or known to be in one component: nothing is dropped, whatever the size.
+Round 1 compares every member of a bucket with the bucket's smallest node, and the confirmed links are joined into
+components. A bucket needs more work only if it holds members of different components. For round 2 its members
+are cut into blocks; each pair of blocks meets in one task, where the signatures of members of different components
+are compared with numpy, and only pairs that can be similar (estimate at most six standard deviations below the
+threshold) leave the task, to be confirmed by full sets. So each pair of bucket members is either compared, or known
+to be in one component, or too far apart; nothing is dropped, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 
 from llm.common import byte_slices, stored
 from llm.components import connected_components
+from llm.minmax import signatures
+from nlsql_spark.session import broadcast_if_small
 
-#: Buckets of at most so many undecided members are compared pair by pair.
-SMALL_BUCKET = 32
+#: Members of a bucket in one block of round 2.
+BLOCK = 1024
 #: One node is compared with many in this many parts, so that no part is bound to one task.
 PARTS = 64
+#: Tables of at most so many ids are broadcast to the texts; beyond it texts and ids are shuffled.
+SMALL_IDS = 200_000
 
 SetsOf = Callable[[pa.Array], list[np.ndarray]]
 
@@ -37,7 +42,7 @@ def confirm(pairs: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple
     rows = asks.select("a", "part", F.col("b").alias("ask"), F.lit(1).alias("turn"))
     rows = rows.unionByName(asks.select("a", "part").distinct().select("a", "part", F.col("a").alias("ask"), F.lit(0).alias("turn")))
     # within one task's rows the turn comes last in the order, so the leading row of each group is first
-    full = rows.join(contents, F.col("ask") == F.col("node")).select("a", "part", "turn", "ask", "text")
+    full = contents.join(broadcast_if_small(rows, SMALL_IDS), F.col("ask") == F.col("node")).select("a", "part", "turn", "ask", "text")
     full = full.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
 
     def work(batches):
@@ -73,40 +78,91 @@ def similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
-def similar_components(keys: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple[int, int]) -> DataFrame:
+def similar_components(keys: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple[int, int], values: int = 192) -> DataFrame:
     """(node, component) of all nodes with a confirmed link. ``keys``: node, keys array<long>; ``contents``: node, text."""
     each = keys.select("node", F.explode("keys").alias("key")).repartition("key")
     shared = each.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     members = stored(each.join(shared, "key").filter("node != pivot"))
     asked = stored(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirm(asked, contents, sets_of, share))
-    retired = None
-    while True:
-        labels = connected_components(links)
-        state = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        if retired is not None:
-            state = state.join(retired, ["key", "node"], "left_anti")
-        # a member that was retired has met all others; the rest of a bucket must be in one component
-        open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        state = stored(state.join(open_keys.select("key", "n"), "key"))
-        if state.isEmpty():
-            return labels
-        pair = F.struct(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        few = state.filter(F.col("n") <= SMALL_BUCKET)
-        boxes = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("m"))
-        tails = boxes.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-        wanted = tails.filter("x.comp != y.comp").select(pair.alias("p")).select("p.a", "p.b")
-        gone = few.select("key", "node")
-        many = state.filter(F.col("n") > SMALL_BUCKET)
-        if not many.isEmpty():
-            sizes = many.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("node").alias("first"))
-            pick = sizes.groupBy("key").agg(F.min(F.struct("k", "first", "comp")).alias("s")).select("key", F.col("s.first").alias("one"), F.col("s.comp").alias("one_comp"))
-            met = many.join(pick, "key").filter("comp != one_comp")
-            wanted = wanted.unionByName(met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")))
-            gone = gone.unionByName(pick.select("key", F.col("one").alias("node")))
-        retired = gone if retired is None else retired.unionByName(gone)
-        retired = stored(retired)
-        wanted = stored(wanted.distinct().join(asked, ["a", "b"], "left_anti"))
-        asked = asked.unionByName(wanted)
-        found = stored(confirm(wanted, contents, sets_of, share))
-        links = links.unionByName(found)
+    labels = stored(connected_components(links))
+    # the smallest node has met all others of its bucket: the rest of the bucket must be in one component
+    state = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    state = stored(state.join(sizes.select("key", "n"), "key"))
+    if state.isEmpty():
+        return labels
+    signed = stored(signature_table(state.select("node").distinct(), contents, sets_of, values))
+    wanted = stored(block_pairs(state, signed, share, values).distinct().join(asked, ["a", "b"], "left_anti"))
+    found = stored(confirm(wanted, contents, sets_of, share))
+    return labels if found.isEmpty() else connected_components(links.unionByName(found))
+
+
+def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, values: int) -> DataFrame:
+    """(node, signature): the lowest byte of each of ``values`` min-max values."""
+    texts = contents.join(broadcast_if_small(nodes.withColumnRenamed("node", "ask"), SMALL_IDS), F.col("ask") == F.col("node")).select("node", "text")
+
+    def work(batches):
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(1)):
+                sets = sets_of(batch.column(1).slice(lo, hi - lo))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    table = signatures(np.concatenate([sets[i] for i in full]), np.array([len(sets[i]) for i in full]), -(-values // 2))
+                    low = (table >> 12).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "signature"])
+
+    return texts.mapInArrow(work, "node long, signature binary")
+
+
+def block_pairs(state: DataFrame, signed: DataFrame, share: tuple[int, int], values: int) -> DataFrame:
+    """(a, b), a < b: bucket members of different components whose signatures allow the similarity.
+
+    ``state``: key, node, comp, n (members of the bucket).
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = state.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    rows = unit.join(signed, "node").select("key", "i", "j", "own", "node", "comp", "signature")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    target = share[0] / share[1]
+    least = target - 6 * np.sqrt(target * (1 - target) / values)
+
+    def pairs_of(unit, own, node, comp, sig):
+        first = own == unit[1]
+        x = np.flatnonzero(first)
+        y = x if unit[1] == unit[2] else np.flatnonzero(~first)
+        got = []
+        for i in x.tolist():
+            later = y[y > i] if unit[1] == unit[2] else y
+            later = later[comp[later] != comp[i]]
+            if len(later):
+                near = later[(sig[later] == sig[i]).mean(1) >= least]
+                got += [(min(node[i], node[k]), max(node[i], node[k])) for k in near.tolist() if node[i] != node[k]]
+        return got
+
+    def work(batches):
+        held, unit = [], None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(6)]
+            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(cols[0]), -1)
+            new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) if len(cols[0]) else np.zeros(0, bool)
+            cut = np.flatnonzero(new).tolist() + [len(cols[0])]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                here = (int(cols[0][a]), int(cols[1][a]), int(cols[2][a]))
+                if here != unit and held:
+                    yield from batch_of(pairs_of(unit, *map(np.concatenate, zip(*held, strict=True))))
+                    held = []
+                unit = here
+                held.append((cols[3][a:b], cols[4][a:b], cols[5][a:b], sig[a:b]))
+        if held:
+            yield from batch_of(pairs_of(unit, *map(np.concatenate, zip(*held, strict=True))))
+
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def batch_of(pairs):
+    if pairs:
+        a, b = zip(*pairs, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

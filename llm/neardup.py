@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, spread, stored, text_bytes
+from llm.common import byte_slices, free_name, spread, stored, text_bytes
 from llm.hashing import LOWER, WHITE, Prefix, U, mix, runs
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -75,7 +75,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     known = sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(known.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys")))
     contents = texts.select(F.col("doc_id").alias("node"), "text")
-    links = similar_components(nodes.select("node", "keys"), contents, lambda t: shingle_sets(t, width), (percent, 100))
+    links = similar_components(nodes.select("node", "keys"), contents, lambda t: shingle_sets(t, width), (percent, 100), bands * rows)
     labels = nodes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     repeated = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().filter("count > 1")
@@ -98,5 +98,6 @@ def connected(pairs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without the documents that are not the first of their component; all columns."""
     found = near_duplicates(docs, width, percent, bands, rows, id_col, text_col)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

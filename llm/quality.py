@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.chat import let
-from llm.common import spread, stored
+from llm.common import free_name, spread, stored
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -41,45 +41,46 @@ MIN_WORDS = 60
 
 def measure(docs: DataFrame, text_col: str = "text", common: dict[str, tuple[str, ...]] = COMMON_WORDS) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and word_counts."""
-    names = ("_text", "_words", "_hashes", "_windows", "_rest", "_common")
-    text = F.col("_text")
+    names = [free_name(docs, n) for n in ("the_text", "the_words", "the_hashes", "the_windows", "the_rest", "the_common")]
+    own_text, own_words, own_hashes, own_windows, own_rest, own_common = names
+    text = F.col(own_text)
     listed = sorted({w for words in common.values() for w in words})
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("_words", F.array_remove(F.split(text, SPACE + "+", -1), ""))
+    out = docs.withColumn(own_text, F.coalesce(F.col(text_col), F.lit("")))
+    out = out.withColumn(own_words, F.array_remove(F.split(text, SPACE + "+", -1), ""))
     out = out.withColumns(
         {
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-            "_rest": F.regexp_replace(text, r"\p{L}+", ""),
-            "_common": F.filter("_words", lambda w: w.isin(*listed)),
+            own_hashes: F.transform(own_words, lambda w: F.xxhash64(w)),
+            own_rest: F.regexp_replace(text, r"\p{L}+", ""),
+            own_common: F.filter(own_words, lambda w: w.isin(*listed)),
         }
     )
-    hashed = F.col("_hashes")
+    hashed = F.col(own_hashes)
     out = out.withColumn(
-        "_windows",
+        own_windows,
         F.when(
             F.size(hashed) >= 5,
             F.transform(F.sequence(F.lit(0), F.size(hashed) - 5), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(5)])),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rest = F.col("_rest")
+    rest = F.col(own_rest)
     left = lambda pattern: F.length(rest) - F.length(F.regexp_replace(rest, pattern, ""))
     letters = F.length(text) - F.length(rest)
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
     digit, space, point = left(r"\p{Nd}+"), left(SPACE + "+"), left(r"""[.,;:!?'"()\-]+""")
-    n_common = F.size("_common")
+    n_common = F.size(own_common)
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(own_words).cast("long"),
+            "word_chars": F.length(F.array_join(own_words, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": F.when(
-                F.size(F.array_distinct("_windows")) < F.size("_windows"), repeated_words(F.col("_windows"))
+                F.size(F.array_distinct(own_windows)) < F.size(own_windows), repeated_words(F.col(own_windows))
             ).otherwise(0).cast("long"),
             "classes": F.array(letters - upper, upper, digit, space, point, F.length(rest) - digit - space - point).cast("array<double>"),
             "word_counts": F.array(
-                *[F.array(*[n_common - F.size(F.array_remove("_common", w)) for w in words]).cast("array<double>") for words in common.values()]
+                *[F.array(*[n_common - F.size(F.array_remove(own_common, w)) for w in words]).cast("array<double>") for words in common.values()]
             ),
         }
     )
