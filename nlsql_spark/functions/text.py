@@ -111,7 +111,7 @@ def excluded_column(
     if all_keys:
         rules.append(is_key)
     if numeric_keys:
-        rules.append(is_key & data_format.isin(K.RANGE_FORMATS))
+        rules.append(is_key & F.coalesce(data_format.isin(K.RANGE_FORMATS), F.lit(False)))
     if uuid_keys:
         rules.append(is_key & F.coalesce(first_value.rlike(K.UUID_PATTERN), F.lit(False)))
     if id_in_name:
@@ -130,11 +130,11 @@ def document_text(
     values_text: Column | None = None,
     excluded: Column | None = None,
 ) -> Column:
-    """Table, column and the optional parts, one blank apart (kept even before an empty value part)."""
+    """Table, column and the optional parts, one blank apart (kept even before an empty part; a NULL part is empty)."""
     parts = [normalize_text(table_name), normalize_text(column_name)]
-    parts += [normalize_text(part) for part in (description, data_format) if part is not None]
+    parts += [F.coalesce(normalize_text(part), F.lit("")) for part in (description, data_format) if part is not None]
     if values_text is not None:
-        parts.append(values_text)
+        parts.append(F.coalesce(values_text, F.lit("")))
     joined = parts[0]
     for part in parts[1:]:
         joined = F.concat(joined, F.lit(" "), part)

@@ -3,12 +3,14 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.draws import digest, uniform
 
 
 def l2_normalize(v: Column) -> Column:
     squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(squares), F.lit(1e-12)))
+    # the norm is bound to a name: inside the lambda it would be summed again for every element
+    return let(F.greatest(F.sqrt(squares), F.lit(1e-12)), lambda norm: F.transform(v, lambda x: x / norm))
 
 
 def squared_l2(a: Column, b: Column) -> Column:

@@ -1,13 +1,15 @@
 """Run truth and predicted queries and compare their result sets.
 
-Each query text is its own Spark job over the registered tables; the driver only submits them. Rows
+Each distinct query text is its own Spark job over the tables of its database; the driver only submits them, a
+bounded number at a time. A text is submitted as a subquery, which can hold neither changes nor commands. Rows
 stay on the cluster: they are written as row keys to the shared folder and compared in one aggregate.
 """
 
+import itertools
 import re
 import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,29 +18,47 @@ from pyspark.sql import types as T
 
 from nlsql_spark.session import shared_dir
 
-STATUS_SCHEMA = "question_id long, side string, ok boolean, error string"
+STATUS_SCHEMA = "text_id long, ok boolean, error string"
 _READ_ONLY = re.compile(r"\s*(select|with)\b", re.IGNORECASE)
+# Texts that are submitted before their states are written out.
+WINDOW = 512
 
 
 def _is_query(sql: str | None) -> bool:
     return bool(sql and _READ_ONLY.match(sql))
 
 
+def as_subquery(sql: str) -> str:
+    """The text inside a FROM clause, where the parser takes a query and nothing else."""
+    return f"SELECT * FROM (\n{re.sub(r'[;\s]+$', '', sql)}\n)"
+
+
 def is_executable(spark: SparkSession, sql: str | None) -> bool:
     """Whether a read-only statement parses and its names resolve; nothing is run. Blank is not."""
     if not _is_query(sql):
         return False
     try:
-        spark.sql(sql).schema
+        spark.sql(as_subquery(sql)).schema
         return True
     except Exception:  # parse and analysis errors of any kind mean: not executable
         return False
 
 
 def executable_flags(spark: SparkSession, df: DataFrame, sql_col: str, key: str = "question_id") -> DataFrame:
-    """``key, executable`` for a table of query texts, checked one by one on the driver."""
-    rows = ((row[key], is_executable(spark, row[sql_col])) for row in df.select(key, sql_col).toLocalIterator())
-    return spark.createDataFrame(list(rows), f"{key} long, executable boolean")
+    """``key, executable`` for a table of query texts.
+
+    Spark resolves names on the driver, so each distinct text passes there once, in bounded windows; the rows do not.
+    """
+    texts = df.select(F.col(sql_col).alias("__text")).filter(F.col(sql_col).isNotNull()).distinct()
+    folder = f"{shared_dir(spark)}/flags-{uuid.uuid4()}"
+    schema = "__text string, executable boolean"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for window in itertools.batched((row[0] for row in texts.toLocalIterator()), WINDOW):
+        flags = [(text, is_executable(spark, text)) for text in window]
+        spark.createDataFrame(flags, schema).write.mode("append").parquet(folder)
+    known = spark.read.schema(schema).parquet(folder)
+    joined = df.select(key, F.col(sql_col).alias("__text")).join(known, "__text", "left")
+    return joined.select(key, F.coalesce("executable", F.lit(False)).alias("executable"))
 
 
 def value_key(c: Column, data_type: T.DataType) -> Column:
@@ -49,8 +69,13 @@ def value_key(c: Column, data_type: T.DataType) -> Column:
         return F.concat(F.lit("n"), c.cast("string"))
     if isinstance(data_type, (T.FractionalType, T.DecimalType)):
         number = c.cast("double")
-        whole = (F.abs(number) < 9e15) & (F.floor(number) == number)
-        return F.concat(F.lit("n"), F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")))
+        whole = (F.abs(number) < 1e37) & (F.floor(number) == number)
+        text = F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+        if isinstance(data_type, T.DecimalType):
+            # a decimal that no double holds is compared by its own digits
+            exact = F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
+            text = F.when(number.cast(data_type) == c, text).otherwise(F.regexp_replace(exact, r"\.$", ""))
+        return F.concat(F.lit("n"), text)
     return F.concat(F.lit("s"), c.cast("string"))
 
 
@@ -68,54 +93,86 @@ def results_match(a: DataFrame, b: DataFrame) -> DataFrame:
     return seen.agg(F.coalesce(F.bool_and(F.col("n") == 2), F.lit(True)).alias("matched"))
 
 
-def _run_one(spark: SparkSession, folder: str, question_id: int, side: str, sql: str | None, timeout_s: float):
+def _run_one(spark: SparkSession, folder: str, text_id: int, sql: str | None, timeout_s: float):
     """Write one query's row keys; a failing, forbidden or late query only leaves a status."""
     if not _is_query(sql):
-        return (question_id, side, False, "not a single read-only statement")
+        return (text_id, False, "not a single read-only statement")
     group = f"nlsql-{uuid.uuid4()}"
-    spark.sparkContext.setJobGroup(group, f"question {question_id} {side}", interruptOnCancel=True)
-    timer = threading.Timer(timeout_s, spark.sparkContext.cancelJobGroup, [group])
+    ended, late = threading.Event(), threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not ended.wait(0.2):  # a query may be between two of its jobs
+            spark.sparkContext.cancelJobGroup(group)
+
+    spark.sparkContext.setJobGroup(group, f"query {text_id}", interruptOnCancel=True)
+    timer = threading.Timer(timeout_s, stop)
     timer.start()
     try:
-        keys = row_keys(spark.sql(sql))
-        keys.write.mode("overwrite").parquet(f"{folder}/question_id={question_id}/side={side}")
-        return (question_id, side, True, None)
+        keys = row_keys(spark.sql(as_subquery(sql)))
+        keys.write.mode("overwrite").parquet(f"{folder}/text_id={text_id}")
+        return (text_id, True, None)
     except Exception as error:
-        late = "cancelled" in str(error)
-        return (question_id, side, False, "timeout" if late else str(error).split("\n")[0][:500])
+        return (text_id, False, "timeout" if late.is_set() else str(error).split("\n")[0][:500])
     finally:
+        ended.set()
         timer.cancel()
 
 
 def execution_match(
     spark: SparkSession,
-    pairs: DataFrame | Iterable[tuple[int, str, str]],
+    pairs: DataFrame | Iterable[tuple],
     timeout_s: float = 30.0,
     parallel: int = 8,
     strict_errors: bool = False,
+    bind: Callable[[SparkSession, str], None] | None = None,
 ) -> DataFrame:
-    """``question_id, matched, error`` for (question_id, truth_sql, predicted_sql) pairs.
+    """``question_id, matched, error`` for (question_id, truth_sql, predicted_sql[, database_name]) pairs.
 
+    With ``bind`` each database gets a session of its own: ``bind(session, database_name)`` registers its tables
+    there as views, so databases may have tables of equal names. Every distinct text of a database runs once.
     A failed query counts as an empty result (so two failures match); ``strict_errors`` makes any
     failure a mismatch. A timeout is always a mismatch. Only query texts pass through the driver.
     """
+    if not isinstance(pairs, DataFrame):
+        rows = [(*row, None)[:4] for row in pairs]
+        pairs = spark.createDataFrame(rows, "question_id long, truth_sql string, predicted_sql string, database_name string")
+    if "database_name" not in pairs.columns:
+        pairs = pairs.withColumn("database_name", F.lit(None).cast("string"))
     folder = f"{shared_dir(spark)}/results-{uuid.uuid4()}"
-    rows = pairs.select("question_id", "truth_sql", "predicted_sql").toLocalIterator() if isinstance(pairs, DataFrame) else pairs
-    jobs = [(row[0], side, sql) for row in rows for side, sql in (("truth", row[1]), ("predicted", row[2]))]
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_sql").alias("sql")) for s in ("truth", "predicted")])
+    asked = pairs.select("question_id", "database_name", F.explode(sides).alias("x")).select("question_id", "database_name", "x.*")
+    asked = asked.withColumn("text_id", F.xxhash64(*[F.coalesce(c, F.lit("\u0000")) for c in ("database_name", "sql")]))
+    sessions: dict[str, SparkSession] = {}
+
+    def session_of(name: str | None) -> SparkSession:
+        if bind is None or name is None:
+            return spark
+        if name not in sessions:
+            sessions[name] = spark.newSession()
+            bind(sessions[name], name)
+        return sessions[name]
+
+    spark.createDataFrame([], STATUS_SCHEMA).write.parquet(f"{folder}/states")
+    texts = asked.select("text_id", "database_name", "sql").dropDuplicates(["text_id"])
     with ThreadPoolExecutor(parallel) as pool:
-        status = list(pool.map(lambda job: _run_one(spark, folder, *job, timeout_s), jobs))
-    states = spark.createDataFrame(status, STATUS_SCHEMA)
+        for window in itertools.batched(texts.toLocalIterator(), WINDOW):
+            jobs = [(session_of(row["database_name"]), f"{folder}/rows", row["text_id"], row["sql"], timeout_s) for row in window]
+            states = list(pool.map(lambda job: _run_one(*job), jobs))
+            spark.createDataFrame(states, STATUS_SCHEMA).write.mode("append").parquet(f"{folder}/states")
+    states = asked.join(spark.read.schema(STATUS_SCHEMA).parquet(f"{folder}/states"), "text_id")
     per_question = states.groupBy("question_id").agg(
         F.bool_and("ok").alias("ok"),
         F.bool_or(F.coalesce(F.col("error") == "timeout", F.lit(False))).alias("late"),
         F.max("error").alias("error"),
     )
-    if any(ok for _, _, ok, _ in status):
-        # schema given: nothing is inferred, and a question without rows simply has none
-        found = spark.read.schema("row_key string, question_id long, side string").parquet(folder)
+    if not states.filter("ok").isEmpty():
+        # schema given: nothing is inferred, and a query without rows simply has none
+        found = spark.read.schema("row_key string, text_id long").parquet(f"{folder}/rows")
     else:
-        found = spark.createDataFrame([], "row_key string, question_id long, side string")
-    seen = found.groupBy("question_id", "row_key").agg(F.count_distinct("side").alias("n"))
+        found = spark.createDataFrame([], "row_key string, text_id long")
+    good = states.filter("ok").select("question_id", "side", "text_id")
+    seen = good.join(found, "text_id").groupBy("question_id", "row_key").agg(F.count_distinct("side").alias("n"))
     equal = seen.groupBy("question_id").agg(F.bool_and(F.col("n") == 2).alias("same"))
     matched = F.coalesce("same", F.lit(True)) & ~F.col("late")
     if strict_errors:

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from nlsql_spark import constants as K
 from nlsql_spark.functions.text import document_text, excluded_column, normalize_text
@@ -21,9 +22,18 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long(df, cols).distinct()
 
 
+def plain_double(x: Column) -> Column:
+    """A double as digits without an exponent where it has at most 16 digits before and behind the point."""
+    digits = F.regexp_replace(x.cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(x)
+    return F.when((size >= 1e7) & (size < 1e16) | (size < 1e-3) & (size >= 1e-10), digits).otherwise(x.cast("string"))
+
+
 def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column as text, NULLs aside; one scan, one output row per column."""
-    ends = df.agg(*[F.struct(F.min(c).cast("string"), F.max(c).cast("string")).alias(c) for c in cols])
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
+    text = lambda x, c: plain_double(x) if c in doubles else x.cast("string")
+    ends = df.agg(*[F.struct(text(F.min(c), c).alias("col1"), text(F.max(c), c).alias("col2")).alias(c) for c in cols])
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c)["col1"].alias("min_value"), F.col(c)["col2"].alias("max_value")) for c in cols]
     )

@@ -144,9 +144,11 @@ def perturb_identifiers(df: DataFrame, pools: DataFrame, p: float, seed: int = 0
 
     Words are compared with the database's names; text between words is kept as it is.
     """
-    # one row per database: no larger than the databases' schemas
-    joined = df.join(pools, "database_name")
-    pieces = F.regexp_extract_all("sql_query", F.lit(r"\w+|\W+"), F.lit(0))
+    # one row per database: no larger than the databases' schemas; a question of an unknown database fails the job
+    known = F.coalesce(F.col("tables"), F.raise_error(F.concat(F.lit("no names for database "), F.coalesce("database_name", F.lit("NULL")))))
+    joined = df.join(pools, "database_name", "left").withColumn("tables", known)
+    # quoted text is one piece, so a word inside a literal is never swapped
+    pieces = F.regexp_extract_all("sql_query", F.lit(r"'(?:[^']|'')*'|\w+|[^\w']+|'"), F.lit(0))
 
     def swap(piece: Column, i: Column) -> Column:
         hit = uniform(F.lit(seed), F.col("question_id"), i) < p

@@ -11,8 +11,9 @@ from nlsql_spark.operators.ordering import ordered_position
 from nlsql_spark.session import materialize
 
 
-# vocabulary rows (a word and a number) up to which it is sent to every task
+# vocabulary rows (a word and a number) and bytes of words up to which it is sent to every task
 BROADCAST_WORDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -57,8 +58,9 @@ def encode(
     (key, position, id) is regrouped by text.
     """
     unknown = K.SPECIAL_TOKENS.index(K.UNK)
-    head = vocab.select("token", "id").limit(broadcast_words + 1).toPandas()
-    if len(head) <= broadcast_words:
+    size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    if size[0] <= broadcast_words and size[1] <= BROADCAST_BYTES:
+        head = vocab.select("token", "id").toPandas()
         table = df.sparkSession.sparkContext.broadcast(dict(zip(head["token"], head["id"].tolist())))
 
         @F.pandas_udf("array<int>")
@@ -68,13 +70,15 @@ def encode(
 
         return df.withColumn(output, look_up(words(F.coalesce(F.col(text), F.lit("")))))
 
-    placed = df.select(*key, F.posexplode(words(F.col(text))).alias("pos", "token"))
+    # rows are told apart by their place in a stored table: keys may repeat
+    df = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    placed = df.select("__row", F.posexplode(words(F.col(text))).alias("pos", "token"))
     found = placed.join(vocab, "token", "left").select(
-        *key, F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("t")
+        "__row", F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("t")
     )
-    ids = found.groupBy(*key).agg(F.array_sort(F.collect_list("t"))["id"].alias(output))
+    ids = found.groupBy("__row").agg(F.array_sort(F.collect_list("t"))["id"].alias(output))
     none = F.array().cast("array<int>")
-    return df.join(ids, key, "left").withColumn(output, F.coalesce(F.col(output), none))
+    return df.join(ids, "__row", "left").withColumn(output, F.coalesce(F.col(output), none)).drop("__row")
 
 
 def tokenized_dataset(samples: DataFrame, vocab: DataFrame, kind: str, mode: str = "train", key: tuple[str, ...] = ("question_id",)) -> DataFrame:

@@ -70,6 +70,39 @@ def test_execution_match(spark, databases):
     assert not strict[9]["matched"]
 
 
+def test_changes_are_refused(spark, databases, tmp_path):
+    spark.sql(f"CREATE TABLE IF NOT EXISTS changed (a INT) USING parquet LOCATION '{tmp_path}/changed'")
+    for text in (
+        "WITH t AS (SELECT 9 AS a) INSERT INTO changed SELECT a FROM t",
+        "WITH t AS (SELECT 9 AS a) DELETE FROM changed",
+        "WITH t AS (SELECT 9 AS a) UPDATE changed SET a = 1",
+        "SELECT 1) ; DROP TABLE changed; SELECT (1",
+    ):
+        assert not E.is_executable(spark, text)
+        assert not E.execution_match(spark, [(1, "select name from person", text)]).first()["matched"]
+    assert spark.table("changed").count() == 0
+    spark.sql("DROP TABLE changed")
+    for text in ("WITH t AS (SELECT 1 AS a) SELECT a, a FROM t;", "select name from person -- all\n"):
+        assert E.is_executable(spark, text)
+
+
+def test_two_databases_with_equal_table_names(spark):
+    def bind(session, name):
+        size = {"small": 2, "large": 5}[name]
+        session.sql(f"CREATE OR REPLACE TEMP VIEW thing AS SELECT id FROM range({size})")
+
+    pairs = [(1, "select id from thing", "select id from range(2)", "small"), (2, "select id from thing", "select id from range(2)", "large"), (3, "select is_cancelled from thing", "select nosuch from thing", "large")]
+    got = {r["question_id"]: (r["matched"], r["error"] == "timeout") for r in E.execution_match(spark, pairs, bind=bind).collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (True, False)}
+
+
+def test_decimals_are_compared_exactly(spark):
+    one = lambda text: spark.sql(f"SELECT {text} AS a")
+    same = lambda a, b: E.results_match(one(a), one(b)).first()["matched"]
+    assert not same("CAST('0.12345678901234567891' AS DECIMAL(38,20))", "CAST('0.12345678901234567892' AS DECIMAL(38,20))")
+    assert same("CAST(1.50 AS DECIMAL(10,2))", "1.5D") and same("CAST(9e15 AS DOUBLE)", "9000000000000000L") and not same("1.5D", "'1.5'")
+
+
 def test_timeout_is_a_mismatch(spark, databases):
     slow = "select count(*) from range(3000000000) a where (id * id) % 7 = (id + 3) % 5"
     row = E.execution_match(spark, [(1, slow, slow)], timeout_s=0.3, parallel=1).first()

@@ -112,7 +112,13 @@ def test_profiles_and_documents(spark, make_catalog):
     rows = {r["document_id"]: r for r in docs.collect()}
     assert [rows[i]["col_name"] for i in range(3)] == ["id", "v", "r"] and rows[2]["col_description"] is None
     texts = P.document_texts(docs, values_text=F.col("values_text"), all_keys=True)
-    assert [r["input_to_embed"] for r in texts.collect()] == ["t v about v text x y z"]
+    # a column without a description stays; only the excluded key goes
+    assert sorted(r["input_to_embed"] for r in texts.collect()) == ["t r   0.0 6.0", "t v about v text x y z"]
+    numeric = P.document_texts(docs.withColumn("col_data_format", F.lit(None).cast("string")), numeric_keys=True)
+    assert numeric.count() == 3
+    big = spark.createDataFrame([(1e7, 0.00001), (123456789.5, 2.0)], "a double, b double")
+    ends = {r["column_name"]: (r["min_value"], r["max_value"]) for r in P.column_range(big, ["a", "b"]).collect()}
+    assert ends == {"a": ("10000000.0", "123456789.5"), "b": ("0.00001", "2.0")}
 
 
 def _texts(spark, n):
@@ -163,3 +169,8 @@ def test_stream_embeds_each_id_once(spark, tmp_path):
     run()
     ids = sorted(r["example_id"] for r in read_store(spark, store).collect())
     assert ids == list(range(7))
+    # another stream with a checkpoint of its own adds to the store
+    more = str(tmp_path / "in2")
+    _texts(spark, 9).write.parquet(more)
+    embed_stream(spark, more, store, str(tmp_path / "cp2"), dim=4).awaitTermination(120)
+    assert sorted(r["example_id"] for r in read_store(spark, store).collect()) == list(range(9))

@@ -85,6 +85,10 @@ def test_perturb(spark, make_catalog):
     assert {o.split("from ")[1] for o in out} == {"person", "pet"}
     assert all(", x from" in o for o in out)
     assert all(r["corrupted_query"] == r["sql_query"] for r in R.perturb_identifiers(df, pools, 0.0).collect())
+    quoted = df.withColumn("sql_query", F.lit("select 'age it''s age', person.age from person"))
+    assert all(r["corrupted_query"].startswith("select 'age it''s age', ") for r in R.perturb_identifiers(quoted, pools, 1.0).collect())
+    with pytest.raises(Exception, match="no names for database other"):
+        R.perturb_identifiers(df.withColumn("database_name", F.lit("other")), pools, 0.5).collect()
 
 
 @pytest.mark.parametrize("n, ratio", [(1000, 0.8), (7, 0.5), (3, 0.1), (5, 1.0)])

@@ -47,6 +47,11 @@ def test_vocab_and_encode(spark):
     for limit in (1_000_000, 3):
         got = {r["question_id"]: r["ids"] for r in encode(df, vocab, ["question_id"], broadcast_words=limit).collect()}
         assert got == {1: [n, n + 1, n, ids["[SQL]"], n + 2], 2: [], 3: [UNK, n]}
+    # a key may repeat: each row keeps its own words, whatever the size of the vocabulary
+    twice = spark.createDataFrame([(1, "a b"), (1, "c"), (1, None)], "question_id long, text string")
+    for limit in (1_000_000, 3):
+        got = sorted(r["ids"] for r in encode(twice, vocab, ["question_id"], broadcast_words=limit).collect())
+        assert got == sorted([[], [n + 2], [n + 1, n]])
 
 
 def test_tokenized_datasets(spark, samples):

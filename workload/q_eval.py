@@ -67,6 +67,32 @@ def _(spark, sf):
     return E.execution_match(spark, _benchmark(spark), timeout_s=600).select("question_id", "matched")
 
 
+def _bind(sf):
+    """Two databases with a table of the same name: ``thing`` holds parts in one and orders in the other."""
+
+    def bind(session, name):
+        source, key = {"parts": ("part", "p_partkey"), "orders": ("orders", "o_orderkey")}[name]
+        session.read.parquet(f"{sf}/{source}.parquet").select(F.col(key).alias("id")).createOrReplaceTempView("thing")
+
+    return bind
+
+
+@query("set_04_two_databases", """
+SELECT 1::BIGINT AS question_id, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) = (SELECT count(*) FROM part WHERE p_partkey % 2 <> 1) AS matched
+UNION ALL SELECT 2, (SELECT count(*) FROM orders) = (SELECT count(*) FROM part)
+UNION ALL SELECT 3, (SELECT max(o_orderkey) FROM orders) = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey > 10)
+UNION ALL SELECT 4, false""")
+def _(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    pairs = [
+        (1, "SELECT count(*) FROM thing WHERE id % 2 = 0", "SELECT count(*) FROM thing WHERE id % 2 <> 1", "parts"),
+        (2, "SELECT count(*) FROM thing", f"SELECT CAST({parts} AS BIGINT)", "orders"),
+        (3, "SELECT max(id) FROM thing", "SELECT max(id) FROM thing WHERE id > 10", "orders"),
+        (4, "SELECT id FROM thing", "WITH t AS (SELECT 1 AS a) INSERT INTO thing SELECT a FROM t", "parts"),
+    ]
+    return E.execution_match(spark, pairs, timeout_s=600, bind=_bind(sf)).select("question_id", "matched")
+
+
 @query("set_04_results_match", """
 SELECT NOT EXISTS ((SELECT l_orderkey, l_partkey FROM lineitem) EXCEPT (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 50))
     AND NOT EXISTS ((SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 50) EXCEPT (SELECT l_orderkey, l_partkey FROM lineitem)) AS matched""")

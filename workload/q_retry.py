@@ -124,7 +124,7 @@ def _(spark, sf):
 @query("aug_04_perturb_identifiers", f"""
 WITH {CATALOG_SQL}, {QUESTIONS_SQL},
 pool AS (SELECT database_name, list(DISTINCT table_name ORDER BY table_name) AS ts, list(DISTINCT column_name ORDER BY column_name) AS cs FROM catalog GROUP BY 1),
-w AS (SELECT question_id, database_name, unnest(regexp_extract_all(sql_query, '\\w+|\\W+')) AS s, unnest(range(len(regexp_extract_all(sql_query, '\\w+|\\W+')))) AS i FROM questions),
+w AS (SELECT question_id, database_name, unnest(regexp_extract_all(sql_query, '''(?:[^'']|'''')*''|\\w+|[^\\w'']+|''')) AS s, unnest(range(len(regexp_extract_all(sql_query, '''(?:[^'']|'''')*''|\\w+|[^\\w'']+|''')))) AS i FROM questions),
 k AS (SELECT w.*, {uniform_sql("'3|' || question_id || '|' || i")} < 0.3 AS hit, {uniform_sql("'3|' || question_id || '|' || i || '|pick'")} AS d,
     CASE WHEN list_contains(ts, s) THEN list_filter(ts, lambda x: x <> s) WHEN list_contains(cs, s) THEN list_filter(cs, lambda x: x <> s) END AS others
     FROM w JOIN pool USING (database_name))
