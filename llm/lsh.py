@@ -1,11 +1,12 @@
 """Links between similar sets: band keys propose, full sets decide, and no bucket is expanded into all its pairs.
 
 Round 1 compares every member of a bucket with the bucket's smallest node, and the confirmed links are joined into
-components. A bucket needs more work only if it holds members of different components. For round 2 its members
-are cut into blocks; each pair of blocks meets in one task, where the signatures of members of different components
-are compared with numpy, and only pairs that can be similar (estimate at most six standard deviations below the
-threshold) leave the task, to be confirmed by full sets. So each pair of bucket members is either compared, or known
-to be in one component, or too far apart; nothing is dropped, whatever the size of a bucket.
+components. A bucket needs more work only if it holds members of different components. For round 2 such buckets are
+joined into groups by the members they share, and the members of a group are cut into blocks; each pair of blocks
+meets in one task. There numpy compares the signatures of members of different components, full sets decide on
+those that can be similar (estimate at most six standard deviations below the threshold), and only links that
+join components leave the task. So each pair of bucket members is either compared, or known to be in one
+component, or too far apart; nothing is dropped, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from llm.components import connected_components
 from llm.minmax import signatures
 from nlsql_spark.session import broadcast_if_small
 
-#: Members of a bucket in one block of round 2.
-BLOCK = 1024
+#: Members of a group in one block of round 2.
+BLOCK = 256
 #: One node is compared with many in this many parts, so that no part is bound to one task.
 PARTS = 64
 #: Tables of at most so many ids are broadcast to the texts; beyond it texts and ids are shuffled.
@@ -92,14 +93,16 @@ def similar_components(keys: DataFrame, contents: DataFrame, sets_of: SetsOf, sh
     state = stored(state.join(sizes.select("key", "n"), "key"))
     if state.isEmpty():
         return labels
-    signed = stored(signature_table(state.select("node").distinct(), contents, sets_of, values))
-    wanted = stored(block_pairs(state, signed, share, values).distinct().join(asked, ["a", "b"], "left_anti"))
-    found = stored(confirm(wanted, contents, sets_of, share))
+    stars = state.join(state.groupBy("key").agg(F.min("node").alias("hub")), "key").select("node", "hub").distinct()
+    groups = connected_components(stars, "node", "hub").select("node", F.col("component").alias("grp"))
+    signed = signature_table(state.select("node").distinct(), contents, sets_of, values)
+    ready = stored(state.select("node", "comp").distinct().join(groups, "node").join(signed, "node"))
+    found = stored(block_links(ready, share, values))
     return labels if found.isEmpty() else connected_components(links.unionByName(found))
 
 
 def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, values: int) -> DataFrame:
-    """(node, signature): the lowest byte of each of ``values`` min-max values."""
+    """node, signature (the lowest byte of each of ``values`` min-max values) and the full set as bytes."""
     texts = contents.join(broadcast_if_small(nodes.withColumnRenamed("node", "ask"), SMALL_IDS), F.col("ask") == F.col("node")).select("node", "text")
 
     def work(batches):
@@ -110,59 +113,61 @@ def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, valu
                 if full:
                     table = signatures(np.concatenate([sets[i] for i in full]), np.array([len(sets[i]) for i in full]), -(-values // 2))
                     low = (table >> 12).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "signature"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array([r.tobytes() for r in low], pa.binary()), pa.array([sets[i].tobytes() for i in full], pa.binary())],
+                        ["node", "signature", "members"],
+                    )
 
-    return texts.mapInArrow(work, "node long, signature binary")
+    return texts.mapInArrow(work, "node long, signature binary, members binary")
 
 
-def block_pairs(state: DataFrame, signed: DataFrame, share: tuple[int, int], values: int) -> DataFrame:
-    """(a, b), a < b: bucket members of different components whose signatures allow the similarity.
-
-    ``state``: key, node, comp, n (members of the bucket).
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFrame:
+    """(a, b): confirmed links that join different components of a group. ``ready``: node, comp, grp, signature, members."""
+    sizes = ready.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = state.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    rows = unit.join(signed, "node").select("key", "i", "j", "own", "node", "comp", "signature")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = ready.join(sizes, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "signature", "members")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     target = share[0] / share[1]
     least = target - 6 * np.sqrt(target * (1 - target) / values)
 
-    def pairs_of(unit, own, node, comp, sig):
+    def links_of(unit, own, node, comp, sig, sets):
         first = own == unit[1]
         x = np.flatnonzero(first)
         y = x if unit[1] == unit[2] else np.flatnonzero(~first)
-        got = []
+        comp, got = comp.copy(), []
         for i in x.tolist():
             later = y[y > i] if unit[1] == unit[2] else y
             later = later[comp[later] != comp[i]]
             if len(later):
-                near = later[(sig[later] == sig[i]).mean(1) >= least]
-                got += [(min(node[i], node[k]), max(node[i], node[k])) for k in near.tolist() if node[i] != node[k]]
-        return got
+                for k in later[(sig[later] == sig[i]).mean(1) >= least].tolist():
+                    if comp[k] != comp[i] and similar(sets[i], sets[k], share):
+                        got.append((node[i], node[k]))
+                        comp[comp == comp[k]] = comp[i]
+        if got:
+            a, b = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def finish(unit, held):
+        own, node, comp, sig = (np.concatenate([h[c] for h in held]) for c in range(4))
+        yield from links_of(unit, own, node, comp, sig, [s for h in held for s in h[4]])
 
     def work(batches):
         held, unit = [], None
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(6)]
             sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(cols[0]), -1)
-            new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) if len(cols[0]) else np.zeros(0, bool)
+            sets = [np.frombuffer(m, np.uint64) for m in batch.column(7).to_pylist()]
+            new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0))
             cut = np.flatnonzero(new).tolist() + [len(cols[0])]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
+            for a, b in zip(cut[:-1], cut[1:], strict=True) if len(cols[0]) else ():
                 here = (int(cols[0][a]), int(cols[1][a]), int(cols[2][a]))
                 if here != unit and held:
-                    yield from batch_of(pairs_of(unit, *map(np.concatenate, zip(*held, strict=True))))
+                    yield from finish(unit, held)
                     held = []
                 unit = here
-                held.append((cols[3][a:b], cols[4][a:b], cols[5][a:b], sig[a:b]))
+                held.append((cols[3][a:b], cols[4][a:b], cols[5][a:b], sig[a:b], sets[a:b]))
         if held:
-            yield from batch_of(pairs_of(unit, *map(np.concatenate, zip(*held, strict=True))))
+            yield from finish(unit, held)
 
     return rows.mapInArrow(work, "a long, b long")
-
-
-def batch_of(pairs):
-    if pairs:
-        a, b = zip(*pairs, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

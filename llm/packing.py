@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import byte_slices, spread, stored
-from llm.tokens import TextEncoder
+from llm.tokens import worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
     def work(batches):
-        encoder, end = TextEncoder(tokenizer), np.array([] if end_id is None else [end_id], np.uint32)
+        encoder, end = worker_encoder(tokenizer), np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
             for a, b in byte_slices(batch.column(1), 8 << 20):
                 flat, counts = encoder.ids(batch.column(1).slice(a, b - a))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import byte_slices, fresh_dir, row_key, stored
-from llm.tokens import TextEncoder
+from llm.tokens import worker_encoder
 
 SEEK_MAGIC, SEEK_END, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 NO_ID = -(1 << 63)
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def work(batches):
-        encoder, end = TextEncoder(tokenizer), [] if end_id is None else [end_id]
+        encoder, end = worker_encoder(tokenizer), [] if end_id is None else [end_id]
         wide = max(encoder.tokenizer.get_vocab_size(), *end, 0) > 0xFFFF
         store, folder = open_store(target)
         part = TaskContext.get().partitionId()

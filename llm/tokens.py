@@ -10,6 +10,8 @@ whole by the library.
 from __future__ import annotations
 
 import json
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,16 @@ class TextEncoder:
         return np.concatenate(out), np.array(sizes, np.int64)
 
 
+def worker_encoder(path: str) -> TextEncoder:
+    """The encoder of this Python worker: words seen in one task need not be encoded again in the next."""
+    state = sys.modules.setdefault("llm_worker_state", types.ModuleType("llm_worker_state"))
+    encoders = state.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders.clear()
+        encoders[path] = TextEncoder(path)
+    return encoders[path]
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (length[0] of them), start[1], ... as one array."""
     total = int(length.sum())
