@@ -25,6 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """A broadcast hint only where a count shows at most so many (narrow) rows; else Spark plans the join itself."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit identity of a row by its columns; nulls count. Used beside the id in joins, never alone."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])

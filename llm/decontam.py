@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, free_name, row_key, spread, stored, text_bytes
+from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored, text_bytes
 from llm.hashing import LOWER, NOT_ALNUM, Prefix, runs
-from nlsql_spark.session import broadcast_if_small
 
 HITS = "doc_id long, tie long, spans array<struct<s:int,e:int>>, items array<int>, near array<int>"
 

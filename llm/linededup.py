@@ -22,11 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, free_name, row_key, spread, stored
+from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored
 from llm.hashing import U, mix
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
-from nlsql_spark.session import broadcast_if_small
 
 WIDTH, PERCENT, BANDS, ROWS, MIN_WORDS = 8, 80, 14, 4, 5
 STEPS = np.random.default_rng(20240811).integers(1, 1 << 62, 16, dtype=np.uint64) * U(2) + U(1)

@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, stored
+from llm.common import broadcast_if_small, byte_slices, stored
 from llm.components import connected_components
 from llm.minmax import signatures
-from nlsql_spark.session import broadcast_if_small
 
 #: Members of a group in one block of round 2.
 BLOCK = 256
