@@ -122,34 +122,82 @@ def winners(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries[new], entries[entries["d"] > owner]
 
 
+class Level:
+    """Entries in the order of their key (one hash of anchor and segment), each key once, as columns."""
+
+    def __init__(self, key, h, s, d, p):
+        self.columns = [key, h, s, d, p]
+
+    @classmethod
+    def of(cls, entries: np.ndarray) -> tuple[Level, np.ndarray]:
+        """The sorted level of a batch, with the smallest document of each key; and the entries that lose."""
+        key = mix(entries["h"] + mix(entries["s"] + U(0x9E3779B97F4A7C15)))
+        order = np.lexsort((entries["d"], key))
+        key, entries = key[order], entries[order]
+        new = np.append(True, key[1:] != key[:-1])
+        owner = entries["d"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        kept = entries[new]
+        return cls(key[new], *(np.ascontiguousarray(kept[c]) for c in "hsdp")), entries[entries["d"] > owner]
+
+    def __len__(self):
+        return len(self.columns[0])
+
+    def merge(self, other: Level) -> Level:
+        """Two levels without a common key; a stable sort of two sorted runs is a merge."""
+        order = np.argsort(np.concatenate([self.columns[0], other.columns[0]]), kind="stable")
+        return Level(*(np.concatenate([a, b])[order] for a, b in zip(self.columns, other.columns, strict=True)))
+
+
 class Family:
-    """Levels of sorted entries; a level is at least twice as large as the next one."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-        self.lost: list[np.ndarray] = []
-
-    def add(self, batch: np.ndarray) -> None:
-        """Merge-scan a new sorted batch against every level, then merge levels of like size."""
-        for i, level in enumerate(self.levels):
-            key = level["h"]
-            lo = np.searchsorted(key, batch["h"], "left")
-            hi = np.searchsorted(key, batch["h"], "right")
-            some = np.flatnonzero(hi > lo)
-            if len(some):
-                near = level[ranges(lo[some], (hi - lo)[some])]
-                both = np.concatenate([near, batch[some]])
-                _, lost = winners(both)
-                self.lost.append(lost)
+    """Levels of sorted entries, each at least twice as large as the next; a key stands in one level only."""
+
+    def __init__(self, batch_entries: int = 65_536):
+        self.levels: list[Level] = []
+        self.lost: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting: list[np.ndarray] = []
+        self.batch_entries = batch_entries
+
+    def add(self, entries: np.ndarray) -> None:
+        self.waiting.append(entries)
+        if sum(map(len, self.waiting)) >= self.batch_entries:
+            self.flush()
+
+    def lose(self, h, s, d, p) -> None:
+        if len(h):
+            self.lost.append((p.copy(), mark(d, h, s)))
+
+    def flush(self) -> None:
+        """Merge-scan the new batch against every level, then merge levels of like size."""
+        if not self.waiting:
+            return
+        batch, lost = Level.of(np.concatenate(self.waiting))
+        self.waiting = []
+        self.lose(lost["h"], lost["s"], lost["d"], lost["p"])
+        for level in self.levels:
+            key = level.columns[0]
+            at = np.searchsorted(key, batch.columns[0])
+            at[at == len(key)] = 0
+            same = key[at] == batch.columns[0]
+            if same.any():
+                at = at[same]
+                old, new = [c[at] for c in level.columns], [c[same] for c in batch.columns]
+                later, earlier = new[3] > old[3], new[3] < old[3]
+                self.lose(*(c[later] for c in new[1:]))
+                self.lose(*(c[earlier] for c in old[1:]))
+                for c in (3, 4):
+                    level.columns[c][at[earlier]] = new[c][earlier]
+                batch = Level(*(c[~same] for c in batch.columns))
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(winners(np.concatenate([a, b]))[0])
+            self.levels.append(a.merge(b))
 
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """All entries that are left, and all that lost."""
-        left, late = winners(np.concatenate(self.levels)) if self.levels else (np.zeros(0, ENTRY), np.zeros(0, ENTRY))
-        return left, np.concatenate([*self.lost, late]) if self.lost or len(late) else late
+    def close(self):
+        """Part and mark of all that lost; part, mark and anchor hash of all that are left."""
+        self.flush()
+        left = [np.concatenate([x.columns[c] for x in self.levels]) for c in range(1, 5)] if self.levels else [np.zeros(0, t) for t in ("<u8", "<u8", "<i8", "<i4")]
+        lost = [np.concatenate(c) for c in zip(*self.lost, strict=True)] if self.lost else [np.zeros(0, "<i4"), np.zeros(0, "<u8")]
+        return lost, left
 
 
 def row_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -206,10 +254,9 @@ def index_texts(docs: DataFrame, target: str, shares: int, length: int, gram: in
 def scan_shares(rows: DataFrame, shares: int, lost_kind: str, open_kind: str | None) -> DataFrame:
     """Step 2: the level family of each share; gives lost entries and, of anchors with several segments, all entries."""
 
-    def decisions(kind: str, entries: np.ndarray):
-        marks = mark(entries["d"], entries["h"], entries["s"])
-        order = np.argsort(entries["p"], kind="stable")
-        part = entries["p"][order]
+    def decisions(kind: str, part: np.ndarray, marks: np.ndarray):
+        order = np.argsort(part, kind="stable")
+        part = part[order]
         cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         return [(kind, int(part[a]), 0, None, np.unique(marks[order[a:b]]).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
@@ -224,12 +271,14 @@ def scan_shares(rows: DataFrame, shares: int, lost_kind: str, open_kind: str | N
                     other.append((kind, part, share, path, payload))
             if other:
                 yield row_batch(other)
-        left, lost = family.close()
-        rows = decisions(lost_kind, lost) if len(lost) else []
-        if open_kind and len(left):
-            same = left["h"][1:] == left["h"][:-1]
-            several = np.append(same, False) | np.append(False, same)
-            rows += decisions(open_kind, left[several]) if several.any() else []
+        (part, marks), (h, s, d, p) = family.close()
+        rows = decisions(lost_kind, part, marks) if len(part) else []
+        if open_kind and len(h):
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            several = order[np.append(same, False) | np.append(False, same)]
+            if len(several):
+                rows += decisions(open_kind, p[several], mark(d[several], h[several], s[several]))
         if rows:
             yield row_batch(rows)
 
