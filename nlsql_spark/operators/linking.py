@@ -6,6 +6,7 @@ Links come out as ``schema_links ARRAY<STRUCT<table_name, columns ARRAY<STRING>>
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.text import link_tokens, name_in
 from nlsql_spark.operators.catalog import nest_catalog
 from nlsql_spark.session import broadcast_if_small
@@ -36,19 +37,23 @@ def substring_links(sql: Column, tables: Column, word_boundary: bool = False) ->
 
     Columns are only tested for tables whose name occurs; tables without a column hit are left out.
     """
-    text = sql if word_boundary else F.lower(sql)
-    hit = lambda name: name_in(name, text, True) if word_boundary else F.contains(text, F.lower(name))
-    named = F.filter(tables, lambda t: hit(t["table_name"]))
-    matched = F.transform(
-        named,
-        lambda t: F.struct(
-            t["table_name"].alias("table_name"),
-            F.array_sort(
-                F.transform(F.filter(t["columns"], lambda c: hit(c["column_name"])), lambda c: c["column_name"])
-            ).alias("columns"),
-        ),
-    )
-    return F.filter(matched, lambda link: F.size(link["columns"]) > 0)
+
+    def links(text: Column) -> Column:
+        hit = lambda name: name_in(name, text, True) if word_boundary else F.contains(text, F.lower(name))
+        named = F.filter(tables, lambda t: hit(t["table_name"]))
+        matched = F.transform(
+            named,
+            lambda t: F.struct(
+                t["table_name"].alias("table_name"),
+                F.array_sort(
+                    F.transform(F.filter(t["columns"], lambda c: hit(c["column_name"])), lambda c: c["column_name"])
+                ).alias("columns"),
+            ),
+        )
+        return F.filter(matched, lambda link: F.size(link["columns"]) > 0)
+
+    # bound to a name: the lambdas would lower the text again for every table and column
+    return let(sql if word_boundary else F.lower(sql), links)
 
 
 def link_by_substring(questions: DataFrame, catalog: DataFrame, word_boundary: bool = False) -> DataFrame:

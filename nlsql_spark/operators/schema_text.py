@@ -24,11 +24,15 @@ def repair_links_column(links: Column, tables: Column) -> Column:
     def mend(link: Column, table: Column) -> Column:
         columns = table["columns"]
         name = lambda c: c["column_name"]
-        names = F.transform(columns, name)
         keys = F.transform(F.filter(columns, lambda c: c["is_primary_key"] | c["is_foreign_key"]), name)
-        real = F.filter(link["columns"], lambda c: F.array_contains(names, c))
-        full = lambda found: F.when(F.size(found) == 0, names).otherwise(F.concat(found, F.array_except(keys, found)))
-        return F.struct(link["table_name"].alias("table_name"), let(real, full).alias("columns"))
+
+        def repaired(names: Column) -> Column:
+            real = F.filter(link["columns"], lambda c: F.array_contains(names, c))
+            full = lambda found: F.when(F.size(found) == 0, names).otherwise(F.concat(found, F.array_except(keys, found)))
+            return let(real, full)
+
+        # the names are listed once per table, not once per link column
+        return F.struct(link["table_name"].alias("table_name"), let(F.transform(columns, name), repaired).alias("columns"))
 
     # unknown tables have no match and so leave nothing
     mended = F.transform(
