@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored
 from llm.hashing import U, mix
-from llm.lsh import similar_components
+from llm.lsh import bucket_members, similar_components
 from llm.minmax import band_keys, signatures
 
 WIDTH, PERCENT, BANDS, ROWS, MIN_WORDS = 8, 80, 14, 4, 5
@@ -179,10 +179,7 @@ def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def similar_lines(docs: DataFrame, sketched: DataFrame, width: int, percent: int, values: int) -> DataFrame:
     """(node, component) of distinct lines that have a similar line."""
-    keys = sketched.select("node", "keys")
-    each = keys.select("node", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    near = stored(each.join(shared, "key").select("node", "key"))
+    near = stored(bucket_members(sketched.select("node", "keys")).select("node", "key"))
     if near.isEmpty():
         return docs.sparkSession.createDataFrame([], "node long, component long")
     nodes = near.select("node").distinct()

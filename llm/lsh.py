@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import broadcast_if_small, byte_slices, stored
@@ -78,11 +78,16 @@ def similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
+def bucket_members(keys: DataFrame) -> DataFrame:
+    """key, node, pivot (the smallest node of the bucket) of all buckets with two nodes or more; keys move once."""
+    bucket = Window.partitionBy("key")
+    each = keys.select("node", F.explode("keys").alias("key"))
+    return each.select("key", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last")).filter("pivot < last")
+
+
 def similar_components(keys: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple[int, int], values: int = 192) -> DataFrame:
     """(node, component) of all nodes with a confirmed link. ``keys``: node, keys array<long>; ``contents``: node, text."""
-    each = keys.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = each.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = stored(each.join(shared, "key").filter("node != pivot"))
+    members = stored(bucket_members(keys).filter("node != pivot").select("key", "node", "pivot"))
     asked = stored(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirm(asked, contents, sets_of, share))
     labels = stored(connected_components(links))
