@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import fresh_dir, spread, stored
+from llm.common import broadcast_if_small, fresh_dir, spread, stored
 from llm.tokenfile import open_store
 
 #: Fixed value: the date of all records, so that a repeated task writes the same bytes.
@@ -36,7 +36,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 def plan_captures(pages: DataFrame, min_bytes: int = 0, id_col="page_id", url_col="url", body_col="html") -> DataFrame:
     """``pages`` as page_id, copy, url, body, refers_page, refers_copy (null for responses)."""
-    rows = pages.select(
+    rows = spread(pages).select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col(body_col), F.lit("")), "utf-8").alias("body"),
@@ -49,7 +49,8 @@ def plan_captures(pages: DataFrame, min_bytes: int = 0, id_col="page_id", url_co
     order = F.struct("page_id", "copy")
     first = rows.filter(F.length("body") >= min_bytes).groupBy("digest").agg(F.max(order).alias("owner"), F.count("*").alias("n"))
     shared = first.filter("n > 1").select("digest", F.col("owner.page_id").alias("refers_page"), F.col("owner.copy").alias("refers_copy"))
-    joined = rows.join(shared, "digest", "left")
+    # few payloads are shared: their digests go to the pages, and no payload moves; else it is a shuffle join
+    joined = rows.join(broadcast_if_small(stored(shared), 200_000), "digest", "left")
     own = F.col("page_id").eqNullSafe(F.col("refers_page")) & F.col("copy").eqNullSafe(F.col("refers_copy"))
     other = F.col("refers_copy").isNotNull() & ~own & (F.length("body") >= min_bytes)
     return joined.select("page_id", "copy", "url", "body", "digest", F.when(other, F.col("refers_page")).alias("refers_page"), F.when(other, F.col("refers_copy")).alias("refers_copy"))
@@ -111,7 +112,7 @@ def write_warc(captures: DataFrame) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{target}/{name}"], "n_records": [n], "bytes": [size]})
 
-    return stored(spread(captures).mapInArrow(work, MANIFEST))
+    return stored(captures.mapInArrow(work, MANIFEST))
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, with_payload: bool = True, batch_bytes: int = 16 << 20) -> DataFrame:
