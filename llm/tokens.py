@@ -27,30 +27,38 @@ WHOLE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]{2}|^[\s\x0b\x1c-\x1f\x{85}\x{a0}]|[\s\x0
 
 
 class IdStore:
-    """Ids of strings in one growing array; a bounded dictionary says where (about 150 bytes a string)."""
+    """Ids of strings in one growing array; a bounded dictionary numbers the strings (about 150 bytes a string), and two arrays say where the ids of each begin and how many they are."""
 
     def __init__(self, encode, most: int):
         self.encode, self.most = encode, most
-        self.places: dict[str, int] = {}  # string -> where its ids begin, and how many (low 20 bits)
+        self.numbers: dict[str, int] = {}
+        self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
     def find(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        get = self.places.get
-        places = np.array([get(s, -1) for s in strings], np.int64)
-        missing = np.flatnonzero(places < 0)
+        get = self.numbers.get
+        numbers = np.array([get(s, -1) for s in strings], np.int64)
+        at, size = self.at[numbers], self.size[numbers]
+        missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new = [strings[i] for i in missing.tolist()]
-            flat, size = self.encode(new)
+            flat, count = self.encode(new)
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(flat) + len(self.ids), np.uint32)])
             self.ids[self.used : self.used + len(flat)] = flat
-            places[missing] = ((self.used + np.cumsum(size) - size) << 20) | size
-            room = max(0, self.most - len(self.places))
-            self.places.update(zip(new[:room], places[missing][:room].tolist(), strict=True))
+            at[missing], size[missing] = self.used + np.cumsum(count) - count, count
+            known = len(self.numbers)
+            room = min(len(new), max(0, self.most - known))
+            if known + room > len(self.at):
+                more = np.zeros(known + room, np.int64)
+                self.at, self.size = np.concatenate([self.at[:known], more]), np.concatenate([self.size[:known], more])
+            kept = missing[:room]
+            self.at[known : known + room], self.size[known : known + room] = at[kept], size[kept]
+            self.numbers.update(zip(new[:room], range(known, known + room), strict=True))
             # what found no room is overwritten by the next call
-            self.used += int(size[:room].sum())
-        return places >> 20, places & 0xFFFFF
+            self.used += int(count[:room].sum())
+        return at, size
 
 
 class TextEncoder:

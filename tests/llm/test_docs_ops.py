@@ -48,6 +48,17 @@ def test_text_encoder_equals_whole_texts(path, docs):
     assert np.array_equal(ids, np.concatenate(want))
 
 
+@pytest.mark.parametrize("path, text", [(WORD, "0123456789" * 110_000), (WORD, "7\n,\t" * 530_000), (BYTE, "7\n,\t" * 530_000)])
+def test_text_encoder_on_a_long_text_without_blanks(path, text):
+    encoder = TextEncoder(path)
+    want = encoder.encode_whole(["before", text + "x", "after b"])
+    assert len(want[1]) > 1 << 20
+    for _ in range(2):  # the second time all pieces are known
+        ids, counts = encoder.ids(pa.array(["before", text + "x", "after b"]))
+        assert counts.tolist() == [len(w) for w in want]
+        assert np.array_equal(ids, np.concatenate(want))
+
+
 def test_token_files(spark, docs):
     got = {r["doc_id"]: r for r in QUERIES["op3_token_files"](spark, SF).collect()}
     tokenizer, at = TextEncoder(WORD).tokenizer, 0
