@@ -2,8 +2,8 @@
 of each component of lines the first occurrence stays.
 
 A line is what stands between line ends, compared without blanks at its ends and with A-Z in lower case. Its set
-holds the distinct runs of ``width`` characters (a shorter line is one run). Lines of fewer than ``min_words`` words
-are left alone: short lines repeat by chance.
+holds the distinct runs of ``width`` characters (a shorter line is one run). Every line that is not blank takes part,
+whatever its length and script; a line shorter than ``width`` can only be equal to another, which its hash tells.
 
 Occurrences of one distinct line are reduced in the tasks first; lines travel as 64-bit hashes, and only
 lines that a band proposes are compared by their text. The first occurrence is the smallest (doc_id, text
@@ -27,7 +27,7 @@ from llm.hashing import U, mix
 from llm.lsh import bucket_members, similar_components
 from llm.minmax import band_keys, signatures
 
-WIDTH, PERCENT, BANDS, ROWS, MIN_WORDS = 8, 80, 14, 4, 5
+WIDTH, PERCENT, BANDS, ROWS = 8, 80, 14, 4
 STEPS = np.random.default_rng(20240811).integers(1, 1 << 62, 16, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -116,8 +116,8 @@ def line_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return Grams(codes, width).sets(offsets[:-1], offsets[1:])
 
 
-def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, min_words: int) -> DataFrame:
-    """line (hash), doc_id, tie, number of each line that takes part, and its band keys (once per task and line)."""
+def scan_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """line (hash), doc_id, tie, number of each line that is not blank, and its band keys (once per task and line)."""
 
     def work(batches):
         seen: set[int] = set()
@@ -125,7 +125,7 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, min_words: in
             for a, b in byte_slices(batch.column(2), 1 << 20):
                 codes, offsets = code_points(batch.column(2).slice(a, b - a))
                 doc, number, start, end, words = lines_of(codes, offsets)
-                use = np.flatnonzero(words >= min_words)
+                use = np.flatnonzero(words)
                 doc, number, start, end = doc[use], number[use], start[use], end[use]
                 if not len(use):
                     continue
@@ -163,9 +163,9 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return each.select(F.explode("x").alias("x")).select("x.node", trimmed.alias("text"))
 
 
-def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, tie, number) of each line that goes. ``docs``: doc_id, tie, text."""
-    scanned = stored(scan_lines(spread(docs), width, bands, rows, min_words))
+    scanned = stored(scan_lines(spread(docs), width, bands, rows))
     here = F.struct("doc_id", "tie", "number")
     sketched = scanned.filter(F.col("keys").isNotNull()).select(F.col("line").alias("node"), "keys", "doc_id", "tie", "number")
     # the signature of a line is a function of its text: any of its rows will do

@@ -337,6 +337,30 @@ def test_fuzzy_lines_against_all_pairs(spark):
     assert got == want
 
 
+def test_fuzzy_lines_of_all_lengths(spark):
+    rnd = random.Random(12)
+    word = lambda n, letters="abcdefghij": "".join(rnd.choice(letters) for _ in range(n))
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + [chr(c) for c in range(0xE01, 0xE2E)]
+    pool = ["x", "X", "ab", "---", "seven77", "eight888", "}", "漢", "two words", "One, two three four", "  "]
+    pool += [word(n) for n in range(1, 40, 3)] + [word(n, signs) for n in (3, 7, 8, 30, 90, 400)]
+    pool += [" ".join(word(rnd.randint(1, 9)) for _ in range(n)) for n in (2, 3, 4, 5, 30)]
+    # near copies far above the threshold, so that 14 bands of 4 propose them all but for one in 10^9
+    pool += [x + "!" for x in pool if len(x) > 60] + ["ſ" + x for x in pool if len(x) > 60]
+    texts = {i: "\n".join(rnd.choice([x, x.upper(), f" {x}\t", word(rnd.randint(1, 30))]) for x in rnd.choices(pool, k=rnd.randint(1, 6))) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    places = {(i, k): x for i, t in texts.items() for k, x in enumerate(t.split("\n")) if x.strip(" \t")}
+    sets = {n: line_sets(x) for n, x in enumerate(places.values())}
+    comp = components_of(sets, 80)
+    first = {}
+    for n, place in enumerate(places):
+        first[comp[n]] = min(first.get(comp[n], place), place)
+    gone = {place for n, place in enumerate(places) if first[comp[n]] != place}
+    assert sum(len(places[p].split()) < 5 for p in gone) > 50 and sum(len(places[p].strip()) < 8 for p in gone) > 20
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(df, bands=14, rows=4).collect()}
+    assert got == want
+
+
 def test_fuzzy_lines_edges(spark, edge_docs, no_docs):
     out = dedup_lines(edge_docs)
     assert out.columns == [*edge_docs.columns, "n_lines_removed"]
