@@ -18,7 +18,7 @@ The texts of each part are written once to the shared folder (a file per task at
 through Spark), so no text is shuffled. Windows are told apart by 64-bit hashes, segments by two of them.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; documents
-of equal id take nothing from each other; a null id takes and loses nothing; extra columns are ignored; an
+of equal id take nothing from each other, and lose the same wherever they stand; a null id takes and loses nothing; extra columns are ignored; an
 empty table gives no row.
 """
 
@@ -129,15 +129,16 @@ class Level:
         self.columns = [key, h, s, d, p]
 
     @classmethod
-    def of(cls, entries: np.ndarray) -> tuple[Level, np.ndarray]:
-        """The sorted level of a batch, with the smallest document of each key; and the entries that lose."""
+    def of(cls, entries: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+        """The sorted level of a batch, with the smallest document of each key; the entries of that document in further parts; and the entries that lose."""
         key = mix(entries["h"] + mix(entries["s"] + U(0x9E3779B97F4A7C15)))
-        order = np.lexsort((entries["d"], key))
+        order = np.lexsort((entries["p"], entries["d"], key))
         key, entries = key[order], entries[order]
         new = np.append(True, key[1:] != key[:-1])
         owner = entries["d"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        other_part = np.append(False, entries["p"][1:] != entries["p"][:-1])
         kept = entries[new]
-        return cls(key[new], *(np.ascontiguousarray(kept[c]) for c in "hsdp")), entries[entries["d"] > owner]
+        return cls(key[new], *(np.ascontiguousarray(kept[c]) for c in "hsdp")), entries[~new & other_part & (entries["d"] == owner)], entries[entries["d"] > owner]
 
     def __len__(self):
         return len(self.columns[0])
@@ -149,12 +150,17 @@ class Level:
 
 
 class Family:
-    """Levels of sorted entries, each at least twice as large as the next; a key stands in one level only."""
+    """Levels of sorted entries, each at least twice as large as the next; a key stands in one level only.
+
+    A document id can come from several parts. The level holds one of them; the entries of the others wait until all
+    batches are there, and then lose or are left as the level says.
+    """
 
     def __init__(self, batch_entries: int = 65_536):
         self.levels: list[Level] = []
         self.lost: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting: list[np.ndarray] = []
+        self.further: list[np.ndarray] = []
         self.batch_entries = batch_entries
 
     def add(self, entries: np.ndarray) -> None:
@@ -166,12 +172,36 @@ class Family:
         if len(h):
             self.lost.append((p.copy(), mark(d, h, s)))
 
+    def wait(self, h, s, d, p) -> None:
+        if len(h):
+            entries = np.empty(len(h), ENTRY)
+            entries["h"], entries["s"], entries["d"], entries["p"] = h, s, d, p
+            self.further.append(entries)
+
+    def settle(self) -> np.ndarray:
+        """Of the entries in further parts those whose document is still the smallest of the key; the others lose."""
+        if not self.further:
+            return np.zeros(0, ENTRY)
+        entries = np.concatenate(self.further)
+        self.further = []
+        key = mix(entries["h"] + mix(entries["s"] + U(0x9E3779B97F4A7C15)))
+        beaten = np.zeros(len(entries), bool)
+        for level in self.levels:
+            keys = level.columns[0]
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            beaten |= (keys[at] == key) & (level.columns[3][at] < entries["d"])
+        gone = entries[beaten]
+        self.lose(gone["h"], gone["s"], gone["d"], gone["p"])
+        return entries[~beaten]
+
     def flush(self) -> None:
         """Merge-scan the new batch against every level, then merge levels of like size."""
         if not self.waiting:
             return
-        batch, lost = Level.of(np.concatenate(self.waiting))
+        batch, further, lost = Level.of(np.concatenate(self.waiting))
         self.waiting = []
+        self.wait(*(further[c] for c in "hsdp"))
         self.lose(lost["h"], lost["s"], lost["d"], lost["p"])
         for level in self.levels:
             key = level.columns[0]
@@ -184,18 +214,23 @@ class Family:
                 later, earlier = new[3] > old[3], new[3] < old[3]
                 self.lose(*(c[later] for c in new[1:]))
                 self.lose(*(c[earlier] for c in old[1:]))
+                again = (new[3] == old[3]) & (new[4] != old[4])
+                self.wait(*(c[again] for c in new[1:]))
                 for c in (3, 4):
                     level.columns[c][at[earlier]] = new[c][earlier]
                 batch = Level(*(c[~same] for c in batch.columns))
-        self.levels.append(batch)
+        if len(batch):
+            self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(a.merge(b))
 
     def close(self):
-        """Part and mark of all that lost; part, mark and anchor hash of all that are left."""
+        """Part and mark of all that lost; anchor hash, segment hash, document and part of all that are left."""
         self.flush()
+        further = self.settle()
         left = [np.concatenate([x.columns[c] for x in self.levels]) for c in range(1, 5)] if self.levels else [np.zeros(0, t) for t in ("<u8", "<u8", "<i8", "<i4")]
+        left = [np.append(x, further[c]) for x, c in zip(left, "hsdp", strict=True)]
         lost = [np.concatenate(c) for c in zip(*self.lost, strict=True)] if self.lost else [np.zeros(0, "<i4"), np.zeros(0, "<u8")]
         return lost, left
 
@@ -274,9 +309,10 @@ def scan_shares(rows: DataFrame, shares: int, lost_kind: str, open_kind: str | N
         (part, marks), (h, s, d, p) = family.close()
         rows = decisions(lost_kind, part, marks) if len(part) else []
         if open_kind and len(h):
-            order = np.argsort(h)
-            same = h[order][1:] == h[order][:-1]
-            several = order[np.append(same, False) | np.append(False, same)]
+            order = np.lexsort((s, h))
+            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            size = np.diff(first, append=len(h))
+            several = order[np.repeat(s[order][first] != s[order][first + size - 1], size)]
             if len(several):
                 rows += decisions(open_kind, p[several], mark(d[several], h[several], s[several]))
         if rows:

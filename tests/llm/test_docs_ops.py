@@ -21,7 +21,7 @@ from llm.neardup import drop_near_duplicates, near_duplicates
 from llm.packing import best_fit, pack, token_pieces
 from llm.quality import filter_quality
 from llm.queries import QUERIES
-from llm.repeats import remove_repeats
+from llm.repeats import ENTRY, Family, mark, remove_repeats
 from llm.tokenfile import fetch_tokens, read_tokens, write_tokens
 from llm.tokens import TextEncoder
 from tests.llm.conftest import SF
@@ -410,6 +410,37 @@ def test_repeated_bytes_planted(spark):
     assert got == repeats_of(texts)
 
 
+def test_repeated_ids_in_several_parts_and_batches():
+    rnd = random.Random(6)
+    rows = [(h, rnd.randrange(4), rnd.randrange(6), rnd.randrange(5)) for h in range(60) for _ in range(rnd.randint(1, 12))]
+    least = {}
+    for h, s, d, _ in rows:
+        least[h, s] = min(d, least.get((h, s), d))
+    for batch_entries in (1, 3, 7, 10_000):
+        rnd.shuffle(rows)
+        family = Family(batch_entries)
+        for row in rows:
+            family.add(np.array([row], ENTRY))
+        (part, marks), left = family.close()
+        lost = [r for r in rows if r[2] > least[r[:2]]]
+        h, s, d, p = (np.array(c) for c in zip(*lost, strict=True))
+        assert set(zip(part.tolist(), marks.tolist(), strict=True)) == set(zip(p.tolist(), mark(d, h.astype("<u8"), s.astype("<u8")).tolist(), strict=True))
+        assert set(zip(*(c.tolist() for c in left), strict=True)) == set(rows) - set(lost)
+
+
+def test_repeated_rows_in_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(Family.__init__, "__defaults__", (5,))
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = [word(400) for _ in range(6)]
+    texts = {i: "".join(rnd.choice([word(80), rnd.choice(shared)[rnd.randint(0, 90) : rnd.randint(200, 400)]]) for _ in range(rnd.randint(1, 5))) for i in range(24)}
+    # every row stands in three partitions
+    rows = [(i, t, p) for p in range(3) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p int").repartitionByRange(3, "p").select("doc_id", "text")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in remove_repeats(df).collect()]
+    assert Counter(got) == Counter({(i, *x): 3 for i, x in repeats_of(texts).items()})
+
+
 def test_repeated_bytes_edges(spark, edge_docs, no_docs):
     rows = remove_repeats(edge_docs).collect()
     by = {r["doc_id"]: r for r in rows}
