@@ -4,10 +4,13 @@
 2. Of each window of ``window`` consecutive item words take the two rarest. These terms get postings:
    (term, document, positions), stored by term and a part of the document id, so that no term is one task.
 3. Intersect the offset-adjusted lists: a window can only occur in a document where both of its rarest terms
-   have a posting at the same distance from the start of the item.
-4. Only documents with such a place are read again, and whole items are laid beside them: runs of at least a
-   window of equal words are exact phrase matches. A window whose words all occur within ``slop`` words more
-   than its length, in any order, is a proximity match.
+   have a posting at the same distance from the start of the item. For proximity the two postings only need to
+   stand in one stretch, in any order and at any distance: positions are put into overlapping blocks of twice
+   the stretch, so each stretch is inside one block and no pairs of positions are made.
+4. Only documents with such a place or block are read again, and whole items are laid beside them: runs of at least
+   a window of equal words are exact phrase matches. A window is a proximity match where all its words occur, in any
+   order, in a stretch of the text ``slop`` words longer than the window (a shorter text is one stretch, if
+   it has as many words as the window).
 
 Words are lower-case (A-Z) runs of letters, digits and all bytes above ASCII, known by 64-bit hashes. The
 benchmark is taken in blocks of at most ``block_words`` words, so what is sent to the tasks is bounded.
@@ -115,30 +118,67 @@ def positional_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, tie long, n_words long, postings array<struct<term:int,positions:array<int>>>")
 
 
-def candidates(index: DataFrame, pairs, block, terms: np.ndarray) -> DataFrame:
-    """(doc_id, tie, item, shift): places where two rarest terms of a window meet; shift = word of the text where the item would start."""
+def candidates(index: DataFrame, pairs, block, terms: np.ndarray, window: int, slop: int) -> DataFrame:
+    """(doc_id, tie, item, near, shift): places where two rarest terms of a window meet.
+
+    Without ``near`` both stand at their distance in the item, and shift is the word of the text where the item would
+    start. With it they stand in one block, and shift is the number of the block.
+    """
     spark = index.sparkSession
     anchors = sorted({(k, p) for k, a, b in pairs for p in (a, b)})
-    term_of = [(int(member(terms, block[k][1][p : p + 1])[0][0]), k, p) for k, p in anchors]
-    wanted = F.broadcast(spark.createDataFrame(term_of, "term int, item int, at int"))
+    stretch = [min(window, len(words)) + slop for _, words in block]
+    term_of = [(int(member(terms, block[k][1][p : p + 1])[0][0]), k, p, stretch[k]) for k, p in anchors]
+    wanted = F.broadcast(spark.createDataFrame(term_of, "term int, item int, at int, stretch int"))
     # the inverted lists; a frequent term is dealt over many partitions by document
     lists = index.select("doc_id", "tie", F.explode("postings").alias("p")).select("p.term", "doc_id", "tie", "p.positions")
-    places = lists.join(wanted, "term").select("doc_id", "tie", "item", "at", F.explode("positions").alias("pos"))
-    met = places.groupBy("doc_id", "tie", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
+    places = lists.join(wanted, "term").select("doc_id", "tie", "item", "at", "stretch", F.explode("positions").alias("pos"))
+    number = F.floor(F.col("pos") / F.col("stretch")).cast("int")
+    place = lambda near, shift: F.struct(F.lit(near).alias("near"), shift.alias("shift"))
+    each = F.array(place(False, F.col("pos") - F.col("at")), place(True, number), place(True, number - 1))
+    places = places.select("doc_id", "tie", "item", "at", F.explode(each).alias("place"))
+    met = places.groupBy("doc_id", "tie", "item", "place").agg(F.collect_set("at").alias("ats"))
     both = F.broadcast(
         spark.createDataFrame(pairs, "item int, a int, b int").groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
     )
     ok = F.exists("pairs", lambda p: F.array_contains("ats", p["a"]) & F.array_contains("ats", p["b"]))
-    return met.join(both, "item").filter(ok).select("doc_id", "tie", "item", "shift")
+    return met.join(both, "item").filter(ok).select("doc_id", "tie", "item", "place.near", "place.shift")
+
+
+def stretch_holds(needed: np.ndarray, least: np.ndarray, item: np.ndarray, part: np.ndarray, stretch: int) -> bool:
+    """Whether a stretch of ``part`` has all the words of a window. ``item``: its distinct words in order; ``needed``:
+    which of them each window has, ``least`` how many."""
+    at, there = member(item, part)
+    seen = np.zeros((len(part) + 1, len(item)), np.int32)
+    seen[1:][there, at[there]] = 1
+    if not (needed @ seen.any(0) >= least).any():
+        return False
+    seen = np.cumsum(seen, 0)
+    stretch = min(stretch, len(part))
+    has = seen[stretch:] > seen[: len(seen) - stretch]
+    return bool((has.astype(np.float32) @ needed.T >= least).any())
 
 
 def match_items(rows: DataFrame, block, window: int, slop: int) -> DataFrame:
-    """``rows``: doc_id, tie, text and places array<struct<item, shift>>; gives spans of words hit, items and near items."""
+    """``rows``: doc_id, tie, text and places array<struct<item, near, shift>>; gives spans of words hit, items and near items."""
     items = [words for _, words in block]
+    known: dict[int, tuple] = {}
+
+    def windows_of(k: int):
+        """The distinct words of an item; which of them each window has, and how many."""
+        if k not in known:
+            if len(known) >= 1000:
+                known.clear()
+            size = min(window, len(items[k]))
+            distinct, place = np.unique(items[k], return_inverse=True)
+            needed = np.zeros((len(items[k]) - size + 1, len(distinct)), np.float32)
+            for w in range(len(needed)):
+                needed[w, place[w : w + size]] = 1
+            known[k] = distinct, needed, needed.sum(1), size
+        return known[k]
 
     def one(words: np.ndarray, places):
         spans, found, near = [], set(), set()
-        for place in places:
+        for place in [p for p in places if not p["near"]]:
             k, shift = place["item"], place["shift"]
             item = items[k]
             size = min(window, len(item))
@@ -152,11 +192,15 @@ def match_items(rows: DataFrame, block, window: int, slop: int) -> DataFrame:
             if long.any():
                 found.add(k)
                 spans += [{"s": s + shift, "e": e + shift} for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-            for w in range(len(item) - size + 1):
-                if k in near or k in found:
-                    break
-                part = words[max(0, w + shift - slop) : max(0, w + shift + size + slop)]
-                if len(part) >= size and np.isin(item[w : w + size], part).all():
+        for place in places:
+            k = place["item"]
+            if place["near"] and k not in near and k not in found:
+                distinct, needed, least, size = windows_of(k)
+                stretch = size + slop
+                # all stretches that begin in the block; at the end of the text the last one
+                begin = max(0, min(place["shift"] * stretch, len(words) - stretch))
+                part = words[begin : max(0, (place["shift"] + 2) * stretch)]
+                if len(part) >= size and stretch_holds(needed, least, distinct, part, stretch):
                     near.add(k)
         return spans, sorted(found), sorted(near - found)
 
@@ -196,8 +240,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         base = index.select("doc_id", "tie", "n_words") if base is None else base
         if not pairs:
             continue
-        places = candidates(index, pairs, block, used)
-        grouped = stored(places.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("item", "shift")).alias("places")))
+        places = candidates(index, pairs, block, used, window, slop)
+        grouped = stored(places.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("item", "near", "shift")).alias("places")))
         small = broadcast_if_small(grouped.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), 100_000)
         text = rows.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("doc_id", "tie", "text", "places")
         names = F.array(*[F.lit(name) for name, _ in block])

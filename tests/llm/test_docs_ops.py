@@ -294,6 +294,44 @@ def test_decontamination(spark, docs, block_words):
     assert got == Counter((i, n, h, tuple(f)) for i, t in some for n, h, f in [hits_of(t, known)])
 
 
+def near_of(text, items, size=10, slop=2):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
+    words, near = find(text), set()
+    for item, body in items:
+        w = find(body)
+        n = min(size, len(w))
+        parts = [set(words[i : i + n + slop]) for i in range(max(1, len(words) - n - slop + 1))] if len(words) >= n else []
+        if any(set(w[k : k + n]) <= part for k in range(len(w) - n + 1 if n else 0) for part in parts):
+            near.add(str(item))
+    return sorted(near - set(hits_of(text, items, size)[2]))
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 60])
+def test_proximity_against_brute_force(spark, block_words):
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([2, 5, 9, 10, 11, 14, 25])))) for i in range(16)]
+    texts = {}
+    for i in range(150):
+        w = rnd.choice(items)[1].split()[:14]
+        for _ in range(rnd.randint(0, 4)):
+            kind, at, other = rnd.randrange(3), rnd.randrange(len(w)), rnd.randrange(len(w))
+            if kind == 0:
+                w.insert(at, rnd.choice(["in", *vocabulary]))
+            elif kind == 1:
+                w[at], w[other] = w[other], w[at]
+            elif len(w) > 2:
+                del w[at]
+        around = [[rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 20]))] for _ in range(2)]
+        texts[i] = " ".join([*around[0], *w, *around[1]])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: list(r["near_item_ids"]) for r in find_contamination(df, bench, block_words=block_words).collect()}
+    want = {i: near_of(t, items) for i, t in texts.items()}
+    assert sum(map(len, want.values())) > 50
+    assert got == want
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven", "clash")], "item_id long, text string, tie string")
     left = drop_contaminated(edge_docs, bench)
