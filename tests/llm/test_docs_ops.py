@@ -265,6 +265,29 @@ def test_quality(spark, edge_docs, no_docs):
     assert filter_quality(no_docs).count() == 0
 
 
+def prose(rnd, n, common, letters):
+    """Common words with falling frequency between rare words."""
+    weights = [1 / (k + 1) for k in range(len(common))]
+    rare = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9)))
+    return " ".join(rnd.choices(common, weights)[0] if rnd.random() < 0.3 else rare() for _ in range(n))
+
+
+def test_quality_verdicts_on_planted_texts(spark):
+    rnd = random.Random(15)
+    base = {"en": "the of and to in is that it was for on are with as be this", "de": "der die und in den von zu das mit sich des auf für ist im dem", "tl": "ang ng sa na mga at ay si ni kay para hindi ito may nang kung"}
+    letters = "aaabcdeeeefghiiiklmnnooprrssttuvw"
+    rows = [(100 * k + i, prose(rnd, rnd.choice([60, 150, 400]), words.split(), letters), lang) for k, (lang, words) in enumerate(base.items()) for i in range(60)]
+    rows += [(1000 + i, prose(rnd, 200, base["tl"].split(), letters), None) for i in range(5)]
+    rare = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9)))
+    junk = [" ".join(rare() for _ in range(n)) for n in (60, 150, 400)]  # word salad
+    junk += [", ".join(rare() for _ in range(n)) for n in (60, 150, 400)]  # keyword lists
+    junk += [" ".join(rnd.choice(["ja", "nie", "tak", rare()]) for _ in range(200))]  # prose of a language without rows
+    rows += [(2000 + i, x, lang) for i, x in enumerate(junk) for lang in ("en", None)]
+    got = filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert [r["doc_id"] for r in got if r["kept"] != (r["doc_id"] < 2000)] == []
+
+
 def hits_of(text, items, size=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
     words, hit, found = find(text), set(), set()
