@@ -288,6 +288,18 @@ def test_quality_verdicts_on_planted_texts(spark):
     assert [r["doc_id"] for r in got if r["kept"] != (r["doc_id"] < 2000)] == []
 
 
+def test_quality_of_many_languages(spark):
+    rnd = random.Random(16)
+    rows = []
+    for k in range(70):
+        # an alphabet and words of its own for each language; the last ones have the fewest words
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)] if k % 2 else [chr(0x400 + i) for i in range(60)] + list("0123456789"[: k // 7])
+        common = ["".join(rnd.choice(letters[:30]) for _ in range(2)) + letters[0] for _ in range(16)]
+        rows += [(k, prose(rnd, 400 - 4 * k, common, letters), f"lang{k:02}") for _ in range(2)]
+    out = filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == 140 and all(r["word_distance"] < 0.2 and r["class_distance"] < 0.1 and r["kept"] for r in out)
+
+
 def hits_of(text, items, size=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
     words, hit, found = find(text), set(), set()
