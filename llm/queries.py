@@ -1,4 +1,15 @@
 """All registered queries of the package."""
 
-from llm import q_chat, q_decontam, q_langid, q_lines, q_neardup, q_quality, q_repeats, q_tokens, q_warc  # noqa: F401
+from llm import (  # noqa: F401
+    q_chat,
+    q_decontam,
+    q_langid,
+    q_lines,
+    q_neardup,
+    q_quality,
+    q_repeats,
+    q_tokens,
+    q_warc,
+    q_whitening,
+)
 from llm.registry import ORACLE, QUERIES  # noqa: F401
