@@ -9,6 +9,7 @@ from llm import (  # noqa: F401
     q_quality,
     q_repeats,
     q_tokens,
+    q_trie,
     q_warc,
     q_whitening,
 )
