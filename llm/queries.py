@@ -3,6 +3,7 @@
 from llm import (  # noqa: F401
     q_chat,
     q_decontam,
+    q_html,
     q_langid,
     q_lines,
     q_neardup,
