@@ -33,6 +33,8 @@ from llm.common import broadcast_if_small, stored
 from llm.doublearray import DoubleArray
 
 SHARD_TURNS = 500_000
+#: Shards are also kept below the fair share of a task, but prefixes of fewer turns than this are not cut.
+LEAST_SHARD = 1_000
 PIECE_BYTES = 1 << 20
 ROOT = bytes(16)
 EMPTY_SHA = hashlib.sha256().hexdigest()
@@ -131,7 +133,7 @@ def cut_shards(sequences: DataFrame, shard_turns: int) -> DataFrame:
         cut *= 2
 
 
-def trie_parts(sharded: DataFrame, shard_turns: int) -> DataFrame:
+def trie_parts(sharded: DataFrame, shard_turns: int, total: int) -> DataFrame:
     """Rows of three kinds: ``own`` (complete nodes), ``upper`` (parts of shared nodes) and ``path`` (of the smallest
     conversations of shared nodes)."""
 
@@ -156,7 +158,6 @@ def trie_parts(sharded: DataFrame, shard_turns: int) -> DataFrame:
 
     rows = sharded.select("conv_id", "copies", "ends", "keys", "words", "cut", "shard")
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    total = rows.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
     parts = max(2 * cores, -(-total // shard_turns))
     return rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(work, PARTS)
 
@@ -283,7 +284,11 @@ def merge_upper(parts: DataFrame) -> DataFrame:
 
 def prefix_trie(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """One row per node of the trie of ``sequences`` (conv_id, turns array<struct<key, words>>)."""
-    parts = stored(trie_parts(cut_shards(distinct_sequences(sequences), shard_turns), shard_turns))
+    distinct = distinct_sequences(sequences)
+    total = distinct.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+    fair = total // (4 * distinct.sparkSession.sparkContext.defaultParallelism)
+    shard_turns = min(shard_turns, max(LEAST_SHARD, fair))
+    parts = stored(trie_parts(cut_shards(distinct, shard_turns), shard_turns, total))
     upper = stored(merge_upper(parts))
     above = broadcast_if_small(upper.select(F.col("node").alias("parent"), F.col("conv_id").alias("above")), 100_000)
     own = parts.filter("kind = 'own'").drop("node", "path", "words", "kind")
