@@ -5,6 +5,10 @@ of the vocabulary), and the library encodes each distinct pre-token once. The id
 pre-tokens in order (tested against whole-text encoding). Texts with other white space than single blanks
 and line ends, with characters beyond Latin Extended-B, or with what could be a special token are encoded
 whole by the library.
+
+Memory is bounded in bytes: two caches of ``CACHE_BYTES``, and texts beyond ``LONG`` characters are cut first, where no
+pre-token can reach across: before white space behind another character, or between a letter and a sentence mark. Only a
+run without any such place (letters alone, say) goes to the library in one piece, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,14 +27,25 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Texts that are encoded whole: white space beside white space or at an end, rare characters, special tokens.
+#: Longer texts (in characters) are cut; no call of the library gets much more.
+LONG = 200_000
+CACHE_BYTES = 24 << 20
+#: Places where no pre-token reaches across, and no special token (they hold neither blanks nor these marks).
+#: With the word pattern each digit is a pre-token of its own.
+BORDER = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[,.;:!?。、，．！？；：])"
+BYTE_BORDER, WORD_BORDER = regex.compile(BORDER), regex.compile(BORDER + r"|(?<=\p{N})(?=\p{N})")
+
 WHOLE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]{2}|^[\s\x0b\x1c-\x1f\x{85}\x{a0}]|[\s\x0b\x1c-\x1f\x{85}\x{a0}]$|[^\x{00}-\x{24f}]|<\|"
 
 
 class IdStore:
-    """Ids of strings in one growing array; a bounded dictionary numbers the strings (about 150 bytes a string), and two arrays say where the ids of each begin and how many they are."""
+    """Ids of strings in one growing array; a dictionary bounded in bytes numbers the strings, and two arrays say where the ids of each begin and how many they are."""
+
+    #: Of an entry beside its characters and ids: the string object, its number, its place in the dictionary, two array places.
+    ENTRY_BYTES = 200
 
-    def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most_bytes: int):
+        self.encode, self.most_bytes, self.bytes = encode, most_bytes, 0
         self.numbers: dict[str, int] = {}
         self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -49,7 +64,9 @@ class IdStore:
             self.ids[self.used : self.used + len(flat)] = flat
             at[missing], size[missing] = self.used + np.cumsum(count) - count, count
             known = len(self.numbers)
-            room = min(len(new), max(0, self.most - known))
+            size_of = np.cumsum([len(s) + self.ENTRY_BYTES for s in new]) + 4 * np.cumsum(count)
+            room = int(np.searchsorted(size_of, self.most_bytes - self.bytes, "right"))
+            self.bytes += int(size_of[room - 1]) if room else 0
             if known + room > len(self.at):
                 more = np.zeros(known + room, np.int64)
                 self.at, self.size = np.concatenate([self.at[:known], more]), np.concatenate([self.size[:known], more])
@@ -64,7 +81,7 @@ class IdStore:
 class TextEncoder:
     """``ids(texts)`` gives the ids of all texts, one after the other, and how many each text has."""
 
-    def __init__(self, path: str, cache_pieces: int = 500_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, long: int = LONG):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,11 +92,22 @@ class TextEncoder:
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.is_end = np.zeros(1 + max(model["vocab"].values()), bool)
         self.is_end[[i for t, i in model["vocab"].items() if t.endswith(suffix)] if self.words else model["vocab"]["\u010a"]] = True
-        self.tokens = IdStore(self.encode_pretokens, cache_pieces)
-        self.pieces = IdStore(self.encode_pieces, cache_pieces)
+        self.tokens = IdStore(self.encode_pretokens, cache_bytes)
+        self.pieces = IdStore(self.encode_pieces, cache_bytes)
+        self.long = long
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text by the library, a bounded number of characters at a time."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= self.long:
+                held += len(texts[end])
+                end += 1
+            out += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            at = end
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):
@@ -87,7 +115,39 @@ class TextEncoder:
         texts = texts.cast(pa.large_string()).fill_null("")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        long = np.flatnonzero(np.asarray(pc.utf8_length(texts)) > self.long)
+        if not len(long):
+            return self.short_ids(texts)
+        runs, counts, at = [], np.zeros(len(texts), np.int64), 0
+        for i in [*long.tolist(), len(texts)]:
+            if i > at:
+                flat, counts[at:i] = self.short_ids(texts.slice(at, i - at))
+                runs.append(flat)
+            if i < len(texts):
+                before = len(runs)
+                runs += self.long_ids(texts[i].as_py())
+                counts[i] = sum(map(len, runs[before:]))
+            at = i + 1
+        return np.concatenate(runs), counts
+
+    def long_ids(self, text: str):
+        """Ids of one long text, part by part."""
+        at = 0
+        while at < len(text):
+            end = border(text, at, at + self.long, WORD_BORDER if self.words else BYTE_BORDER)
+            part = text[at:end]
+            if self.words or not at or part[0] != " ":
+                yield self.short_ids(pa.array([part], pa.large_string()))[0]
+            else:
+                # as in the middle of a text: the blank belongs to the first piece
+                yield self.short_ids(pa.array([part[1:]], pa.large_string()), True)[0] if part[1:2].strip() else self.encode_whole([part])[0]
+            at = end
+
+    def short_ids(self, texts: pa.Array, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """``inner``: the texts stand behind a blank."""
         whole = pc.match_substring_regex(texts, WHOLE)
+        if inner and pc.any(whole).as_py():
+            return self.short_ids(pa.array([" " + t for t in texts.to_pylist()], pa.large_string()))
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         per_text = np.asarray(pc.list_value_length(parts)).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
@@ -96,6 +156,8 @@ class TextEncoder:
         # a piece that is not the first of its text begins with the blank it was cut at
         first = np.cumsum(per_text) - per_text
         heads, place = np.unique(code[first], return_inverse=True)
+        if inner:
+            heads, place = heads[:0], code[first] - len(known)
         code[first] = len(known) + place
         at, size = self.pieces.find([" " + p for p in known] + [known[i] for i in heads])
         length = size[code]
@@ -154,6 +216,22 @@ class TextEncoder:
         return np.concatenate(out), np.array(sizes, np.int64)
 
 
+def border(text: str, at: int, most: int, places_of=BYTE_BORDER) -> int:
+    """The last place up to ``most`` where the text can be cut, or else the first one behind it, or the end."""
+    if most >= len(text):
+        return len(text)
+    low = max(at + 1, most - 2000)
+    while True:
+        places = [m.start() for m in places_of.finditer(text, low, most + 1) if m.start() > at]
+        if places:
+            return places[-1]
+        if low == at + 1:
+            break
+        low = max(at + 1, most - 8 * (most - low))
+    found = places_of.search(text, most)
+    return found.start() if found else len(text)
+
+
 def worker_encoder(path: str) -> TextEncoder:
     """The encoder of this Python worker: words seen in one task need not be encoded again in the next."""
     state = sys.modules.setdefault("llm_worker_state", types.ModuleType("llm_worker_state"))

@@ -41,7 +41,7 @@ def ascii_lower(text):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_text_encoder_equals_whole_texts(path, docs):
     texts = [*docs.values(), None, "", "a  b", " x", "x\n", "a\n\nb", "it's we'll I'M", "1234 5,6", "a　b", "<|endoftext|> a", "İ ǅ ß", "é x", "a\x1cb c", "a,.b ,. c"]
-    encoder = TextEncoder(path, cache_pieces=50)
+    encoder = TextEncoder(path, cache_bytes=12_000)
     ids, counts = encoder.ids(pa.array(texts))
     want = encoder.encode_whole([t or "" for t in texts])
     assert counts.tolist() == [len(w) for w in want]
