@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm import hashing
 from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored, text_bytes
-from llm.hashing import LOWER, NOT_ALNUM, Prefix, runs
+from llm.hashing import NOT_ALNUM
 
 HITS = "doc_id long, tie long, spans array<struct<s:int,e:int>>, items array<int>, near array<int>"
 
@@ -35,10 +36,8 @@ HITS = "doc_id long, tie long, spans array<struct<s:int,e:int>>, items array<int
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word of all texts, and the number of words of each text."""
     raw, offsets = text_bytes(texts)
-    low = LOWER[raw]
-    start, end = runs(~NOT_ALNUM[low], offsets)
-    count = np.diff(np.searchsorted(start, offsets))
-    return Prefix(low).of(start, end), count
+    start, hashes = hashing.word_hashes(raw, offsets, NOT_ALNUM)
+    return hashes, np.diff(np.searchsorted(start, offsets))
 
 
 def member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -56,6 +56,48 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * U(0x632BE59BD9B4E019))
 
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of all texts (A-Z in lower case); ``outside`` says which bytes are in no word.
+
+    Works on ``CHUNK`` bytes at a time, so that long texts need little more than the result; a word that crosses a border
+    is put together from its parts and has the hash it has anywhere.
+    """
+    starts, hashes = [], []
+    edge = np.unique(offsets)
+    held = None  # start, sum of codes, length of a word that is not ended
+    finish = lambda total, length: mix(total + length.astype(np.uint64) * U(0x632BE59BD9B4E019))
+    for at in range(0, len(raw), CHUNK):
+        part = LOWER[raw[at : at + CHUNK]]
+        inside = ~outside[part]
+        own = edge[np.searchsorted(edge, at) : np.searchsorted(edge, at + len(part), "right")] - at
+        start, end = runs(inside, np.unique(np.concatenate([[0], own, [len(part)]])))
+        prefix = Prefix(part)
+        total = (prefix.sums[end] - prefix.sums[start]) * prefix.down[start]
+        length = end - start
+        start = start + at
+        if held is not None:
+            if inside[0] and not (len(own) and own[0] == 0):
+                total[0] = U((held[1] + int(total[0]) * pow(BASE, held[2], 1 << 64)) & 0xFFFFFFFFFFFFFFFF)
+                length[0] += held[2]
+                start[0] = held[0]
+            else:
+                starts.append(np.array([held[0]], np.int64))
+                hashes.append(finish(np.array([held[1]], np.uint64), np.array([held[2]])))
+            held = None
+        if len(end) and end[-1] == len(part) and at + len(part) < len(raw) and not (len(own) and own[-1] == len(part)):
+            held = int(start[-1]), int(total[-1]), int(length[-1])
+            start, total, length = start[:-1], total[:-1], length[:-1]
+        starts.append(start)
+        hashes.append(finish(total, length))
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of true places; a run ends where a text ends."""
     start = inside.copy()

@@ -5,9 +5,15 @@ A line is what stands between line ends, compared without blanks at its ends and
 holds the distinct runs of ``width`` characters (a shorter line is one run). Every line that is not blank takes part,
 whatever its length and script; a line shorter than ``width`` can only be equal to another, which its hash tells.
 
-Occurrences of one distinct line are reduced in the tasks first; lines travel as 64-bit hashes, and only
-lines that a band proposes are compared by their text. The first occurrence is the smallest (doc_id, text
-hash, line number); all others of the component go.
+1. Tasks scan the texts in windows of lines. Of equal lines of a window only the first occurrence goes on, the others
+   are known to go. Band keys leave as packed blobs (``bands``), not as rows.
+2. Buckets give pairs, full sets confirm them, links become components (``lsh``, ``components``).
+3. One row per distinct line and window is grouped by component; all but the first occurrence of a component go.
+
+Equal lines are told by 128 bits. In the graph of similar lines a line goes by the first 64 of them; should two
+different lines have these in common, the one with the smaller rest stands for them and the other has no links. The first
+occurrence is the smallest (doc_id, text hash, line number). Texts of any length are scanned in parts of about a
+million characters, a single longer line too.
 
 Defined results: null texts stay null, texts without lines to remove stay as they are; a text can become empty but
 its row stays; rows of equal id and text are one document (their equal lines count once); a null id comes
@@ -19,15 +25,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.bands import BLOBS, Window, blob_batch, share_members, with_pivots
 from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored
 from llm.hashing import U, mix
-from llm.lsh import bucket_members, similar_components
+from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
 
 WIDTH, PERCENT, BANDS, ROWS = 8, 80, 14, 4
+#: Characters that are scanned at once, and lines of one window.
+PART = 1 << 20
+WINDOW_LINES = 1 << 16
+#: Tables of more rows than this are not broadcast to the texts.
+SMALL_DOCS = 20_000
+WHITE_CHARS = " \t\n\v\f\r"
 STEPS = np.random.default_rng(20240811).integers(1, 1 << 62, 16, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -98,64 +112,188 @@ def short_line(points: np.ndarray) -> int:
     return int(h[0])
 
 
-def line_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each line, from sums of mixed code points weighted by place in the line."""
+PLACE = U(0x9E3779B97F4A7C15)
+
+
+def line_sums(points: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each code point and its place in the line; a line is known by their two sums."""
+    value = mix(points ^ (place.astype(np.uint64) * PLACE))
+    return value, (value ^ (value >> U(29))) * U(0xBF58476D1CE4E5B9) ^ (value >> U(31))
+
+
+def line_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line as two arrays."""
     length = end - start
-    total = int(length.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    at = np.repeat(start, length) + place
-    value = mix(points[at] ^ (place.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     ends = np.cumsum(length)
-    return mix(sums[ends] - sums[ends - length] + length.astype(np.uint64) * U(0x632BE59BD9B4E019))
+    out = []
+    for value in line_sums(points[np.repeat(start, length) + place], place):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        out.append(ended(sums[ends] - sums[ends - length], length))
+    return out[0], out[1]
 
 
-def line_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """The set of each text that is one line."""
-    codes, offsets = code_points(texts)
-    return Grams(codes, width).sets(offsets[:-1], offsets[1:])
+def ended(total: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(total + length.astype(np.uint64) * U(0x632BE59BD9B4E019))
 
 
-def scan_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """line (hash), doc_id, tie, number of each line that is not blank, and its band keys (once per task and line)."""
+def line_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """The set of each text that is one line."""
+    out: list[np.ndarray] = []
+    for a, b in byte_slices(texts):
+        if b - a == 1 and len(text := texts[a].as_py() or "") > PART:
+            parts = [np.unique(Grams(code_points(pa.array([text[i : i + PART + width - 1]]))[0], width).grams) for i in range(0, len(text) - width + 1, PART)]
+            out.append(np.unique(np.concatenate(parts)))
+        else:
+            codes, offsets = code_points(texts.slice(a, b - a))
+            out += Grams(codes, width).sets(offsets[:-1], offsets[1:])
+    return out
+
+
+class LineScan:
+    """Hashes and signatures of the lines of texts."""
+
+    def __init__(self, width: int, values: int):
+        self.width, self.values = width, values
+
+    def short(self, texts: pa.Array):
+        """Of each line that is not blank: text number, line number, two hashes, whether it has a signature; and the
+        signatures of the distinct lines that have one (by their first hash)."""
+        codes, offsets = code_points(texts)
+        doc, number, start, end, words = lines_of(codes, offsets)
+        use = np.flatnonzero(words)
+        doc, number, start, end = doc[use], number[use], start[use], end[use]
+        grams = Grams(codes, self.width)
+        line, check = line_hashes(grams.points, start, end)
+        at = np.unique(line, return_index=True)[1]
+        at = at[end[at] - start[at] >= self.width]
+        count = (end[at] - start[at]) - self.width + 1
+        place = np.repeat(start[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        table = signatures(grams.grams[place], count, -(-self.values // 2)) if len(at) else np.zeros((0, self.values), np.uint32)
+        return doc, number, line, check, line[at], table
+
+    def long(self, text: str):
+        """The two hashes and the signature of one very long line."""
+        totals, table = [0, 0], None
+        for i in range(0, len(text), PART):
+            codes, _ = code_points(pa.array([text[i : i + PART + self.width - 1]]))
+            grams = Grams(codes, self.width)
+            own = min(PART, len(text) - i)
+            for k, value in enumerate(line_sums(grams.points[:own], np.arange(i, i + own))):
+                totals[k] = (totals[k] + int(value.sum(dtype=np.uint64))) & 0xFFFFFFFFFFFFFFFF
+            if len(grams.grams):
+                part = signatures(grams.grams, np.array([len(grams.grams)]), -(-self.values // 2))
+                table = part if table is None else np.where(np.arange(part.shape[1]) % 2, np.maximum(table, part), np.minimum(table, part))
+        line, check = (ended(np.array([t], np.uint64), np.array([len(text)])) for t in totals)
+        return line, check, table
+
+    def texts(self, texts: pa.Array):
+        """All lines of some texts, part by part, as ``short`` gives them."""
+        for a, b in byte_slices(texts, PART):
+            if b - a > 1 or len(text := texts[a].as_py() or "") <= PART:
+                found = self.short(texts.slice(a, b - a))
+                yield found[0] + a, *found[1:]
+                continue
+            at, number = 0, 0
+            while at <= len(text):
+                end = text.rfind("\n", at, at + PART)
+                end = end if end >= 0 else text.find("\n", at)
+                end = end if end >= 0 and at + PART < len(text) else len(text)
+                part = text[at:end]
+                if len(part) > PART:  # one line
+                    part = part.strip(WHITE_CHARS)
+                if len(part) > PART:
+                    line, check, table = self.long(part.translate(LOWER_ASCII))
+                    yield np.array([a]), np.array([number]), line, check, line, table
+                else:
+                    found = self.short(pa.array([part]))
+                    yield found[0] + a, found[1] + number, *found[2:]
+                number += text.count("\n", at, end) + 1
+                at = end + 1
+
+
+LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
+SCANNED = f"{BLOBS}, line long, check long, doc_id long, tie long, number int"
+
+
+def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int) -> DataFrame:
+    """Blobs of band keys, and of each window rows of kind ``line`` (the first occurrence of each distinct line: line, check,
+    doc_id, tie, number) and ``gone`` (all further occurrences)."""
+    scan = LineScan(width, bands * rows)
+
+    def line_batch(kind, columns, known, spot):
+        n = len(columns[0])
+        empty = [pa.nulls(n, pa.binary())] * 3
+        doc = pa.array(columns[2], mask=~known)
+        share = (spot + np.arange(n)) % shares
+        arrays = [pa.array([kind] * n), pa.array(share.astype(np.int32)), *empty, *(pa.array(c.view(np.int64)) for c in columns[:2]), doc, pa.array(columns[3]), pa.array(columns[4].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "share", "keys", "nodes", "flags", "line", "check", "doc_id", "tie", "number"])
+
+    def widened(rows):
+        batch = blob_batch(rows)
+        none = [pa.nulls(len(batch), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *none], [*batch.schema.names, "line", "check", "doc_id", "tie", "number"])
+
+    def reduced(held, spot):
+        line, check, doc, tie, number, known = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((number, tie, doc, known, check, line))
+        line, check, doc, tie, number, known = (c[order] for c in (line, check, doc, tie, number, known))
+        new = np.append(True, (line[1:] != line[:-1]) | (check[1:] != check[:-1]))
+        same = np.append(False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (number[1:] == number[:-1]) & (known[1:] == known[:-1]))
+        for kind, use in (("line", new), ("gone", ~new & ~same)):
+            if use.any():
+                yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot)
 
     def work(batches):
-        seen: set[int] = set()
+        spot = TaskContext.get().partitionId() % shares
+        window, held, lines = Window(shares, spot), [], 0
         for batch in batches:
-            for a, b in byte_slices(batch.column(2), 1 << 20):
-                codes, offsets = code_points(batch.column(2).slice(a, b - a))
-                doc, number, start, end, words = lines_of(codes, offsets)
-                use = np.flatnonzero(words)
-                doc, number, start, end = doc[use], number[use], start[use], end[use]
-                if not len(use):
-                    continue
-                grams = Grams(codes, width)
-                line = line_hashes(grams.points, start, end)
-                keys: list = [None] * len(line)
-                fresh = [i for i in np.unique(line, return_index=True)[1].tolist() if int(line[i]) not in seen]
-                if fresh:
-                    if len(seen) < 300_000:
-                        seen.update(line[fresh].tolist())
-                    long = [i for i in fresh if end[i] - start[i] >= width]
-                    if long:
-                        count = (end[long] - start[long]) - width + 1
-                        at = np.repeat(start[long] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                        table = band_keys(signatures(grams.grams[at], count, -(-bands * rows // 2)), rows)[:, :bands]
-                        for i, k in zip(long, table, strict=True):
-                            keys[i] = k
-                rows_of = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(line.view(np.int64)), batch.column(0).slice(a, b - a).take(rows_of), batch.column(1).slice(a, b - a).take(rows_of), pa.array(number.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))],
-                    ["line", "doc_id", "tie", "number", "keys"],
-                )
-
-    return docs.mapInArrow(work, "line long, doc_id long, tie long, number int, keys array<long>")
+            ids, ties = batch.column(0), batch.column(1).to_numpy()
+            known = np.asarray(ids.is_valid())
+            ids = ids.fill_null(0).to_numpy()
+            for doc, number, line, check, signed, table in scan.texts(batch.column(2)):
+                held.append((line, check, ids[doc], ties[doc], number, known[doc]))
+                lines += len(line)
+                if len(signed):
+                    blobs = window.add(signed.view(np.int64), band_keys(table, rows)[:, :bands])
+                    if blobs:
+                        yield widened(blobs)
+                if lines >= WINDOW_LINES:
+                    yield from reduced(held, spot)
+                    held, lines = [], 0
+        if lines:
+            yield from reduced(held, spot)
+        blobs = window.flush()
+        if blobs:
+            yield widened(blobs)
+
+    return docs.mapInArrow(work, SCANNED)
+
+
+SETTLED = "kind string, key long, node long, pivot long, line long, check long, doc_id long, tie long, number int"
+
+
+def settle_shares(batches):
+    """Lines pass as they are; blobs become members of buckets."""
+    blobs = []
+    for batch in batches:
+        own = pc.is_in(batch.column(0), pa.array(["keys", "local"]))
+        lines = batch.filter(pc.invert(own))
+        if len(lines):
+            none = [pa.nulls(len(lines), pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([lines.column(0), *none, *(lines.column(c) for c in ("line", "check", "doc_id", "tie", "number"))], [x.split()[0] for x in SETTLED.split(", ")])
+        if len(lines) < len(batch):
+            blobs.append(batch.filter(own))
+    for found in share_members(iter(blobs)):
+        n = len(found)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), *found.columns, *none], [x.split()[0] for x in SETTLED.split(", ")])
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted lines: ``wanted`` has node, doc_id, tie, number of one occurrence each."""
     places = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("number", "node")).alias("places"))
-    places = broadcast_if_small(stored(places), 100_000)
+    places = broadcast_if_small(stored(places), SMALL_DOCS)
     joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     lines = joined.select(F.split("text", "\n", -1).alias("lines"), "places")
     each = lines.select(F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get("lines", p["number"]).alias("text"))).alias("x"))
@@ -165,28 +303,35 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, tie, number) of each line that goes. ``docs``: doc_id, tie, text."""
-    scanned = stored(scan_lines(spread(docs), width, bands, rows))
+    dealt = spread(docs)
+    shares = max(8, 2 * dealt.rdd.getNumPartitions())
+    settled = stored(scan_lines(dealt, width, bands, rows, shares).repartition(shares, "share").mapInArrow(settle_shares, SETTLED))
+    members = with_pivots(settled.filter("kind = 'member'").select("key", "node", "pivot"))
+    lines = settled.filter("kind = 'line'").select("line", "check", "doc_id", "tie", "number")
+    labels = similar_lines(docs, lines, members, width, percent, bands * rows)
     here = F.struct("doc_id", "tie", "number")
-    sketched = scanned.filter(F.col("keys").isNotNull()).select(F.col("line").alias("node"), "keys", "doc_id", "tie", "number")
-    # the signature of a line is a function of its text: any of its rows will do
-    labels = similar_lines(docs, sketched, width, percent, bands * rows)
-    lines = scanned.select("line", "doc_id", "tie", "number")
-    joined = lines.join(labels, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("group"), "doc_id", "tie", "number")
-    joined = stored(joined)
-    first = joined.groupBy("group").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("group", "first")
-    return joined.join(first, "group").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tie", "number")
-
-
-def similar_lines(docs: DataFrame, sketched: DataFrame, width: int, percent: int, values: int) -> DataFrame:
-    """(node, component) of distinct lines that have a similar line."""
-    near = stored(bucket_members(sketched.select("node", "keys")).select("node", "key"))
-    if near.isEmpty():
-        return docs.sparkSession.createDataFrame([], "node long, component long")
-    nodes = near.select("node").distinct()
-    one = sketched.join(broadcast_if_small(nodes, 200_000), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tie", "number")).alias("at"))
-    contents = stored(line_texts(docs, one.select("node", "at.doc_id", "at.tie", "at.number")).dropDuplicates(["node"]))
-    grouped = near.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    return similar_components(grouped, contents, lambda t: line_sets(t, width), (percent, 100), values)
+    # a line without links is a group by itself, told by all its bits
+    grouped = lines.join(labels, (F.col("line") == F.col("node")) & (F.col("check") == F.col("of")), "left")
+    group = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
+    grouped = stored(grouped.select(F.xxhash64(group).alias("part"), group.alias("group"), "doc_id", "tie", "number"))
+    first = grouped.groupBy("part", "group").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("part", "group", "first")
+    # stored, so that a group with very many rows can be split by the join
+    first = broadcast_if_small(stored(first), SMALL_DOCS)
+    again = grouped.join(first.withColumnsRenamed({"part": "_part", "group": "_group"}), (F.col("part") == F.col("_part")) & F.col("group").eqNullSafe(F.col("_group")))
+    gone = again.filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tie", "number")
+    return gone.unionByName(settled.filter("kind = 'gone'").select("doc_id", "tie", "number"))
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, members: DataFrame, width: int, percent: int, values: int) -> DataFrame:
+    """(node, of, component) of distinct lines that have a similar line; ``of`` is the second half of their hash."""
+    nodes = stored(members.select("node").union(members.select("pivot")).distinct())
+    if nodes.isEmpty():
+        return docs.sparkSession.createDataFrame([], "node long, of long, component long")
+    found = lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, 200_000), "node", "left_semi")
+    one = stored(found.groupBy("node").agg(F.min(F.struct("check", "doc_id", "tie", "number")).alias("at")).select("node", "at.*"))
+    contents = stored(line_texts(docs, one).dropDuplicates(["node"]))
+    links = similar_components(members, contents, lambda t: line_sets(t, width), (percent, 100), values)
+    return links.join(one.select("node", F.col("check").alias("of")), "node").select("node", "of", "component")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -195,7 +340,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumns({doc: F.col(id_col).cast("long"), tie: row_key(text_col)})
     gone = duplicate_lines(keyed.select(F.col(doc).alias("doc_id"), F.col(tie).alias("tie"), F.col(text_col).alias("text")), **how)
     gone = gone.groupBy(F.col("doc_id").alias(gone_doc), F.col("tie").alias(gone_tie)).agg(F.collect_set("number").alias(out_lines))
-    gone = broadcast_if_small(stored(gone), 100_000)
+    gone = broadcast_if_small(stored(gone), SMALL_DOCS)
     out = keyed.join(gone, F.col(doc).eqNullSafe(F.col(gone_doc)) & (F.col(tie) == F.col(gone_tie)), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(out_lines, i)), "\n")
     same = F.col(out_lines).isNull()

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import broadcast_if_small, byte_slices, stored
@@ -78,16 +78,8 @@ def similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
-def bucket_members(keys: DataFrame) -> DataFrame:
-    """key, node, pivot (the smallest node of the bucket) of all buckets with two nodes or more; keys move once."""
-    bucket = Window.partitionBy("key")
-    each = keys.select("node", F.explode("keys").alias("key"))
-    return each.select("key", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last")).filter("pivot < last")
-
-
-def similar_components(keys: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple[int, int], values: int = 192) -> DataFrame:
-    """(node, component) of all nodes with a confirmed link. ``keys``: node, keys array<long>; ``contents``: node, text."""
-    members = stored(bucket_members(keys).filter("node != pivot").select("key", "node", "pivot"))
+def similar_components(members: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple[int, int], values: int = 192) -> DataFrame:
+    """(node, component) of all nodes with a confirmed link. ``members``: key, node, pivot (``bands``); ``contents``: node, text."""
     asked = stored(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirm(asked, contents, sets_of, share))
     labels = stored(connected_components(links))
@@ -127,9 +119,21 @@ def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, valu
 
 def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFrame:
     """(a, b): confirmed links that join different components of a group. ``ready``: node, comp, grp, signature, members."""
-    sizes = ready.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = ready.join(sizes, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a component that fills blocks has them for itself, and they need not meet each other
+    comps = stored(ready.groupBy("grp", "comp").agg(F.count("*").alias("n")))
+    mixed = comps.filter(F.col("n") < BLOCK).groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    sizes = comps.join(mixed, "grp", "left").select("grp", "comp", "n", F.coalesce("mixed", F.lit(1)).alias("mixed"))
+    alone = F.col("n") >= BLOCK
+    block = F.struct(
+        F.when(alone, F.col("comp")).alias("of"),
+        F.when(alone, F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.col("mixed"))).cast("long").alias("no"),
+    )
+    own = ready.join(broadcast_if_small(sizes, SMALL_IDS), ["grp", "comp"]).withColumn("own", block).drop("n", "mixed")
+    blocks = own.select("grp", "own").distinct().groupBy("grp").agg(F.collect_list("own").alias("others"))
+    meets = F.filter("others", lambda o: o["of"].isNull() | ~o["of"].eqNullSafe(F.col("own")["of"]))
+    dealt = own.join(blocks, "grp").withColumn("other", F.explode(meets))
+    number = lambda c: F.xxhash64(f"{c}.of", f"{c}.no")
+    dealt = dealt.withColumns({"own": number("own"), "other": number("other")})
     rows = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "signature", "members")
     rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     target = share[0] / share[1]
