@@ -82,7 +82,8 @@ def similar_tokens(left: DataFrame, right: DataFrame, distance: int) -> DataFram
 
     A word cut into ``distance + 1`` pieces keeps one piece unchanged under ``distance`` edits, moved by
     at most ``distance`` places. So both sides meet in an equi-join on (database, word length, piece
-    number, piece), and only those candidates are measured: exact, without comparing all pairs.
+    number, piece), and only those candidates are measured: exact, without comparing all pairs. A right word
+    of at most ``distance`` letters has no such pieces; see ``similar_short_tokens``.
     """
     a = left.select("database_name", F.col("token").alias("left_token")).distinct()
     b = right.select("database_name", F.col("token").alias("right_token")).distinct()
@@ -92,6 +93,8 @@ def similar_tokens(left: DataFrame, right: DataFrame, distance: int) -> DataFram
         ).select("database_name", "left_token", "right_token")
 
     pieces = distance + 1
+    short = similar_short_tokens(a, b.filter(F.length("right_token") <= distance), distance)
+    b = b.filter(F.length("right_token") > distance)
     n = F.length("right_token")
     cut_start = lambda i, size: F.floor(i * size / pieces).cast("int")
     cut_len = lambda i, size: cut_start(i + 1, size) - cut_start(i, size)
@@ -114,12 +117,34 @@ def similar_tokens(left: DataFrame, right: DataFrame, distance: int) -> DataFram
         .distinct()
     )
     close = F.levenshtein("left_token", "right_token", distance) >= 0
-    return (
-        probe.join(kept, ["database_name", "len", "piece", "text"])
-        .filter(close)
-        .select("database_name", "left_token", "right_token")
-        .distinct()
-    )
+    near = probe.join(kept, ["database_name", "len", "piece", "text"]).filter(close)
+    return near.select("database_name", "left_token", "right_token").distinct().unionByName(short)
+
+
+def shortened(word: Column, least: Column) -> Column:
+    """The distinct words left of a (short) word when letters are taken out and at least ``least`` stay, never none."""
+    letters = F.split(word, "")
+    has = lambda mask, i: F.floor(mask / F.pow(F.lit(2), i)) % 2 == 1
+    left = lambda mask: F.array_join(F.filter(letters, lambda _, i: has(mask, i)), "")
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.length(word)).cast("int") - 1)
+    return F.array_distinct(F.transform(F.filter(masks, lambda m: F.bit_count(m) >= least), left))
+
+
+def similar_short_tokens(a: DataFrame, short: DataFrame, distance: int) -> DataFrame:
+    """The pairs whose right word has at most ``distance`` letters.
+
+    Words within ``distance`` edits become equal when up to ``distance`` letters are taken out of each. A left word longer
+    than ``distance`` keeps a letter then, so both sides meet in an equi-join on what is left, and no key is empty.
+    Two words of at most ``distance`` letters are always near: each pair of them is a row of the result.
+    """
+    long = a.filter((F.length("left_token") > distance) & (F.length("left_token") <= 2 * distance))
+    size = F.length("left_token")
+    probe = long.withColumn("key", F.explode(shortened(F.col("left_token"), size - distance)))
+    kept = short.withColumn("key", F.explode(shortened(F.col("right_token"), F.lit(1))))
+    close = F.levenshtein("left_token", "right_token", distance) >= 0
+    near = probe.join(kept, ["database_name", "key"]).filter(close).select("database_name", "left_token", "right_token").distinct()
+    both = a.filter((F.length("left_token") <= distance) & (F.length("left_token") > 0)).join(short.filter("right_token <> ''"), "database_name")
+    return near.unionByName(both.select("database_name", "left_token", "right_token"))
 
 
 def link_by_tokens(
@@ -152,6 +177,8 @@ def link_by_tokens(
     on = ["database_name", "table_name"]
     ordered = F.array_sort(F.collect_list(F.struct("column_pos", "column_name")))
     tables = catalog.groupBy(*on).agg(F.min("table_pos").alias("table_pos"), ordered["column_name"].alias("all_columns"))
+    # joined to the questions' tables at the end: a small catalogue goes to them, a large one is shuffled
+    names = broadcast_if_small(tables, measure=catalog)
     # one row per (word, table): places of the columns the word names, none if it names the table only
     named = (
         targets.groupBy(*on, "token")
@@ -174,7 +201,7 @@ def link_by_tokens(
     named_columns = F.transform(F.array_sort("places"), lambda i: F.get("all_columns", i))
     columns = F.when(F.size("places") > 0, named_columns).otherwise(F.col("all_columns"))
     linked = (
-        per_table.join(tables, on)
+        per_table.join(names, on)
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("table_pos", "table_name", columns.alias("columns")))).alias("tables"))
     )

@@ -73,8 +73,8 @@ def _lev(a, b):
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_similar_tokens_is_exact(spark, distance):
     rng = random.Random(distance)
-    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(3, 9)))
-    left, right = {word() for _ in range(120)}, {word() for _ in range(120)}
+    word = lambda low: "".join(rng.choice("abc") for _ in range(rng.randint(low, 9)))
+    left, right = ({word(low) for low in (1, 1, 3) for _ in range(60)} for _ in range(2))
     frame = lambda words: spark.createDataFrame([("db", w) for w in words], "database_name string, token string")
     got = {(r["left_token"], r["right_token"]) for r in L.similar_tokens(frame(left), frame(right), distance).collect()}
     assert got == {(a, b) for a, b in itertools.product(left, right) if _lev(a, b) <= distance}

@@ -205,11 +205,11 @@ def link_text_sql(c: str) -> str:
     return rf"regexp_replace(translate(lower({c}), '_-', '  '), '[^a-z0-9\s]', '', 'g')"
 
 
-def tokens_sql(c: str) -> str:
+def tokens_sql(c: str, least: int = 3) -> str:
     text = link_text_sql(c)
     for word, at in K.SPLIT_WORDS.items():
         text = rf"regexp_replace({text}, '\b({word[:at]})({word[at:]})\b', '\1 \2', 'g')"
-    return rf"list_filter(string_split_regex({text}, '\s+'), lambda w: len(w) >= 3 AND w NOT IN {STOP_SQL})"
+    return rf"list_filter(string_split_regex({text}, '\s+'), lambda w: len(w) >= {least} AND w NOT IN {STOP_SQL})"
 
 
 TURNS_SQL = f"""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.text import link_tokens
 from nlsql_spark.operators import catalog as C
 from nlsql_spark.operators import link_metrics as M
 from nlsql_spark.operators import linking as L
@@ -98,6 +99,26 @@ def _(spark, sf):
     )
 
 
+def similar_words_sql(distance: int) -> str:
+    return f"""
+WITH {TURNS_SQL}, {WORD_CATALOG_SQL},
+l AS (SELECT DISTINCT unnest({tokens_sql('question', 1)}) AS left_token FROM turns),
+r AS (SELECT DISTINCT unnest({tokens_sql('column_name', 1)}) AS right_token FROM wcat UNION SELECT DISTINCT unnest({tokens_sql('table_name', 1)}) FROM wcat)
+SELECT left_token, right_token FROM l JOIN r ON abs(len(left_token) - len(right_token)) <= {distance} AND levenshtein(left_token, right_token) <= {distance}"""
+
+
+def similar_words(distance: int):
+    def run(spark, sf):
+        words = turns(spark, sf).select("database_name", F.explode(F.array_distinct(link_tokens(F.col("question"), 1))).alias("token"))
+        return L.similar_tokens(words, L.entity_tokens(word_catalog(spark, sf), 1), distance).select("left_token", "right_token")
+
+    return run
+
+
+for _distance in (1, 2, 3):
+    query(f"join_03_similar_words_{_distance}", similar_words_sql(_distance))(similar_words(_distance))
+
+
 @query("join_05_link_from_pairs", f"""
 WITH {CATALOG_SQL}, {QUESTIONS_SQL},
 p AS (SELECT question_id, database_name, lower(a) AS table_name, lower(b) AS column_name FROM (SELECT question_id, database_name,
