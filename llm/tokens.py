@@ -39,40 +39,44 @@ WHOLE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]{2}|^[\s\x0b\x1c-\x1f\x{85}\x{a0}]|[\s\x0
 
 
 class IdStore:
-    """Ids of strings in one growing array; a dictionary bounded in bytes numbers the strings, and two arrays say where the ids of each begin and how many they are."""
+    """Ids of strings in one growing array. The strings are one Arrow array, bounded in bytes; two arrays say where the ids of
+    each begin and how many they are."""
 
-    #: Of an entry beside its characters and ids: the string object, its number, its place in the dictionary, two array places.
-    ENTRY_BYTES = 200
+    #: Of an entry beside its characters and ids: an offset and two array places.
+    ENTRY_BYTES = 24
 
     def __init__(self, encode, most_bytes: int):
         self.encode, self.most_bytes, self.bytes = encode, most_bytes, 0
-        self.numbers: dict[str, int] = {}
+        self.strings = pa.array([], pa.large_string())
         self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def find(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        get = self.numbers.get
-        numbers = np.array([get(s, -1) for s in strings], np.int64)
+    def find(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each (distinct) string."""
+        numbers = pc.index_in(strings, value_set=self.strings)
+        missing = np.flatnonzero(np.asarray(numbers.is_null()))
+        numbers = numbers.fill_null(0).to_numpy()
         at, size = self.at[numbers], self.size[numbers]
-        missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            new = [strings[i] for i in missing.tolist()]
+            new = strings.take(pa.array(missing))
             flat, count = self.encode(new)
             if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(flat) + len(self.ids), np.uint32)])
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(flat) + min(len(self.ids), 1 << 20), np.uint32)])
             self.ids[self.used : self.used + len(flat)] = flat
             at[missing], size[missing] = self.used + np.cumsum(count) - count, count
-            known = len(self.numbers)
-            size_of = np.cumsum([len(s) + self.ENTRY_BYTES for s in new]) + 4 * np.cumsum(count)
-            room = int(np.searchsorted(size_of, self.most_bytes - self.bytes, "right"))
-            self.bytes += int(size_of[room - 1]) if room else 0
+            known, room = len(self.strings), 0
+            if self.bytes < self.most_bytes:
+                entry = np.cumsum(np.asarray(pc.binary_length(new)) + self.ENTRY_BYTES + 4 * count)
+                room = int(np.searchsorted(entry, self.most_bytes - self.bytes, "right"))
+                self.bytes = self.bytes + int(entry[room - 1]) if room == len(new) else self.most_bytes
             if known + room > len(self.at):
-                more = np.zeros(known + room, np.int64)
+                more = np.zeros(room + min(known, 1 << 18), np.int64)
                 self.at, self.size = np.concatenate([self.at[:known], more]), np.concatenate([self.size[:known], more])
             kept = missing[:room]
             self.at[known : known + room], self.size[known : known + room] = at[kept], size[kept]
-            self.numbers.update(zip(new[:room], range(known, known + room), strict=True))
+            if room:
+                self.strings = pa.concat_arrays([self.strings, new.slice(0, room)])
             # what found no room is overwritten by the next call
             self.used += int(count[:room].sum())
         return at, size
@@ -92,7 +96,7 @@ class TextEncoder:
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.is_end = np.zeros(1 + max(model["vocab"].values()), bool)
         self.is_end[[i for t, i in model["vocab"].items() if t.endswith(suffix)] if self.words else model["vocab"]["\u010a"]] = True
-        self.tokens = IdStore(self.encode_pretokens, cache_bytes)
+        self.tokens = IdStore(self.encode_new, cache_bytes)
         self.pieces = IdStore(self.encode_pieces, cache_bytes)
         self.long = long
 
@@ -151,7 +155,7 @@ class TextEncoder:
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         per_text = np.asarray(pc.list_value_length(parts)).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary
         code = coded.indices.to_numpy().astype(np.int64)
         # a piece that is not the first of its text begins with the blank it was cut at
         first = np.cumsum(per_text) - per_text
@@ -159,7 +163,8 @@ class TextEncoder:
         if inner:
             heads, place = heads[:0], code[first] - len(known)
         code[first] = len(known) + place
-        at, size = self.pieces.find([" " + p for p in known] + [known[i] for i in heads])
+        behind = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), known, pa.scalar(" ", pa.large_string()))
+        at, size = self.pieces.find(pa.concat_arrays([behind, known.take(pa.array(heads))]))
         length = size[code]
         out = self.pieces.ids[ranges(at[code], length)]
         counts = np.add.reduceat(length, first)
@@ -171,20 +176,24 @@ class TextEncoder:
         runs = [own[i] if i in own else out[at[i] : at[i] + counts[i]] for i in range(len(counts))]
         return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = new.to_pylist()
         if self.words:
             # below U+0250 every text is in NFC already, and lower case does not look at neighbours
             pieces = "<|".join(pieces).lower().split("<|")
         found = [self.pattern.findall(p) for p in pieces]
         per_piece = np.array([len(f) for f in found], np.int64)
-        distinct: dict[str, int] = {}
-        code = np.array([distinct.setdefault(t, len(distinct)) for f in found for t in f], np.int64)
-        at, size = self.tokens.find(list(distinct))
+        coded = pa.array([t for f in found for t in f], pa.large_string()).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        at, size = self.tokens.find(coded.dictionary)
         length = size[code]
         flat = self.tokens.ids[ranges(at[code], length)]
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(per_piece)]
         return flat, np.diff(ends, prepend=0)
 
+    def encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_pretokens(new.to_pylist())
+
     def encode_pretokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All in a few long texts: one call for each would cost more than the work itself."""
         alone = [i for i, t in enumerate(tokens) if len(t) > 100_000 or not self.words and "\n" in t]

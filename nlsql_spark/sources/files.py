@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nlsql_spark.functions.text import normalize_text
 from nlsql_spark.operators.linking import LINKS_TYPE, links_flat
 from nlsql_spark.operators.ordering import ordered_position
+from nlsql_spark.sources.json_array import array_elements
 
 ENTRY_REQUIRED = ["db_id", "question", "evidence", "SQL"]
 ENTRY_VARIANTS = {"train": [], "dev": ["question_id", "difficulty"], "train_with_steps": ["reasoning_steps"]}
@@ -40,14 +41,11 @@ def with_position(df: DataFrame, items: str, id_col: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, id_col: str = "pos") -> DataFrame:
-    """``pos, entry`` (entry as JSON text) of a file that holds one JSON array.
+    """``pos, entry`` (entry as JSON text) of files that hold one JSON array each, numbered over all of them.
 
-    Such a file has no record boundaries to split at and is parsed as one value. Large sets belong in
-    JSON lines or Parquet (``read_jsonl``).
+    Every task reads a byte range, however large a file is (``json_array``). A file that is no whole array fails.
     """
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", "array<string>")
-    return with_position(whole.select(items.alias("entry")), "entry", id_col)
+    return array_elements(spark, path, id_col=id_col)
 
 
 def validate_entries(df: DataFrame, entry: str = "entry", variants: dict[str, list[str]] = ENTRY_VARIANTS) -> tuple[DataFrame, DataFrame]:

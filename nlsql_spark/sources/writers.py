@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark.operators.linking import link_by_substring
+from nlsql_spark.sources.json_array import write_json_array
 
 
 def write_jsonl(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -12,17 +13,13 @@ def write_jsonl(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def write_enriched_entries(df: DataFrame, path: str) -> None:
-    """Entries with their steps, under the names of the question-set files, as JSON lines.
-
-    One JSON array would have to pass through one task whole, so lines take its place.
-    """
-    write_jsonl(
-        df.select(
-            F.col("database_name").alias("db_id"), "question", F.col("knowledge").alias("evidence"),
-            F.col("sql_query").alias("SQL"), "reasoning_steps",
-        ),
-        path,
+    """Entries with their steps, under the names of the question-set files, as one JSON array by id (``read_written_array``)."""
+    entry = F.struct(
+        F.col("database_name").alias("db_id"), F.col("question"), F.col("knowledge").alias("evidence"),
+        F.col("sql_query").alias("SQL"), F.col("reasoning_steps"),
     )
+    text = F.to_json(entry, {"ignoreNullFields": "false"})
+    write_json_array(df.select("question_id", text.alias("entry")), path, ["question_id"])
 
 
 def prediction_rows(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from nlsql_spark.plans.jobs import retrieval_documents
 from nlsql_spark.session import shared_dir
 from nlsql_spark.sources import files as S
 from nlsql_spark.sources import writers as W
+from nlsql_spark.sources.json_array import read_written_array, write_json_array
 from workload.inputs import CATALOG_SQL, QUESTIONS_SQL, SUBSTRING_SQL, catalog, links_text, questions, stored_questions, table
 from workload.q_text import SAMPLES_SQL, samples
 from workload.registry import query
@@ -139,12 +140,26 @@ def _(spark, sf):
     return e.select("example_id", F.size("embedding").alias("dims"), F.col("embedding")[0].alias("first_value"))
 
 
-@query("snk_02_enriched_entries", f"WITH {QUESTIONS_SQL} SELECT database_name AS db_id, question, sql_query AS \"SQL\", len(reasoning_steps)::INTEGER AS n FROM questions")
+@query("snk_02_enriched_entries", f"""
+WITH {QUESTIONS_SQL} SELECT row_number() OVER (ORDER BY question_id) - 1 AS pos, database_name AS db_id, question, sql_query AS "SQL",
+    len(reasoning_steps)::INTEGER AS n, array_to_string(reasoning_steps, '|') AS steps FROM questions""")
 def _(spark, sf):
+    """One JSON array in parts, read back in the order of the ids."""
     folder = _folder(spark)
     W.write_enriched_entries(questions(spark, sf), folder)
-    back = S.read_jsonl(spark, folder, S.ENTRY_SCHEMA)
-    return back.select("db_id", "question", "SQL", F.size("reasoning_steps").alias("n"))
+    back = read_written_array(spark, folder).select("pos", F.from_json("entry", S.ENTRY_SCHEMA).alias("e")).select("pos", "e.*")
+    return back.select("pos", "db_id", "question", "SQL", F.size("reasoning_steps").alias("n"), F.array_join("reasoning_steps", "|").alias("steps"))
+
+
+@query("src_01_read_one_array", f"""
+WITH {QUESTIONS_SQL} SELECT row_number() OVER (ORDER BY question_id) - 1 AS pos, question_id, question, sql_query FROM questions""")
+def _(spark, sf):
+    """All entries as one array file, in which elements have line breaks, braces and quotes, read by ranges."""
+    folder = _folder(spark)
+    q = questions(spark, sf).select("question_id", "question", "sql_query", F.lit('\\"}],{[ \\\\').alias("odd"))
+    write_json_array(q.select("question_id", F.to_json(F.struct("question_id", "question", "sql_query", "odd"), {"pretty": "true"}).alias("entry")), folder, ["question_id"])
+    back = read_written_array(spark, folder).select("pos", F.from_json("entry", "question_id long, question string, sql_query string").alias("e"))
+    return back.select("pos", "e.*")
 
 
 @query("snk_05_run_results", f"WITH {CATALOG_SQL}, {QUESTIONS_SQL}, {SUBSTRING_SQL}, l AS ({LINKS_SQL}) SELECT question_id, sql_query AS response, 'None' AS error, links FROM questions JOIN l USING (question_id)")
