@@ -5,10 +5,11 @@ A line is what stands between line ends, compared without blanks at its ends and
 holds the distinct runs of ``width`` characters (a shorter line is one run). Every line that is not blank takes part,
 whatever its length and script; a line shorter than ``width`` can only be equal to another, which its hash tells.
 
-1. Tasks scan the texts in windows of lines. Of equal lines of a window only the first occurrence goes on, the others
-   are known to go. Band keys leave as packed blobs (``bands``), not as rows.
+1. Tasks scan the texts in windows of lines, and keep their rows in a file each (``partfiles``). Of equal lines of a
+   window only the first occurrence goes on, the others are known to go. Band keys leave as packed blobs (``bands``).
 2. Buckets give pairs, full sets confirm them, links become components (``lsh``, ``components``).
 3. One row per distinct line and window is grouped by component; all but the first occurrence of a component go.
+4. Decisions are dealt out by the partition the line came from, and its task cuts them out of the rows of the file.
 
 Equal lines are told by 128 bits. In the graph of similar lines a line goes by the first 64 of them; should two
 different lines have these in common, the one with the smaller rest stands for them and the other has no links. The first
@@ -28,19 +29,21 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.bands import BLOBS, Window, blob_batch, share_members, with_pivots
-from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored
+from llm.common import broadcast_if_small, byte_slices, free_name, fresh_dir, row_key, spread, stored
 from llm.hashing import U, mix
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
+from llm.partfiles import PartWriter, read_part
 
 WIDTH, PERCENT, BANDS, ROWS = 8, 80, 14, 4
 #: Characters that are scanned at once, and lines of one window.
 PART = 1 << 20
 WINDOW_LINES = 1 << 16
-#: Tables of more rows than this are not broadcast to the texts.
-SMALL_DOCS = 20_000
+#: Tables of more (narrow) rows than this are not broadcast.
+SMALL_ROWS = 50_000
 WHITE_CHARS = " \t\n\v\f\r"
 STEPS = np.random.default_rng(20240811).integers(1, 1 << 62, 16, dtype=np.uint64) * U(2) + U(1)
 
@@ -213,26 +216,30 @@ class LineScan:
 
 
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
-SCANNED = f"{BLOBS}, line long, check long, doc_id long, tie long, number int"
+LINE = {"line": pa.int64(), "check": pa.int64(), "doc_id": pa.int64(), "tie": pa.int64(), "number": pa.int32(), "part": pa.int32(), "path": pa.string()}
+LINE_SCHEMA = "line long, check long, doc_id long, tie long, number int, part int, path string"
+SCANNED = f"{BLOBS}, {LINE_SCHEMA}"
 
 
-def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int) -> DataFrame:
+def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int, target: str) -> DataFrame:
     """Blobs of band keys, and of each window rows of kind ``line`` (the first occurrence of each distinct line: line, check,
-    doc_id, tie, number) and ``gone`` (all further occurrences)."""
+    doc_id, tie, number, part) and ``gone`` (all further occurrences); and the ``file`` of each part.
+
+    ``docs``: doc_id, tie, text, and then all columns that are to be kept.
+    """
     scan = LineScan(width, bands * rows)
 
-    def line_batch(kind, columns, known, spot):
+    def line_batch(kind, columns, known, spot, part):
         n = len(columns[0])
         empty = [pa.nulls(n, pa.binary())] * 3
-        doc = pa.array(columns[2], mask=~known)
         share = (spot + np.arange(n)) % shares
-        arrays = [pa.array([kind] * n), pa.array(share.astype(np.int32)), *empty, *(pa.array(c.view(np.int64)) for c in columns[:2]), doc, pa.array(columns[3]), pa.array(columns[4].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(arrays, ["kind", "share", "keys", "nodes", "flags", "line", "check", "doc_id", "tie", "number"])
+        arrays = [pa.array([kind] * n), pa.array(share.astype(np.int32)), *empty, *(pa.array(c.view(np.int64)) for c in columns[:2])]
+        arrays += [pa.array(columns[2], mask=~known), pa.array(columns[3]), pa.array(columns[4].astype(np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "share", "keys", "nodes", "flags", *LINE])
 
     def widened(rows):
         batch = blob_batch(rows)
-        none = [pa.nulls(len(batch), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *none], [*batch.schema.names, "line", "check", "doc_id", "tie", "number"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(len(batch), t) for t in LINE.values())], [*batch.schema.names, *LINE])
 
     def reduced(held, spot):
         line, check, doc, tie, number, known = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -242,12 +249,14 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int)
         same = np.append(False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (number[1:] == number[:-1]) & (known[1:] == known[:-1]))
         for kind, use in (("line", new), ("gone", ~new & ~same)):
             if use.any():
-                yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot)
+                yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot % shares, spot)
 
     def work(batches):
-        spot = TaskContext.get().partitionId() % shares
-        window, held, lines = Window(shares, spot), [], 0
+        spot = TaskContext.get().partitionId()
+        window, held, lines = Window(shares, spot % shares), [], 0
+        writer = PartWriter(target, spot)
         for batch in batches:
+            writer.write(batch)
             ids, ties = batch.column(0), batch.column(1).to_numpy()
             known = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
@@ -266,11 +275,15 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int)
         blobs = window.flush()
         if blobs:
             yield widened(blobs)
+        path = writer.close()
+        if path:
+            none = [pa.nulls(1, pa.binary())] * 3 + [pa.nulls(1, t) for t in list(LINE.values())[:-2]]
+            yield pa.RecordBatch.from_arrays([pa.array(["file"]), pa.array([spot % shares], pa.int32()), *none, pa.array([spot], pa.int32()), pa.array([path])], ["kind", "share", "keys", "nodes", "flags", *LINE])
 
     return docs.mapInArrow(work, SCANNED)
 
 
-SETTLED = "kind string, key long, node long, pivot long, line long, check long, doc_id long, tie long, number int"
+SETTLED = f"kind string, key long, node long, pivot long, {LINE_SCHEMA}"
 
 
 def settle_shares(batches):
@@ -281,71 +294,131 @@ def settle_shares(batches):
         lines = batch.filter(pc.invert(own))
         if len(lines):
             none = [pa.nulls(len(lines), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([lines.column(0), *none, *(lines.column(c) for c in ("line", "check", "doc_id", "tie", "number"))], [x.split()[0] for x in SETTLED.split(", ")])
+            yield pa.RecordBatch.from_arrays([lines.column(0), *none, *(lines.column(c) for c in LINE)], [x.split()[0] for x in SETTLED.split(", ")])
         if len(lines) < len(batch):
             blobs.append(batch.filter(own))
     for found in share_members(iter(blobs)):
         n = len(found)
-        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+        none = [pa.nulls(n, t) for t in LINE.values()]
         yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), *found.columns, *none], [x.split()[0] for x in SETTLED.split(", ")])
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted lines: ``wanted`` has node, doc_id, tie, number of one occurrence each."""
-    places = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("number", "node")).alias("places"))
-    places = broadcast_if_small(stored(places), SMALL_DOCS)
-    joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    lines = joined.select(F.split("text", "\n", -1).alias("lines"), "places")
-    each = lines.select(F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get("lines", p["number"]).alias("text"))).alias("x"))
-    trimmed = F.regexp_replace("x.text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return each.select(F.explode("x").alias("x")).select("x.node", trimmed.alias("text"))
+def by_part(rows: DataFrame, parts: int, work_on, schema) -> DataFrame:
+    """``rows``: part, path (in one row of each part) and three columns of what is asked or decided; a task takes whole parts."""
+
+    def work(batches):
+        held: dict[int, list] = {}
+        paths: dict[int, str] = {}
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            own = np.asarray(batch.column(1).is_valid())
+            for i in np.flatnonzero(own).tolist():
+                paths[int(part[i])] = batch.column(1)[i].as_py()
+            for p in np.unique(part[~own]).tolist():
+                held.setdefault(p, []).append(batch.filter(pa.array((part == p) & ~own)))
+        for p, path in paths.items():
+            yield from work_on(read_part(path), pa.Table.from_batches(held.pop(p)) if p in held else None)
+
+    return rows.repartition(parts, "part").mapInArrow(work, schema)
+
+
+def numbers_by_row(asked: pa.Table) -> dict:
+    """(doc_id, tie) -> places in ``asked`` (columns doc_id, tie from the third on)."""
+    out: dict = {}
+    for i, key in enumerate(zip(asked.column(2).to_pylist(), asked.column(3).to_pylist(), strict=True)):
+        out.setdefault(key, []).append(i)
+    return out
+
 
+def line_texts(files: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """(node, text) of the wanted lines: ``wanted`` has node, part, doc_id, tie, number of one occurrence each."""
+    none = lambda t: F.lit(None).cast(t)
+    asks = wanted.select("part", none("string").alias("path"), "doc_id", "tie", F.col("number").cast("long").alias("number"), "node")
+    places = files.select("part", "path", *[none("long").alias(c) for c in ("doc_id", "tie", "number", "node")])
 
-def duplicate_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, tie, number) of each line that goes. ``docs``: doc_id, tie, text."""
-    dealt = spread(docs)
-    shares = max(8, 2 * dealt.rdd.getNumPartitions())
-    settled = stored(scan_lines(dealt, width, bands, rows, shares).repartition(shares, "share").mapInArrow(settle_shares, SETTLED))
+    def texts_of(batches, asked):
+        if asked is None:
+            return
+        places = numbers_by_row(asked)
+        number, node = asked.column(4).to_pylist(), asked.column(5).to_pylist()
+        for batch in batches:
+            found = []
+            for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key in places:
+                    lines = batch.column(2)[row].as_py().split("\n")
+                    found += [(node[i], lines[number[i]].strip(WHITE_CHARS)) for i in places.pop(key)]
+            if found:
+                nodes, texts = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
+
+    return by_part(asks.unionByName(places), parts, texts_of, "node long, text string")
+
+
+def duplicate_lines(settled: DataFrame, width: int, percent: int, values: int, parts: int) -> DataFrame:
+    """(part, doc_id, tie, number) of each line that goes."""
+    files = settled.filter("kind = 'file'").select("part", "path")
     members = with_pivots(settled.filter("kind = 'member'").select("key", "node", "pivot"))
-    lines = settled.filter("kind = 'line'").select("line", "check", "doc_id", "tie", "number")
-    labels = similar_lines(docs, lines, members, width, percent, bands * rows)
+    lines = settled.filter("kind = 'line'").select("line", "check", "doc_id", "tie", "number", "part")
+    labels = similar_lines(files, lines, members, width, percent, values, parts)
     here = F.struct("doc_id", "tie", "number")
     # a line without links is a group by itself, told by all its bits
     grouped = lines.join(labels, (F.col("line") == F.col("node")) & (F.col("check") == F.col("of")), "left")
-    group = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
-    grouped = stored(grouped.select(F.xxhash64(group).alias("part"), group.alias("group"), "doc_id", "tie", "number"))
-    first = grouped.groupBy("part", "group").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("part", "group", "first")
+    group = [F.coalesce("component", "line").alias("group"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("rest")]
+    grouped = stored(grouped.select(*group, "doc_id", "tie", "number", "part"))
+    first = grouped.groupBy("group", "rest").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("group", "rest", "first")
     # stored, so that a group with very many rows can be split by the join
-    first = broadcast_if_small(stored(first), SMALL_DOCS)
-    again = grouped.join(first.withColumnsRenamed({"part": "_part", "group": "_group"}), (F.col("part") == F.col("_part")) & F.col("group").eqNullSafe(F.col("_group")))
-    gone = again.filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tie", "number")
-    return gone.unionByName(settled.filter("kind = 'gone'").select("doc_id", "tie", "number"))
+    again = grouped.join(broadcast_if_small(stored(first), SMALL_ROWS), ["group", "rest"])
+    gone = again.filter(~here.eqNullSafe(F.col("first"))).select("part", "doc_id", "tie", "number")
+    return gone.unionByName(settled.filter("kind = 'gone'").select("part", "doc_id", "tie", "number"))
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, members: DataFrame, width: int, percent: int, values: int) -> DataFrame:
+def similar_lines(files: DataFrame, lines: DataFrame, members: DataFrame, width: int, percent: int, values: int, parts: int) -> DataFrame:
     """(node, of, component) of distinct lines that have a similar line; ``of`` is the second half of their hash."""
     nodes = stored(members.select("node").union(members.select("pivot")).distinct())
     if nodes.isEmpty():
-        return docs.sparkSession.createDataFrame([], "node long, of long, component long")
-    found = lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, 200_000), "node", "left_semi")
-    one = stored(found.groupBy("node").agg(F.min(F.struct("check", "doc_id", "tie", "number")).alias("at")).select("node", "at.*"))
-    contents = stored(line_texts(docs, one).dropDuplicates(["node"]))
+        return files.sparkSession.createDataFrame([], "node long, of long, component long")
+    found = lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, SMALL_ROWS), "node", "left_semi")
+    one = stored(found.groupBy("node").agg(F.min(F.struct("check", "doc_id", "tie", "number", "part")).alias("at")).select("node", "at.*"))
+    contents = stored(line_texts(files, one, parts))
     links = similar_components(members, contents, lambda t: line_sets(t, width), (percent, 100), values)
     return links.join(one.select("node", F.col("check").alias("of")), "node").select("node", "of", "component")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts, plus ``n_lines_removed``; all rows and columns stay."""
-    doc, tie, gone_doc, gone_tie, out_lines = (free_name(docs, n) for n in ("this_doc", "this_tie", "gone_doc", "gone_tie", "gone_lines"))
-    keyed = docs.withColumns({doc: F.col(id_col).cast("long"), tie: row_key(text_col)})
-    gone = duplicate_lines(keyed.select(F.col(doc).alias("doc_id"), F.col(tie).alias("tie"), F.col(text_col).alias("text")), **how)
-    gone = gone.groupBy(F.col("doc_id").alias(gone_doc), F.col("tie").alias(gone_tie)).agg(F.collect_set("number").alias(out_lines))
-    gone = broadcast_if_small(stored(gone), SMALL_DOCS)
-    out = keyed.join(gone, F.col(doc).eqNullSafe(F.col(gone_doc)) & (F.col(tie) == F.col(gone_tie)), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(out_lines, i)), "\n")
-    same = F.col(out_lines).isNull()
-    out = out.withColumn(text_col, F.when(same, F.col(text_col)).otherwise(kept))
-    out = out.withColumn("n_lines_removed", F.when(same, 0).otherwise(F.size(out_lines)).cast("long"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")
+    kept = [f for f in docs.schema.fields if f.name != "n_lines_removed"]
+    keyed = spread(docs.select(F.col(id_col).cast("long").alias(free_name(docs, "this_doc")), row_key(text_col).alias(free_name(docs, "this_tie")), F.col(text_col).alias(free_name(docs, "this_text")), *[f"`{f.name}`" for f in kept if f.name != text_col]))
+    parts = keyed.rdd.getNumPartitions()
+    shares = max(8, 2 * parts)
+    target = fresh_dir(docs.sparkSession, "lines")
+    settled = stored(scan_lines(keyed, width, bands, rows, shares, target).repartition(shares, "share").mapInArrow(settle_shares, SETTLED))
+    gone = duplicate_lines(settled, width, percent, bands * rows, parts)
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    rows_of = gone.select("part", none("string", "path"), "doc_id", "tie", F.col("number").cast("long").alias("number"))
+    rows_of = rows_of.unionByName(settled.filter("kind = 'file'").select("part", "path", *[none("long", c) for c in ("doc_id", "tie", "number")]))
+    schema = T.StructType([*kept, T.StructField("n_lines_removed", T.LongType())])
+    others = [f.name for f in kept if f.name != text_col]
+    chars = "n_chars" if "n_chars" in others else None
+
+    def cut(batches, decided):
+        places = {} if decided is None else numbers_by_row(decided)
+        number = [] if decided is None else decided.column(4).to_pylist()
+        for batch in batches:
+            text, removed = batch.column(2).to_pylist() if places else None, np.zeros(len(batch), np.int64)
+            size = {}
+            if places:
+                for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    if key in places:
+                        drop = {number[i] for i in places[key]}
+                        text[row] = "\n".join([line for k, line in enumerate(text[row].split("\n")) if k not in drop])
+                        removed[row], size[row] = len(drop), len(text[row])
+            columns = dict(zip(others, batch.columns[3:], strict=True))
+            columns[text_col] = pa.array(text, batch.column(2).type) if size else batch.column(2)
+            if chars and size:
+                counts = columns[chars].to_pylist()
+                for row, n in size.items():
+                    counts[row] = n
+                columns[chars] = pa.array(counts, columns[chars].type)
+            yield pa.RecordBatch.from_arrays([*(columns[f.name] for f in kept), pa.array(removed)], schema.names)
+
+    return by_part(rows_of, parts, cut, schema)
