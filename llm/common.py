@@ -43,7 +43,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def byte_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def byte_slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes of text (a longer text is a range of its own)."""
     size = np.cumsum(lengths(texts))
     start = 0

@@ -39,7 +39,8 @@ from llm.minmax import band_keys, signatures
 from llm.partfiles import PartWriter, read_part
 
 WIDTH, PERCENT, BANDS, ROWS = 8, 80, 14, 4
-#: Characters that are scanned at once, and lines of one window.
+#: Bytes of a slice of texts (its arrays stay in the cache of a core), characters of a part of a long text, lines of one window.
+SLICE = 1 << 17
 PART = 1 << 20
 WINDOW_LINES = 1 << 16
 #: Tables of more (narrow) rows than this are not broadcast.
@@ -192,7 +193,7 @@ class LineScan:
 
     def texts(self, texts: pa.Array):
         """All lines of some texts, part by part, as ``short`` gives them."""
-        for a, b in byte_slices(texts, PART):
+        for a, b in byte_slices(texts, SLICE):
             if b - a > 1 or len(text := texts[a].as_py() or "") <= PART:
                 found = self.short(texts.slice(a, b - a))
                 yield found[0] + a, *found[1:]
