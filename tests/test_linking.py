@@ -109,6 +109,39 @@ def test_knn_block_path_equals_brute_force(spark):
         assert got == want
 
 
+def test_knn_by_cells_on_clusters(spark):
+    """Far clusters, copies of one vector, fewer docs than k, several query blocks in one cell."""
+    import numpy as np
+
+    from nlsql_spark.operators import knn as module
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 50
+    docs = [(i, (centres[i % 12] + rng.normal(size=6)).round(3).tolist()) for i in range(600)] + [(1000 + i, centres[0].tolist()) for i in range(200)]
+    queries = [(i, (centres[i % 3] + rng.normal(size=6) * 2).round(3).tolist()) for i in range(90)]
+    kind = "example_id long, embedding array<double>"
+    d, q = spark.createDataFrame(docs, kind), spark.createDataFrame(queries, kind)
+    x, ids = np.array([v for _, v in docs]), np.array([i for i, _ in docs])
+    for k in (1, 7, 250, 900):
+        got = {}
+        for r in module.knn(q, d, k, block_queries=16, block_docs=50).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["doc_id"])
+        for i, v in queries:
+            order = np.lexsort((ids, ((x - np.array(v)) ** 2).sum(1)))[:k]
+            assert got[i] == ids[order].tolist()
+    # few cells are within reach of a query, and none that holds an answer is left out
+    placed, cells = module.voronoi_cells(d)
+    where = {r["example_id"]: r["cell"] for r in placed.collect()}
+    far = cells.distances(np.array([v for _, v in queries]))
+    reach = np.array([np.sort(np.sqrt(((x - np.array(v)) ** 2).sum(1)))[4] for _, v in queries])
+    found = cells.cells_in_reach(far, reach)
+    for row, (_, v) in enumerate(queries):
+        near = ids[np.lexsort((ids, ((x - np.array(v)) ** 2).sum(1)))[:5]]
+        assert all(found[row, where[n]] for n in near)
+    assert (found * cells.n).sum() < 0.25 * len(queries) * len(docs)
+    assert module.knn(q, d.limit(0), 3, block_queries=16).count() == 0
+
+
 def test_knn_with_many_copies(spark, monkeypatch):
     """A third of the documents are one vector; ties go to the lowest ids, in small slices too."""
     from nlsql_spark.operators import knn as module

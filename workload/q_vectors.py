@@ -8,6 +8,8 @@ from nlsql_spark.operators import model_steps as M
 from nlsql_spark.operators.knn import knn
 from nlsql_spark.operators.linking import link_by_embedding
 from nlsql_spark.plans.jobs import generate_sql, vector_links
+from nlsql_spark import constants as K
+from nlsql_spark.operators.ordering import with_document_id
 from nlsql_spark.session import shared_dir
 from nlsql_spark.streaming.vector_store import embed_stream, read_store
 from workload.inputs import CATALOG_SQL, QUESTIONS_SQL, catalog, links_text, questions, table, turns, uniform_sql
@@ -42,7 +44,7 @@ def _(spark, sf):
 
 @query("srt_01_knn_blocks", f"WITH {NEAR_SQL} SELECT query_id::BIGINT AS query_id, doc_id, round(distance, 5) AS distance, rank::INTEGER AS rank FROM near WHERE rank <= 5")
 def _(spark, sf):
-    """The path for many queries: hashed query blocks against hashed doc blocks."""
+    """The path for many queries: cells around pivots, searched as far as the k-th hit reaches."""
     near = knn(centroids(spark, sf), vectors(spark, sf), 5, block_queries=4, block_docs=128)
     return near.withColumn("distance", F.round("distance", 5))
 
@@ -130,13 +132,31 @@ def _(spark, sf):
     return spread.groupBy("template").agg(F.count("*").alias("requests"), F.count_distinct("id").alias("ids"))
 
 
-@query("job_04_vector_links")
+LETTERS = "aeinorst_1"
+LETTERS_SQL = "[" + ", ".join(f"len(t) - len(replace(t, '{c}', ''))" for c in LETTERS) + "]"
+
+
+def letter_counts(texts):
+    """A stand-in model that SQL can follow: how often each of some letters occurs."""
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+@query("job_04_vector_links", f"""
+WITH {CATALOG_SQL}, {QUESTIONS_SQL},
+d AS (SELECT *, row_number() OVER (ORDER BY database_name, table_pos, table_name, column_pos) AS document_id, table_name || ' ' || column_name AS t FROM catalog),
+dv AS (SELECT document_id, table_name, column_name, {LETTERS_SQL} AS v FROM d),
+qv AS (SELECT question_id, {LETTERS_SQL} AS v FROM (SELECT question_id, '{K.QUERY_PREFIX}' || lower(question) || ' ' || lower(coalesce(knowledge, '')) AS t FROM questions)),
+qu AS (SELECT DISTINCT v FROM qv),
+near AS (SELECT qu.v, document_id, table_name, column_name, row_number() OVER (PARTITION BY qu.v
+    ORDER BY list_sum(list_transform(list_zip(qu.v, dv.v), lambda p: (p[1] - p[2]) ** 2)), document_id) AS rank FROM qu, dv),
+g AS (SELECT v, table_name, min(document_id) AS o, string_agg(column_name, '|' ORDER BY document_id) AS cols FROM near WHERE rank <= 5 GROUP BY 1, 2),
+l AS (SELECT v, string_agg(table_name || '(' || cols || ')', ';' ORDER BY o) AS links FROM g GROUP BY 1)
+SELECT question_id, links FROM qv JOIN l USING (v)""")
 def _(spark, sf):
-    documents = catalog(spark, sf).select(
-        F.xxhash64("database_name", "table_name", "column_name").alias("document_id"), "table_name", F.col("column_name").alias("col_name")
-    )
+    numbered = with_document_id(catalog(spark, sf), ["database_name", "table_pos", "table_name", "column_pos"])
+    documents = numbered.select("document_id", "table_name", F.col("column_name").alias("col_name"))
     texts = documents.select(F.col("document_id").alias("example_id"), F.concat_ws(" ", "table_name", "col_name").alias("input_to_embed"))
-    return vector_links(questions(spark, sf), documents, texts, 5, dim=16).select("question_id", links_text().alias("links"))
+    return vector_links(questions(spark, sf), documents, texts, 5, letter_counts, normalize=False).select("question_id", links_text().alias("links"))
 
 
 @query("job_09_generate_sql", f"""
