@@ -1,7 +1,9 @@
 """Column profiles and retrieval documents, built from whole data tables."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -9,6 +11,10 @@ from pyspark.sql.types import DoubleType, FloatType
 from nlsql_spark import constants as K
 from nlsql_spark.functions.text import document_text, excluded_column, normalize_text
 from nlsql_spark.operators.ordering import with_document_id
+from nlsql_spark.session import broadcast_if_small, materialize
+
+#: Tables that Spark estimates at no more bytes have their values counted directly.
+DIRECT_BYTES = 256 << 20
 
 
 def _long(df: DataFrame, cols: Sequence[str], *extra: str) -> DataFrame:
@@ -40,22 +46,98 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ends.select(F.inline(pairs))
 
 
-def top_values(df: DataFrame, cols: Sequence[str], position: str, k: int = K.TOP_VALUES) -> DataFrame:
+SUMMARY = "column_name string, value string, least long, missed long"
+
+
+def frequent_summaries(cells: DataFrame, capacity: int) -> DataFrame:
+    """Misra-Gries summaries of each task: values that may be frequent, each counted ``least`` times at least.
+
+    A summary keeps ``capacity`` values per column; when there are more, the count of the first one too many is taken off all.
+    What was taken off is ``missed`` (in one row per column without value): no value was seen more than ``least + missed`` times.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str, int]] = {}
+        missed: dict[str, int] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by(["column_name", "value"]).aggregate([([], "count_all")])
+            for column, value, n in zip(*(table.column(c).to_pylist() for c in ("column_name", "value", "count_all")), strict=True):
+                counts = kept.setdefault(column, {})
+                counts[value] = counts.get(value, 0) + n
+            for column, counts in kept.items():
+                if len(counts) > capacity:
+                    off = sorted(counts.values(), reverse=True)[capacity]
+                    kept[column] = {v: n - off for v, n in counts.items() if n > off}
+                    missed[column] = missed.get(column, 0) + off
+        rows = [(c, v, n, 0) for c, counts in kept.items() for v, n in counts.items()] + [(c, None, 0, n) for c, n in missed.items()]
+        if rows:
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in SUMMARY.split(", ")])
+
+    return cells.select("column_name", "value").mapInArrow(work, SUMMARY)
+
+
+def frequent_values(cells: DataFrame, k: int, capacity: int) -> tuple[DataFrame, list[str]]:
+    """(column_name, value, n, first_pos of values that may be among the ``k`` most frequent, columns for which it is proven).
+
+    Only summaries and the counts of candidates are shuffled. It is proven for a column if its k-th exact count is above
+    all that a value outside the candidates can have, or if no summary left out anything.
+    """
+    summary = materialize(frequent_summaries(cells, capacity))
+    missed = summary.groupBy("column_name").agg(F.sum("missed").alias("missed"))
+    seen = summary.filter("value is not null").groupBy("column_name", "value").agg(F.sum("least").alias("least"))
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("least")))
+    kth = seen.withColumn("rank", rank).filter(F.col("rank") == k).select("column_name", F.col("least").alias("border"))
+    bounds = missed.join(kth, "column_name", "left")
+    wanted = seen.join(F.broadcast(bounds), "column_name").filter(F.col("least") + F.col("missed") >= F.coalesce("border", F.lit(0)))
+    wanted = broadcast_if_small(materialize(wanted.select("column_name", "value")))
+    exact = materialize(_count_values(cells.join(wanted, ["column_name", "value"], "left_semi")))
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n")))
+    reached = exact.withColumn("rank", rank).filter(F.col("rank") == k).select("column_name", F.col("n").alias("reached"))
+    # one row per column
+    proof = missed.join(reached, "column_name", "left").filter((F.col("missed") == 0) | (F.col("reached") > F.col("missed")))
+    return exact, [r["column_name"] for r in proof.collect()]
+
+
+def _count_values(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("column_name", "value").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+def values_by_hash(cells: DataFrame, k: int) -> tuple[DataFrame, list[str]]:
+    """The same where no value stands out (a key, say): counts go by a 64-bit hash, and only the best values are fetched.
+
+    A hash that two of the fetched values share, or that hides a value, shows in the counts; such columns are not proven.
+    """
+    hashed = cells.withColumn("hash", F.xxhash64("value"))
+    counts = hashed.groupBy("column_name", "hash").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "first_pos")
+    best = F.broadcast(materialize(counts.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k)).drop("rank"))
+    # k rows per column, as positions differ
+    fetched = materialize(_count_values(hashed.join(best.select("column_name", "hash"), ["column_name", "hash"], "left_semi")))
+    same = fetched.withColumn("hash", F.xxhash64("value")).join(best.withColumnsRenamed({"n": "all", "first_pos": "_first"}), ["column_name", "hash"])
+    return fetched, [r["column_name"] for r in same.groupBy("column_name").agg(F.bool_and(F.col("n") == F.col("all")).alias("ok")).filter("ok").collect()]
+
+
+def top_values(df: DataFrame, cols: Sequence[str], position: str, k: int = K.TOP_VALUES, capacity: int = 4_096, direct_bytes: int = DIRECT_BYTES) -> DataFrame:
     """The ``k`` most frequent values of each column; ties go to the value seen first by ``position``.
 
-    Counts are combined before the shuffle and the rank is cut to ``k`` rows per task before the next.
+    A table that Spark holds for small is counted as it is. A larger one is summed up in its tasks, and only values that can win are
+    counted exactly (``frequent_values``); columns without frequent values are counted by hash, and what is still open in full.
     """
-    cells = _long(df, [c for c in cols], position) if position not in cols else _long(
-        df.withColumn("__pos", F.col(position)), cols, "__pos"
-    )
-    place = position if position not in cols else "__pos"
-    counts = (
-        cells.filter("value is not null")
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"), F.min(place).alias("first_pos"))
-    )
+    cells = _long(df.withColumn("__pos", F.col(position)), cols, "__pos").withColumnRenamed("__pos", "pos").filter("value is not null")
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "first_pos", "value")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = lambda counts: counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= direct_bytes:
+        return best(_count_values(cells))
+    found, todo = [], list(cols)
+    for way in (lambda c: frequent_values(c, k, capacity), lambda c: values_by_hash(c, k)):
+        if todo:
+            counts, proven = way(cells.filter(F.col("column_name").isin(todo)))
+            found.append(counts.filter(F.col("column_name").isin(proven)))
+            todo = [c for c in todo if c not in proven]
+    if todo:
+        found.append(_count_values(cells.filter(F.col("column_name").isin(todo))))
+    return best(reduce(DataFrame.unionByName, found))
 
 
 def column_profiles(

@@ -211,6 +211,12 @@ def _(spark, sf):
     return P.top_values(table(spark, sf, "events"), ["event_type", "user_id", "props"], "event_id")
 
 
+@query("agg_04_top_values_two_pass", f"WITH {top_sql('events', ['event_type', 'user_id', 'props', 'event_id'], 'event_id')} SELECT column_name, value, n, first_pos, rank::INTEGER AS rank FROM top WHERE rank <= 3")
+def _(spark, sf):
+    """As for a large table: a few types (summaries), users and props (little repeated), and a key without repeats (by hash)."""
+    return P.top_values(table(spark, sf, "events"), ["event_type", "user_id", "props", "event_id"], "event_id", capacity=256, direct_bytes=0)
+
+
 def _shop(spark, sf):
     return {"orders": table(spark, sf, "orders"), "events": table(spark, sf, "events")}
 
