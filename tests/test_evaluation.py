@@ -202,3 +202,17 @@ def test_probe_model_and_report(spark):
     row = binary_report(hand).first()
     assert row["f1"] == 0.5 and row["balanced_accuracy"] == 0.5
     assert abs(row["loss"] + sum(map(math.log, (0.8, 0.4, 0.9, 0.3))) / 4) < 1e-12
+
+
+def test_fingerprints(spark):
+    from nlsql_spark.operators.execution import fingerprint
+
+    rows = [(1, "a"), (2, "b"), (1, "a"), (None, "c"), (3, None)]
+    df = lambda r, cols="x int, y string": spark.createDataFrame(r, cols)
+    one = fingerprint(df(rows)).first()
+    assert one["rows"] == 4 and one == fingerprint(df(rows[::-1] * 3).repartition(3)).first()
+    assert one == fingerprint(df([(float(x) if x else None, y) for x, y in rows], "p double, q string")).first()
+    others = [rows[:4], [*rows, (4, "d")], [(2, "a"), (1, "b"), (None, "c"), (3, None)], [(y, x) for x, y in rows]]
+    prints = {fingerprint(df(r, "x string, y int" if i == 3 else "x int, y string")).first() for i, r in enumerate(others)}
+    assert len(prints) == 4 and one not in prints
+    assert tuple(fingerprint(df([])).first()) == (0, 0, 0)
