@@ -116,24 +116,33 @@ def short_line(points: np.ndarray) -> int:
     return int(h[0])
 
 
-PLACE = U(0x9E3779B97F4A7C15)
+#: A line is known by two sums of mixed code points times powers of these (odd) numbers, modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def line_sums(points: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers for each code point and its place in the line; a line is known by their two sums."""
-    value = mix(points ^ (place.astype(np.uint64) * PLACE))
-    return value, (value ^ (value >> U(29))) * U(0xBF58476D1CE4E5B9) ^ (value >> U(31))
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a base and of its inverse."""
+    known = _powers.get(base)
+    if known is None or len(known[0]) < n:
+        size = max(n, SLICE)
+        steps = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        for s in steps:
+            s[0] = 1
+        known = np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
+        if size <= 2 * PART:  # no longer ones are kept
+            _powers[base] = known
+    return known[0][:n], known[1][:n]
 
 
 def line_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each line as two arrays."""
-    length = end - start
-    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    ends = np.cumsum(length)
     out = []
-    for value in line_sums(points[np.repeat(start, length) + place], place):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        out.append(ended(sums[ends] - sums[ends - length], length))
+    for base in BASES:
+        up, down = powers(base, len(points) + 1)
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(points * up[:-1], out=sums[1:])
+        out.append(ended((sums[end] - sums[start]) * down[start] * U(base), end - start))
     return out[0], out[1]
 
 
@@ -183,8 +192,9 @@ class LineScan:
             codes, _ = code_points(pa.array([text[i : i + PART + self.width - 1]]))
             grams = Grams(codes, self.width)
             own = min(PART, len(text) - i)
-            for k, value in enumerate(line_sums(grams.points[:own], np.arange(i, i + own))):
-                totals[k] = (totals[k] + int(value.sum(dtype=np.uint64))) & 0xFFFFFFFFFFFFFFFF
+            for k, base in enumerate(BASES):
+                total = int((grams.points[:own] * powers(base, own)[0]).sum(dtype=np.uint64))
+                totals[k] = (totals[k] + total * pow(base, i + 1, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
             if len(grams.grams):
                 part = signatures(grams.grams, np.array([len(grams.grams)]), -(-self.values // 2))
                 table = part if table is None else np.where(np.arange(part.shape[1]) % 2, np.maximum(table, part), np.minimum(table, part))

@@ -62,3 +62,51 @@ def test_memory_of_the_encoder(kind):
     # ids are four bytes each; the bound for 10 MB of text is the caches and some copies of the ids
     grown = growth("from llm.tokens import TextEncoder", f"e = TextEncoder({PATHS[0]!r}); e.ids(arr)", TEXTS[kind])
     assert grown < 32, grown
+
+
+def test_lines_longer_than_a_part(monkeypatch):
+    """Hashes, signatures and sets of a line do not depend on the parts it is scanned in."""
+    from llm import linededup as L
+
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abc DEF é漢\t") for _ in range(n)) for n in (0, 1, 7, 8, 40, 300, 301, 1000, 2500)]
+    texts = pa.array(["\n".join(lines), lines[-1], None, "", "\n".join(lines[::-1]) + "\n", " " * 900 + lines[5] + "\n" * 700])
+
+    def scan():
+        found, signed = [], {}
+        for doc, number, line, check, own, table in L.LineScan(8, 12).texts(texts):
+            found += zip(doc.tolist(), number.tolist(), line.tolist(), check.tolist(), strict=True)
+            signed.update(zip(own.tolist(), map(tuple, table.tolist()), strict=True))
+        return sorted(found), signed, [set(s.tolist()) for s in L.line_sets(pa.array([x.strip(L.WHITE_CHARS) for x in lines]))]
+
+    want = scan()
+    assert len({x[2:] for x in want[0]}) == len([x for x in lines if x.strip(L.WHITE_CHARS)])
+    for part in (64, 400):
+        monkeypatch.setattr(L, "PART", part)
+        monkeypatch.setattr(L, "SLICE", part)
+        assert scan() == want
+
+
+@pytest.mark.parametrize("chunk", [3, 16, 1000])
+def test_words_across_chunks(monkeypatch, chunk):
+    from llm import hashing as H
+    from llm.common import text_bytes
+
+    rnd = random.Random(chunk)
+    texts = pa.array(["".join(rnd.choice(["a", "B", " ", "é", "漢", "\n", "xyz" * 9]) for _ in range(rnd.randrange(60))) for _ in range(80)] + ["", None, "z" * 500])
+    want = [x.tolist() for x in H.word_hashes(*text_bytes(texts), H.WHITE)]
+    monkeypatch.setattr(H, "CHUNK", chunk)
+    assert [x.tolist() for x in H.word_hashes(*text_bytes(texts), H.WHITE)] == want
+    assert len(want[0]) == sum(len((t or "").split()) for t in texts.to_pylist())
+
+
+@pytest.mark.parametrize("kind", TEXTS)
+@pytest.mark.parametrize("operator", ["words", "shingles", "lines"])
+def test_memory_of_the_scans(kind, operator):
+    setup, work, most = {
+        "words": ("from llm.decontam import word_hashes", "word_hashes(arr)", 12),
+        "shingles": ("from llm.neardup import shingle_sets", "shingle_sets(arr, 5)", 30),
+        "lines": ("from llm.linededup import LineScan", "[len(x[0]) for x in LineScan(8, 56).texts(arr)]", 25),
+    }[operator]
+    grown = growth(setup, work, TEXTS[kind])
+    assert grown < most, grown
