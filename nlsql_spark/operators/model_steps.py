@@ -1,15 +1,19 @@
 """Batch model steps: user callables run inside tasks over Arrow batches."""
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
 from nlsql_spark.functions.text import prefix_query
 from nlsql_spark.functions.vectors import hash_vector, l2_normalize
+from nlsql_spark.sources.task_files import read_folder, write_whole
 
 GenerateFn = Callable[[list[str]], list[str]]
 EmbedFn = Callable[[list[str]], list[list[float]]]
@@ -43,11 +47,91 @@ def generate(
     max_retries: int = 2,
     concurrency: int | None = None,
     backoff_s: float = 0.5,
+    ledger: str | None = None,
 ) -> DataFrame:
     """``id, response, error`` from a text model. ``concurrency`` bounds the tasks that call it at once.
 
-    A batch that keeps failing is retried row by row, so one bad prompt does not cost its neighbours.
+    A batch that keeps failing is retried row by row, so one bad prompt does not cost its neighbours. With a ``ledger``
+    (a folder all executors reach) every reply is kept under its id and the digest of its prompt as soon as it is there:
+    neither a repeated task nor a later run asks for it again. Errors are not kept.
     """
+    if ledger is not None:
+        return _generate_with_ledger(
+            df, fn, ledger, id_col=id_col, prompt_col=prompt_col, batch_size=batch_size, max_retries=max_retries,
+            concurrency=concurrency, backoff_s=backoff_s,
+        )
+
+    ask = _asking(fn, max_retries, backoff_s)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch_size):
+                part = pdf.iloc[at : at + batch_size]
+                replies, errors = zip(*ask(part[prompt_col].tolist()))
+                yield pd.DataFrame({id_col: part[id_col].tolist(), "response": list(replies), "error": list(errors)})
+
+    narrow = df.select(id_col, prompt_col)
+    if concurrency is not None:
+        narrow = narrow.repartition(concurrency)
+    id_type = df.schema[id_col].dataType.simpleString()
+    return narrow.mapInPandas(run, f"{id_col} {id_type}, response string, error string")
+
+
+LEDGER = "id string, digest string, response string"
+
+
+def ledger_replies(spark: SparkSession, ledger: str) -> DataFrame:
+    """``id, digest, response`` of all replies in the ledger, each once."""
+    from nlsql_spark.sources.files import path_exists
+
+    if not path_exists(spark, ledger):
+        return spark.createDataFrame([], LEDGER)
+    kept = spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
+    return kept.groupBy("id", "digest").agg(F.min("response").alias("response"))
+
+
+def _generate_with_ledger(df: DataFrame, fn: GenerateFn, ledger: str, *, id_col: str, prompt_col: str, **options) -> DataFrame:
+    """Known replies from the ledger; the rest from tasks that write each batch of replies before they go on.
+
+    A task looks first for what earlier attempts at its partition have written, in a folder of this call and partition.
+    """
+    run = f"{ledger}/run-{uuid.uuid4().hex}"
+    asked = df.select(id_col, prompt_col, F.md5(F.coalesce(prompt_col, F.lit(""))).alias("digest"), F.col(id_col).cast("string").alias("__id"))
+    known = ledger_replies(df.sparkSession, ledger).select(F.col("id").alias("__id"), "digest", "response")
+    done = asked.join(known, ["__id", "digest"]).select(id_col, "response", F.lit(None).cast("string").alias("error"))
+    todo = asked.join(known, ["__id", "digest"], "left_anti")
+    if options["concurrency"] is not None:
+        todo = todo.repartition(options["concurrency"])
+    step = options["batch_size"]
+    ask = _asking(fn, options["max_retries"], options["backoff_s"])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = f"{run}/part-{TaskContext.get().partitionId()}"
+        replies = {(i, d): r for t in read_folder(folder) for i, d, r in zip(*(t.column(c).to_pylist() for c in ("id", "digest", "response")))}
+        for pdf in batches:
+            missing = pdf[[k not in replies for k in zip(pdf["__id"], pdf["digest"])]]
+            errors = {}
+            for at in range(0, len(missing), step):
+                part = missing.iloc[at : at + step]
+                fresh = []
+                for key, (reply, error) in zip(zip(part["__id"], part["digest"]), ask(part[prompt_col].tolist())):
+                    if error is None:
+                        replies[key] = reply
+                        fresh.append((*key, reply))
+                    else:
+                        errors[key] = error
+                if fresh:
+                    columns = zip(*fresh)
+                    write_whole(folder, pa.table({c: pa.array(v, pa.string()) for c, v in zip(("id", "digest", "response"), columns)}))
+            keys = list(zip(pdf["__id"], pdf["digest"]))
+            yield pd.DataFrame({id_col: pdf[id_col].tolist(), "response": [replies.get(k) for k in keys], "error": [errors.get(k) for k in keys]})
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return todo.mapInPandas(work, f"{id_col} {id_type}, response string, error string").unionByName(done)
+
+
+def _asking(fn: GenerateFn, max_retries: int, backoff_s: float):
+    """``prompts`` to (reply, error) pairs: a batch that keeps failing is asked row by row."""
 
     def attempt(prompts: list[str]) -> tuple[list[str] | None, str | None]:
         error = None
@@ -63,26 +147,15 @@ def generate(
                     time.sleep(backoff_s * 2**tries)
         return None, error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                part = pdf.iloc[at : at + batch_size]
-                prompts = part[prompt_col].tolist()
-                replies, error = attempt(prompts)
-                if replies is None and len(prompts) > 1:
-                    single = [attempt([prompt]) for prompt in prompts]
-                    replies = [r[0] if r else None for r, _ in single]
-                    errors = [e for _, e in single]
-                else:
-                    replies = replies or [None] * len(prompts)
-                    errors = [error] * len(prompts)
-                yield pd.DataFrame({id_col: part[id_col].tolist(), "response": replies, "error": errors})
+    def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        replies, error = attempt(prompts)
+        if replies is not None:
+            return [(r, None) for r in replies]
+        if len(prompts) == 1:
+            return [(None, error)]
+        return [pair for prompt in prompts for pair in ask([prompt])]
 
-    narrow = df.select(id_col, prompt_col)
-    if concurrency is not None:
-        narrow = narrow.repartition(concurrency)
-    id_type = df.schema[id_col].dataType.simpleString()
-    return narrow.mapInPandas(run, f"{id_col} {id_type}, response string, error string")
+    return ask
 
 
 def embed(
@@ -123,12 +196,8 @@ def pending(df: DataFrame, done: DataFrame, key: str = "example_id") -> DataFram
 
 
 def embed_incremental(df: DataFrame, store: str, fn: EmbedFn | None = None, **options) -> DataFrame:
-    """Embed what the store lacks, append it, return the whole store."""
-    from nlsql_spark.sources.files import EMBEDDING_SCHEMA, path_exists
-
-    spark = df.sparkSession
-    todo = df
-    if path_exists(spark, store):
-        todo = pending(df, spark.read.schema(EMBEDDING_SCHEMA).parquet(store))
-    embed(todo, fn, **options).write.mode("append").parquet(store)
-    return spark.read.schema(EMBEDDING_SCHEMA).parquet(store)
+    """Embed what the keyed store lacks, each id once, add it as one commit, return the whole store."""
+    from nlsql_spark.sources import keyed_store
+
+    keyed_store.append(df, store, lambda todo: embed(todo, fn, **options))
+    return keyed_store.read_store(df.sparkSession, store)

@@ -196,5 +196,9 @@ def read_training_samples(spark: SparkSession, path: str, limit: int | None = No
 
 
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A vector store: all chunk files of a folder."""
+    """All chunk files of a folder, or all commits of a keyed store."""
+    if path_exists(spark, f"{path}/commits"):
+        from nlsql_spark.sources.keyed_store import read_store
+
+        return read_store(spark, path)
     return spark.read.schema(EMBEDDING_SCHEMA).format(fmt).load(path)

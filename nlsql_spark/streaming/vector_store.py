@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nlsql_spark.operators.model_steps import EmbedFn, embed, pending
-from nlsql_spark.sources.files import EMBEDDING_SCHEMA, path_exists
+from nlsql_spark.operators.model_steps import EmbedFn, embed
+from nlsql_spark.sources import keyed_store
+from nlsql_spark.sources.keyed_store import read_store  # noqa: F401  the store's reader
 
-STORE_SCHEMA = f"{EMBEDDING_SCHEMA}, batch string"
 TEXT_SCHEMA = "example_id bigint, input_to_embed string"
 
 
@@ -21,22 +21,17 @@ def embed_stream(
     max_files: int = 1_000,
     **options,
 ) -> StreamingQuery:
-    """Embed new texts of ``source`` into ``store/batch=STREAM-N``, each id once; ends when all files are read.
+    """Embed new texts of ``source`` into the keyed store, each id once; ends when all files are read.
 
-    The checkpoint remembers the files, the store itself which ids are done, so no state grows. A
-    repeated batch overwrites its own folder and skips only ids of other batches. STREAM is the id in the
-    checkpoint, so a stream with a new checkpoint adds to the store and never overwrites an older batch.
+    The checkpoint remembers the files, the store's filters which ids are done, so no state grows. A micro-batch is one
+    commit, named STREAM-N by the id in the checkpoint; a repeated batch finds its commit or writes it whole, and a
+    stream with a new checkpoint adds to the store.
     """
     texts = spark.readStream.schema(TEXT_SCHEMA).format(fmt).option("maxFilesPerTrigger", max_files).load(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stream = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
-        name = f"{stream}-{batch_id}"
-        fresh = batch.dropDuplicates(["example_id"])
-        if path_exists(batch.sparkSession, store):
-            stored = batch.sparkSession.read.schema(STORE_SCHEMA).parquet(store)
-            fresh = pending(fresh, stored.filter(F.col("batch") != name))
-        embed(fresh, fn, **options).write.mode("overwrite").parquet(f"{store}/batch={name}")
+        keyed_store.append(batch, store, lambda todo: embed(todo, fn, **options), f"{stream}-{batch_id:09d}")
 
     return (
         texts.writeStream.foreachBatch(write)
@@ -44,7 +39,3 @@ def embed_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(STORE_SCHEMA).parquet(store).drop("batch")

@@ -100,11 +100,24 @@ def _(spark, sf):
 
 @query("udf_03_embed_incremental", "SELECT conv_id * 1000 + turn AS example_id, 4 AS dims FROM conversations")
 def _(spark, sf):
-    """The user turns first, then all turns into the same store: each id once."""
+    """The user turns first, then all turns (twice each) into the same store: each id once."""
     store = f"{shared_dir(spark)}/vectors-{uuid.uuid4()}"
     first = turns(spark, sf).filter("role = 'user'").select(F.col("question_id").alias("example_id"), F.col("question").alias("input_to_embed"))
     M.embed_incremental(first, store, dim=4)
-    return M.embed_incremental(_turn_texts(spark, sf), store, dim=4).select("example_id", F.size("embedding").alias("dims"))
+    every = _turn_texts(spark, sf)
+    return M.embed_incremental(every.unionByName(every), store, dim=4).select("example_id", F.size("embedding").alias("dims"))
+
+
+@query("udf_01_generate_with_ledger", r"""
+SELECT question_id, 'SELECT ' || reply AS response, role = 'user' AS known FROM (SELECT conv_id * 1000 + turn AS question_id, role, string_split(text, chr(10))[-1] AS reply FROM conversations)""")
+def _(spark, sf):
+    """The user turns are asked first; the second call, whose model says so, only asks for the others."""
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4()}"
+    asked = turns(spark, sf).select(F.col("question_id").alias("id"), F.col("question").alias("prompt"), "role")
+    model = lambda mark: lambda prompts: [mark + "SELECT " + p.rsplit("\n", 1)[-1] for p in prompts]
+    M.generate(asked.filter("role = 'user'"), model(""), ledger=ledger).write.format("noop").mode("overwrite").save()
+    out = M.generate(asked, model("new "), ledger=ledger)
+    return out.select(F.col("id").alias("question_id"), F.regexp_replace("response", "^new ", "").alias("response"), (~F.startswith("response", F.lit("new "))).alias("known"))
 
 
 @query("join_14_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
