@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +21,17 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"
 
 
+def release_worker() -> None:
+    """Called where a task begins that needs room: a Python worker serves many tasks, and what earlier ones kept (an encoder
+    with its caches, freed but unreturned memory) would stay beside what this one holds."""
+    sys.modules.pop("llm_worker_state", None)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input of fewer partitions than cores (one small file) before work that costs processor time."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import hashing
-from llm.common import broadcast_if_small, byte_slices, free_name, row_key, spread, stored, text_bytes
+from llm.common import broadcast_if_small, byte_slices, free_name, release_worker, row_key, spread, stored, text_bytes
 from llm.hashing import NOT_ALNUM
 
 HITS = "doc_id long, tie long, spans array<struct<s:int,e:int>>, items array<int>, near array<int>"
@@ -67,6 +67,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """How often each of the (sorted) terms occurs in all texts."""
 
     def work(batches):
+        release_worker()
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
             for a, b in byte_slices(batch.column(0)):
@@ -98,6 +99,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """doc_id, tie, n_words and ``postings`` array<struct<term, positions>> for the given (sorted) terms."""
 
     def work(batches):
+        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(2)):
                 words, count = word_hashes(batch.column(2).slice(a, b - a))
@@ -204,6 +206,7 @@ def match_items(rows: DataFrame, block, window: int, slop: int) -> DataFrame:
         return spans, sorted(found), sorted(near - found)
 
     def work(batches):
+        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(2)):
                 words, count = word_hashes(batch.column(2).slice(a, b - a))

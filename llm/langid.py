@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import byte_slices, free_name, spread, text_bytes
+from llm.common import byte_slices, free_name, release_worker, spread, text_bytes
 
 DIMS = 4096
 SAMPLE_ROWS = 2400
@@ -54,7 +54,7 @@ PAD = 3
 def features(texts: pa.Array) -> np.ndarray:
     """One row of ``DIMS`` values per text; a text without letters has zeros only."""
     out = np.zeros((len(texts), DIMS), np.float32)
-    for a, b in byte_slices(texts, 1 << 20):
+    for a, b in byte_slices(texts):
         for c in range(a, b, 256):
             d = min(b, c + 256)
             out[c:d] = slice_features(texts.slice(c, d - c))
@@ -158,6 +158,7 @@ def train(docs: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, id_col="doc_i
     chosen = labelled.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_id"), "left_semi").select("lang", "text")
 
     def work(batches):
+        release_worker()
         for batch in batches:
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
@@ -191,6 +192,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     place = [f.name for f in kept].index(text_col)
 
     def work(batches):
+        release_worker()
         for batch in batches:
             text = batch.column(place)
             lang, score = np.full(len(text), "und", object), np.zeros(len(text))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.bands import BLOBS, Window, blob_batch, share_members, with_pivots
-from llm.common import broadcast_if_small, byte_slices, free_name, fresh_dir, row_key, spread, stored
+from llm.common import broadcast_if_small, byte_slices, free_name, fresh_dir, release_worker, row_key, spread, stored
 from llm.hashing import U, mix
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -263,6 +263,7 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
                 yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot % shares, spot)
 
     def work(batches):
+        release_worker()
         spot = TaskContext.get().partitionId()
         window, held, lines = Window(shares, spot % shares), [], 0
         writer = PartWriter(target, spot)
@@ -318,6 +319,7 @@ def by_part(rows: DataFrame, parts: int, work_on, schema) -> DataFrame:
     """``rows``: part, path (in one row of each part) and three columns of what is asked or decided; a task takes whole parts."""
 
     def work(batches):
+        release_worker()
         held: dict[int, list] = {}
         paths: dict[int, str] = {}
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import broadcast_if_small, byte_slices, stored
+from llm.common import broadcast_if_small, byte_slices, release_worker, stored
 from llm.components import connected_components
 from llm.minmax import signatures
 
@@ -46,6 +46,7 @@ def confirm(pairs: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple
     full = full.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
 
     def work(batches):
+        release_worker()
         lead, own = None, []
         for batch in batches:
             for lo, hi in byte_slices(batch.column(4)):
@@ -102,6 +103,7 @@ def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, valu
     texts = contents.join(broadcast_if_small(nodes.withColumnRenamed("node", "ask"), SMALL_IDS), F.col("ask") == F.col("node")).select("node", "text")
 
     def work(batches):
+        release_worker()
         for batch in batches:
             for lo, hi in byte_slices(batch.column(1)):
                 sets = sets_of(batch.column(1).slice(lo, hi - lo))
@@ -161,6 +163,7 @@ def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFr
         yield from links_of(unit, own, node, comp, sig, [s for h in held for s in h[4]])
 
     def work(batches):
+        release_worker()
         held, unit = [], None
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(6)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bands import bucket_members
-from llm.common import byte_slices, free_name, spread, stored, text_bytes
+from llm.common import byte_slices, free_name, release_worker, spread, stored, text_bytes
 from llm.hashing import WHITE, U, mix, word_hashes
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -51,6 +51,7 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set and band keys of each row (null digest and keys for empty sets)."""
 
     def work(batches):
+        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), width)

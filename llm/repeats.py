@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, fresh_dir, spread, stored, text_bytes
+from llm.common import byte_slices, fresh_dir, release_worker, spread, stored, text_bytes
 from llm.hashing import Prefix, U, mix
 from llm.tokenfile import open_store
 from llm.tokens import ranges
@@ -255,6 +255,7 @@ def index_texts(docs: DataFrame, target: str, shares: int, length: int, gram: in
     """Step 1: write the texts of each part, and give its entries, what was lost inside batches, and the file."""
 
     def work(batches):
+        release_worker()
         part = TaskContext.get().partitionId()
         store, folder = open_store(target)
         name, writer = f"part-{part:06d}-{uuid.uuid4().hex}.arrow", None
@@ -296,6 +297,7 @@ def scan_shares(rows: DataFrame, shares: int, lost_kind: str, open_kind: str | N
         return [(kind, int(part[a]), 0, None, np.unique(marks[order[a:b]]).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def work(batches):
+        release_worker()
         family = Family()
         for batch in batches:
             other = []
@@ -325,6 +327,7 @@ def by_part(rows: DataFrame, parts: int, work_on):
     """All decisions of a part meet in one task, which reads the file of the part; ``work_on(file batches, marks by kind, part)``."""
 
     def work(batches):
+        release_worker()
         held: dict[int, dict] = {}
         for batch in batches:
             for kind, part, _, path, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
