@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from nlsql_spark.session import broadcast_if_small, materialize
 from nlsql_spark.sources.files import EMBEDDING_SCHEMA, path_exists
 
-BUCKETS = 64
+BUCKETS = 16
 BITS_PER_ID, PROBES = 10, 7
 MANIFEST = "segment string, bucket int, rows long, bits binary"
 #: More commits than this are merged into one before the next is added.
 MOST_COMMITS = 64
+#: Filters of more bytes than this are not sent with the tasks but dealt out by bucket.
+FILTER_BYTES = 32 << 20
 
 
 def bucket_of(id_col: str = "example_id"):
@@ -87,41 +89,61 @@ def known_ids(ids: DataFrame, store: str) -> DataFrame:
     spark = ids.sparkSession
     filters = manifest(spark, store)
     asked = ids.select("example_id", bucket_of().alias("bucket"))
-    # a manifest has at most BUCKETS rows per commit, and commits are merged
-    met = asked.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket")
-    filters = filters.join(F.broadcast(met), "bucket", "left_semi")
-
-    def check(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"example_id": [], "segment": [], "bucket": []}).astype({"example_id": "int64", "segment": "object", "bucket": "int32"})]
-        values = asks["example_id"].to_numpy()
-        for segment, bits in zip(known["segment"], known["bits"]):
-            hit = values[may_hold(bits, values)] if len(values) else values
-            if len(hit):
-                found.append(pd.DataFrame({"example_id": hit, "segment": segment, "bucket": asks["bucket"].iloc[0]}))
-        return pd.concat(found, ignore_index=True)
-
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("example_id", F.lit(3)), F.lit(4)))
-    spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
-    on = ["bucket", "salt"]
-    possible = materialize(salted.groupBy(*on).cogroup(spread.groupBy(*on)).applyInPandas(check, "example_id long, segment string, bucket int"))
-    places = [(r["segment"], r["bucket"]) for r in possible.select("segment", "bucket").distinct().collect()]
+    size = filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    if size <= FILTER_BYTES:
+        held: dict[int, list] = {}
+        for row in filters.select("bucket", "segment", "bits").collect():
+            held.setdefault(row["bucket"], []).append((row["segment"], bytes(row["bits"])))
+
+        def check_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for bucket, part in pdf.groupby("bucket"):
+                    yield from hits(part["example_id"].to_numpy(), int(bucket), held.get(int(bucket), []))
+
+        possible = asked.mapInPandas(check_batches, HITS)
+    else:
+
+        def check(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"example_id": [], "segment": [], "bucket": []}).astype({"example_id": "int64", "segment": "object", "bucket": "int32"})
+            if asks.empty:
+                return none
+            return pd.concat([none, *hits(asks["example_id"].to_numpy(), int(asks["bucket"].iloc[0]), zip(known["segment"], known["bits"]))])
+
+        # a bucket that very many ids ask for is four groups
+        salted = asked.withColumn("salt", F.pmod(F.xxhash64("example_id", F.lit(3)), F.lit(4)))
+        every = filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+        possible = salted.groupBy("bucket", "salt").cogroup(every.groupBy("bucket", "salt")).applyInPandas(check, HITS)
+    possible = materialize(possible)
+    # at most one row per bucket and segment
+    places = possible.select("segment", "bucket").distinct().collect()
     if not places:
         return ids.select("example_id").limit(0)
-    paths = [f"{store}/data/{segment}/bucket={bucket}" for segment, bucket in sorted(places)]
+    paths = [f"{store}/data/{r['segment']}/bucket={r['bucket']}" for r in sorted(places)]
     have = spark.read.schema("example_id bigint").option("recursiveFileLookup", "true").parquet(*paths)
     return have.join(broadcast_if_small(possible.select("example_id").distinct()), "example_id", "left_semi").distinct()
 
 
+HITS = "example_id long, segment string, bucket int"
+
+
+def hits(ids: np.ndarray, bucket: int, filters) -> Iterator[pd.DataFrame]:
+    """The ids that a filter of the bucket knows, per segment."""
+    for segment, bits in filters:
+        found = ids[may_hold(bits, ids)]
+        if len(found):
+            yield pd.DataFrame({"example_id": found, "segment": segment, "bucket": np.full(len(found), bucket, np.int32)})
+
+
 def pending_rows(df: DataFrame, store: str) -> DataFrame:
     """One row per id that the store lacks; of several texts of an id the smallest."""
-    one = materialize(df.groupBy("example_id").agg(F.min("input_to_embed").alias("input_to_embed")).filter("example_id is not null"))
+    one = df.groupBy("example_id").agg(F.min("input_to_embed").alias("input_to_embed")).filter("example_id is not null")
     if not commit_keys(df.sparkSession, store):
         return one
     return one.join(known_ids(one, store), "example_id", "left_anti")
 
 
-def write_segment(vectors: DataFrame, store: str, key: str) -> None:
-    """Write the vectors by bucket and then the manifest, which makes them count."""
+def write_segment(vectors: DataFrame, ids: DataFrame, store: str, key: str) -> None:
+    """Write the vectors by bucket and then the manifest of their (stored) ids, which makes them count."""
     spark = vectors.sparkSession
     segment = uuid.uuid4().hex
     rows = vectors.select("example_id", "embedding", bucket_of().alias("bucket"))
@@ -141,19 +163,10 @@ def write_segment(vectors: DataFrame, store: str, key: str) -> None:
                 ["segment", "bucket", "rows", "bits"],
             )
 
-    if path_exists(spark, f"{data}/_SUCCESS") and vectors_written(spark, data):
-        written = spark.read.schema("example_id bigint, bucket int").parquet(data).select("bucket", "example_id").repartition("bucket")
-        lines = written.mapInArrow(filters, MANIFEST)
-    else:
-        lines = spark.createDataFrame([], MANIFEST)
+    lines = ids.select(bucket_of().alias("bucket"), "example_id").repartition("bucket").mapInArrow(filters, MANIFEST)
     lines.coalesce(1).write.mode("overwrite").parquet(f"{store}/commits/{key}")
 
 
-def vectors_written(spark: SparkSession, data: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(data)
-    return any(f.isDirectory() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
-
-
 def append(df: DataFrame, store: str, vectors_of, key: str | None = None) -> None:
     """Add vectors of the ids that the store lacks, as commit ``key``; nothing happens if that commit is there."""
     spark = df.sparkSession
@@ -162,7 +175,8 @@ def append(df: DataFrame, store: str, vectors_of, key: str | None = None) -> Non
         return
     if len(commit_keys(spark, store)) > MOST_COMMITS:
         merge_commits(spark, store)
-    write_segment(vectors_of(pending_rows(df, store)), store, key)
+    todo = materialize(pending_rows(df, store))
+    write_segment(vectors_of(todo), todo, store, key)
 
 
 def merge_commits(spark: SparkSession, store: str) -> None:
@@ -171,7 +185,8 @@ def merge_commits(spark: SparkSession, store: str) -> None:
     name = f"merged-{len(keys):09d}"
     # first what it replaces, then the commit that makes it count
     spark.createDataFrame([(k,) for k in keys], "value string").coalesce(1).write.mode("overwrite").text(f"{store}/replaced/{name}")
-    write_segment(read_store(spark, store), store, name)
+    every = read_store(spark, store)
+    write_segment(every, every, store, name)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
