@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.text import link_tokens, name_in
 from nlsql_spark.operators.catalog import nest_catalog
+from nlsql_spark.operators.name_index import name_links
 from nlsql_spark.session import broadcast_if_small
 
 LINKS_TYPE = "array<struct<table_name:string,columns:array<string>>>"
@@ -57,13 +58,11 @@ def substring_links(sql: Column, tables: Column, word_boundary: bool = False) ->
 
 
 def link_by_substring(questions: DataFrame, catalog: DataFrame, word_boundary: bool = False) -> DataFrame:
-    """Ground-truth links: table and column name both occur in the query text.
+    """Ground-truth links: table and column name both occur in the query text. A question of an unknown database fails.
 
-    A join on the database and then in-row array functions: no pair is emitted, nothing is regrouped.
+    All names of a database are found in one pass over the text (``name_index``).
     """
-    joined = join_catalog(questions, catalog, "required")
-    links = substring_links(F.col("sql_query"), F.col("tables"), word_boundary)
-    return joined.select("question_id", "question", links.alias("schema_links"))
+    return name_links(questions, catalog, "sql_query", word_boundary)
 
 
 def entity_tokens(catalog: DataFrame, min_len: int = 3) -> DataFrame:

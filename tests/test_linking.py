@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from nlsql_spark.operators import linking as L
 from nlsql_spark.operators.knn import knn
@@ -38,6 +39,34 @@ def test_substring_needs_a_catalogue(spark, make_catalog):
         L.link_by_substring(questions, make_catalog({"t": ["c"]})).collect()
 
 
+@pytest.mark.parametrize("word_boundary", [False, True])
+@pytest.mark.parametrize("small", [True, False])
+def test_names_in_one_pass(spark, monkeypatch, word_boundary, small):
+    """Against a search per name: overlapping names, names inside names, signs, letters beyond ASCII, a hot database."""
+    from nlsql_spark.operators import name_index as N
+    from nlsql_spark.operators.linking import join_catalog, substring_links
+
+    if not small:
+        monkeypatch.setattr(N, "is_small", lambda df: False)
+        monkeypatch.setattr(N, "GROUP_QUESTIONS", 40)
+    rng = random.Random(word_boundary)
+    pool = ["a", "ab", "b", "abc", "bc", "a_b", "É", "straße", "x.y", "(", "ABC", "order id", "id", "aa"]
+    rows = []
+    for db in ("hot", "cold"):
+        for t, table in enumerate(rng.sample(pool, 7)):
+            rows += [(db, table, t, c, p) for p, c in enumerate(rng.sample(pool, 5))]
+    names = spark.createDataFrame(rows, "database_name string, table_name string, table_pos int, column_name string, column_pos int")
+    flags = {c: F.lit(False) for c in ("is_not_null", "is_primary_key", "is_foreign_key")}
+    catalog = names.withColumns({**flags, "data_format": F.lit("text"), "default_value": F.lit(None).cast("string")})
+    text = lambda: "".join(rng.choice([*pool, " ", " ", ".", "A", "é", "_"]) for _ in range(rng.randint(0, 9)))
+    questions = spark.createDataFrame([(i, "cold" if i % 5 == 0 else "hot", "q", text() if i else None, None) for i in range(300)], Q).repartition(4)
+    joined = join_catalog(questions, catalog, "required")
+    want = joined.select("question_id", substring_links(F.col("sql_query"), F.col("tables"), word_boundary).alias("schema_links"))
+    got = links_of(L.link_by_substring(questions, catalog, word_boundary))
+    assert got == {r["question_id"]: [(x["table_name"], x["columns"]) for x in r["schema_links"] or []] for r in want.collect()}
+    assert sum(map(bool, got.values())) > 30
+
+
 @pytest.mark.parametrize(
     "question, knowledge, use, distance, expected",
     [

@@ -420,10 +420,10 @@ WITH {CATALOG_SQL}, {QUESTIONS_SQL}
 SELECT q.question_id, c.table_name, c.column_name FROM questions q JOIN catalog c ON q.database_name = c.database_name
 WHERE contains(lower(q.sql_query), c.table_name) AND contains(lower(q.sql_query), c.column_name)""")
 def _(spark, sf):
-    from nlsql_spark.operators.linking import link_by_substring, links_flat
     from workload.inputs import catalog
 
-    return links_flat(link_by_substring(questions(spark, sf), catalog(spark, sf)))
+    pairs = questions(spark, sf).select("question_id", "database_name", "sql_query").join(catalog(spark, sf), "database_name")
+    return pairs.filter(X.mentioned(F.col("table_name"), F.col("column_name"), F.col("sql_query"))).select("question_id", "table_name", "column_name")
 
 
 @query("flt_06_tokens_match", """
