@@ -1,5 +1,8 @@
 """Linking queries: catalogue joins, substring, token and edit-distance links, link scores."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark.functions.text import link_tokens
@@ -8,6 +11,7 @@ from nlsql_spark.operators import link_metrics as M
 from nlsql_spark.operators import linking as L
 from nlsql_spark.operators.retry import exclude_databases
 from nlsql_spark.plans.jobs import link_report
+from nlsql_spark.session import materialize
 from workload.inputs import (
     CATALOG_SQL, KEYS_SQL, QUESTIONS_SQL, SUBSTRING_SQL, TURNS_SQL, WORD_CATALOG_SQL, catalog, keys, links_text, questions, stored_questions, table, tokens_sql, turns, word_catalog,
 )
@@ -173,6 +177,45 @@ def _(spark, sf):
     return C.resolve_columns(used, columns, catalog(spark, sf))
 
 
+@query("join_15_scoped_columns", f"""
+WITH {CATALOG_SQL}, {QUESTIONS_SQL},
+other AS (SELECT a.database_name, a.table_name, min(b.table_name) AS other_table FROM catalog a JOIN catalog b ON a.database_name = b.database_name AND b.table_name <> a.table_name GROUP BY 1, 2),
+lead AS (SELECT database_name, table_name, arg_min(column_name, column_pos) AS other_column FROM catalog GROUP BY 1, 2),
+t AS (SELECT question_id, database_name, string_split(sql_query, ' ')[5] AS table_name, rtrim(string_split(sql_query, ' ')[2], ',') AS column_name FROM questions),
+u AS (SELECT t.*, other_table, other_column FROM t JOIN other USING (database_name, table_name)
+    JOIN lead ON lead.database_name = t.database_name AND lead.table_name = other_table)
+SELECT question_id, 0 AS scope_id, 'd' AS qualifier, 'shown' AS column_name, table_name, column_name AS source_column FROM u
+UNION SELECT question_id, 2, 'd', 'shown', table_name, column_name FROM u
+UNION SELECT question_id, 1, 'x', column_name, table_name, column_name FROM u
+UNION SELECT question_id, 0, 'x', other_column, other_table, other_column FROM u
+UNION SELECT question_id, 2, 'x', other_column, other_table, other_column FROM u""")
+def _(spark, sf):
+    """SELECT d.shown, x.c FROM (SELECT x.col AS shown FROM t x) d, other x WHERE EXISTS (SELECT d.shown, x.c FROM t y): x is two tables."""
+    from nlsql_spark.operators.scopes import resolve_scoped_columns
+
+    c, w = catalog(spark, sf), F.split("sql_query", " ")
+    names = c.select("database_name", "table_name").distinct()
+    rest = names.withColumnRenamed("table_name", "other_table")
+    other = names.join(rest, "database_name").filter("other_table <> table_name").groupBy("database_name", "table_name").agg(F.min("other_table").alias("other_table"))
+    lead = c.groupBy("database_name", F.col("table_name").alias("other_table")).agg(F.min_by("column_name", "column_pos").alias("other_column"))
+    used = stored_questions(spark, sf).select("question_id", "database_name", w[4].alias("table_name"), F.rtrim(w[1], F.lit(",")).alias("column_name"))
+    u = materialize(used.join(other, ["database_name", "table_name"]).join(lead, ["database_name", "other_table"]))
+    rows = lambda *parts: reduce(DataFrame.unionByName, [u.select("question_id", *[(x if hasattr(x, "alias") else F.lit(x)).alias(n) for n, x in p.items()]) for p in parts])
+    none, t, o = F.lit(None).cast("int"), F.col("table_name"), F.col("other_table")
+    scopes = rows({"scope_id": 0, "parent_id": none}, {"scope_id": 1, "parent_id": 0}, {"scope_id": 2, "parent_id": 0})
+    db = {"database_name": F.col("database_name")}
+    bindings = rows(
+        {**db, "scope_id": 0, "name": "d", "alias": "", "inner_scope": 1}, {**db, "scope_id": 0, "name": o, "alias": "x", "inner_scope": none},
+        {**db, "scope_id": 1, "name": t, "alias": "x", "inner_scope": none}, {**db, "scope_id": 2, "name": t, "alias": "y", "inner_scope": none},
+    )
+    outputs = rows({"scope_id": 1, "output_name": "shown", "qualifier": "x", "column_name": F.col("column_name")})
+    columns = rows(
+        {"scope_id": 0, "qualifier": "d", "column_name": "shown"}, {"scope_id": 2, "qualifier": "d", "column_name": "shown"}, {"scope_id": 1, "qualifier": "x", "column_name": F.col("column_name")},
+        {"scope_id": 0, "qualifier": "x", "column_name": F.col("other_column")}, {"scope_id": 2, "qualifier": "x", "column_name": F.col("other_column")},
+    )
+    return resolve_scoped_columns(scopes, bindings, outputs, columns, c)
+
+
 @query("agg_01_columns_per_table", f"""
 WITH {CATALOG_SQL} SELECT database_name, table_name, any_value(table_pos) AS table_pos, string_agg(column_name, '|' ORDER BY column_pos) AS columns
 FROM catalog GROUP BY 1, 2""")
