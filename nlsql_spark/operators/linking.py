@@ -17,15 +17,15 @@ EMPTY_LINK = "array(named_struct('table_name', '', 'columns', cast(array() as ar
 
 
 def join_catalog(
-    questions: DataFrame, catalog: DataFrame, how: str = "inner", keys: DataFrame | None = None
+    questions: DataFrame, catalog: DataFrame, how: str = "inner", keys: DataFrame | None = None, examples: DataFrame | None = None
 ) -> DataFrame:
     """Questions with their database's nested schema in ``tables``.
 
     ``how='inner'`` drops questions of unknown databases, ``how='required'`` fails on them. The nested
     schemas are broadcast only if the catalogue is small; beyond that it is a shuffle join that AQE
-    splits on hot databases.
+    splits on hot databases. ``examples`` (database_name, table_name, row_no, values) adds sample rows to the tables.
     """
-    nested = broadcast_if_small(nest_catalog(catalog, keys), measure=catalog)
+    nested = broadcast_if_small(nest_catalog(catalog, keys, examples), measure=catalog)
     if how == "required":
         joined = questions.join(nested, "database_name", "left")
         missing = F.raise_error(F.concat(F.lit("no catalogue for database "), F.col("database_name")))

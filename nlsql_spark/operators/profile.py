@@ -46,6 +46,15 @@ def column_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ends.select(F.inline(pairs))
 
 
+def first_values(df: DataFrame, database_name: str, table_name: str, position: str) -> DataFrame:
+    """``database_name, table_name, column_name, first_value``: the value of each column in the first row by ``position``."""
+    cols = [c for c in df.columns if c != position] + [position]
+    first = df.agg(F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]), position).alias("r")).select("r.*")
+    return first.unpivot([], cols, "column_name", "first_value").select(
+        F.lit(database_name).alias("database_name"), F.lit(table_name).alias("table_name"), "column_name", "first_value"
+    )
+
+
 SUMMARY = "column_name string, value string, least long, missed long"
 
 

@@ -168,6 +168,7 @@ def apply_links(
     keys: DataFrame | None = None,
     repair: bool = True,
     full_schema: DataFrame | None = None,
+    examples: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Replace each question's schema text by that of its links; without links the old text stays.
@@ -175,9 +176,10 @@ def apply_links(
     ``questions``: question_id, database_name, database_schema, ...; ``links``: question_id, schema_links.
     With ``full_schema`` (database_name, database_schema; see ``render_ddl``) the old text comes from
     there: it is long, so it joins after the questions have met their links and is never shuffled.
+    ``examples`` (database_name, table_name, row_no, values; a few rows per table) are shown behind each table.
     """
     linked = questions.join(links.select("question_id", "schema_links"), "question_id", "left")
-    joined = join_catalog(linked, catalog, "required", keys)
+    joined = join_catalog(linked, catalog, "required", keys, examples)
     if full_schema is not None:
         joined = joined.join(broadcast_if_small(full_schema, measure=catalog), "database_name")
     chosen = F.coalesce("schema_links", F.array().cast(LINKS_TYPE))

@@ -16,7 +16,7 @@ from nlsql_spark.operators.linking import link_by_embedding, link_by_substring,
 from nlsql_spark.operators.model_steps import EmbedFn, GenerateFn, echo, embed, generate
 from nlsql_spark.operators.ordering import union_all
 from nlsql_spark.operators.probe import binary_report, probe_contexts, score_probe, train_probe
-from nlsql_spark.operators.profile import build_documents, column_profiles, document_texts
+from nlsql_spark.operators.profile import build_documents, column_profiles, document_texts, first_values
 from nlsql_spark.operators.retry import train_val_split
 from nlsql_spark.operators.schema_text import apply_links, render_ddl
 from nlsql_spark.operators.scoring import execution_accuracy, pair_results, valid_efficiency_score
@@ -35,9 +35,14 @@ def retrieval_documents(
 
     ``tables``: name -> (data, formats by column, column that orders the rows).
     """
-    profiles = [column_profiles(df, database_name, name, formats, order) for name, (df, formats, order) in tables.items()]
-    documents = build_documents(catalog, descriptions, union_all(profiles))
-    return document_texts(documents, values_text=F.coalesce("values_text", F.lit("")), **exclusions)
+    profiles = union_all([column_profiles(df, database_name, name, formats, order) for name, (df, formats, order) in tables.items()])
+    first = None
+    if exclusions.get("uuid_keys"):
+        firsts = union_all([first_values(df, database_name, name, order) for name, (df, _, order) in tables.items()])
+        profiles = firsts.join(profiles, ["database_name", "table_name", "column_name"], "left")
+        first = F.col("first_value")
+    documents = build_documents(catalog, descriptions, profiles)
+    return document_texts(documents, values_text=F.coalesce("values_text", F.lit("")), first_value=first, **exclusions)
 
 
 def vector_links(
@@ -63,10 +68,14 @@ def schema_prompts(
     keys: DataFrame | None = None,
     kind: str = "sql",
     repair: bool = True,
+    examples: DataFrame | None = None,
     **template,
 ) -> DataFrame:
-    """``question_id, prompt`` with the schema of the repaired links, or the whole schema without links."""
-    with_schema = apply_links(questions, links, catalog, keys, repair, render_ddl(catalog, keys))
+    """``question_id, prompt`` with the schema of the repaired links, or the whole schema without links.
+
+    ``examples`` (database_name, table_name, row_no, values) are sample rows to show with the tables.
+    """
+    with_schema = apply_links(questions, links, catalog, keys, repair, render_ddl(catalog, keys, examples), examples)
     knowledge = F.col("knowledge")
     prompt = fill_prompt(prompt_template(kind, knowledge, **template), F.col("database_schema"), knowledge, F.col("question"))
     return with_schema.select("question_id", prompt.alias("prompt"))

@@ -169,6 +169,12 @@ class Registry:
         df = spark.read.parquet(f"{folder}/{table}.parquet")
         return df.select(*columns) if columns else df
 
+    def session(self, spark: SparkSession, database: str, tables: list[str]) -> SparkSession:
+        """A session of its own in which the tables of one database are views: databases may have tables of equal names."""
+        own = spark.newSession()
+        self.register_views(own, database, tables)
+        return own
+
     def register_views(self, spark: SparkSession, database: str, tables: list[str]) -> None:
         for table in tables:
             self.scan(spark, database, table).createOrReplaceTempView(table)

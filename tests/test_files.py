@@ -93,6 +93,11 @@ def test_registry(spark, tmp_path):
     assert registry.scan(spark, "db", "t", ["b"]).columns == ["b"]
     registry.register_views(spark, "db", ["t"])
     assert spark.sql("select count(*) n from t").first()["n"] == 3
+    # tables of equal names in two databases, each in a session of its own
+    spark.range(5).write.parquet(str(tmp_path / "other" / "t.parquet"))
+    both = S.Registry({"db": str(tmp_path), "more": str(tmp_path / "other")})
+    own = {db: both.session(spark, db, ["t"]) for db in ("db", "more")}
+    assert [own[db].sql("select count(*) n from t").first()["n"] for db in ("db", "more", "db")] == [3, 5, 3]
 
 
 def test_profiles_and_documents(spark, make_catalog):

@@ -113,3 +113,21 @@ def test_resolve_columns(spark, make_catalog):
     )
     got = sorted((r["table_name"], r["column_name"]) for r in resolve_columns(tables, columns, catalog).collect())
     assert got == [("animal", "name"), ("animal", "owner"), ("person", "age"), ("person", "name")]
+
+
+def test_sample_rows_reach_the_prompt(spark, make_catalog):
+    from nlsql_spark.operators.schema_text import apply_links, render_ddl
+    from nlsql_spark.plans.jobs import schema_prompts
+
+    catalog = make_catalog({"person": ["name", "age"], "pet": ["kind"]})
+    examples = spark.createDataFrame([("db", "person", 0, ["Ann", "7"]), ("db", "person", 1, ["Bo", None])], "database_name string, table_name string, row_no int, values array<string>")
+    whole = render_ddl(catalog, None, examples).first()["database_schema"]
+    assert "Ann" in whole and "Bo" in whole
+    schema = "question_id long, database_name string, database_schema string, question string, knowledge string, sql_query string"
+    questions = spark.createDataFrame([(1, "db", "old", "q", None, ""), (2, "db", "old", "q", None, "")], schema)
+    links = spark.createDataFrame([(1, [("person", ["age"])])], "question_id long, schema_links array<struct<table_name:string,columns:array<string>>>")
+    texts = {r["question_id"]: r["database_schema"] for r in apply_links(questions, links, catalog, repair=False, examples=examples).collect()}
+    # only the columns that are linked are shown of the rows
+    assert "7" in texts[1] and "Ann" not in texts[1] and texts[2] == "old"
+    prompts = {r["question_id"]: r["prompt"] for r in schema_prompts(questions.drop("database_schema"), links, catalog, examples=examples).collect()}
+    assert "7" in prompts[1] and "Ann" in prompts[2] and whole in prompts[2]

@@ -9,7 +9,7 @@ from nlsql_spark.operators.ordering import ordered_position
 from nlsql_spark.operators.probe import binary_report, score_probe, train_probe
 from nlsql_spark.plans.jobs import execution_report, marker_report, probe_report
 from workload.inputs import QUESTIONS_SQL, questions, table
-from workload.q_retry import probe_samples
+from workload.q_retry import PROBE_SRC, probe_samples
 from workload.registry import query
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
@@ -269,14 +269,34 @@ def _(spark, sf):
     return binary_report(d).withColumns({c: F.round(c, 6) for c in ("loss", "f1", "balanced_accuracy")})
 
 
-@query("ml_01_linear_probe")
+@query("ml_01_linear_probe", """
+SELECT sum(t)::BIGINT AS wrong, sum(1 - t)::BIGINT AS correct, true AS far_above_chance
+FROM (SELECT (embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0)::INTEGER AS t FROM embeddings WHERE vec_id % 5 = 0)""")
 def _(spark, sf):
-    """A probe that tells the lower half of the vector labels from the upper."""
-    v = table(spark, sf, "embeddings").withColumn("target", (F.col("label") < 5).cast("int"))
-    model = train_probe(v, "embedding", "target", maxIter=20)
-    return binary_report(score_probe(model, v), "target").withColumns({c: F.round(c, 4) for c in ("loss", "f1", "balanced_accuracy")})
+    """A probe for the side of a plane that a vector lies on, trained on four fifths and scored on the rest."""
+    x = lambda i: F.col("embedding")[i].cast("double")
+    v = table(spark, sf, "embeddings").withColumn("target", (x(0) + x(1) > 0).cast("int"))
+    model = train_probe(v.filter("vec_id % 5 <> 0"), "embedding", "target", maxIter=20)
+    report = binary_report(score_probe(model, v.filter("vec_id % 5 = 0")), "target")
+    return report.select((F.col("tp") + F.col("fn")).alias("wrong"), (F.col("tn") + F.col("fp")).alias("correct"), (F.col("balanced_accuracy") > 0.85).alias("far_above_chance"))
 
 
-@query("job_08_probe_report")
+def marker_features(texts):
+    """A stand-in model: counts of words and marks in the last line and in the whole context."""
+    out = []
+    for text in texts:
+        last = text.rstrip("\n").rsplit("\n", 1)[-1]
+        out.append([float(last.count(" ")), float(len(last)), float(text.count("\n")), float(text.count(last)), float("[BACK]" in last), float(text.count("[BACK]")), 1.0])
+    return out
+
+
+@query("job_08_probe_report", f"""
+WITH {PROBE_SRC}, n AS (SELECT count(*) AS n FROM contexts) SELECT n - floor(n * 0.8)::BIGINT AS scored, true AS bounded, true AS at_least_chance FROM n""")
 def _(spark, sf):
-    return probe_report(probe_samples(spark, sf), dim=16)
+    """Contexts, vectors, a probe on four fifths of them, its report on the others."""
+    report = probe_report(probe_samples(spark, sf), marker_features)
+    ratio = lambda c: F.col(c).between(0, 1)
+    return report.select(
+        (F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp")).alias("scored"), (ratio("f1") & ratio("balanced_accuracy") & (F.col("loss") > 0)).alias("bounded"),
+        (F.col("balanced_accuracy") >= 0.5).alias("at_least_chance"),
+    )

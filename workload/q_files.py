@@ -282,29 +282,60 @@ def _(spark, sf):
     return retrieval_documents(_shop_catalog(spark, sf), _shop_descriptions(spark, sf), _profiles(spark, sf), "shop", numeric_keys=True)
 
 
+@query("job_01_retrieval_documents_uuid", f"""
+WITH {PROFILE_SQL} SELECT document_id AS example_id, t || ' ' || c || ' column ' || c || ' ' || f || ' ' || coalesce(v, '') AS input_to_embed FROM docs WHERE NOT (t = 'orders' AND cp = 0)""")
+def _(spark, sf):
+    """Orders under keys that look like a UUID, which the rule drops; the keys of events are numbers and stay."""
+    profiles = _profiles(spark, sf)
+    orders, formats, _ = profiles["orders"]
+    code = F.md5(F.col("o_orderkey").cast("string"))
+    uid = F.concat(F.substring(code, 1, 8), F.lit("-"), F.substring(code, 9, 4), F.lit("-4"), F.substring(code, 13, 3), F.lit("-8"), F.substring(code, 16, 3), F.lit("-"), F.substring(code, 19, 12))
+    keyed = orders.withColumn("place", F.col("o_orderkey")).withColumn("o_orderkey", uid)
+    profiles["orders"] = (keyed, {c: f for c, f in formats.items() if c != "o_orderkey"}, "place")
+    return retrieval_documents(_shop_catalog(spark, sf), _shop_descriptions(spark, sf), profiles, "shop", uuid_keys=True)
+
+
 @query("snk_06_retrieval_dataset", f"""
-WITH {QUESTIONS_SQL} SELECT 'queries' AS part, count(*) AS n FROM questions UNION ALL SELECT 'documents', 12
-UNION ALL SELECT 'document_values', (SELECT count(DISTINCT o_orderstatus) + count(DISTINCT o_custkey) FROM orders)""")
+WITH {QUESTIONS_SQL},
+cols AS (SELECT 'orders' AS t, 0 AS tp, column_name AS c, row_number() OVER () AS cp FROM (DESCRIBE orders)
+    UNION ALL SELECT 'events', 1, column_name, row_number() OVER () FROM (DESCRIBE events))
+SELECT 'queries' AS part, question_id::VARCHAR AS key, md5(question || '|' || coalesce(knowledge, '')) AS content FROM questions
+UNION ALL SELECT 'documents', (row_number() OVER (ORDER BY tp, cp) - 1)::VARCHAR, md5(t || '|' || c || '|Column ' || c) FROM cols
+UNION ALL SELECT DISTINCT 'document_values', 'o_orderstatus', md5(o_orderstatus) FROM orders
+UNION ALL SELECT DISTINCT 'document_values', 'o_custkey', md5(o_custkey::VARCHAR) FROM orders""")
 def _(spark, sf):
     folder = _folder(spark)
     empty = spark.createDataFrame([], "database_name string, table_name string, column_name string, values_text string")
     docs = P.build_documents(_shop_catalog(spark, sf), _shop_descriptions(spark, sf), empty)
     W.dump_retrieval_dataset(questions(spark, sf), docs, P.distinct_values(_shop(spark, sf)["orders"], ["o_orderstatus", "o_custkey"]), folder)
-    count = lambda part: spark.read.text(f"{folder}/{part}").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
-    return O.union_all([count(p) for p in ("queries", "documents", "document_values")])
+    read = lambda part, schema, key, *content: S.read_jsonl(spark, f"{folder}/{part}", schema).select(
+        F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in content])).alias("content")
+    )
+    return O.union_all([
+        read("queries", "question_id long, question string, external_knowledge string", "question_id", "question", "external_knowledge"),
+        read("documents", "document_id long, table_name string, col_name string, col_description string", "document_id", "table_name", "col_name", "col_description"),
+        read("document_values", "column_name string, value string", "column_name", "value"),
+    ])
 
 
 @query("srt_02_sort_by_int_id", "SELECT o_orderkey::VARCHAR AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
 def _(spark, sf):
-    """Text ids in numeric order: the place of each in the sorted table."""
+    """Text ids in numeric order: the place of each in the file that the sorted table is written to."""
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
-    ordered = O.sort_by_int_id(ids, "id").withColumn("n", F.col("id").cast("long"))
-    return O.ordered_position(ordered, ["n"], name="place").select("id", "place")
+    return _written_places(spark, O.sort_by_int_id(ids, "id"), "id")
+
+
+def _written_places(spark, df, *cols):
+    """The rows as they stand in files: by name of the file, and in it by row."""
+    folder = _folder(spark)
+    df.write.parquet(folder)
+    rows = spark.read.parquet(folder).select(*cols, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return O.ordered_position(rows, ["file", "row"], name="place").select(*cols, "place")
 
 
-@query("srt_03_sort_by_question", f"WITH {QUESTIONS_SQL} SELECT question_id, difficulty FROM questions")
+@query("srt_03_sort_by_question", f"WITH {QUESTIONS_SQL} SELECT question_id, difficulty, row_number() OVER (ORDER BY question_id) - 1 AS place FROM questions")
 def _(spark, sf):
-    return O.sort_by_question(questions(spark, sf)).select("question_id", "difficulty")
+    return _written_places(spark, O.sort_by_question(questions(spark, sf)).select("question_id", "difficulty"), "question_id", "difficulty")
 
 
 @query("srt_05_head", "SELECT doc_id, source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
