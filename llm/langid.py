@@ -194,14 +194,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def work(batches):
         release_worker()
         for batch in batches:
-            text = batch.column(place)
-            lang, score = np.full(len(text), "und", object), np.zeros(len(text))
-            for a, b in byte_slices(text):
-                rows = a + np.flatnonzero(np.asarray(batch.column(len(kept)).slice(a, b - a)))
-                for c in range(0, len(rows), 512):
-                    some = rows[c : c + 512]
+            for a, b in byte_slices(batch.column(place), 1 << 21):
+                part = batch.slice(a, b - a)
+                text = part.column(place)
+                lang, score = np.full(len(text), "und", object), np.zeros(len(text))
+                rows = np.flatnonzero(np.asarray(part.column(len(kept))))
+                for c in range(0, len(rows), 256):
+                    some = rows[c : c + 256]
                     lang[some], score[some] = model.predict(features(text.take(pa.array(some))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "letter"))
     return spread(docs.select(*[f"`{f.name}`" for f in kept], letter)).mapInArrow(work, schema)

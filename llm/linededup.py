@@ -268,7 +268,8 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
         window, held, lines = Window(shares, spot % shares), [], 0
         writer = PartWriter(target, spot)
         for batch in batches:
-            writer.write(batch)
+            for a, b in byte_slices(batch.column(2), 1 << 21):
+                writer.write(batch.slice(a, b - a))
             ids, ties = batch.column(0), batch.column(1).to_numpy()
             known = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
