@@ -21,7 +21,7 @@ from llm.neardup import drop_near_duplicates, near_duplicates
 from llm.packing import best_fit, pack, token_pieces
 from llm.quality import filter_quality
 from llm.queries import QUERIES
-from llm.repeats import ENTRY, Family, mark, remove_repeats
+from llm.repeats import GRAM, LENGTH, Family, remove_repeats, text_order
 from llm.tokenfile import fetch_tokens, read_tokens, write_tokens
 from llm.tokens import TextEncoder
 from tests.llm.conftest import SF
@@ -483,26 +483,70 @@ def test_repeated_bytes_planted(spark):
     assert got == repeats_of(texts)
 
 
-def test_repeated_ids_in_several_parts_and_batches():
+def windows_of(row, length=6, reach=3):
+    """The windows of a segment row: by offset, the bytes before and behind the anchor."""
+    before, behind = int(row[-2]), int(row[-1])
+    return {o: (bytes(row[length : length + o]), bytes(row[: length - o])) for o in range(reach + 1) if o <= before and length - o <= behind}
+
+
+def test_family_of_suffix_arrays():
+    """Segments of few bytes (zeros too), documents in several parts, batches of all sizes, against all pairs."""
     rnd = random.Random(6)
-    rows = [(h, rnd.randrange(4), rnd.randrange(6), rnd.randrange(5)) for h in range(60) for _ in range(rnd.randint(1, 12))]
+    rows, refs = [], []
+    for n in range(700):
+        before, behind = rnd.randint(0, 3), rnd.randint(3, 6)
+        right = [rnd.choice([0, 1, 1, 200]) for _ in range(behind)]
+        left = [rnd.choice([0, 1, 2]) for _ in range(before)]
+        rows.append(right + [0] * (6 - behind) + left + [0] * (3 - before) + [before, behind])
+        refs.append((rnd.randrange(9), rnd.randrange(4), n))
+    rows = np.array(rows, np.uint8)
     least = {}
-    for h, s, d, _ in rows:
-        least[h, s] = min(d, least.get((h, s), d))
-    for batch_entries in (1, 3, 7, 10_000):
-        rnd.shuffle(rows)
-        family = Family(batch_entries)
-        for row in rows:
-            family.add(np.array([row], ENTRY))
-        (part, marks), left = family.close()
-        lost = [r for r in rows if r[2] > least[r[:2]]]
-        h, s, d, p = (np.array(c) for c in zip(*lost, strict=True))
-        assert set(zip(part.tolist(), marks.tolist(), strict=True)) == set(zip(p.tolist(), mark(d, h.astype("<u8"), s.astype("<u8")).tolist(), strict=True))
-        assert set(zip(*(c.tolist() for c in left), strict=True)) == set(rows) - set(lost)
+    for row, (d, _, _) in zip(rows, refs):
+        for window in windows_of(row).items():
+            least[window] = min(d, least.get(window, d))
+    want = {(p, r): sum(1 << o for o, w in windows_of(row).items() if least[o, w] < d) for row, (d, p, r) in zip(rows, refs)}
+    for batch_entries in (1, 3, 50, 10_000):
+        order = rnd.sample(range(700), 700)
+        family = Family(6, 3, batch_entries)
+        for at in range(0, 700, 7):
+            some = order[at : at + 7]
+            d, p, r = (np.array(c) for c in zip(*(refs[i] for i in some)))
+            family.add(rows[some], d, p, r)
+            # every level is in the order of its bytes, each segment once, and levels shrink
+            for level in family.levels:
+                keys = [bytes(k) for k in level.columns[0].view(np.uint8).reshape(len(level), -1)]
+                assert keys == sorted(set(keys))
+            sizes = [len(level) for level in family.levels]
+            assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        part, found = family.close()
+        got = dict.fromkeys(want, 0)
+        for p, (r, m) in zip(part.tolist(), found.tolist()):
+            got[p, r] |= m & sum(1 << o for o in windows_of(rows[r]))
+        assert got == want
+
+
+def test_text_order_keeps_zero_bytes():
+    rows = np.array([[1, 0, 0, 2], [1, 0, 0, 1], [0, 0, 0, 3]], np.uint8)
+    assert np.argsort(text_order(rows)).tolist() == [2, 1, 0] and text_order(rows)[0] != text_order(rows)[1]
+
+
+def test_equal_hashes_remove_nothing(spark, monkeypatch):
+    """All hashes are one number: anchors are window starts, one share gets all, and bytes alone decide."""
+    from llm import repeats
+
+    monkeypatch.setattr(repeats, "mix", lambda x: x * np.uint64(0))
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = word(200)
+    texts = {i: word(60) + (shared[rnd.randint(0, 90) : rnd.randint(100, 200)] if i % 3 == 0 else "") + word(70) for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in remove_repeats(df).collect()}
+    want = repeats_of(texts)
+    assert got == want and sum(w[1] for w in want.values()) > 0
 
 
 def test_repeated_rows_in_several_partitions(spark, monkeypatch):
-    monkeypatch.setattr(Family.__init__, "__defaults__", (5,))
+    monkeypatch.setattr(Family.__init__, "__defaults__", (LENGTH, GRAM, 5))
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     shared = [word(400) for _ in range(6)]
