@@ -15,8 +15,8 @@
 Words are lower-case (A-Z) runs of letters, digits and all bytes above ASCII, known by 64-bit hashes. The
 benchmark is taken in blocks of at most ``block_words`` words, so what is sent to the tasks is bounded.
 
-Defined results: null and empty texts have no words and no hits; items without words or without id are left
-out; rows of equal id and text get equal results; equal item ids count once; extra columns are ignored.
+Defined results: null and empty texts have no words and no hits; items without words are left
+out; items without id hit words and contaminate, but have no name in item_ids; rows of equal id and text get equal results; equal item ids count once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nda
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     """Lists of (item_id, word hashes), each of at most ``block_words`` words (or one longer item)."""
     block, held = [], 0
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).distinct()
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).distinct()
     for row in rows.toLocalIterator():
         words, _ = word_hashes(pa.array([row[1]]))
         if len(words):
@@ -246,9 +246,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         grouped = stored(places.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("item", "near", "shift")).alias("places")))
         small = broadcast_if_small(grouped.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), 100_000)
         text = rows.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("doc_id", "tie", "text", "places")
-        names = F.array(*[F.lit(name) for name, _ in block])
+        names = F.array(*[F.lit(name).cast("string") for name, _ in block])
         found = match_items(text, block, window, slop)
-        ids = lambda c, names=names: F.transform(c, lambda k: F.get(names, k))
+        ids = lambda c, names=names: F.filter(F.transform(c, lambda k: F.get(names, k)), lambda x: x.isNotNull())
         hits.append(stored(found.select("doc_id", "tie", "spans", ids("items").alias("item_ids"), ids("near").alias("near_item_ids"))))
     if base is None:
         base = positional_index(spread(rows), np.zeros(0, np.uint64)).select("doc_id", "tie", "n_words")
