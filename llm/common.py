@@ -38,9 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint only where a count shows at most so many (narrow) rows; else Spark plans the join itself."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+#: Array cells that a broadcast table may hold (8 bytes each).
+MOST_CELLS = 4_000_000
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int, cells: Column | None = None) -> DataFrame:
+    """A broadcast hint only where a count shows at most so many rows, and for rows with arrays (``cells``: how many values a
+    row holds) at most ``MOST_CELLS`` values; else Spark plans the join itself."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), (F.lit(0) if cells is None else F.coalesce(F.sum(cells), F.lit(0))).alias("c")).first()
+    return F.broadcast(df) if size["n"] <= most_rows and size["c"] <= MOST_CELLS else df
 
 
 def row_key(*columns: str) -> Column:
