@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import broadcast_if_small, stored
+from llm.common import broadcast_if_small, roomy, stored
 from llm.hashing import U
 
 #: Entries of one window.
@@ -147,5 +147,5 @@ def bucket_members(keys: DataFrame) -> DataFrame:
         if rows:
             yield blob_batch(rows)
 
-    blobs = keys.select("node", "keys").mapInArrow(work, BLOBS)
-    return with_pivots(stored(blobs.repartition(shares, "share").mapInArrow(share_members, MEMBERS)))
+    blobs = keys.select("node", "keys").mapInArrow(roomy(work), BLOBS)
+    return with_pivots(stored(blobs.repartition(shares, "share").mapInArrow(roomy(share_members), MEMBERS)))

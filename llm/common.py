@@ -21,10 +21,10 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"
 
 
-def release_worker() -> None:
-    """Called where a task begins that needs room: a Python worker serves many tasks, and what earlier ones kept (an encoder
-    with its caches, freed but unreturned memory) would stay beside what this one holds."""
-    sys.modules.pop("llm_worker_state", None)
+def release_worker(encoders: bool = True) -> None:
+    """Give back what a Python worker holds beside the work of a task: it serves many tasks, and lies idle between them."""
+    if encoders:
+        sys.modules.pop("llm_worker_state", None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -32,6 +32,17 @@ def release_worker() -> None:
         pass
 
 
+def roomy(work, encoders: bool = True):
+    """The work of a task, with room made before it and given back after it. ``encoders``: cached encoders go as well."""
+
+    def run(batches):
+        release_worker(encoders)
+        yield from work(batches)
+        release_worker(encoders)
+
+    return run
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input of fewer partitions than cores (one small file) before work that costs processor time."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import hashing
-from llm.common import broadcast_if_small, byte_slices, free_name, release_worker, row_key, spread, stored, text_bytes
+from llm.common import broadcast_if_small, byte_slices, free_name, roomy, row_key, spread, stored, text_bytes
 from llm.hashing import NOT_ALNUM
 
 HITS = "doc_id long, tie long, spans array<struct<s:int,e:int>>, items array<long>, near array<long>"
@@ -62,7 +62,7 @@ def item_table(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["name", "words"])
 
-    found = stored(rows.mapInArrow(work, "name string, words array<long>").filter("size(words) > 0"))
+    found = stored(rows.mapInArrow(roomy(work), "name string, words array<long>").filter("size(words) > 0"))
     # numbered over the stored rows, so that the numbers are the same for all that follow
     return stored(found.withColumn("item", F.monotonically_increasing_id()))
 
@@ -76,7 +76,6 @@ def term_counts(docs: DataFrame, terms) -> DataFrame:
     """term (its place among the sorted ``terms``, a broadcast), n: how often it occurs in all texts."""
 
     def work(batches):
-        release_worker()
         known = terms.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
@@ -86,7 +85,7 @@ def term_counts(docs: DataFrame, terms) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
-    return docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(roomy(work), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 PAIRS = "item long, a int, b int, rare long, second long, stretch int"
@@ -113,7 +112,7 @@ def rarest_pairs(items: DataFrame, terms, counts, window: int, slop: int) -> Dat
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
 
-    return spread(items.select("item", "words")).mapInArrow(work, PAIRS)
+    return spread(items.select("item", "words")).mapInArrow(roomy(work), PAIRS)
 
 
 POSTINGS = "doc_id long, tie long, n_words long, term long, positions array<int>"
@@ -123,7 +122,6 @@ def positional_index(docs: DataFrame, terms) -> DataFrame:
     """A row per document and term with the positions, and a row without term per document with its number of words."""
 
     def work(batches):
-        release_worker()
         known = terms.value
         for batch in batches:
             for a, b in byte_slices(batch.column(2)):
@@ -147,7 +145,7 @@ def positional_index(docs: DataFrame, terms) -> DataFrame:
                     ["doc_id", "tie", "n_words", "term", "positions"],
                 )
 
-    return docs.mapInArrow(work, POSTINGS)
+    return docs.mapInArrow(roomy(work), POSTINGS)
 
 
 #: The list of a term lies in this many parts of the index, by document.
@@ -233,7 +231,6 @@ def match_items(rows: DataFrame, window: int, slop: int) -> DataFrame:
         return spans, found, near
 
     def work(batches):
-        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(2)):
                 words, count = word_hashes(batch.column(2).slice(a, b - a))
@@ -245,7 +242,7 @@ def match_items(rows: DataFrame, window: int, slop: int) -> DataFrame:
                     ["doc_id", "tie", "spans", "items", "near"],
                 )
 
-    return rows.mapInArrow(work, HITS)
+    return rows.mapInArrow(roomy(work), HITS)
 
 
 def covered(spans):

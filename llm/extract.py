@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, release_worker, spread
+from llm.common import byte_slices, roomy, spread
 from llm.domtree import TAGS, TEXT, Page, attribute_words
 from llm.labelled_pages import labelled_pages
 from llm.treemodel import Forest, fit
@@ -193,11 +193,10 @@ def extract_text(pages: DataFrame, training_pages: int = TRAINING_PAGES, id_col:
     rows = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")))
 
     def work(batches):
-        release_worker()
         for batch in batches:
             html = batch.column(2).fill_null("")
             for a, b in byte_slices(html, 1 << 20):
                 texts = main_texts(html.slice(a, b - a).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.mapInArrow(work, "page_id long, url string, text string")
+    return rows.mapInArrow(roomy(work), "page_id long, url string, text string")

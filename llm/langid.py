@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import byte_slices, free_name, release_worker, spread, text_bytes
+from llm.common import byte_slices, free_name, roomy, spread, text_bytes
 
 DIMS = 4096
 SAMPLE_ROWS = 2400
@@ -158,13 +158,12 @@ def train(docs: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, id_col="doc_i
     chosen = labelled.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_id"), "left_semi").select("lang", "text")
 
     def work(batches):
-        release_worker()
         for batch in batches:
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # an id may be repeated: the bound holds for rows as well
-    got = chosen.mapInArrow(work, "lang string, x binary").limit(2 * sample_rows).toPandas()
+    got = chosen.mapInArrow(roomy(work), "lang string, x binary").limit(2 * sample_rows).toPandas()
     return fit(got["lang"].to_numpy(object), np.array([np.frombuffer(b, np.float32) for b in got["x"]]).reshape(-1, DIMS))
 
 
@@ -192,7 +191,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     place = [f.name for f in kept].index(text_col)
 
     def work(batches):
-        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(place), 1 << 21):
                 part = batch.slice(a, b - a)
@@ -205,7 +203,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "letter"))
-    return spread(docs.select(*[f"`{f.name}`" for f in kept], letter)).mapInArrow(work, schema)
+    return spread(docs.select(*[f"`{f.name}`" for f in kept], letter)).mapInArrow(roomy(work), schema)
 
 
 def accuracy(predicted: pd.DataFrame) -> float:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.bands import BLOBS, Window, blob_batch, share_members, with_pivots
-from llm.common import broadcast_if_small, byte_slices, free_name, fresh_dir, release_worker, row_key, spread, stored
+from llm.common import broadcast_if_small, byte_slices, free_name, fresh_dir, roomy, row_key, spread, stored
 from llm.hashing import U, mix
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -263,7 +263,6 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
                 yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot % shares, spot)
 
     def work(batches):
-        release_worker()
         spot = TaskContext.get().partitionId()
         window, held, lines = Window(shares, spot % shares), [], 0
         writer = PartWriter(target, spot)
@@ -293,7 +292,7 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
             none = [pa.nulls(1, pa.binary())] * 3 + [pa.nulls(1, t) for t in list(LINE.values())[:-2]]
             yield pa.RecordBatch.from_arrays([pa.array(["file"]), pa.array([spot % shares], pa.int32()), *none, pa.array([spot], pa.int32()), pa.array([path])], ["kind", "share", "keys", "nodes", "flags", *LINE])
 
-    return docs.mapInArrow(work, SCANNED)
+    return docs.mapInArrow(roomy(work), SCANNED)
 
 
 SETTLED = f"kind string, key long, node long, pivot long, {LINE_SCHEMA}"
@@ -320,7 +319,6 @@ def by_part(rows: DataFrame, parts: int, work_on, schema) -> DataFrame:
     """``rows``: part, path (in one row of each part) and three columns of what is asked or decided; a task takes whole parts."""
 
     def work(batches):
-        release_worker()
         held: dict[int, list] = {}
         paths: dict[int, str] = {}
         for batch in batches:
@@ -333,7 +331,7 @@ def by_part(rows: DataFrame, parts: int, work_on, schema) -> DataFrame:
         for p, path in paths.items():
             yield from work_on(read_part(path), pa.Table.from_batches(held.pop(p)) if p in held else None)
 
-    return rows.repartition(parts, "part").mapInArrow(work, schema)
+    return rows.repartition(parts, "part").mapInArrow(roomy(work), schema)
 
 
 def numbers_by_row(asked: pa.Table) -> dict:
@@ -405,7 +403,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = keyed.rdd.getNumPartitions()
     shares = max(8, 2 * parts)
     target = fresh_dir(docs.sparkSession, "lines")
-    settled = stored(scan_lines(keyed, width, bands, rows, shares, target).repartition(shares, "share").mapInArrow(settle_shares, SETTLED))
+    settled = stored(scan_lines(keyed, width, bands, rows, shares, target).repartition(shares, "share").mapInArrow(roomy(settle_shares), SETTLED))
     gone = duplicate_lines(settled, width, percent, bands * rows, parts)
     none = lambda t, c: F.lit(None).cast(t).alias(c)
     rows_of = gone.select("part", none("string", "path"), "doc_id", "tie", F.col("number").cast("long").alias("number"))

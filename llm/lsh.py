@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import broadcast_if_small, byte_slices, release_worker, stored
+from llm.common import broadcast_if_small, byte_slices, roomy, stored
 from llm.components import connected_components
 from llm.minmax import signatures
 
@@ -46,7 +46,6 @@ def confirm(pairs: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple
     full = full.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
 
     def work(batches):
-        release_worker()
         lead, own = None, []
         for batch in batches:
             for lo, hi in byte_slices(batch.column(4)):
@@ -63,7 +62,7 @@ def confirm(pairs: DataFrame, contents: DataFrame, sets_of: SetsOf, share: tuple
                 if linked.any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(ask[linked])], ["a", "b"])
 
-    return full.mapInArrow(work, "a long, b long")
+    return full.mapInArrow(roomy(work), "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
@@ -103,7 +102,6 @@ def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, valu
     texts = contents.join(broadcast_if_small(nodes.withColumnRenamed("node", "ask"), SMALL_IDS), F.col("ask") == F.col("node")).select("node", "text")
 
     def work(batches):
-        release_worker()
         for batch in batches:
             for lo, hi in byte_slices(batch.column(1)):
                 sets = sets_of(batch.column(1).slice(lo, hi - lo))
@@ -116,7 +114,7 @@ def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, valu
                         ["node", "signature", "members"],
                     )
 
-    return texts.mapInArrow(work, "node long, signature binary, members binary")
+    return texts.mapInArrow(roomy(work), "node long, signature binary, members binary")
 
 
 def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFrame:
@@ -163,7 +161,6 @@ def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFr
         yield from links_of(unit, own, node, comp, sig, [s for h in held for s in h[4]])
 
     def work(batches):
-        release_worker()
         held, unit = [], None
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(6)]
@@ -181,4 +178,4 @@ def block_links(ready: DataFrame, share: tuple[int, int], values: int) -> DataFr
         if held:
             yield from finish(unit, held)
 
-    return rows.mapInArrow(work, "a long, b long")
+    return rows.mapInArrow(roomy(work), "a long, b long")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bands import bucket_members
-from llm.common import byte_slices, free_name, release_worker, spread, stored, text_bytes
+from llm.common import byte_slices, free_name, roomy, spread, stored, text_bytes
 from llm.hashing import WHITE, U, mix, word_hashes
 from llm.lsh import similar_components
 from llm.minmax import band_keys, signatures
@@ -51,7 +51,6 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set and band keys of each row (null digest and keys for empty sets)."""
 
     def work(batches):
-        release_worker()
         for batch in batches:
             for a, b in byte_slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), width)
@@ -65,7 +64,7 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                         keys[i] = k
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(roomy(work), "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, id_col="doc_id", text_col="text") -> DataFrame:

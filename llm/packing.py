@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, spread, stored
+from llm.common import byte_slices, roomy, spread, stored
 from llm.tokens import worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return rows.mapInArrow(work, PIECES)
+    return rows.mapInArrow(roomy(work, encoders=False), PIECES)
 
 
 def best_fit(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def pack_partitions(items: DataFrame, capacity: int) -> DataFrame:
                 table = table.append_column(name, pa.array(values, pa.int64()))
             yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
-    return items.select(*names).mapInArrow(work, f"{schema}, bin long, offset long, held long")
+    return items.select(*names).mapInArrow(roomy(work, encoders=False), f"{schema}, bin long, offset long, held long")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None, group_items: int = 200_000, most_rounds: int = 12) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bands import pack_keys, unpack_keys
-from llm.common import byte_slices, fresh_dir, release_worker, spread, stored, text_bytes
+from llm.common import byte_slices, fresh_dir, roomy, spread, stored, text_bytes
 from llm.hashing import Prefix, U, mix
 from llm.partfiles import PartWriter, read_part
 from llm.tokens import ranges
@@ -296,7 +296,6 @@ def index_texts(docs: DataFrame, target: str, shares: int, length: int, gram: in
     """Step 1: write the texts of each part; give 40 bits of each distinct run of a batch, and the file."""
 
     def work(batches):
-        release_worker()
         part, number = TaskContext.get().partitionId(), 0
         writer = PartWriter(target, part)
         for batch in batches:
@@ -316,14 +315,13 @@ def index_texts(docs: DataFrame, target: str, shares: int, length: int, gram: in
         if path:
             yield row_batch([("file", part, -1, part % shares, path, b"")])
 
-    return docs.mapInArrow(work, ROWS)
+    return docs.mapInArrow(roomy(work), ROWS)
 
 
 def repeated_runs(rows: DataFrame, shares: int) -> DataFrame:
     """For each batch and share a bit per run: whether another document may have it (two batches, or two documents of one)."""
 
     def work(batches):
-        release_worker()
         held: list[tuple] = []
         for batch in batches:
             other = []
@@ -353,7 +351,7 @@ def repeated_runs(rows: DataFrame, shares: int) -> DataFrame:
             if out:
                 yield row_batch(out)
 
-    return rows.repartitionById(shares, F.col("share")).mapInArrow(work, ROWS)
+    return rows.repartitionById(shares, F.col("share")).mapInArrow(roomy(work), ROWS)
 
 
 def scan_shares(rows: DataFrame, shares: int, length: int, gram: int) -> DataFrame:
@@ -361,7 +359,6 @@ def scan_shares(rows: DataFrame, shares: int, length: int, gram: int) -> DataFra
     width = 2 * length - gram + 2
 
     def work(batches):
-        release_worker()
         families: dict[int, Family] = {}
         for batch in batches:
             for part, number, share, payload in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 5)), strict=True):
@@ -377,14 +374,13 @@ def scan_shares(rows: DataFrame, shares: int, length: int, gram: int) -> DataFra
             if out:
                 yield row_batch(out)
 
-    return rows.repartitionById(shares, F.col("share")).mapInArrow(work, ROWS)
+    return rows.repartitionById(shares, F.col("share")).mapInArrow(roomy(work), ROWS)
 
 
 def by_part(rows: DataFrame, parts: int, work_on, schema: str) -> DataFrame:
     """All rows about a part meet in one task, which reads the file of the part: ``work_on(batch, number, part, rows by kind)``."""
 
     def work(batches):
-        release_worker()
         held: dict[int, dict] = {}
         for batch in batches:
             for kind, part, number, share, path, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -401,7 +397,7 @@ def by_part(rows: DataFrame, parts: int, work_on, schema: str) -> DataFrame:
             for number, piece in enumerate(read_part(own["path"])):
                 yield from work_on(piece, number, part, own)
 
-    return rows.repartition(parts, "part").mapInArrow(work, schema)
+    return rows.repartition(parts, "part").mapInArrow(roomy(work), schema)
 
 
 def wanted_segments(own: Batch, bits: dict, gram: int):

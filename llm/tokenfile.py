@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import byte_slices, fresh_dir, row_key, stored
+from llm.common import byte_slices, fresh_dir, roomy, row_key, stored
 from llm.tokens import worker_encoder
 
 SEEK_MAGIC, SEEK_END, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{target}/{path.rsplit('/', 1)[1]}"], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_frames": [frames], "bytes": [size]})
 
-    return stored(rows.mapInArrow(work, MANIFEST))
+    return stored(rows.mapInArrow(roomy(work, encoders=False), MANIFEST))
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(at + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(ends[-1])
 
-    return jobs.mapInArrow(work, TOKENS)
+    return jobs.mapInArrow(roomy(work, encoders=False), TOKENS)
 
 
 def fetch_tokens(spark: SparkSession, manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -215,4 +215,4 @@ def fetch_tokens(spark: SparkSession, manifest: DataFrame, wanted: DataFrame, id
                     for doc, ids in FrameReader(file).documents(numbers):
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None if doc == NO_ID else doc], pa.int64()), "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
 
-    return jobs.mapInArrow(work, "doc_id long, ids array<long>")
+    return jobs.mapInArrow(roomy(work, encoders=False), "doc_id long, ids array<long>")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import broadcast_if_small, fresh_dir, release_worker, spread, stored
+from llm.common import broadcast_if_small, fresh_dir, roomy, spread, stored
 from llm.tokenfile import open_store
 
 #: Fixed value: the date of all records, so that a repeated task writes the same bytes.
@@ -97,7 +97,6 @@ def write_warc(captures: DataFrame) -> DataFrame:
     target = fresh_dir(captures.sparkSession, "warc")
 
     def work(batches):
-        release_worker()
         store, folder = open_store(target)
         name, out, n = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
@@ -113,7 +112,7 @@ def write_warc(captures: DataFrame) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{target}/{name}"], "n_records": [n], "bytes": [size]})
 
-    return stored(captures.mapInArrow(work, MANIFEST))
+    return stored(captures.mapInArrow(roomy(work), MANIFEST))
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, with_payload: bool = True, batch_bytes: int = 16 << 20) -> DataFrame:
@@ -153,7 +152,6 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_payload: bool =
         return kind, fields["warc-record-id"], fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, more, size, payload if with_payload else None
 
     def work(batches):
-        release_worker()
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 folder, _, name = path.rpartition("/")
@@ -169,7 +167,7 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return jobs.mapInArrow(work, RECORDS)
+    return jobs.mapInArrow(roomy(work), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
