@@ -1,6 +1,8 @@
 """Training tables: vocabulary, ids, masks, padded batches."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,13 +62,18 @@ def encode(
     unknown = K.SPECIAL_TOKENS.index(K.UNK)
     size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
     if size[0] <= broadcast_words and size[1] <= BROADCAST_BYTES:
-        head = vocab.select("token", "id").toPandas()
-        table = df.sparkSession.sparkContext.broadcast(dict(zip(head["token"], head["id"].tolist())))
-
-        @F.pandas_udf("array<int>")
-        def look_up(texts: pd.Series) -> pd.Series:
-            find = table.value.get
-            return texts.map(lambda found: [find(word, unknown) for word in found])
+        head = vocab.select("token", "id").toArrow().combine_chunks()
+        table = df.sparkSession.sparkContext.broadcast((head.column("token").combine_chunks(), head.column("id").to_numpy()))
+
+        @F.arrow_udf("array<int>")
+        def look_up(texts: pa.Array) -> pa.Array:
+            """Each distinct word of a batch is looked up once."""
+            tokens, ids = table.value
+            coded = texts.flatten().dictionary_encode()
+            place = pc.index_in(coded.dictionary, value_set=tokens.cast(coded.dictionary.type))
+            known = np.where(np.asarray(place.is_valid()), ids[place.fill_null(0).to_numpy()], unknown).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(texts)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(known[coded.indices.to_numpy()]))
 
         return df.withColumn(output, look_up(words(F.coalesce(F.col(text), F.lit("")))))
 
