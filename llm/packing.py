@@ -1,10 +1,10 @@
 """Best-fit packing by rounds: tasks pack locally, nearly full bins are emitted, underfull bins go on as items.
 
-Round 0 packs the pieces of each partition best-fit decreasing. Bins with at most ``slack`` free places are
+Round 0 deals the (stored) pieces into groups of about ``local_items`` and packs each best-fit decreasing. Bins with at most ``slack`` free places are
 final. The others become items (their length is what they hold) of the next round, in which hashed groups
 of at most ``group_items`` items are packed again; rounds end when one group was packed or a round
-saves less than one bin in 200. A task holds lengths and row numbers only, at most one scan partition or
-one group. Every round is written before it is read, so a lost executor repeats tasks, not rounds.
+saves less than one bin in 200. A task holds lengths and row numbers only, of one group. Pieces are stored before
+they are packed, so no task runs the encoder and the packing side by side. Every round is written before it is read, so a lost executor repeats tasks, not rounds.
 
 Defined results: a null text is the empty text (it still has its end id); repeated rows are packed each; an
 empty table gives no rows; a text of any length is cut into pieces of the capacity, the first may be shorter.
@@ -100,10 +100,11 @@ def pack_partitions(items: DataFrame, capacity: int) -> DataFrame:
     return items.select(*names).mapInArrow(roomy(work, encoders=False), f"{schema}, bin long, offset long, held long")
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None, group_items: int = 200_000, most_rounds: int = 12) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None, group_items: int = 200_000, most_rounds: int = 12, local_items: int = 50_000) -> DataFrame:
     """``pieces`` (any columns, with ``length`` of 1 to ``capacity``) plus sequence_id and offset."""
     slack = capacity // 256 if slack is None else slack
-    placed = stored(pack_partitions(pieces, capacity))
+    pieces = stored(pieces)
+    placed = stored(pack_partitions(pieces.repartition(max(1, -(-pieces.count() // local_items))), capacity))
     maps, level = [], placed
     for number in range(1, most_rounds):
         open_bins = level.filter(F.col("held") < capacity - slack).groupBy("bin").agg(F.first("held").alias("length")).withColumnRenamed("bin", "item")

@@ -122,9 +122,10 @@ def check_bins(rows, capacity):
 
 def test_packing_rounds_meet_across_partitions(spark):
     items = spark.createDataFrame([(i, 500 if i % 2 else 524) for i in range(64)], "item_id int, length long").repartition(16, "item_id")
-    rows = pack(items, 1024, slack=0).collect()
-    check_bins(rows, 1024)
-    assert len({r["sequence_id"] for r in rows}) <= 40
+    for local in (50_000, 4):  # one group, and sixteen of which the rounds must meet
+        rows = pack(items, 1024, slack=0, local_items=local).collect()
+        check_bins(rows, 1024)
+        assert len({r["sequence_id"] for r in rows}) <= 40 and len(rows) == 64
 
 
 def test_best_fit_is_exact():
