@@ -14,6 +14,7 @@ run without any such place (letters alone, say) goes to the library in one piece
 from __future__ import annotations
 
 import json
+import os
 import sys
 import types
 
@@ -88,6 +89,8 @@ class TextEncoder:
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, long: int = LONG):
         from tokenizers import Tokenizer
 
+        # a task has one core; the library's threads would only wait for work there
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as file:
             model = json.load(file)["model"]
