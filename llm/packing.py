@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     def work(batches):
         encoder, end = worker_encoder(tokenizer), np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
-            for a, b in byte_slices(batch.column(1), 2 << 20):
+            for a, b in byte_slices(batch.column(1), 1 << 20):
                 flat, counts = encoder.ids(batch.column(1).slice(a, b - a))
                 ends, row, start, length, crc = np.cumsum(counts), [], [], [], []
                 for i, (n, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):

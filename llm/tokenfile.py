@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_
         n_docs = n_tokens = 0
         for batch in batches:
             ids_of = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for a, b in byte_slices(batch.column(1), 2 << 20):
+            for a, b in byte_slices(batch.column(1), 1 << 20):
                 if out is None:
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(path, compression=None)

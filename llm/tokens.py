@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from llm.common import release_worker
+
 #: The pre-token patterns of the two kinds of public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,7 +32,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts that are encoded whole: white space beside white space or at an end, rare characters, special tokens.
 #: Longer texts (in characters) are cut; no call of the library gets much more.
 LONG = 200_000
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 12 << 20
 #: Places where no pre-token reaches across, and no special token (they hold neither blanks nor these marks).
 #: With the word pattern each digit is a pre-token of its own.
 BORDER = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[,.;:!?。、，．！？；：])"
@@ -251,6 +253,7 @@ def worker_encoder(path: str) -> TextEncoder:
     if path not in encoders:
         encoders.clear()
         encoders[path] = TextEncoder(path)
+        release_worker(encoders=False)  # reading the vocabulary takes more than keeping it
     return encoders[path]
 
 
