@@ -22,7 +22,7 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def release_worker(encoders: bool = True) -> None:
-    """Give back what a Python worker holds beside the work of a task: it serves many tasks, and lies idle between them."""
+    """Give back what a Python process holds beside its work: a worker serves many tasks, and lies idle between them."""
     if encoders:
         sys.modules.pop("llm_worker_state", None)
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import byte_slices, free_name, roomy, spread, text_bytes
+from llm.common import byte_slices, free_name, release_worker, roomy, spread, text_bytes
 
 DIMS = 4096
 SAMPLE_ROWS = 2400
@@ -163,8 +163,12 @@ def train(docs: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, id_col="doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # an id may be repeated: the bound holds for rows as well
-    got = chosen.mapInArrow(roomy(work), "lang string, x binary").limit(2 * sample_rows).toPandas()
-    return fit(got["lang"].to_numpy(object), np.array([np.frombuffer(b, np.float32) for b in got["x"]]).reshape(-1, DIMS))
+    got = chosen.mapInArrow(roomy(work), "lang string, x binary").limit(2 * sample_rows).toArrow()
+    x = np.frombuffer(b"".join(v.as_buffer() for v in got.column("x").combine_chunks()), np.float32).reshape(-1, DIMS)
+    model = fit(np.array(got.column("lang").to_pylist(), object), x)
+    del got, x
+    release_worker(encoders=False)  # the driver has little room as well
+    return model
 
 
 def fit(lang: np.ndarray, x: np.ndarray) -> Model:
