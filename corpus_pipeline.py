@@ -21,6 +21,14 @@ from llm.packing import pack, token_pieces
 CAPACITY, END_ID = 1024, 2
 
 
+#: Rows of a batch between Spark and Python: whole texts travel in them, twice in the JVM and once in the worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def plain(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*[f"`{c}`" for c in like.columns])
 
@@ -33,6 +41,7 @@ LEAST_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language at all (null, or without a letter) go, and texts that no language wins; a null ``lang`` becomes the
     predicted one. Where no row has a language there is nothing to predict with, and every text with a letter stays."""
+    small_batches(spark)
     model = train(docs, F.lit(True))
     found = identify(docs, model)
     if not model.langs:
@@ -43,22 +52,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are taken out of the texts; a document of which no word is left goes (it was a copy)."""
+    small_batches(spark)
     found = dedup_lines(docs)
     return plain(found.filter((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    small_batches(spark)
     pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
     return pack(pieces, CAPACITY)
 
