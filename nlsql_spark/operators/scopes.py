@@ -18,39 +18,30 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlsql_spark.session import materialize
+from nlsql_spark.session import broadcast_if_small, materialize
 
 #: Scopes that one name may lead through.
 MOST_STEPS = 200
 
 
-def visible_names(bindings: DataFrame, outputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(what a column name means in a scope, what a qualifier means in a scope).
+def bound_names(bindings: DataFrame, outputs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per binding: its qualifiers, the catalogue's names of its table (``owners``), what its scope gives (``given``).
 
-    ``table_name`` is a table of the catalogue; or (next_scope, next_qualifier, next_column) say where the search goes on.
+    Columns of a table are not listed: a name is looked up among them when a search meets the binding.
     """
     names = F.array_distinct(F.array(F.lower("name"), F.lower(F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("name")))))
-    bound = bindings.withColumns({"table_key": F.lower("name"), "qualifiers": names})
-    base = bound.filter("inner_scope is null")
-    derived = bound.filter("inner_scope is not null")
-    tables = catalog.select("database_name", F.lower("table_name").alias("table_key"), "table_name", F.lower("column_name").alias("column_key")).distinct()
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    of_tables = base.join(tables, ["database_name", "table_key"]).select(
-        "question_id", "scope_id", "qualifiers", "column_key", "table_name", none("int", "next_scope"), none("string", "next_qualifier"), none("string", "next_column")
-    )
-    inner = outputs.select(
-        "question_id", F.col("scope_id").alias("inner_scope"), F.lower("output_name").alias("column_key"), F.lower("qualifier").alias("next_qualifier"), F.lower("column_name").alias("next_column")
-    )
-    of_scopes = derived.join(inner, ["question_id", "inner_scope"]).select(
-        "question_id", "scope_id", "qualifiers", "column_key", none("string", "table_name"), F.col("inner_scope").cast("int").alias("next_scope"), "next_qualifier", "next_column"
-    )
-    # without a qualifier a column is known by its name alone
-    every = of_tables.unionByName(of_scopes).withColumn("qualifier", F.explode(F.array_union("qualifiers", F.array(F.lit(""))))).drop("qualifiers")
-    known = catalog.select("database_name", F.lower("table_name").alias("table_key"), "table_name").distinct()
-    qualified = base.join(known, ["database_name", "table_key"], "left").select("question_id", "scope_id", F.explode("qualifiers").alias("qualifier"), F.coalesce("table_name", "name").alias("owner"))
-    return every.distinct(), qualified.unionByName(
-        derived.select("question_id", "scope_id", F.explode("qualifiers").alias("qualifier"), none("string", "owner"))
+    bound = bindings.select(
+        "question_id", F.col("scope_id").alias("at"), "database_name", "name", F.lower("name").alias("table_key"), names.alias("qualifiers"), "inner_scope"
     ).distinct()
+    known = catalog.groupBy("database_name", F.lower("table_name").alias("table_key")).agg(F.collect_set("table_name").alias("owners"))
+    base = bound.filter("inner_scope is null").join(broadcast_if_small(known), ["database_name", "table_key"], "left")
+    # a group is the select list of one scope
+    given = outputs.groupBy("question_id", F.col("scope_id").alias("inner_scope")).agg(
+        F.collect_set(F.struct(F.lower("output_name").alias("key"), F.lower("qualifier").alias("q"), F.lower("column_name").alias("c"))).alias("given")
+    )
+    derived = bound.filter("inner_scope is not null").join(given, ["question_id", "inner_scope"], "left")
+    owners = F.coalesce("owners", F.array_compact(F.array("name")))
+    return base.withColumn("owners", owners).unionByName(derived, allowMissingColumns=True)
 
 
 def resolve_scoped_columns(scopes: DataFrame, bindings: DataFrame, outputs: DataFrame, columns: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -60,33 +51,46 @@ def resolve_scoped_columns(scopes: DataFrame, bindings: DataFrame, outputs: Data
     to the nearest scope in which a table has such a column (all of them, if there are several). Names that no scope knows have no row.
     Every round moves all open names by one scope; there are as many rounds as the longest way of a name, not rows.
     """
-    meanings, qualifiers = (materialize(t) for t in visible_names(bindings, outputs, catalog))
+    bound = materialize(bound_names(bindings, outputs, catalog))
     around = materialize(scopes.select("question_id", "scope_id", "parent_id"))
+    tables = materialize(
+        catalog.groupBy("database_name", F.lower("table_name").alias("table_key"), F.lower("column_name").alias("c")).agg(F.collect_set("table_name").alias("tables"))
+    )
+    tables = broadcast_if_small(tables)
     origin = ["question_id", "scope_id", "qualifier", "column_name"]
+    name = [*origin, "at", "q", "c"]
     open_names = columns.select(*origin).distinct().select(
         *origin, F.col("scope_id").alias("at"), F.lower("qualifier").alias("q"), F.lower("column_name").alias("c")
     )
+    fits = F.coalesce(F.array_contains("qualifiers", F.col("q")), F.lit(False))
+    # without a qualifier a column is known by its name alone
+    meant = fits | F.coalesce(F.col("q") == "", F.lit(False))
+    steps = F.transform(
+        F.filter("given", lambda g: g["key"] == F.col("c")), lambda g: F.struct(F.col("inner_scope").cast("int").alias("at"), g["q"].alias("q"), g["c"].alias("c"))
+    )
+    every = lambda found: F.array_distinct(F.flatten(F.collect_list(found)))
     found: list[DataFrame] = []
     for _ in range(MOST_STEPS):
-        open_names = materialize(open_names)
-        if open_names.isEmpty():
+        met = open_names.join(bound, ["question_id", "at"], "left").join(tables, ["database_name", "table_key", "c"], "left")
+        # a group is the bindings of one scope
+        met = materialize(
+            met.groupBy(*name).agg(
+                F.bool_or(fits).alias("has"), every(F.when(fits, F.col("owners"))).alias("owners"),
+                every(F.when(meant & F.col("inner_scope").isNull(), F.col("tables"))).alias("tables"), every(F.when(meant, steps)).alias("steps"),
+            )
+        )
+        if met.isEmpty():
             break
-        here = meanings.select(
-            "question_id", F.col("scope_id").alias("at"), F.col("qualifier").alias("q"), F.col("column_key").alias("c"), "table_name", "next_scope", "next_qualifier", "next_column"
-        )
-        owners = qualifiers.select("question_id", F.col("scope_id").alias("at"), F.col("qualifier").alias("q"), "owner").withColumn("has", F.lit(True))
-        met = open_names.join(here, ["question_id", "at", "q", "c"], "left").join(owners, ["question_id", "at", "q"], "left")
-        met = materialize(met.withColumn("known", F.coalesce(F.col("table_name").isNotNull() | F.col("next_scope").isNotNull(), F.lit(False))))
-        ends = met.filter("table_name is not null").select(*origin, "table_name", F.col("c").alias("source_column"))
+        known = (F.size("tables") > 0) | (F.size("steps") > 0)
         # the qualifier is known, the column is not: the table is named all the same
-        named = met.filter("not known and has and owner is not null").select(*origin, F.col("owner").alias("table_name"), F.col("c").alias("source_column"))
-        found += [ends, named]
-        inwards = met.filter("next_scope is not null").select(*origin, F.col("next_scope").alias("at"), F.col("next_qualifier").alias("q"), F.col("next_column").alias("c"))
+        ends = F.when(known, F.col("tables")).when(F.col("has"), F.col("owners"))
+        found.append(met.select(*origin, F.explode(ends).alias("table_name"), F.col("c").alias("source_column")))
+        inwards = met.select(*origin, F.inline("steps"))
         outwards = (
-            met.filter("not known and has is null")
-            .join(around.withColumnRenamed("scope_id", "at"), ["question_id", "at"])
-            .filter("parent_id is not null")
-            .select(*origin, F.col("parent_id").alias("at"), "q", "c")
+            met.filter(~known & ~F.col("has"))
+            .select(*origin, F.col("at").alias("inner"), "q", "c")
+            .join(around.select("question_id", F.col("scope_id").alias("inner"), F.col("parent_id").alias("at")), ["question_id", "inner"])
+            .filter("at is not null")
         )
         open_names = inwards.unionByName(outwards.select(inwards.columns)).distinct()
     else:

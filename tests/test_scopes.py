@@ -85,3 +85,24 @@ def test_random_scopes(spark, make_catalog):
     want = plain(tables, scopes, bindings, outputs, columns)
     assert len(want) > 300
     assert resolved(spark, make_catalog(tables), scopes, bindings, outputs, columns) == want
+
+
+def test_wide_tables_are_not_copied(spark, make_catalog, monkeypatch):
+    """A stored step holds what was asked, not every column of every table that a question binds."""
+    import nlsql_spark.operators.scopes as S
+
+    most, keep = [], S.materialize
+
+    def counted(df):
+        out = keep(df)
+        most.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    catalog = make_catalog({"wide": [f"c{i}" for i in range(500)]})
+    questions = range(20)
+    scopes = [(q, 0, None) for q in questions]
+    bindings = [(q, "db", 0, "wide", "w", None) for q in questions]
+    columns = [(q, 0, "w", f"C{q}") for q in questions]
+    assert resolved(spark, catalog, scopes, bindings, [], columns) == [(q, 0, "w", f"C{q}", "wide", f"c{q}") for q in questions]
+    assert max(n for names, n in most if "question_id" in names) == 20

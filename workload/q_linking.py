@@ -198,7 +198,7 @@ def _(spark, sf):
     rest = names.withColumnRenamed("table_name", "other_table")
     other = names.join(rest, "database_name").filter("other_table <> table_name").groupBy("database_name", "table_name").agg(F.min("other_table").alias("other_table"))
     lead = c.groupBy("database_name", F.col("table_name").alias("other_table")).agg(F.min_by("column_name", "column_pos").alias("other_column"))
-    used = stored_questions(spark, sf).select("question_id", "database_name", w[4].alias("table_name"), F.rtrim(w[1], F.lit(",")).alias("column_name"))
+    used = questions(spark, sf).select("question_id", "database_name", w[4].alias("table_name"), F.rtrim(w[1], F.lit(",")).alias("column_name"))
     u = materialize(used.join(other, ["database_name", "table_name"]).join(lead, ["database_name", "other_table"]))
     rows = lambda *parts: reduce(DataFrame.unionByName, [u.select("question_id", *[(x if hasattr(x, "alias") else F.lit(x)).alias(n) for n, x in p.items()]) for p in parts])
     none, t, o = F.lit(None).cast("int"), F.col("table_name"), F.col("other_table")
