@@ -192,6 +192,18 @@ def knn_by_cells(queries: DataFrame, docs: DataFrame, k: int, block_queries: int
     return first.unionByName(_meet(bounded, placed, cells, further, k, block_queries, block_docs))
 
 
+def knn_of_distinct(queries: DataFrame, docs: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``knn_by_cells`` for each distinct query vector; its ``k`` nearest go to all queries with that vector."""
+    distinct = queries.select("embedding").distinct()
+    vectors = materialize(distinct.withColumn("example_id", F.monotonically_increasing_id()))
+    hits = knn_by_cells(vectors, docs, k, block_queries, block_docs)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
+    # the k hits of a vector; stored, for the plan behind it reads nothing but them
+    nearest = materialize(hits.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query_id").alias("vector"), "doc_id", "distance"))
+    asked = queries.select(F.col("example_id").alias("query_id"), "embedding").join(vectors.withColumnRenamed("example_id", "vector"), "embedding")
+    return asked.select("query_id", "vector").join(nearest, "vector").select("query_id", "doc_id", "distance")
+
+
 def knn(
     queries: DataFrame,
     docs: DataFrame,
@@ -203,7 +215,7 @@ def knn(
 
     Both sides are ``(example_id, embedding)``. Up to ``block_queries`` queries go to every task and the docs stay
     where they are: local top k, then a rank per query. More than that, and both sides meet by cells around
-    pivots (``knn_by_cells``). Rows of one id count as one query.
+    pivots (``knn_by_cells``), where equal query vectors are searched once. Rows of one id count as one query.
     """
     head = queries.select("example_id", "embedding").limit(block_queries + 1).toPandas()
     if len(head) <= block_queries:
@@ -216,6 +228,6 @@ def knn(
             scan = _local_search(head["example_id"].to_numpy(), matrix, k)
             partial = docs.select("example_id", "embedding").mapInPandas(scan, _HITS)
     else:
-        partial = knn_by_cells(queries, docs, k, block_queries, block_docs)
+        partial = knn_of_distinct(queries, docs, k, block_queries, block_docs)
     nearest = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return partial.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
