@@ -65,6 +65,21 @@ def link_by_substring(questions: DataFrame, catalog: DataFrame, word_boundary: b
     return name_links(questions, catalog, "sql_query", word_boundary)
 
 
+def mentioned_columns(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_query") -> DataFrame:
+    """``question_id, table_name, column_name`` of all pairs that are ``mentioned`` in the query text, one row a catalogue row.
+
+    A text meets the columns of those tables only whose name occurs in it, and is lowered once, not once per pair.
+    Questions of unknown databases have no row.
+    """
+    on = ["database_name", "table_name"]
+    names = catalog.select(*on, "column_name", F.lower("column_name").alias("__column"))
+    tables = catalog.select(*on).distinct().withColumn("__table", F.lower("table_name"))
+    asked = questions.select("question_id", "database_name", F.lower(sql_col).alias("__text"))
+    named = asked.join(broadcast_if_small(tables, measure=catalog), "database_name").filter(F.contains("__text", "__table"))
+    pairs = named.join(broadcast_if_small(names, measure=catalog), on).filter(F.contains("__text", "__column"))
+    return pairs.select("question_id", "table_name", "column_name")
+
+
 def entity_tokens(catalog: DataFrame, min_len: int = 3) -> DataFrame:
     """Distinct (database, token, table, column) with a NULL column for table-name tokens."""
     tables = catalog.select("database_name", "table_name", F.lit(None).cast("string").alias("column_name"))
@@ -241,7 +256,7 @@ def link_by_embedding(neighbours: DataFrame, documents: DataFrame, questions: Da
     ``neighbours``: query_id, doc_id, distance, rank (see ``knn``). ``documents``: document_id,
     table_name, col_name. ``questions`` (example_id, input_to_embed) adds the embedded text.
     """
-    found = neighbours.join(documents, neighbours["doc_id"] == documents["document_id"])
+    found = neighbours.join(broadcast_if_small(documents), neighbours["doc_id"] == documents["document_id"])
     # a group is the k neighbours of one question
     grouped = found.groupBy(F.col("query_id").alias("question_id")).agg(
         F.array_sort(

@@ -202,3 +202,40 @@ def test_links_from_pairs(spark, make_catalog):
     df = spark.createDataFrame([(1, "q", "db", [("u", "x"), ("T", "A"), ("T", "A")]), (2, "q", "db", None)], schema)
     got = links_of(link_from_pairs(df, catalog))
     assert got == {1: [("t", ["a", "id"]), ("u", ["x"])], 2: []}
+
+
+def test_mentioned_columns(spark, make_catalog):
+    """The rows of all pairs, also for repeated questions, null texts and unknown databases; columns of unnamed tables are not met."""
+    from nlsql_spark.functions.text import mentioned
+
+    catalog = make_catalog({"Person": ["Id", "name", "age"], "pet": ["id", "Owner"], "a": ["pet", "x"]})
+    texts = ["select AGE from PERSON", "select id, owner FROM Pet", None, "", "x", "select name from person, pet"]
+    rows = [(i, "db", t) for i, t in enumerate(texts)] + [(1, "db", texts[1]), (9, "other", texts[0]), (10, None, texts[0])]
+    questions = spark.createDataFrame(rows, "question_id long, database_name string, sql_query string")
+    found = sorted(map(tuple, L.mentioned_columns(questions, catalog).collect()))
+    pairs = questions.join(catalog, "database_name").filter(mentioned(F.col("table_name"), F.col("column_name"), F.col("sql_query")))
+    assert found == sorted(map(tuple, pairs.select("question_id", "table_name", "column_name").collect())) and len(found) == 7
+
+
+def test_knn_searches_equal_vectors_once(spark, monkeypatch):
+    from nlsql_spark.operators import knn as module
+
+    asked, search = [], module.knn_by_cells
+
+    def counted(queries, *args, **kwargs):
+        asked.append(queries.count())
+        return search(queries, *args, **kwargs)
+
+    monkeypatch.setattr(module, "knn_by_cells", counted)
+    schema = "example_id long, embedding array<float>"
+    docs = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(40)], schema)
+    # id 0 stands twice and counts as one query: its hits come twice and share the ranks
+    queries = spark.createDataFrame([(i, [float(i % 4), 0.5]) for i in [*range(60), 0]], schema)
+    found = {}
+    for r in module.knn(queries, docs, 3, block_queries=8).collect():
+        found.setdefault(r["query_id"], []).append((r["distance"], r["doc_id"], r["rank"]))
+    assert asked == [4]
+    for i in range(60):
+        near = sorted(((i % 4 - d) ** 2 + (0.5 - d % 3) ** 2, d) for d in range(40))[:3]
+        near = near if i else [near[0], near[0], near[1]]
+        assert sorted(found[i], key=lambda x: x[2]) == [(*x, r) for r, x in enumerate(near, 1)]

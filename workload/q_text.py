@@ -8,7 +8,7 @@ from nlsql_spark.functions import training as T
 from nlsql_spark.functions.prompts import fill_prompt, prompt_template, reasoning_request, template_inputs, template_text
 from nlsql_spark.functions.rewards import ves_reward
 from nlsql_spark.functions.vectors import l2_normalize
-from nlsql_spark.operators.linking import pairs_to_links
+from nlsql_spark.operators.linking import mentioned_columns, pairs_to_links
 from workload.inputs import (
     CATALOG_SQL, QUESTIONS_SQL, TURNS_SQL, link_text_sql, links_text, questions, table, tokens_sql, turns,
 )
@@ -422,8 +422,7 @@ WHERE contains(lower(q.sql_query), c.table_name) AND contains(lower(q.sql_query)
 def _(spark, sf):
     from workload.inputs import catalog
 
-    pairs = questions(spark, sf).select("question_id", "database_name", "sql_query").join(catalog(spark, sf), "database_name")
-    return pairs.filter(X.mentioned(F.col("table_name"), F.col("column_name"), F.col("sql_query"))).select("question_id", "table_name", "column_name")
+    return mentioned_columns(questions(spark, sf), catalog(spark, sf))
 
 
 @query("flt_06_tokens_match", """
