@@ -3,16 +3,21 @@
 Links come out as ``schema_links ARRAY<STRUCT<table_name, columns ARRAY<STRING>>>``, one row a question.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.text import link_tokens, name_in
 from nlsql_spark.operators.catalog import nest_catalog
-from nlsql_spark.operators.name_index import name_links
-from nlsql_spark.session import broadcast_if_small
+from nlsql_spark.operators.name_index import LINK, name_links
+from nlsql_spark.session import broadcast_if_small, is_small
 
 LINKS_TYPE = "array<struct<table_name:string,columns:array<string>>>"
+#: Questions whose links a task holds at once.
+HELD_ROWS = 1_000
 EMPTY_LINK = "array(named_struct('table_name', '', 'columns', cast(array() as array<string>)))"
 
 
@@ -203,9 +208,10 @@ def link_by_tokens(
         F.transform("all_columns", lambda c, i: F.when(F.array_contains("names", c), i)), lambda i: i.isNotNull()
     )
     named = named.select(*on, "token", places.alias("places"))
-    if edit_distance == 0:
+    if edit_distance == 0 and is_small(catalog):
         # a few words per catalogue row, so the catalogue's size bounds it; near words have no such bound
-        named = broadcast_if_small(named, measure=catalog)
+        asked = questions.select("question_id", "database_name", F.array_distinct(link_tokens(text, min_len)).alias("tokens"))
+        return held_links(questions, asked, tables, named)
     # only places travel; a question's matches are at most its database's schema. Partitioned by
     # question once, which serves both groupings and the last join
     hits = words.join(named, ["database_name", "token"]).drop("token").repartition("question_id")
@@ -225,6 +231,48 @@ def link_by_tokens(
     )
 
 
+def held_links(questions: DataFrame, asked: DataFrame, tables: DataFrame, named: DataFrame) -> DataFrame:
+    """``link_by_tokens`` where every task holds the words of a (small) catalogue: neither a match nor a link is shuffled.
+
+    ``asked``: question_id, database_name, tokens; ``tables``: table_pos and all_columns of each table; ``named``: the places
+    of the columns that a word names in a table. Rows of one id count as one question.
+    """
+    held = [(r["database_name"], r["table_name"], r["table_pos"], r["all_columns"]) for r in tables.collect()]
+    number = {(db, table): i for i, (db, table, _, _) in enumerate(held)}
+    index: dict[tuple[str, str], list[tuple[int, list[int]]]] = {}
+    for r in named.collect():
+        index.setdefault((r["database_name"], r["token"]), []).append((number[r["database_name"], r["table_name"]], r["places"]))
+    first = lambda x: (x is not None, x if x is not None else "")
+
+    def links(texts: list[dict] | None) -> list[dict]:
+        places: dict[int, set[int]] = {}
+        for text in texts or ():
+            for token in text["tokens"]:
+                for table, some in index.get((text["database_name"], token), ()):
+                    places.setdefault(table, set()).update(some)
+        out = []
+        for table, some in places.items():
+            _, name, pos, every = held[table]
+            out.append(((pos is not None, pos or 0), name, [every[i] for i in sorted(some)] if some else every))
+        if len(out) > 1:
+            out.sort(key=lambda x: x[:2] if len(texts) == 1 else (*x[:2], [first(c) for c in x[2]]))
+        return [{"table_name": name, "columns": columns} for _, name, columns in out] or [{"table_name": "", "columns": []}]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), HELD_ROWS):
+                part = batch.slice(at, HELD_ROWS)
+                found = pa.array([links(texts) for texts in part.column("texts").to_pylist()], pa.list_(LINK))
+                yield pa.RecordBatch.from_arrays([part.column("question_id"), part.column("question"), found], ["question_id", "question", "schema_links"])
+
+    # no database or no word has no link, and NULL ids meet no question
+    texts = asked.filter("question_id is not null and database_name is not null and size(tokens) > 0")
+    grouped = texts.groupBy("question_id").agg(F.collect_list(F.struct("database_name", "tokens")).alias("texts"))
+    id_type = asked.schema["question_id"].dataType.simpleString()
+    joined = questions.select("question_id", "question").join(grouped, "question_id", "left")
+    return joined.mapInArrow(scan, f"question_id {id_type}, question string, schema_links {LINKS_TYPE}")
+
+
 def group_pairs(pairs: Column) -> Column:
     """An ordered ARRAY<STRUCT<table_name, column_name>> to links, tables by first appearance."""
     tables = F.array_distinct(F.transform(pairs, lambda p: p["table_name"]))

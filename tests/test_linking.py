@@ -239,3 +239,18 @@ def test_knn_searches_equal_vectors_once(spark, monkeypatch):
         near = sorted(((i % 4 - d) ** 2 + (0.5 - d % 3) ** 2, d) for d in range(40))[:3]
         near = near if i else [near[0], near[0], near[1]]
         assert sorted(found[i], key=lambda x: x[2]) == [(*x, r) for r, x in enumerate(near, 1)]
+
+
+def test_token_links_of_held_words(spark, make_catalog, monkeypatch):
+    """The words of a small catalogue are held by the tasks; the links are those of the joins, whatever ids and texts the rows have."""
+    catalog = make_catalog({"person": ["full_name", "birth_date"], "pet": ["name", "owner"]}).unionByName(make_catalog({"pet": ["tail"]}, "zoo"))
+    rows = [(1, "db", "which owner name"), (1, "zoo", "pet tail"), (2, "db", "birth date of a person"), (2, "db", "birth date of a person"), (3, "db", None),
+            (4, "db", "of"), (None, "db", "owner name"), (5, "none", "owner"), (6, None, "owner"), (7, "db", "person name pet")]
+    questions = spark.createDataFrame([(*r, None) for r in rows], "question_id long, database_name string, question string, knowledge string")
+    text = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.collect())
+    held, used = [], L.held_links
+    monkeypatch.setattr(L, "held_links", lambda *args: held.append(1) or used(*args))
+    found = text(L.link_by_tokens(questions, catalog))
+    assert held
+    monkeypatch.setattr(L, "is_small", lambda df: False)
+    assert found == text(L.link_by_tokens(questions, catalog)) and len(found) == len(rows)
