@@ -2,8 +2,9 @@
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,6 +18,8 @@ from nlsql_spark.sources.task_files import read_folder, write_whole
 
 GenerateFn = Callable[[list[str]], list[str]]
 EmbedFn = Callable[[list[str]], list[list[float]]]
+#: Bytes of vectors that a task holds before it gives them back.
+VECTOR_BYTES = 1 << 20
 
 
 def echo(prompts: list[str]) -> list[str]:
@@ -167,22 +170,46 @@ def embed(
     dim: int = 128,
     batch_size: int = 64,
     seed: int = 0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``example_id, embedding`` of ``example_id, input_to_embed``; without a model, hash vectors."""
-    texts = df.select("example_id", prefix_query(F.col("input_to_embed"), is_query, K.QUERY_PREFIX).alias("text"))
+    """``example_id, embedding`` of ``example_id, input_to_embed``; without a model, hash vectors.
+
+    ``keep`` names further columns of the rows that stay beside their vector.
+    """
+    texts = df.select("example_id", *keep, prefix_query(F.col("input_to_embed"), is_query, K.QUERY_PREFIX).alias("text"))
     if fn is None:
-        vectors = texts.select("example_id", hash_vector(F.col("text"), dim, seed).alias("embedding"))
+        vectors = texts.select("example_id", *keep, hash_vector(F.col("text"), dim, seed).alias("embedding"))
     else:
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for at in range(0, len(pdf), batch_size):
-                    part = pdf.iloc[at : at + batch_size]
-                    yield pd.DataFrame({"example_id": part["example_id"].tolist(), "embedding": list(fn(part["text"].tolist()))})
-
-        vectors = texts.mapInPandas(run, "example_id long, embedding array<double>")
+        names = ["example_id", *keep]
+        vector_type = pa.list_(pa.float64())
+
+        def ask(asked: list[str]) -> pa.Array:
+            plain = lambda v: v if v is None or isinstance(v, list) else np.asarray(v, dtype=np.float64)
+            out = pa.array([plain(v) for v in fn(asked)], vector_type)
+            if len(out) != len(asked):
+                raise ValueError(f"the model returned {len(out)} vectors for {len(asked)} texts")
+            return out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                asked = batch.column("text").to_pylist()
+                at = 0
+                # the model sees ``batch_size`` texts at once; rows go back in larger batches
+                while at < len(asked):
+                    first, held, done = at, 0, []
+                    while at < len(asked) and held < VECTOR_BYTES:
+                        done.append(ask(asked[at : at + batch_size]))
+                        at, held = at + batch_size, held + done[-1].nbytes
+                    vectors = pa.concat_arrays(done)
+                    rows = batch.slice(first, len(vectors))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), vectors], [*names, "embedding"])
+
+        fields = [texts.schema[c] for c in names]
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields[1:])
+        schema = f"example_id long, {types + ', ' if types else ''}embedding array<double>"
+        vectors = texts.withColumn("example_id", F.col("example_id").cast("long")).mapInArrow(run, schema)
     vector = l2_normalize(F.col("embedding")) if normalize else F.col("embedding")
-    return vectors.select("example_id", vector.cast("array<float>").alias("embedding"))
+    return vectors.select("example_id", *keep, vector.cast("array<float>").alias("embedding"))
 
 
 def hash_embed(df: DataFrame, dim: int = 128, seed: int = 0) -> DataFrame:

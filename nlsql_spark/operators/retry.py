@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
+from nlsql_spark.functions.binding import let
 from nlsql_spark.functions.draws import digest, pick_except, uniform
 from nlsql_spark.functions.prompts import fill_prompt, prompt_template
 from nlsql_spark.functions.text import split_steps
@@ -53,13 +54,13 @@ def corrupt_steps_column(steps: Column, keys: list[Column], p: float, num: str,
         def wrong(j: Column) -> Column:
             at = F.floor(uniform(F.lit(seed), *keys, i, j) * size).cast("int")
             if pool == FROM_FUTURE:
-                at = at + i + 1
-            else:
-                at = F.when(at < i, at).otherwise(at + 1)
-            return F.concat(F.get(steps, at), F.lit(K.BACK))
+                return F.concat(F.get(steps, at + i + 1), F.lit(K.BACK))
+            other = let(at, lambda a: F.get(steps, F.when(a < i, a).otherwise(a + 1)))
+            return F.concat(other, F.lit(K.BACK))
 
-        runs = F.when((count > 0) & (size > 0), F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.transform(runs, wrong), F.array(step))
+        # each draw is bound to a name: inside lambdas it would be hashed again wherever it is used
+        runs = lambda n: F.concat(F.transform(F.sequence(F.lit(1), n), wrong), F.array(step))
+        return let(count, lambda n: F.when((n > 0) & (size > 0), runs(n)).otherwise(F.array(step)))
 
     if pool not in (FROM_FUTURE, FROM_PAST_AND_FUTURE):
         raise ValueError(f"unknown pool: {pool}")

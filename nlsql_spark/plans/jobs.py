@@ -102,10 +102,16 @@ def training_batches(
 
 def probe_report(samples: DataFrame, fn: EmbedFn | None = None, ratio: float = 0.8, dim: int = 64, seed: int = 0) -> DataFrame:
     """Labelled contexts, their vectors, a probe on the training part, its report on the rest."""
-    contexts = probe_contexts(samples).withColumn("example_id", F.xxhash64("question_id", "item"))
-    vectors = embed(contexts.select("example_id", F.col("text").alias("input_to_embed")), fn, dim=dim, seed=seed)
-    # read by the split, by every training pass and by the report: embedded once
-    data = materialize(vectors.join(contexts.select("example_id", "label"), "example_id"))
+    contexts = probe_contexts(samples).select(
+        F.xxhash64("question_id", "item").alias("example_id"), F.col("text").alias("input_to_embed"), "question_id", "item", "label"
+    )
+    # read by the split, by every training pass and by the report: built and embedded once, each label beside its vector
+    stored = materialize(embed(contexts, fn, dim=dim, seed=seed, keep=("question_id", "item", "label")))
+    data = stored.select("example_id", "embedding", "label")
+    # rows of one id count as one example: each of its vectors meets each of its labels
+    repeated = stored.filter("item = 0").groupBy("question_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        data = materialize(data.drop("label").join(data.select("example_id", "label"), "example_id"))
     split = train_val_split(data, "example_id", ratio, seed)
     model = train_probe(split.filter("is_train"), maxIter=20)
     return binary_report(score_probe(model, split.filter("not is_train")))

@@ -1,5 +1,8 @@
 """Jobs on small fixtures, those without oracle SQL against brute force."""
 
+import uuid
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,41 @@ def test_hot_keys_keep_all_rows(spark, make_catalog, hot):
 def test_row_keys_ignore_names_and_keep_column_order(spark):
     keys = lambda sql: {r["row_key"] for r in row_keys(spark.sql(sql)).collect()}
     assert keys("select 1 a, 'x' b") == keys("select 1.0 c, 'x' d") != keys("select 'x' b, 1 a")
+
+
+def test_embed_keeps_columns_beside_their_vector(spark):
+    """The model sees ``batch_size`` texts at once; kept columns need no join on the id, which may repeat."""
+    rows = [(i % 7, "x" * (i % 50), i, None if i % 3 else f"l{i}") for i in range(300)]
+    texts = spark.createDataFrame(rows, "example_id long, input_to_embed string, place int, label string").coalesce(2)
+
+    def model(asked):
+        assert 0 < len(asked) <= 16
+        return [None if not t else np.array([len(t), 1], dtype=np.float32) if len(t) % 2 else [len(t), 1] for t in asked]
+
+    got = embed(texts, model, normalize=False, batch_size=16, keep=("place", "label"))
+    assert got.columns == ["example_id", "place", "label", "embedding"]
+    want = [(i, place, label, [float(len(t)), 1.0] if t else None) for i, t, place, label in rows]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    assert embed(texts, dim=3, keep=("place",)).columns == ["example_id", "place", "embedding"]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_probe_report_builds_contexts_once(spark, tmp_path, copies):
+    """Every context meets the model once; of a repeated id each vector meets each label, as by a join on the id."""
+    samples = spark.createDataFrame(
+        [(i, f"p{i}", f"q{i}", [f"a{i}", f"b{i}[BACK]", f"c{i}"]) for i in [*range(40), *range(40)][: 40 * copies]],
+        "question_id long, prompt string, question string, reasoning_steps array<string>",
+    )
+    folder = str(tmp_path)
+
+    def model(asked):
+        with open(f"{folder}/{uuid.uuid4()}", "w") as log:
+            log.write("x" * len(asked))
+        return [[float("b" in t), 1.0] for t in asked]
+
+    row = J.probe_report(samples, model).first()
+    n = 40 * 3 * copies * copies
+    assert row["tn"] + row["fp"] + row["fn"] + row["tp"] == n - int(n * 0.8) or copies > 1
+    assert sum(len(f.read_text()) for f in tmp_path.iterdir()) == 40 * 3 * copies
+    if copies > 1:  # the border of the split is a row of four equal ones
+        assert abs(row["tn"] + row["fp"] + row["fn"] + row["tp"] - n * 0.2) <= 4
