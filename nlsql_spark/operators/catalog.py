@@ -168,14 +168,26 @@ def nest_catalog(catalog: DataFrame, keys: DataFrame | None = None, examples: Da
     single_pk = F.size("pk") == 1
     tables = tables.withColumns(
         {
-            "columns": F.transform("columns", lambda c: c.withField("line", column_line(c, single_pk))),
+            "columns": F.transform(
+                "columns", lambda c: c.withField("line", column_line(c, single_pk)).withField("key", F.lower(c["column_name"]))
+            ),
             "fks": F.transform("fks", lambda fk: fk.withField("line", foreign_key_line(fk))),
             "pk_line": F.concat(F.lit("PRIMARY KEY ("), quoted_names(F.col("pk")), F.lit(")")),
         }
     )
-    return tables.groupBy("database_name").agg(
-        _ordered(["table_pos", "table_name", "columns", "pk", "pk_line", "fks", "examples"]).alias("tables")
+    # and so are the lists that links are compared with
+    names = F.transform("columns", lambda c: c["column_name"])
+    keyed = F.filter("columns", lambda c: c["is_primary_key"] | c["is_foreign_key"])
+    tables = tables.withColumns(
+        {
+            "key": F.lower("table_name"),
+            "names": names,
+            "key_names": F.transform(keyed, lambda c: c["column_name"]),
+            "distinct_names": F.size(F.array_distinct(names)) == F.size(names),
+        }
     )
+    parts = ["table_pos", "table_name", "columns", "pk", "pk_line", "fks", "examples", "key", "names", "key_names", "distinct_names"]
+    return tables.groupBy("database_name").agg(_ordered(parts).alias("tables"))
 
 
 def resolve_columns(query_tables: DataFrame, query_columns: DataFrame, catalog: DataFrame) -> DataFrame:

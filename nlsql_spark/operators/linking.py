@@ -41,18 +41,19 @@ def join_catalog(
 def substring_links(sql: Column, tables: Column, word_boundary: bool = False) -> Column:
     """Links of one query text against its database's nested tables.
 
-    Columns are only tested for tables whose name occurs; tables without a column hit are left out.
+    Columns are only tested for tables whose name occurs; tables without a column hit are left out. The nested
+    tables hold their names in lower case.
     """
 
     def links(text: Column) -> Column:
-        hit = lambda name: name_in(name, text, True) if word_boundary else F.contains(text, F.lower(name))
-        named = F.filter(tables, lambda t: hit(t["table_name"]))
+        hit = lambda name, key: name_in(name, text, True) if word_boundary else F.contains(text, key)
+        named = F.filter(tables, lambda t: hit(t["table_name"], t["key"]))
         matched = F.transform(
             named,
             lambda t: F.struct(
                 t["table_name"].alias("table_name"),
                 F.array_sort(
-                    F.transform(F.filter(t["columns"], lambda c: hit(c["column_name"])), lambda c: c["column_name"])
+                    F.transform(F.filter(t["columns"], lambda c: hit(c["column_name"], c["key"])), lambda c: c["column_name"])
                 ).alias("columns"),
             ),
         )

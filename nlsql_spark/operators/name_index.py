@@ -5,6 +5,7 @@ hits, not with the number of columns. A task builds the automaton of a database
 """
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -56,7 +57,7 @@ class NameIndex:
                 found.add(name)
         return found
 
-    def links(self, text: str | None, word_boundary: bool) -> list[dict]:
+    def links(self, text: str | None, word_boundary: bool) -> list[tuple[str, list[str]]]:
         """Named tables in their order, each with its named columns; tables without a named column are left out."""
         if text is None:
             return []
@@ -67,7 +68,17 @@ class NameIndex:
             for table, column in self.columns.get(name, ()):
                 if table in tables:
                     found.setdefault(table, []).append(column)
-        return [{"table_name": table[1], "columns": sorted(found[table])} for table in sorted(found)]
+        return [(table[1], sorted(found[table])) for table in sorted(found)]
+
+
+def links_array(rows: list[list[tuple[str, list[str]]]]) -> pa.Array:
+    """Link lists as one Arrow array, built from flat lists: no object is made per link."""
+    links = [link for row in rows for link in row]
+    ends = lambda lists: pa.array([0, *accumulate(map(len, lists))], pa.int32())
+    columns = [columns for _, columns in links]
+    flat = pa.ListArray.from_arrays(ends(columns), pa.array([c for some in columns for c in some], pa.string()))
+    named = pa.StructArray.from_arrays([pa.array([table for table, _ in links], pa.string()), flat], fields=list(LINK))
+    return pa.ListArray.from_arrays(ends(rows), named)
 
 
 def name_links(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_query", word_boundary: bool = False) -> DataFrame:
@@ -85,7 +96,7 @@ def name_links(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_que
 
     def answers(batch: pa.RecordBatch, index_of) -> pa.RecordBatch:
         links = [index_of(db).links(text, word_boundary) for db, text in zip(batch.column("database_name").to_pylist(), batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column("question_id"), batch.column("question"), pa.array(links, pa.list_(LINK))], ["question_id", "question", "schema_links"])
+        return pa.RecordBatch.from_arrays([batch.column("question_id"), batch.column("question"), links_array(links)], ["question_id", "question", "schema_links"])
 
     if is_small(catalog):
         held: dict[str, list[tuple]] = {}

@@ -12,7 +12,10 @@ from nlsql_spark.session import broadcast_if_small
 
 
 def repair_links_column(links: Column, tables: Column) -> Column:
-    """Normalise names, drop unknown tables and columns, widen empty links, add missing keys."""
+    """Normalise names, drop unknown tables and columns, widen empty links, add missing keys.
+
+    ``tables`` is a database's nested schema (``nest_catalog``), which holds each table's names and key names.
+    """
     normal = F.transform(
         links,
         lambda link: F.struct(
@@ -22,17 +25,11 @@ def repair_links_column(links: Column, tables: Column) -> Column:
     )
 
     def mend(link: Column, table: Column) -> Column:
-        columns = table["columns"]
-        name = lambda c: c["column_name"]
-        keys = F.transform(F.filter(columns, lambda c: c["is_primary_key"] | c["is_foreign_key"]), name)
-
-        def repaired(names: Column) -> Column:
-            real = F.filter(link["columns"], lambda c: F.array_contains(names, c))
-            full = lambda found: F.when(F.size(found) == 0, names).otherwise(F.concat(found, F.array_except(keys, found)))
-            return let(real, full)
-
-        # the names are listed once per table, not once per link column
-        return F.struct(link["table_name"].alias("table_name"), let(F.transform(columns, name), repaired).alias("columns"))
+        real = F.filter(link["columns"], lambda c: F.array_contains(table["names"], c))
+        full = lambda found: F.when(F.size(found) == 0, table["names"]).otherwise(
+            F.concat(found, F.array_except(table["key_names"], found))
+        )
+        return F.struct(link["table_name"].alias("table_name"), let(real, full).alias("columns"))
 
     # unknown tables have no match and so leave nothing
     mended = F.transform(
@@ -95,9 +92,11 @@ def sample_rows_text(names: Column, rows: Column) -> Column:
 
 
 def _table_text(t: Column, wanted: Column, shuffle_seed: int | None, all_constraints: bool) -> Column:
-    chosen = F.when(
-        F.size(wanted) > 0, F.filter(t["columns"], lambda c: F.array_contains(wanted, c["column_name"]))
-    ).otherwise(t["columns"])
+    # few names are looked up in a wide table; names that repeat in it need a pass over its columns
+    places = F.filter(F.transform(wanted, lambda name: F.array_position(t["names"], name)), lambda p: p > 0)
+    looked_up = F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.get(t["columns"], (p - 1).cast("int")))
+    passed = F.filter(t["columns"], lambda c: F.array_contains(wanted, c["column_name"]))
+    chosen = F.when(F.size(wanted) > 0, F.when(t["distinct_names"], looked_up).otherwise(passed)).otherwise(t["columns"])
     if shuffle_seed is not None:
         chosen = shuffle_columns(chosen, shuffle_seed, t["table_name"])
     return let(chosen, lambda columns: _statement(t, columns, wanted, all_constraints))

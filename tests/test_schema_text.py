@@ -5,6 +5,7 @@ from nlsql_spark.operators.catalog import (
     resolve_foreign_keys,
 )
 from nlsql_spark.operators.linking import LINKS_TYPE
+from nlsql_spark.operators.name_index import links_array
 from nlsql_spark.operators.schema_text import apply_links, ddl_text, render_ddl, sample_rows_per_group, sample_rows_text
 from tests.conftest import CATALOG
 
@@ -131,3 +132,22 @@ def test_sample_rows_reach_the_prompt(spark, make_catalog):
     assert "7" in texts[1] and "Ann" not in texts[1] and texts[2] == "old"
     prompts = {r["question_id"]: r["prompt"] for r in schema_prompts(questions.drop("database_schema"), links, catalog, examples=examples).collect()}
     assert "7" in prompts[1] and "Ann" in prompts[2] and whole in prompts[2]
+
+
+def test_nested_tables_hold_their_names(spark):
+    """Links are compared with lists made once per table; names that repeat in a table keep all their columns."""
+    rows = [*ROWS, ("db", "pair", 2, "Twin", 0, "text", None, False, False, False), ("db", "pair", 2, "Twin", 1, "real", None, False, True, False), ("db", "pair", 2, "lone", 2, "text", None, False, False, False)]
+    nested = nest_catalog(spark.createDataFrame(rows, CATALOG), spark.createDataFrame(KEYS, KEYS_SCHEMA))
+    got = nested.selectExpr("inline(tables)").collect()
+    assert [(r["key"], r["names"], r["key_names"], r["distinct_names"]) for r in got] == [
+        ("person", ["id", "name"], ["id"], True), ("visit", ["person_id", "day"], ["person_id", "day"], True), ("pair", ["Twin", "Twin", "lone"], ["Twin"], False),
+    ]
+    links = [("pair", ["lone", None, "Twin", "no"]), ("visit", ["day", "no", "day", None])]
+    text = nested.crossJoin(spark.createDataFrame([(links,)], f"l {LINKS_TYPE}")).select(ddl_text(F.col("tables"), F.col("l"))).first()[0]
+    assert text == "CREATE TABLE `pair`\n(\n`Twin` TEXT  null,\n`Twin` REAL  null  PRIMARY KEY,\n`lone` TEXT  null\n);\n\nCREATE TABLE `visit`\n(\n`day` DATE  null\n);"
+
+
+def test_links_array():
+    rows = [[], [("t", ["a", "b"]), ("u", [])], [("t", ["c"])]]
+    want = [[{"table_name": t, "columns": c} for t, c in row] for row in rows]
+    assert links_array(rows).to_pylist() == want and links_array([]).to_pylist() == []
