@@ -147,6 +147,12 @@ def perturb_identifiers(df: DataFrame, pools: DataFrame, p: float, seed: int = 0
     """
     # one row per database: no larger than the databases' schemas; a question of an unknown database fails the job
     known = F.coalesce(F.col("tables"), F.raise_error(F.concat(F.lit("no names for database "), F.coalesce("database_name", F.lit("NULL")))))
+    # once per database: whether its names are distinct, and the characters that names begin with
+    once = lambda names: F.size(F.array_distinct(F.array_compact(names))) == F.size(names)
+    heads = F.transform(F.concat("tables", "columns"), lambda name: F.substring(name, 1, 1))
+    pools = pools.withColumns(
+        {"__tables_once": once(F.col("tables")), "__columns_once": once(F.col("columns")), "__heads": F.array_join(F.array_distinct(heads), "")}
+    )
     joined = df.join(pools, "database_name", "left").withColumn("tables", known)
     # quoted text is one piece, so a word inside a literal is never swapped
     pieces = F.regexp_extract_all("sql_query", F.lit(r"'(?:[^']|'')*'|\w+|[^\w']+|'"), F.lit(0))
@@ -154,13 +160,23 @@ def perturb_identifiers(df: DataFrame, pools: DataFrame, p: float, seed: int = 0
     def swap(piece: Column, i: Column) -> Column:
         hit = uniform(F.lit(seed), F.col("question_id"), i) < p
         draw = uniform(F.lit(seed), F.col("question_id"), i, F.lit("pick"))
-        table, column = F.array_contains("tables", piece), F.array_contains("columns", piece)
-        other = F.when(table, pick_except(F.col("tables"), piece, draw)).otherwise(
-            pick_except(F.col("columns"), piece, draw)
-        )
-        return F.when(hit & (table | column), F.coalesce(other, piece)).otherwise(piece)
 
-    return joined.withColumn("corrupted_query", F.array_join(F.transform(pieces, swap), "")).drop("tables", "columns")
+        def pick(names: str, otherwise: Column) -> Column:
+            # a name that stands there once is stepped over; only repeated names need a pass over the pool
+            def other(at: Column) -> Column:
+                step = lambda i: F.get(F.col(names), F.when(i < at - 1, i).otherwise(i + 1))
+                once = let(F.floor(draw * (F.size(names) - 1)).cast("int"), step)
+                picked = F.when(F.col(f"__{names}_once"), once).otherwise(pick_except(F.col(names), piece, draw))
+                return F.when(at > 0, F.coalesce(picked, piece)).otherwise(otherwise)
+
+            return let(F.array_position(names, piece), other)
+
+        # most pieces are blanks and key words, which begin like no name and need no draw
+        may_be_name = F.contains("__heads", F.substring(piece, 1, 1))
+        return F.when(F.coalesce(may_be_name, F.lit(True)) & hit, pick("tables", pick("columns", piece))).otherwise(piece)
+
+    out = joined.withColumn("corrupted_query", F.array_join(F.transform(pieces, swap), ""))
+    return out.drop("tables", "columns", "__tables_once", "__columns_once", "__heads")
 
 
 def train_val_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 0) -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +135,25 @@ def test_probe_contexts(spark):
         assert got.get(i, []) == [(f"[CONTEXT] P[QUESTION] Q\n[REASONING] {t}", y) for t, y in _contexts_by_rule(steps)]
     counts = label_counts(probe_contexts(df)).first()
     assert counts["wrong"] + counts["correct"] == sum(len(v) for v in got.values())
+
+
+def test_perturb_picks_as_from_a_filtered_pool(spark):
+    """Repeated, odd and single names: the pick is that of the pool without the name, a lone name stays."""
+    pools = spark.createDataFrame(
+        [("once", ["t", "u"], ["a", "b", "É", "'x y'", None]), ("twice", ["t", "t", "u"], ["a", "b", "b", "c"]), ("lone", ["t"], ["a", "t"]), ("none", [], None)],
+        "database_name string, tables array<string>, columns array<string>",
+    )
+    q = spark.range(200).crossJoin(pools.select("database_name")).selectExpr("id as question_id", "database_name", "\"SELECT a, b, É FROM t u WHERE a = 'x y' or c\" as sql_query")
+    got = R.perturb_identifiers(q, pools, 0.6, seed=4).drop("sql_query")
+    known = {r["database_name"]: (r["tables"], r["columns"]) for r in pools.collect()}
+    pieces = re.findall(r"'(?:[^']|'')*'|[A-Za-z0-9_]+|[^A-Za-z0-9_']+", "SELECT a, b, É FROM t u WHERE a = 'x y' or c")
+    draw = lambda *keys: (int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    for r in got.collect():
+        tables, columns = known[r["database_name"]]
+        out = []
+        for i, piece in enumerate(pieces):
+            names = tables if piece in tables else columns if columns and piece in columns else None
+            pool = [n for n in names or () if n is not None and n != piece]
+            swap = pool and draw(4, r["question_id"], i) < 0.6
+            out.append(pool[int(draw(4, r["question_id"], i, "pick") * len(pool))] if swap else piece)
+        assert r["corrupted_query"] == "".join(out)
