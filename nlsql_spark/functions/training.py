@@ -73,7 +73,8 @@ def full_attention(ids: Column) -> Column:
 
 
 def mask_source_labels(ids: Column, source_len: Column) -> Column:
-    return F.transform(ids, lambda x, i: F.when(i < source_len, F.lit(K.LABEL_MASK)).otherwise(x))
+    n = F.least(F.greatest(F.coalesce(source_len, F.lit(0)), F.lit(0)), F.size(ids))
+    return F.concat(F.array_repeat(F.lit(K.LABEL_MASK), n), F.slice(ids, n + 1, F.size(ids)))
 
 
 def mask_padded_labels(ids: Column, attention: Column) -> Column:

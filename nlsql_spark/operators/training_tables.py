@@ -21,9 +21,11 @@ BROADCAST_BYTES = 64 << 20
 def words(text: Column) -> Column:
     """Blank-separated words; special tokens stand alone even where they touch a word."""
     specials = "|".join("\\Q" + token + "\\E" for token in K.SPECIAL_TOKENS)
+    # the class of first characters is tested before the tokens are tried one by one
+    firsts = "".join(sorted({"\\" + token[0] for token in K.SPECIAL_TOKENS}))
     bracketed = F.contains(text, F.lit("[")) | F.contains(text, F.lit("<"))
-    spaced = F.when(bracketed, F.regexp_replace(text, f"({specials})", " $1 ")).otherwise(text)
-    return F.filter(F.split(strip(spaced), r"\s+"), lambda w: w != "")
+    spaced = F.when(bracketed, F.regexp_replace(text, f"(?=[{firsts}])({specials})", " $1 ")).otherwise(text)
+    return F.array_remove(F.split(strip(spaced), r"\s+"), "")
 
 
 def build_vocab(df: DataFrame, text: str = "text", min_count: int = 1, **numbering) -> DataFrame:
@@ -52,14 +54,17 @@ def encode(
     text: str = "text",
     output: str = "ids",
     broadcast_words: int = BROADCAST_WORDS,
+    listed: str | None = None,
 ) -> DataFrame:
-    """Replace each text by its word ids (unknown words: ``<unk>``).
+    """Replace each text by its word ids (unknown words: ``<unk>``). ``listed`` names a column of its words, if it is cut already.
 
     A vocabulary of up to ``broadcast_words`` goes to every task, which looks the words up in Arrow
     batches: no word is shuffled. A larger one is joined on the word (AQE splits hot words), and
     (key, position, id) is regrouped by text.
     """
     unknown = K.SPECIAL_TOKENS.index(K.UNK)
+    none = F.array().cast("array<string>")
+    tokens_of = F.coalesce(F.col(listed), none) if listed else words(F.coalesce(F.col(text), F.lit("")))
     size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
     if size[0] <= broadcast_words and size[1] <= BROADCAST_BYTES:
         head = vocab.select("token", "id").toArrow().combine_chunks()
@@ -75,17 +80,17 @@ def encode(
             ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(texts)))]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(known[coded.indices.to_numpy()]))
 
-        return df.withColumn(output, look_up(words(F.coalesce(F.col(text), F.lit("")))))
+        return df.withColumn(output, look_up(tokens_of))
 
     # rows are told apart by their place in a stored table: keys may repeat
     df = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
-    placed = df.select("__row", F.posexplode(words(F.col(text))).alias("pos", "token"))
+    placed = df.select("__row", F.posexplode(tokens_of).alias("pos", "token"))
     found = placed.join(vocab, "token", "left").select(
         "__row", F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("t")
     )
     ids = found.groupBy("__row").agg(F.array_sort(F.collect_list("t"))["id"].alias(output))
-    none = F.array().cast("array<int>")
-    return df.join(ids, "__row", "left").withColumn(output, F.coalesce(F.col(output), none)).drop("__row")
+    no_ids = F.array().cast("array<int>")
+    return df.join(ids, "__row", "left").withColumn(output, F.coalesce(F.col(output), no_ids)).drop("__row")
 
 
 def tokenized_dataset(samples: DataFrame, vocab: DataFrame, kind: str, mode: str = "train", key: tuple[str, ...] = ("question_id",)) -> DataFrame:
@@ -114,13 +119,14 @@ def tokenized_dataset(samples: DataFrame, vocab: DataFrame, kind: str, mode: str
         raise ValueError(f"unknown dataset kind: {kind}")
     instruction, answer = T.instruction_pair(c("prompt"), c("question"), c("reasoning_steps"), c("query"), mode)
     source, target = T.chat_source(instruction), T.chat_answer(answer, mode)
-    texts = samples.select(*keys, source.alias("source"), F.concat(source, target).alias("full"))
     if mode == "eval":
-        coded = encode(texts.select(*keys, c("full").alias("text")), vocab, keys)
+        coded = encode(samples.select(*keys, F.concat(source, target).alias("text")), vocab, keys)
         return coded.select(*keys, c("ids").alias("input_ids")).withColumn("attention_mask", T.full_attention(c("input_ids")))
-    # a word is an id, so the source part is as long as its word list
-    sized = texts.select(*keys, c("full").alias("text"), F.size(words(c("source"))).alias("source_len"))
-    coded = encode(sized, vocab, keys)
+    # the source ends in a line break, so both parts are cut on their own; a word is an id, so the source
+    # part is as long as its word list
+    cut = samples.select(*keys, words(source).alias("__source"), words(target).alias("__target"))
+    sized = cut.select(*keys, F.concat("__source", "__target").alias("words"), F.size("__source").alias("source_len"))
+    coded = encode(sized, vocab, keys, listed="words")
     return coded.select(
         *keys,
         c("ids").alias("input_ids"),
