@@ -1,5 +1,6 @@
 """Batch model steps: user callables run inside tasks over Arrow batches."""
 
+import math
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 from nlsql_spark import constants as K
 from nlsql_spark.functions.text import prefix_query
 from nlsql_spark.functions.vectors import hash_vector, l2_normalize
+from nlsql_spark.session import broadcast_if_small, materialize
 from nlsql_spark.sources.task_files import read_folder, write_whole
 
 GenerateFn = Callable[[list[str]], list[str]]
 EmbedFn = Callable[[list[str]], list[list[float]]]
+#: Rows of request batches that a task collects.
+TASK_ROWS = 100_000
 #: Bytes of vectors that a task holds before it gives them back.
 VECTOR_BYTES = 1 << 20
 
@@ -33,8 +37,15 @@ def batch_by_template(df: DataFrame, template: str = "prompt_template", key: str
     A template's rows are spread over hash batches of about ``batch_size``, so a template that most rows
     share is never one group.
     """
-    sizes = df.groupBy(template).agg(F.greatest(F.ceil(F.count("*") / batch_size), F.lit(1)).alias("__n"))
-    placed = df.join(sizes, template).withColumn("batch", F.pmod(F.xxhash64(key), F.col("__n")).cast("long"))
+    # one row per template, stored: where there are few, no row is sent to its template
+    known = df.filter(F.col(template).isNotNull())
+    sizes = materialize(known.groupBy(template).agg(F.greatest(F.ceil(F.count("*") / batch_size), F.lit(1)).alias("__n")))
+    placed = df.join(broadcast_if_small(sizes), template).withColumn("batch", F.pmod(F.xxhash64(key), F.col("__n")).cast("long"))
+    # a task holds the batches it collects, so there are more tasks where there are more batches
+    batches = sizes.agg(F.sum("__n")).first()[0] or 0
+    tasks = math.ceil(batches * batch_size / TASK_ROWS)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(tasks, template, "batch")
     entry = F.struct(F.col(key), F.col("input_mappings"))
     rows = placed.groupBy(template, "batch").agg(F.collect_list(entry).alias("r"))
     return rows.select(template, "batch", F.col(f"r.{key}").alias("ids"), F.col("r.input_mappings").alias("inputs"))

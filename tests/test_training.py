@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from nlsql_spark import constants as K
 from nlsql_spark.functions import training as T
+from nlsql_spark.operators import training_tables as TT
 from nlsql_spark.operators.ordering import chunk, ordered_position
 from nlsql_spark.operators.training_tables import build_vocab, encode, pad_batches, tokenized_dataset, words
 
@@ -108,3 +109,41 @@ def test_ordered_position(spark, rows_per_range):
         seen[r["k"]] = r["position"] + 1
     sizes = chunk(df, "id", 300, rows_per_range=rows_per_range).groupBy("chunk").count().collect()
     assert sorted(r["count"] for r in sizes) == [100, 300, 300, 300]
+
+
+def test_words_are_cut_once(spark):
+    """Special tokens stand alone wherever they touch a word; word lists that are given are not cut again."""
+    rows = [(1, " a[SQL]b <|im_end|>[x <pad> \n[BACK][BACK]<c\t"), (2, ""), (3, None), (4, "[ < ["), (5, "plain x  y")]
+    df = spark.createDataFrame(rows, "question_id long, text string").withColumn("w", TT.words(F.col("text")))
+    got = {r["question_id"]: r["w"] for r in df.collect()}
+    assert got[1] == ["a", "[SQL]", "b", "<|im_end|>", "[x", "<pad>", "[BACK]", "[BACK]", "<c"]
+    assert got[2] == [] and got[3] is None and got[4] == ["[", "<", "["] and got[5][-1] == "y"
+    vocab = TT.build_vocab(df.filter("question_id <> 4"))
+    for most in (TT.BROADCAST_WORDS, 0):
+        one = {r["question_id"]: r["ids"] for r in TT.encode(df, vocab, ["question_id"], broadcast_words=most).collect()}
+        two = {r["question_id"]: r["ids"] for r in TT.encode(df.drop("text"), vocab, ["question_id"], broadcast_words=most, listed="w").collect()}
+        assert one == two and one[3] == [] and len(one[1]) == 9
+
+
+def test_instruction_ids_are_those_of_the_whole_text(spark, samples):
+    vocab = TT.build_vocab(samples.select(F.concat_ws(" ", "prompt", "question", F.array_join("reasoning_steps", " "), "query").alias("text")))
+    source, target = (f(x) for f, x in zip((T.chat_source, T.chat_answer), T.instruction_pair(*(F.col(c) for c in ("prompt", "question", "reasoning_steps", "query")))))
+    whole = samples.select("question_id", F.concat(source, target).alias("text"), F.size(TT.words(source)).alias("n"))
+    want = {r["question_id"]: (r["ids"], [-100] * min(r["n"], len(r["ids"])) + r["ids"][r["n"] :]) for r in TT.encode(whole, vocab, ["question_id"]).collect()}
+    got = {r["question_id"]: (r["input_ids"], r["target_ids"]) for r in TT.tokenized_dataset(samples, vocab, "instruction").collect()}
+    assert got == want and all(-100 in t for _, t in got.values())
+
+
+def test_request_batches_are_spread(spark, monkeypatch):
+    """Tasks grow with the batches; rows without a template are in no batch."""
+    from nlsql_spark.operators import model_steps as M
+
+    monkeypatch.setattr(M, "TASK_ROWS", 100)
+    rows = spark.range(3000).selectExpr("id", "case when id < 2900 then 'hot' when id < 2990 then 'cold' end as prompt_template", "map('question', string(id)) as input_mappings")
+    out = M.batch_by_template(rows, batch_size=50)
+    # 58 and 2 batches of about 50 rows make 30 tasks of about 100
+    assert "REPARTITION_BY_NUM" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "30)" in plan
+    got = out.collect()
+    assert sorted(i for r in got for i in r["ids"]) == list(range(2990)) and all(m["question"] == str(i) for r in got for i, m in zip(r["ids"], r["inputs"]))
+    assert len({(r["prompt_template"], r["batch"]) for r in got}) == len(got) > 40 and max(len(r["ids"]) for r in got) < 100
+    assert M.batch_by_template(rows.filter("id < 0")).collect() == []
