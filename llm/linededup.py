@@ -7,9 +7,11 @@ whatever its length and script; a line shorter than ``width`` can only be equal
 
 1. Tasks scan the texts in windows of lines, and keep their rows in a file each (``partfiles``). Of equal lines of a
    window only the first occurrence goes on, the others are known to go. Band keys leave as packed blobs (``bands``).
-2. Buckets give pairs, full sets confirm them, links become components (``lsh``, ``components``).
-3. One row per distinct line and window is grouped by component; all but the first occurrence of a component go.
-4. Decisions are dealt out by the partition the line came from, and its task cuts them out of the rows of the file.
+2. Equal lines of all windows meet in one share (a line sends one row a window, however frequent it is), with the band keys of
+   that share; again only the first occurrence goes on.
+3. Buckets give pairs, full sets confirm them, links become components (``lsh``, ``components``).
+4. Only the lines with links are grouped by component; all but the first occurrence of a component go.
+5. Decisions are dealt out by the partition the line came from, and its task cuts them out of the rows of the file.
 
 Equal lines are told by 128 bits. In the graph of similar lines a line goes by the first 64 of them; should two
 different lines have these in common, the one with the smaller rest stands for them and the other has no links. The first
@@ -240,10 +242,9 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
     """
     scan = LineScan(width, bands * rows)
 
-    def line_batch(kind, columns, known, spot, part):
+    def line_batch(kind, columns, known, share, part):
         n = len(columns[0])
         empty = [pa.nulls(n, pa.binary())] * 3
-        share = (spot + np.arange(n)) % shares
         arrays = [pa.array([kind] * n), pa.array(share.astype(np.int32)), *empty, *(pa.array(c.view(np.int64)) for c in columns[:2])]
         arrays += [pa.array(columns[2], mask=~known), pa.array(columns[3]), pa.array(columns[4].astype(np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.string())]
         return pa.RecordBatch.from_arrays(arrays, ["kind", "share", "keys", "nodes", "flags", *LINE])
@@ -258,9 +259,10 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
         line, check, doc, tie, number, known = (c[order] for c in (line, check, doc, tie, number, known))
         new = np.append(True, (line[1:] != line[:-1]) | (check[1:] != check[:-1]))
         same = np.append(False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (number[1:] == number[:-1]) & (known[1:] == known[:-1]))
-        for kind, use in (("line", new), ("gone", ~new & ~same)):
+        # lines go to a share by their hash, so that equal ones meet; what goes anyway stays spread
+        for kind, use, share in (("line", new, (line % U(shares)).astype(np.int32)), ("gone", ~new & ~same, (spot + np.arange(len(line))) % shares)):
             if use.any():
-                yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], spot % shares, spot)
+                yield line_batch(kind, [c[use] for c in (line, check, doc, tie, number)], known[use], share[use], spot)
 
     def work(batches):
         spot = TaskContext.get().partitionId()
@@ -296,23 +298,49 @@ def scan_lines(docs: DataFrame, width: int, bands: int, rows: int, shares: int,
 
 
 SETTLED = f"kind string, key long, node long, pivot long, {LINE_SCHEMA}"
+SETTLED_NAMES = [x.split()[0] for x in SETTLED.split(", ")]
 
 
 def settle_shares(batches):
-    """Lines pass as they are; blobs become members of buckets."""
-    blobs = []
+    """Of equal lines the first occurrence stays a ``line`` (in each part that has its document), all others are ``gone``; rows of
+    other kinds pass as they are; blobs become members of buckets."""
+    blobs, held = [], []
     for batch in batches:
         own = pc.is_in(batch.column(0), pa.array(["keys", "local"]))
-        lines = batch.filter(pc.invert(own))
+        line = pc.equal(batch.column(0), "line")
+        others = batch.filter(pc.invert(pc.or_(own, line)))
+        if len(others):
+            none = [pa.nulls(len(others), pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([others.column(0), *none, *(others.column(c) for c in LINE)], SETTLED_NAMES)
+        lines = batch.filter(line)
         if len(lines):
-            none = [pa.nulls(len(lines), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([lines.column(0), *none, *(lines.column(c) for c in LINE)], [x.split()[0] for x in SETTLED.split(", ")])
-        if len(lines) < len(batch):
+            doc = lines.column("doc_id")
+            held.append((*(lines.column(c).to_numpy() for c in ("line", "check")), np.asarray(doc.is_valid()), doc.fill_null(0).to_numpy(), *(lines.column(c).to_numpy() for c in ("tie", "number", "part"))))
+        if pc.any(own).as_py():
             blobs.append(batch.filter(own))
+    if held:
+        yield from first_lines([np.concatenate(c) for c in zip(*held, strict=True)])
+    held.clear()
     for found in share_members(iter(blobs)):
         n = len(found)
         none = [pa.nulls(n, t) for t in LINE.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), *found.columns, *none], [x.split()[0] for x in SETTLED.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), *found.columns, *none], SETTLED_NAMES)
+
+
+def first_lines(columns: list[np.ndarray]):
+    """``columns``: line, check, whether there is a doc_id, doc_id, tie, number, part of all rows of some lines."""
+    order = np.lexsort(columns[::-1])
+    line, check, known, doc, tie, number, part = (c[order] for c in columns)
+    start = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (check[1:] != check[:-1])))
+    lead = np.repeat(start, np.diff(start, append=len(line)))
+    stays = np.ones(len(line), bool)
+    for c in (known, doc, tie, number):
+        stays &= c == c[lead]
+    for a in range(0, len(line), 100_000):
+        at = slice(a, a + 100_000)
+        n = len(line[at])
+        own = [pa.array(line[at]), pa.array(check[at]), pa.array(doc[at], mask=~known[at]), *(pa.array(c[at]) for c in (tie, number, part))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(stays[at], "line", "gone")), *[pa.nulls(n, pa.int64())] * 3, *own, pa.nulls(n, pa.string())], SETTLED_NAMES)
 
 
 def by_part(rows: DataFrame, parts: int, work_on, schema) -> DataFrame:
@@ -371,29 +399,29 @@ def duplicate_lines(settled: DataFrame, width: int, percent: int, values: int, p
     files = settled.filter("kind = 'file'").select("part", "path")
     members = with_pivots(settled.filter("kind = 'member'").select("key", "node", "pivot"))
     lines = settled.filter("kind = 'line'").select("line", "check", "doc_id", "tie", "number", "part")
-    labels = similar_lines(files, lines, members, width, percent, values, parts)
+    gone = settled.filter("kind = 'gone'").select("part", "doc_id", "tie", "number")
+    linked = similar_lines(files, lines, members, width, percent, values, parts)
+    if linked is None:
+        return gone
     here = F.struct("doc_id", "tie", "number")
-    # a line without links is a group by itself, told by all its bits
-    grouped = lines.join(labels, (F.col("line") == F.col("node")) & (F.col("check") == F.col("of")), "left")
-    group = [F.coalesce("component", "line").alias("group"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("rest")]
-    grouped = stored(grouped.select(*group, "doc_id", "tie", "number", "part"))
-    first = grouped.groupBy("group", "rest").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("group", "rest", "first")
-    # stored, so that a group with very many rows can be split by the join
-    again = grouped.join(broadcast_if_small(stored(first), SMALL_ROWS), ["group", "rest"])
-    gone = again.filter(~here.eqNullSafe(F.col("first"))).select("part", "doc_id", "tie", "number")
-    return gone.unionByName(settled.filter("kind = 'gone'").select("part", "doc_id", "tie", "number"))
-
-
-def similar_lines(files: DataFrame, lines: DataFrame, members: DataFrame, width: int, percent: int, values: int, parts: int) -> DataFrame:
-    """(node, of, component) of distinct lines that have a similar line; ``of`` is the second half of their hash."""
+    first = linked.groupBy("component").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("component", "first")
+    # stored, so that a component with very many rows can be split by the join
+    again = linked.join(broadcast_if_small(stored(first), SMALL_ROWS), "component")
+    return gone.unionByName(again.filter(~here.eqNullSafe(F.col("first"))).select("part", "doc_id", "tie", "number"))
+
+
+def similar_lines(files: DataFrame, lines: DataFrame, members: DataFrame, width: int, percent: int, values: int, parts: int) -> DataFrame | None:
+    """(component, doc_id, tie, number, part) of the lines that have a similar line; nothing if no two lines share a bucket."""
     nodes = stored(members.select("node").union(members.select("pivot")).distinct())
     if nodes.isEmpty():
-        return files.sparkSession.createDataFrame([], "node long, of long, component long")
-    found = lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, SMALL_ROWS), "node", "left_semi")
+        return None
+    found = stored(lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, SMALL_ROWS), "node", "left_semi"))
     one = stored(found.groupBy("node").agg(F.min(F.struct("check", "doc_id", "tie", "number", "part")).alias("at")).select("node", "at.*"))
     contents = stored(line_texts(files, one, parts))
     links = similar_components(members, contents, lambda t: line_sets(t, width), (percent, 100), values)
-    return links.join(one.select("node", F.col("check").alias("of")), "node").select("node", "of", "component")
+    # of two lines with one first half of the hash only that with the smaller rest has links
+    labels = links.join(one.select("node", "check"), "node")
+    return stored(found.join(labels, ["node", "check"]).select("component", "doc_id", "tie", "number", "part"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -94,7 +94,7 @@ def similar_components(members: DataFrame, contents: DataFrame, sets_of: SetsOf,
     signed = signature_table(state.select("node").distinct(), contents, sets_of, values)
     ready = stored(state.select("node", "comp").distinct().join(groups, "node").join(signed, "node"))
     found = stored(block_links(ready, share, values))
-    return labels if found.isEmpty() else connected_components(links.unionByName(found))
+    return labels if found.isEmpty() else connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
 
 def signature_table(nodes: DataFrame, contents: DataFrame, sets_of: SetsOf, values: int) -> DataFrame:

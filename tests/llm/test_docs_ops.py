@@ -566,3 +566,57 @@ def test_repeated_bytes_edges(spark, edge_docs, no_docs):
     assert len(rows) == edge_docs.count() and by[1]["n_bytes"] == 0 and by[None]["n_removed"] == by[4]["n_removed"] == by[6]["n_removed"] == 0
     assert by[5]["n_removed"] == by[5]["n_bytes"] and by[7]["n_removed"] == by[7]["n_bytes"]
     assert remove_repeats(no_docs).count() == 0
+
+
+def components_by_hand(pairs):
+    lead = {}
+
+    def find(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            lead[y] = x
+    return {x: find(x) for x in lead}
+
+
+def test_a_small_graph_takes_no_rounds(spark, monkeypatch):
+    from llm import components
+
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, f=components.stored: written.append(1) or f(df))
+    rows = np.random.default_rng(3).integers(-400, 400, (500, 2)).tolist() + [[i, i + 1] for i in range(1000, 1050)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == components_by_hand(rows) and len(written) == 3
+
+
+def test_components_of_many_tasks_and_windows(spark, monkeypatch):
+    from llm import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", 40)
+    rows = np.random.default_rng(4).integers(0, 500, (400, 2)).tolist() + [[i, i + 1] for i in range(1000, 1050)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    got = connected_components(edges).collect()
+    assert {r["node"]: r["component"] for r in got} == components_by_hand(rows) and len(got) == len(components_by_hand(rows))
+
+
+def test_equal_lines_of_windows_settle_in_their_share():
+    from llm.linededup import LINE, SETTLED_NAMES, settle_shares
+
+    rows = [(5, 9, 3, 1, 0, 1), (5, 9, None, 1, 4, 2), (5, 8, 1, 1, 0, 0), (5, 9, None, 1, 4, 0), (5, 9, None, 1, 5, 0), (6, 9, 2, 2, 7, 1)]
+    names = ["kind", "share", "keys", "nodes", "flags", *LINE]
+
+    def batch(some):
+        n = len(some)
+        own = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), list(LINE.values())[:-1], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(["line"] * n), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, *own, pa.nulls(n, pa.string())], names)
+
+    got = pa.Table.from_batches(list(settle_shares(iter([batch(rows[:3]), batch(rows[3:])])))).to_pylist()
+    assert list(got[0]) == SETTLED_NAMES and len(got) == 6
+    by = lambda kind: {(r["line"], r["check"], r["doc_id"], r["number"], r["part"]) for r in got if r["kind"] == kind}
+    assert by("line") == {(5, 9, None, 4, 0), (5, 9, None, 4, 2), (5, 8, 1, 0, 0), (6, 9, 2, 7, 1)}
+    assert by("gone") == {(5, 9, 3, 0, 1), (5, 9, None, 5, 0)}
