@@ -13,10 +13,11 @@ columns are kept. A row without id is never a training row.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from pyspark.sql import types as T
 
 from llm.common import byte_slices, free_name, release_worker, roomy, spread, text_bytes
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 DIMS = 4096
 SAMPLE_ROWS = 2400
 
@@ -90,8 +94,10 @@ def svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 1e-4) ->
     """A linear SVM (squared hinge loss, classes weighted evenly) by accelerated gradient steps; y is -1 or 1."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     mean = x.mean(0)
-    scale = np.float32(1 / max(np.sqrt(((x - mean) ** 2).sum(1).mean()), 1e-6))
-    x = (x - mean) * scale
+    x = x - mean  # the only copy
+    squares = np.concatenate([(x[a : a + 256] ** 2).sum(1) for a in range(0, len(x), 256)])
+    scale = np.float32(1 / max(np.sqrt(squares.mean()), 1e-6))
+    x *= scale
     w = np.zeros(x.shape[1], np.float32)
     bias = np.float32(0)
     ahead, ahead_bias, step = w, bias, np.float32(0.2)
@@ -160,20 +166,34 @@ def train(docs: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, id_col="doc_i
     def work(batches):
         for batch in batches:
             x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["lang", "x"])
 
     # an id may be repeated: the bound holds for rows as well
     got = chosen.mapInArrow(roomy(work), "lang string, x binary").limit(2 * sample_rows).toArrow()
-    x = np.frombuffer(b"".join(v.as_buffer() for v in got.column("x").combine_chunks()), np.float32).reshape(-1, DIMS)
-    model = fit(np.array(got.column("lang").to_pylist(), object), x)
-    del got, x
+    # the driver has little room: rows come packed, and are unpacked and sorted in one array
+    lang = np.array(got.column("lang").to_pylist(), object)
+    x = np.empty((len(got), DIMS), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float32)
+    del got
+    order = fixed_order(lang, x)
+    for a in range(0, DIMS, 256):
+        x[:, a : a + 256] = x[order, a : a + 256]
+    model = fit(lang[order], x)
+    del x
     release_worker(encoders=False)  # the driver has little room as well
     return model
 
 
+def fixed_order(lang: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The order of the rows in training."""
+    return np.lexsort((x[:, 0], x[:, 1], lang.astype(str))) if len(lang) else np.zeros(0, int)
+
+
 def fit(lang: np.ndarray, x: np.ndarray) -> Model:
-    order = np.lexsort((x[:, 0], x[:, 1], lang.astype(str))) if len(lang) else np.zeros(0, int)
-    lang, x = lang[order], x[order]
+    order = fixed_order(lang, x)
+    if (order != np.arange(len(order))).any():
+        lang, x = lang[order], x[order]
     model = Model()
     for name in sorted(set(lang)):
         model.langs.setdefault(family_of(name), []).append(name)

@@ -620,3 +620,19 @@ def test_equal_lines_of_windows_settle_in_their_share():
     by = lambda kind: {(r["line"], r["check"], r["doc_id"], r["number"], r["part"]) for r in got if r["kind"] == kind}
     assert by("line") == {(5, 9, None, 4, 0), (5, 9, None, 4, 2), (5, 8, 1, 0, 0), (6, 9, 2, 7, 1)}
     assert by("gone") == {(5, 9, 3, 0, 1), (5, 9, None, 5, 0)}
+
+
+def test_training_holds_one_copy_of_the_sample():
+    import tracemalloc
+
+    x = np.random.default_rng(5).random((1200, 4096), np.float32)
+    lang = np.array(["en", "fr"] * 600, object)
+    from llm.langid import fixed_order
+
+    order = fixed_order(lang, x)
+    lang, x = lang[order], x[order]
+    tracemalloc.start()
+    fit(lang, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes
