@@ -370,28 +370,42 @@ def numbers_by_row(asked: pa.Table) -> dict:
     return out
 
 
-def line_texts(files: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
-    """(node, text) of the wanted lines: ``wanted`` has node, part, doc_id, tie, number of one occurrence each."""
-    none = lambda t: F.lit(None).cast(t)
-    asks = wanted.select("part", none("string").alias("path"), "doc_id", "tie", F.col("number").cast("long").alias("number"), "node")
-    places = files.select("part", "path", *[none("long").alias(c) for c in ("doc_id", "tie", "number", "node")])
+def line_texts(files: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
+    """``asked`` (part, doc_id, tie, number of a line, and further columns): the further columns and the ``text`` of the line."""
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    place = ("part", "doc_id", "tie", "number")
+    extra = [f for f in asked.schema.fields if f.name not in place]
+    names = [f.name for f in extra]
+    asks = asked.select("part", none("string", "path"), "doc_id", "tie", F.col("number").cast("long").alias("number"), *names)
+    places = files.select("part", "path", *[none("long", c) for c in ("doc_id", "tie", "number")], *[none(f.dataType, f.name) for f in extra])
 
     def texts_of(batches, asked):
         if asked is None:
             return
         places = numbers_by_row(asked)
-        number, node = asked.column(4).to_pylist(), asked.column(5).to_pylist()
+        number, own = asked.column(4).to_pylist(), asked.select(names)
+
+        def found(at, texts):
+            taken = own.take(pa.array(at)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in taken.columns), pa.array(texts, pa.string())], [*names, "text"])
+
         for batch in batches:
-            found = []
+            at, texts, size = [], [], 0
             for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if key in places:
                     lines = batch.column(2)[row].as_py().split("\n")
-                    found += [(node[i], lines[number[i]].strip(WHITE_CHARS)) for i in places.pop(key)]
-            if found:
-                nodes, texts = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
+                    for i in places.pop(key):
+                        at.append(i)
+                        texts.append(lines[number[i]].strip(WHITE_CHARS))
+                        size += len(texts[-1])
+                        if size >= PART:  # a line may be asked for many times
+                            yield found(at, texts)
+                            at, texts, size = [], [], 0
+            if at:
+                yield found(at, texts)
 
-    return by_part(asks.unionByName(places), parts, texts_of, "node long, text string")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in extra), T.StructField("text", T.StringType())])
+    return by_part(asks.unionByName(places), parts, texts_of, schema)
 
 
 def duplicate_lines(settled: DataFrame, width: int, percent: int, values: int, parts: int) -> DataFrame:
@@ -417,8 +431,9 @@ def similar_lines(files: DataFrame, lines: DataFrame, members: DataFrame, width:
         return None
     found = stored(lines.withColumnRenamed("line", "node").join(broadcast_if_small(nodes, SMALL_ROWS), "node", "left_semi"))
     one = stored(found.groupBy("node").agg(F.min(F.struct("check", "doc_id", "tie", "number", "part")).alias("at")).select("node", "at.*"))
-    contents = stored(line_texts(files, one, parts))
-    links = similar_components(members, contents, lambda t: line_sets(t, width), (percent, 100), values)
+    place = one.select(F.col("node").alias("ask"), "part", "doc_id", "tie", "number")
+    # the lines to look up are joined as ids, and their texts are read where they stand
+    links = similar_components(members, lambda asks: line_texts(files, asks.join(place, "ask"), parts), lambda t: line_sets(t, width), (percent, 100), values)
     # of two lines with one first half of the hash only that with the smaller rest has links
     labels = links.join(one.select("node", "check"), "node")
     return stored(found.join(labels, ["node", "check"]).select("component", "doc_id", "tie", "number", "part"))

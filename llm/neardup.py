@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from llm.bands import bucket_members
 from llm.common import byte_slices, free_name, roomy, spread, stored, text_bytes
 from llm.hashing import WHITE, U, mix, word_hashes
-from llm.lsh import similar_components
+from llm.lsh import similar_components, texts_from
 from llm.minmax import band_keys, signatures
 
 
@@ -74,7 +74,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     known = sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(known.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys")))
     contents = texts.select(F.col("doc_id").alias("node"), "text")
-    links = similar_components(bucket_members(nodes), contents, lambda t: shingle_sets(t, width), (percent, 100), bands * rows)
+    links = similar_components(bucket_members(nodes), texts_from(contents), lambda t: shingle_sets(t, width), (percent, 100), bands * rows)
     labels = nodes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     repeated = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().filter("count > 1")
