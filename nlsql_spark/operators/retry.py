@@ -10,6 +10,7 @@ from nlsql_spark.functions.prompts import fill_prompt, prompt_template
 from nlsql_spark.functions.text import split_steps
 from nlsql_spark.operators.linking import join_catalog, substring_links
 from nlsql_spark.operators.schema_text import ddl_text
+from nlsql_spark.session import deal_out
 
 SINGLE, MULTIPLE = "single", "multiple"
 FROM_FUTURE, FROM_PAST_AND_FUTURE = "from_future", "from_past_and_future"
@@ -129,10 +130,10 @@ def build_retry_dataset(
     """The whole job: ground-truth links, linked schema prompt, copies, corrupted steps.
 
     One join with the catalogue serves the links and the schema text. The prompt is made before the
-    copies, and everything after the join is projection: no shuffle.
+    copies, and everything after the join is projection: no shuffle. The questions are dealt to all cores before it.
     """
     kept = exclude_databases(questions, list(skip_databases)) if skip_databases else questions
-    joined = join_catalog(kept, catalog, "required", keys)
+    joined = join_catalog(deal_out(kept), catalog, "required", keys)
     # named columns, since the schema text uses the links, and the prompt the text, several times
     linked = joined.withColumn("__links", substring_links(F.col("sql_query"), F.col("tables")))
     schemas = linked.withColumn("__schema", ddl_text(F.col("tables"), F.col("__links")))

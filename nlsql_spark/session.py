@@ -61,6 +61,12 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if cores > 1 and scan.rdd.getNumPartitions() == 1 else scan
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, for work that costs processor time: Spark joins tasks by their bytes, which for such rows leaves few."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count at most ``max_rows + 1`` rows to learn whether a table may be broadcast."""
     return df.limit(max_rows + 1).count() <= max_rows
