@@ -1,8 +1,11 @@
 """Link scores: false-positive rate, recall, column recall."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlsql_spark.functions.binding import let
 from nlsql_spark.operators.linking import LINKS_TYPE
 
 LINK = ["question_id", "table_name", "column_name"]
@@ -40,26 +43,47 @@ def _pair_names(links: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.coalesce(links, F.array().cast(LINKS_TYPE)), per_table)))
 
 
-def nested_link_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """The same counts from link lists (question_id, schema_links), one row a question on each side.
-
-    Pairs are compared inside the row, so the shuffle carries questions and not single links.
-    """
-    joined = pred.select("question_id", F.col("schema_links").alias("p")).join(
-        truth.select("question_id", F.col("schema_links").alias("t")), "question_id", "full_outer"
-    )
-    named = joined.select("question_id", _pair_names(F.col("p")).alias("p"), _pair_names(F.col("t")).alias("t"))
-    return named.select(
-        "question_id",
-        F.size("p").cast("long").alias("n_pred"),
-        F.size("t").cast("long").alias("n_truth"),
-        F.size(F.array_intersect("p", "t")).cast("long").alias("n_both"),
+def _plain(links: Column) -> Column:
+    """No table comes twice, no name is NULL or holds the sign that joins the names of a pair."""
+    tables = F.transform(links, lambda x: x["table_name"])
+    names = lambda x: F.concat(F.coalesce(x["table_name"], F.lit("\x00")), F.array_join(x["columns"], "", "\x00"))
+    return (F.size(F.array_distinct(tables)) == F.size(tables)) & F.forall(links, lambda x: ~F.contains(names(x), F.lit("\x00")))
+
+
+def _pair_counts(p: Column, t: Column) -> Column:
+    """How many distinct pairs two link lists have, and how many they have in common. Plain lists are counted table by table,
+    which makes no text for a pair."""
+    total = lambda links, f: F.aggregate(links, F.lit(0), lambda n, x: n + f(x))
+    same = lambda x, y: F.when(x["table_name"] == y["table_name"], F.size(F.array_intersect(x["columns"], y["columns"]))).otherwise(0)
+    distinct = lambda x: F.size(F.array_distinct(x["columns"]))
+    counts = lambda *n: F.struct(*(c.cast("long").alias(name) for c, name in zip(n, ("n_pred", "n_truth", "n_both"))))
+    plain = counts(total(p, distinct), total(t, distinct), total(p, lambda x: total(t, lambda y: same(x, y))))
+    by_name = let(
+        F.struct(_pair_names(p).alias("p"), _pair_names(t).alias("t")),
+        lambda x: counts(F.size(x["p"]), F.size(x["t"]), F.size(F.array_intersect(x["p"], x["t"]))),
     )
+    return F.when(_plain(p) & _plain(t), plain).otherwise(by_name)
+
 
+def nested_link_counts(pred: DataFrame, truth: DataFrame | str) -> DataFrame:
+    """The same counts from link lists (question_id, schema_links), one row a question on each side.
 
-def nested_link_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """All three scores from link lists."""
-    return _scores(nested_link_counts(pred, truth))
+    Pairs are compared inside the row, so the shuffle carries questions and not single links. ``truth`` may be a column
+    of ``pred`` that holds the true links of the same question: then nothing is shuffled.
+    """
+    if isinstance(truth, str):
+        joined = pred.select("question_id", F.col("schema_links").alias("p"), F.col(truth).alias("t"))
+    else:
+        joined = pred.select("question_id", F.col("schema_links").alias("p")).join(
+            truth.select("question_id", F.col("schema_links").alias("t")), "question_id", "full_outer"
+        )
+    return joined.select("question_id", _pair_counts(F.col("p"), F.col("t")).alias("n")).select("question_id", "n.*")
+
+
+def nested_link_metrics(pred: DataFrame, truth: DataFrame | str, *more: tuple[DataFrame, DataFrame | str]) -> DataFrame:
+    """All three scores from link lists; ``more``: further questions, as pairs of predictions and truth."""
+    counts = [nested_link_counts(*sides) for sides in ((pred, truth), *more)]
+    return _scores(reduce(DataFrame.unionByName, counts))
 
 
 def _scores(counts: DataFrame) -> DataFrame:

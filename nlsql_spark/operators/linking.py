@@ -3,7 +3,9 @@
 Links come out as ``schema_links ARRAY<STRUCT<table_name, columns ARRAY<STRING>>>``, one row a question.
 """
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,12 +65,12 @@ def substring_links(sql: Column, tables: Column, word_boundary: bool = False) ->
     return let(sql if word_boundary else F.lower(sql), links)
 
 
-def link_by_substring(questions: DataFrame, catalog: DataFrame, word_boundary: bool = False) -> DataFrame:
+def link_by_substring(questions: DataFrame, catalog: DataFrame, word_boundary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ground-truth links: table and column name both occur in the query text. A question of an unknown database fails.
 
-    All names of a database are found in one pass over the text (``name_index``).
+    All names of a database are found in one pass over the text (``name_index``). ``keep``: columns of the questions to keep.
     """
-    return name_links(questions, catalog, "sql_query", word_boundary)
+    return name_links(questions, catalog, "sql_query", word_boundary, keep)
 
 
 def mentioned_columns(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_query") -> DataFrame:
@@ -173,11 +175,14 @@ def link_by_tokens(
     edit_distance: int = 0,
     min_len: int = 3,
     use_knowledge: bool = False,
+    keep: tuple[str, ...] = (),
+    single_ids: bool = False,
 ) -> DataFrame:
     """Links by common words: the matched columns of a table, or all of them if only its name matches.
 
     Questions without any link get one empty link. Words meet in equi-joins on (database, word); the
-    matches are regrouped once, by question.
+    matches are regrouped once, by question. ``keep``: columns of the questions to keep. ``single_ids``: the caller
+    knows that no id is NULL or comes twice, so over a small catalogue no question is moved.
     """
     text = F.concat_ws(" ", "question", F.coalesce("knowledge", F.lit(""))) if use_knowledge else F.col("question")
     words = questions.select(
@@ -211,8 +216,11 @@ def link_by_tokens(
     named = named.select(*on, "token", places.alias("places"))
     if edit_distance == 0 and is_small(catalog):
         # a few words per catalogue row, so the catalogue's size bounds it; near words have no such bound
-        asked = questions.select("question_id", "database_name", F.array_distinct(link_tokens(text, min_len)).alias("tokens"))
-        return held_links(questions, asked, tables, named)
+        given, tokens = ("question_id", "question", *keep), F.array_distinct(link_tokens(text, min_len))
+        if single_ids:
+            return held_links(questions.select(*given, F.col("database_name").alias("__db"), tokens.alias("__tokens")), tables, named, given)
+        asked = questions.select("question_id", "database_name", tokens.alias("tokens"))
+        return held_links(questions.select(*given).join(texts_by_id(asked), "question_id", "left"), tables, named, given)
     # only places travel; a question's matches are at most its database's schema. Partitioned by
     # question once, which serves both groupings and the last join
     hits = words.join(named, ["database_name", "token"]).drop("token").repartition("question_id")
@@ -228,50 +236,83 @@ def link_by_tokens(
     )
     links = F.transform("tables", lambda t: F.struct(t["table_name"].alias("table_name"), t["columns"].alias("columns")))
     return questions.join(linked, "question_id", "left").select(
-        "question_id", "question", F.coalesce(links, F.expr(EMPTY_LINK)).alias("schema_links")
+        "question_id", "question", *keep, F.coalesce(links, F.expr(EMPTY_LINK)).alias("schema_links")
     )
 
 
-def held_links(questions: DataFrame, asked: DataFrame, tables: DataFrame, named: DataFrame) -> DataFrame:
+def texts_by_id(asked: DataFrame) -> DataFrame:
+    """``question_id, __texts``: database and words of all rows of an id, where there are any.
+
+    No database or no word has no link, and NULL ids meet no question.
+    """
+    texts = asked.filter("question_id is not null and database_name is not null and size(tokens) > 0")
+    return texts.groupBy("question_id").agg(F.collect_list(F.struct("database_name", "tokens")).alias("__texts"))
+
+
+def held_links(questions: DataFrame, tables: DataFrame, named: DataFrame, given: tuple[str, ...]) -> DataFrame:
     """``link_by_tokens`` where every task holds the words of a (small) catalogue: neither a match nor a link is shuffled.
 
-    ``asked``: question_id, database_name, tokens; ``tables``: table_pos and all_columns of each table; ``named``: the places
-    of the columns that a word names in a table. Rows of one id count as one question.
+    ``questions``: the columns ``given``, and ``__texts`` (see ``texts_by_id``; rows of one id count as one question) or else
+    ``__db`` and ``__tokens`` of the row; ``tables``: table_pos and all_columns of each table; ``named``: the places
+    of the columns that a word names in a table.
     """
-    held = [(r["database_name"], r["table_name"], r["table_pos"], r["all_columns"]) for r in tables.collect()]
-    number = {(db, table): i for i, (db, table, _, _) in enumerate(held)}
-    index: dict[tuple[str, str], list[tuple[int, list[int]]]] = {}
-    for r in named.collect():
-        index.setdefault((r["database_name"], r["token"]), []).append((number[r["database_name"], r["table_name"]], r["places"]))
     first = lambda x: (x is not None, x if x is not None else "")
-
-    def links(texts: list[dict] | None) -> list[dict]:
-        places: dict[int, set[int]] = {}
-        for text in texts or ():
-            for token in text["tokens"]:
-                for table, some in index.get((text["database_name"], token), ()):
-                    places.setdefault(table, set()).update(some)
-        out = []
-        for table, some in places.items():
-            _, name, pos, every = held[table]
-            out.append(((pos is not None, pos or 0), name, [every[i] for i in sorted(some)] if some else every))
-        if len(out) > 1:
-            out.sort(key=lambda x: x[:2] if len(texts) == 1 else (*x[:2], [first(c) for c in x[2]]))
-        return [{"table_name": name, "columns": columns} for _, name, columns in out] or [{"table_name": "", "columns": []}]
+    place = lambda r: ((r["table_pos"] is not None, r["table_pos"] or 0), first(r["table_name"]))
+    held = sorted(tables.collect(), key=place)  # in the order of links
+    number = {(r["database_name"], r["table_name"]): i for i, r in enumerate(held)}
+    at = [0, *accumulate(len(r["all_columns"]) for r in held)]
+    names = [c for r in held for c in r["all_columns"]]
+    places = [place(r) for r in held]
+    # what links are taken from; the last table is that of the empty link
+    all_tables, all_columns = pa.array([*(r["table_name"] for r in held), ""], pa.string()), pa.array(names, pa.string())
+    index: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
+    for r in named.collect():
+        table = number[r["database_name"], r["table_name"]]
+        some, columns = index.setdefault((r["database_name"], r["token"]), ([], []))
+        some.append(table)
+        columns.extend(at[table] + i for i in r["places"])
+    grouped = "__texts" in questions.columns
+
+    def links(texts: list[tuple[str | None, list[str] | None]]) -> list[tuple[int, Sequence[int]]]:
+        """Numbers of the tables, each with those of its columns."""
+        some, columns = set(), set()
+        for db, tokens in texts:
+            for token in tokens or ():
+                if (db, token) in index:
+                    more, their = index[db, token]
+                    some.update(more)
+                    columns.update(their)
+        out, found, begin = [], sorted(columns), 0
+        for table in sorted(some):
+            end = bisect_left(found, at[table + 1], begin)
+            out.append((table, found[begin:end] or range(at[table], at[table + 1])))
+            begin = end
+        if len(out) > 1 and len(texts) > 1:
+            out.sort(key=lambda x: (places[x[0]], [first(names[i]) for i in x[1]]))
+        return out or [(len(places), ())]
+
+    def taken(rows: list[list[tuple[int, Sequence[int]]]]) -> pa.Array:
+        ends = lambda sizes: pa.array([0, *accumulate(sizes)], pa.int32())
+        flat = [link for row in rows for link in row]
+        columns = all_columns.take(pa.array([i for _, some in flat for i in some], pa.int32()))
+        lists = pa.ListArray.from_arrays(ends(len(some) for _, some in flat), columns)
+        links = pa.StructArray.from_arrays([all_tables.take(pa.array([i for i, _ in flat], pa.int32())), lists], fields=list(LINK))
+        return pa.ListArray.from_arrays(ends(map(len, rows)), links)
+
+    def texts_of(part: pa.RecordBatch) -> list[list[tuple]]:
+        if not grouped:
+            return [[one] for one in zip(part.column("__db").to_pylist(), part.column("__tokens").to_pylist())]
+        return [[(x["database_name"], x["tokens"]) for x in texts or ()] for texts in part.column("__texts").to_pylist()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), HELD_ROWS):
                 part = batch.slice(at, HELD_ROWS)
-                found = pa.array([links(texts) for texts in part.column("texts").to_pylist()], pa.list_(LINK))
-                yield pa.RecordBatch.from_arrays([part.column("question_id"), part.column("question"), found], ["question_id", "question", "schema_links"])
+                found = taken([links(texts) for texts in texts_of(part)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in given), found], [*given, "schema_links"])
 
-    # no database or no word has no link, and NULL ids meet no question
-    texts = asked.filter("question_id is not null and database_name is not null and size(tokens) > 0")
-    grouped = texts.groupBy("question_id").agg(F.collect_list(F.struct("database_name", "tokens")).alias("texts"))
-    id_type = asked.schema["question_id"].dataType.simpleString()
-    joined = questions.select("question_id", "question").join(grouped, "question_id", "left")
-    return joined.mapInArrow(scan, f"question_id {id_type}, question string, schema_links {LINKS_TYPE}")
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in questions.select(*given).schema]
+    return questions.mapInArrow(scan, ", ".join([*types, f"schema_links {LINKS_TYPE}"]))
 
 
 def group_pairs(pairs: Column) -> Column:

@@ -81,8 +81,10 @@ def links_array(rows: list[list[tuple[str, list[str]]]]) -> pa.Array:
     return pa.ListArray.from_arrays(ends(rows), named)
 
 
-def name_links(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_query", word_boundary: bool = False) -> DataFrame:
-    """``question_id, question, schema_links`` by the names that occur in the query text.
+def name_links(
+    questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_query", word_boundary: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``question_id, question, schema_links`` by the names that occur in the query text, and the columns ``keep`` of the questions.
 
     A small catalogue (counted) goes to every task. A larger one meets the questions by database, the questions
     of a database in groups of bounded size. A question of a database without catalogue fails.
@@ -90,13 +92,14 @@ def name_links(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_que
     names = catalog.select(
         "database_name", "table_pos", "table_name", folded(F.col("table_name"), word_boundary).alias("table_key"), "column_name", folded(F.col("column_name"), word_boundary).alias("column_key")
     )
-    asked = questions.select("question_id", "question", "database_name", folded(F.col(sql_col), word_boundary).alias("text"))
-    id_type = questions.schema["question_id"].dataType.simpleString()
-    schema = f"question_id {id_type}, question string, schema_links array<struct<table_name:string,columns:array<string>>>"
+    asked = questions.select("question_id", "question", *keep, F.col("database_name").alias("__db"), folded(F.col(sql_col), word_boundary).alias("__text"))
+    given = ["question_id", "question", *keep]
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in asked.select(*given).schema]
+    schema = ", ".join([*types, "schema_links array<struct<table_name:string,columns:array<string>>>"])
 
     def answers(batch: pa.RecordBatch, index_of) -> pa.RecordBatch:
-        links = [index_of(db).links(text, word_boundary) for db, text in zip(batch.column("database_name").to_pylist(), batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column("question_id"), batch.column("question"), links_array(links)], ["question_id", "question", "schema_links"])
+        links = [index_of(db).links(text, word_boundary) for db, text in zip(batch.column("__db").to_pylist(), batch.column("__text").to_pylist())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), links_array(links)], [*given, "schema_links"])
 
     if is_small(catalog):
         held: dict[str, list[tuple]] = {}
@@ -120,18 +123,19 @@ def name_links(questions: DataFrame, catalog: DataFrame, sql_col: str = "sql_que
 
         return asked.mapInArrow(scan, schema)
 
-    sizes = asked.groupBy("database_name").agg(F.ceil(F.count("*") / GROUP_QUESTIONS).cast("int").alias("groups"))
-    dealt = asked.join(sizes, "database_name").withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("groups")).cast("int")).drop("groups")
-    spread = names.join(sizes, "database_name").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    sizes = asked.groupBy("__db").agg(F.ceil(F.count("*") / GROUP_QUESTIONS).cast("int").alias("__groups"))
+    dealt = asked.join(sizes, "__db").withColumn("__part", F.pmod(F.xxhash64("question_id"), F.col("__groups")).cast("int")).drop("__groups")
+    named = names.withColumnRenamed("database_name", "__db").join(sizes, "__db")
+    spread = named.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
 
     def meet(key, asks: pa.Table, known: pa.Table) -> pa.Table:
         if not len(asks):
-            return pa.table({f: pa.array([], t) for f, t in (("question_id", asks.schema.field("question_id").type), ("question", pa.string()), ("schema_links", pa.list_(LINK)))})
+            return pa.table({**{c: pa.array([], asks.schema.field(c).type) for c in given}, "schema_links": pa.array([], pa.list_(LINK))})
         if not len(known):
             raise ValueError(f"no catalogue for database {key[0].as_py()}")
         columns = ("table_pos", "table_name", "table_key", "column_name", "column_key")
         index = NameIndex(list(zip(*(known.column(c).to_pylist() for c in columns))))
         return pa.Table.from_batches([answers(b, lambda _: index) for b in asks.combine_chunks().to_batches()])
 
-    on = ["database_name", "part"]
+    on = ["__db", "__part"]
     return dealt.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(meet, schema)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from nlsql_spark.operators import execution as E
 from nlsql_spark.operators import link_metrics as M
 from nlsql_spark.operators import scoring as S
 from nlsql_spark.operators.confidence import confidence_per_sequence, marker_confidence, step_confidence
+from nlsql_spark.operators.linking import LINKS_TYPE
 from nlsql_spark.operators.probe import binary_report, score_probe, train_probe
 
 LINK = "question_id long, table_name string, column_name string"
@@ -36,6 +38,26 @@ def test_link_metrics(spark, truth, pred, expected):
     assert M.column_recall(p, t).first()["column_recall"] == expected[2]
 
 
+def half_of(df, k):
+    return df.filter(F.col("question_id") % 2 == k)
+
+
+def test_nested_counts_of_odd_lists(spark):
+    """Tables that come twice, names that come twice, are NULL or hold the joining sign: counted as texts of the pairs; also beside each other."""
+    rng = random.Random(3)
+    pick = lambda odd: rng.choice(["a", "b", "ab", "", *([None, "a\x00b", "\x00"] if odd else [])])
+    some = lambda odd: [(pick(odd), [pick(odd) for _ in range(rng.randint(0, 3))]) for _ in range(rng.randint(0, 4))]
+    rows = [(i, *(None if rng.random() < 0.1 else some(i % 2) for _ in range(2))) for i in range(300)]
+    both = spark.createDataFrame(rows, "question_id long, schema_links " + LINKS_TYPE + ", t " + LINKS_TYPE)
+    texts = lambda links: {"\x00".join(x for x in (table, c) if x is not None) for table, columns in links or [] for c in columns}
+    want = {i: (len(texts(p)), len(texts(t)), len(texts(p) & texts(t))) for i, p, t in rows}
+    beside = M.nested_link_counts(both, "t")
+    joined = M.nested_link_counts(both, both.select("question_id", F.col("t").alias("schema_links")))
+    for counts in (beside, joined):
+        assert {r[0]: tuple(r)[1:] for r in counts.select("question_id", "n_pred", "n_truth", "n_both").collect()} == want
+    assert M.nested_link_metrics(half_of(both, 0), "t", (half_of(both, 1), "t")).first() == M.nested_link_metrics(both, "t").first()
+
+
 def test_same_ids(spark):
     ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "question_id long")
     assert M.assert_same_ids(ids(1, 2), ids(2, 1)).count() == 2

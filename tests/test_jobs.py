@@ -6,10 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nlsql_spark.operators import linking, name_index
 from nlsql_spark.operators.execution import row_keys
-from nlsql_spark.operators.linking import links_flat
+from nlsql_spark.operators.link_metrics import nested_link_metrics
+from nlsql_spark.operators.linking import link_by_substring, link_by_tokens, links_flat
 from nlsql_spark.operators.model_steps import embed
 from nlsql_spark.plans import jobs as J
+from nlsql_spark.session import materialize
 from tests.test_linking import Q, links_of
 
 
@@ -46,6 +49,43 @@ def test_link_report(spark, make_catalog):
     assert abs(row["recall"] - 2 / 3) < 1e-12 and row["column_recall"] == 0.5
 
 
+ODD_IDS = [(1, "db", "the age", "select age from person"), (2, "db", "kind of pet", "select kind from pet, person where age > 1"),
+           (2, "zoo", "name and person", "select name from person"), (3, "db", "name", "select kind from pet"), (3, "db", "name", "select kind from pet"),
+           (None, "db", "age", "select age from person"), (None, "zoo", "age", "select 1"), (4, "zoo", "nothing", "select age, name from person"),
+           (5, "db", None, "select age from person"), (6, "zoo", "person", None)]
+
+
+@pytest.mark.parametrize("rows", [ODD_IDS, [r for r in ODD_IDS if r[0] in (1, 4, 5, 6)], ODD_IDS[1:3], []])
+def test_link_report_equals_joined_lists(spark, make_catalog, rows):
+    """Ids that come twice or are NULL, texts that are NULL: the scores are those of the two lists joined on the id."""
+    catalog = make_catalog({"person": ["name", "age"], "pet": ["kind"]}).unionByName(make_catalog({"person": ["name", "age"]}, "zoo"))
+    questions = spark.createDataFrame([(*r, None) for r in rows], Q)
+    want = nested_link_metrics(link_by_tokens(questions, catalog), link_by_substring(questions, catalog)).first()
+    assert J.link_report(questions, catalog).first() == want
+    assert want["questions"] >= len(rows)
+
+
+def test_link_report_without_database(spark, make_catalog, monkeypatch):
+    """A question without database fails over a small catalogue and has no true links over a large one, as each linker has it."""
+    catalog = make_catalog({"person": ["name", "age"]})
+    questions = spark.createDataFrame([(1, "db", "age", "select age from person", None), (2, None, "age", "select age from person", None)], Q)
+    with pytest.raises(Exception, match="no catalogue for database None"):
+        J.link_report(questions, catalog).collect()
+    for module in (J, linking, name_index):
+        monkeypatch.setattr(module, "is_small", lambda df: False)
+    row = J.link_report(questions, catalog).first()
+    assert (row["false_positive_rate"], row["recall"], row["column_recall"], row["questions"]) == (0, 1, 1, 2)
+
+
+def test_link_report_moves_no_links(spark, make_catalog):
+    """Token links are many times larger than the questions: over a small catalogue they meet the true links without a shuffle."""
+    questions = spark.range(50).selectExpr("id AS question_id", "'db' AS database_name", "'age' AS question", "'select age from person' AS sql_query", "'' AS knowledge")
+    report = J.link_report(materialize(questions), make_catalog({"person": ["name", "age"]}))
+    assert report.first()["questions"] == 50
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "hashpartitioning" not in plan
+
+
 def test_execution_report(spark):
     spark.range(5).createOrReplaceTempView("five")
     truth = spark.createDataFrame([(1, "simple", "select id from five"), (2, "moderate", "select max(id) from five"), (3, "moderate", "select 1")], "question_id long, difficulty string, sql string")

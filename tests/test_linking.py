@@ -67,6 +67,25 @@ def test_names_in_one_pass(spark, monkeypatch, word_boundary, small):
     assert sum(map(bool, got.values())) > 30
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_links_keep_columns(spark, make_catalog, monkeypatch, small):
+    """Columns of the questions stay beside the links, with NULLs and lists; rows of single ids have the links of their own text."""
+    from nlsql_spark.operators import name_index as N
+
+    if not small:
+        for module in (L, N):
+            monkeypatch.setattr(module, "is_small", lambda df: False)
+    catalog = make_catalog({"person": ["full_name", "birth_date"], "pet": ["name", "owner"]}).unionByName(make_catalog({"pet": ["tail"]}, "zoo"))
+    rows = [(1, "db", "which owner name", "select name from pet", None), (2, "zoo", "a pet", "select tail, owner from pet", "k"), (3, "db", None, None, "n"), (4, "db", "of", "select full_name from person", "")]
+    questions = spark.createDataFrame(rows, Q).withColumn("more", F.array("knowledge"))
+    keep = ("database_name", "knowledge", "more")
+    for f, options in ((L.link_by_substring, {}), (L.link_by_tokens, {}), (L.link_by_tokens, {"single_ids": True})):
+        kept = f(questions, catalog, keep=keep, **options)
+        assert kept.columns == ["question_id", "question", *keep, "schema_links"]
+        assert links_of(kept) == links_of(f(questions, catalog))
+        assert {(r["question_id"], r["question"], r["database_name"], r["knowledge"], *r["more"]) for r in kept.collect()} == {(i, q, db, k, k) for i, db, q, _, k in rows}
+
+
 @pytest.mark.parametrize(
     "question, knowledge, use, distance, expected",
     [
