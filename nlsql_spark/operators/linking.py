@@ -3,10 +3,10 @@
 Links come out as ``schema_links ARRAY<STRUCT<table_name, columns ARRAY<STRING>>>``, one row a question.
 """
 
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from nlsql_spark.session import broadcast_if_small, is_small
 LINKS_TYPE = "array<struct<table_name:string,columns:array<string>>>"
 #: Questions whose links a task holds at once.
 HELD_ROWS = 1_000
+#: Columns of the tables that words name, over the questions that a task compares at once; a single question may have more.
+MOST_COLUMNS = 4_000_000
 EMPTY_LINK = "array(named_struct('table_name', '', 'columns', cast(array() as array<string>)))"
 
 
@@ -249,6 +251,19 @@ def texts_by_id(asked: DataFrame) -> DataFrame:
     return texts.groupBy("question_id").agg(F.collect_list(F.struct("database_name", "tokens")).alias("__texts"))
 
 
+def ranges(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from ``ends[i]`` up to ``ends[i + 1]`` for each ``i`` of ``which``, one range after the other, and their sizes."""
+    sizes = ends[which + 1] - ends[which]
+    upto = np.cumsum(sizes)
+    return np.arange(sizes.sum()) + np.repeat(ends[which] - upto + sizes, sizes), sizes
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """In order; ``np.unique`` would hash the numbers, which takes several times as long."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) != 0]
+
+
 def held_links(questions: DataFrame, tables: DataFrame, named: DataFrame, given: tuple[str, ...]) -> DataFrame:
     """``link_by_tokens`` where every task holds the words of a (small) catalogue: neither a match nor a link is shuffled.
 
@@ -262,42 +277,58 @@ def held_links(questions: DataFrame, tables: DataFrame, named: DataFrame, given:
     number = {(r["database_name"], r["table_name"]): i for i, r in enumerate(held)}
     at = [0, *accumulate(len(r["all_columns"]) for r in held)]
     names = [c for r in held for c in r["all_columns"]]
-    places = [place(r) for r in held]
-    # what links are taken from; the last table is that of the empty link
+    # what links are taken from; the last table, of no column, is that of the empty link
     all_tables, all_columns = pa.array([*(r["table_name"] for r in held), ""], pa.string()), pa.array(names, pa.string())
-    index: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
+    begin, width, most = np.array([*at, at[-1]]), len(held) + 1, max(len(names), 1)
+    table_of = np.repeat(np.arange(len(held)), np.diff(at))
+    index: dict[tuple[str, str], int] = {}
+    hits: list[tuple[list[int], list[int]]] = []
     for r in named.collect():
-        table = number[r["database_name"], r["table_name"]]
-        some, columns = index.setdefault((r["database_name"], r["token"]), ([], []))
-        some.append(table)
-        columns.extend(at[table] + i for i in r["places"])
+        table, word = number[r["database_name"], r["table_name"]], index.setdefault((r["database_name"], r["token"]), len(hits))
+        if word == len(hits):
+            hits.append(([], []))
+        hits[word][0].append(table)
+        hits[word][1].extend(at[table] + i for i in r["places"])
+    word_tables, word_columns = (
+        (np.array([0, *accumulate(len(h[k]) for h in hits)]), np.array([i for h in hits for i in h[k]], np.int64)) for k in (0, 1)
+    )
+    reach = np.array([sum(at[i + 1] - at[i] for i in of) for of, _ in hits], np.int64)
     grouped = "__texts" in questions.columns
 
-    def links(texts: list[tuple[str | None, list[str] | None]]) -> list[tuple[int, Sequence[int]]]:
-        """Numbers of the tables, each with those of its columns."""
-        some, columns = set(), set()
-        for db, tokens in texts:
-            for token in tokens or ():
-                if (db, token) in index:
-                    more, their = index[db, token]
-                    some.update(more)
-                    columns.update(their)
-        out, found, begin = [], sorted(columns), 0
-        for table in sorted(some):
-            end = bisect_left(found, at[table + 1], begin)
-            out.append((table, found[begin:end] or range(at[table], at[table + 1])))
-            begin = end
-        if len(out) > 1 and len(texts) > 1:
-            out.sort(key=lambda x: (places[x[0]], [first(names[i]) for i in x[1]]))
-        return out or [(len(places), ())]
-
-    def taken(rows: list[list[tuple[int, Sequence[int]]]]) -> pa.Array:
-        ends = lambda sizes: pa.array([0, *accumulate(sizes)], pa.int32())
-        flat = [link for row in rows for link in row]
-        columns = all_columns.take(pa.array([i for _, some in flat for i in some], pa.int32()))
-        lists = pa.ListArray.from_arrays(ends(len(some) for _, some in flat), columns)
-        links = pa.StructArray.from_arrays([all_tables.take(pa.array([i for i, _ in flat], pa.int32())), lists], fields=list(LINK))
-        return pa.ListArray.from_arrays(ends(map(len, rows)), links)
+    def links(rows: list[list[tuple[str | None, list[str] | None]]]) -> pa.Array:
+        found = [(i, index[db, token]) for i, texts in enumerate(rows) for db, tokens in texts for token in tokens or () if (db, token) in index]
+        row, word = np.array(found, np.int64).reshape(-1, 2).T
+        if len(rows) > 1 and reach[word].sum() > MOST_COLUMNS:
+            return pa.concat_arrays([links(rows[: len(rows) // 2]), links(rows[len(rows) // 2 :])])
+
+        def met(ends: np.ndarray, numbers: np.ndarray, base: int) -> np.ndarray:
+            """The distinct tables (or columns) that words of a row name, row by row."""
+            places, sizes = ranges(ends, word)
+            return distinct(np.repeat(row, sizes) * base + numbers[places])
+
+        columns, tables = met(*word_columns, most), met(*word_tables, width)
+        empty = np.setdiff1d(np.arange(len(rows)), tables // width)
+        tables = np.sort(np.concatenate([tables, empty * width + width - 1]))
+        their = columns // most * width + table_of[columns % most] if len(columns) else columns
+        sizes = np.searchsorted(their, tables, "right") - np.searchsorted(their, tables)
+        whole = sizes == 0  # named by itself only: all its columns
+        every, every_size = ranges(begin, tables[whole] % width)
+        sizes[whole] = every_size
+        places, of_whole = np.empty(sizes.sum(), np.int64), np.repeat(whole, sizes)
+        places[of_whole], places[~of_whole] = every, columns % most
+        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        of_row = ends(np.bincount(tables // width, minlength=len(rows)))
+        lists = pa.ListArray.from_arrays(ends(sizes), all_columns.take(pa.array(places)))
+        flat = pa.StructArray.from_arrays([all_tables.take(pa.array(tables % width)), lists], fields=list(LINK))
+        if any(len(texts) > 1 for texts in rows):
+            # tables of several databases may be at one place
+            order = list(range(len(tables)))
+            for i, texts in enumerate(rows):
+                if len(texts) > 1 and i not in empty:
+                    a, b = of_row[i].as_py(), of_row[i + 1].as_py()
+                    order[a:b] = sorted(order[a:b], key=lambda x: (place(held[tables[x] % width]), [first(c) for c in lists[x].as_py()]))
+            flat = flat.take(pa.array(order, pa.int32()))
+        return pa.ListArray.from_arrays(of_row, flat)
 
     def texts_of(part: pa.RecordBatch) -> list[list[tuple]]:
         if not grouped:
@@ -308,8 +339,7 @@ def held_links(questions: DataFrame, tables: DataFrame, named: DataFrame, given:
         for batch in batches:
             for at in range(0, len(batch), HELD_ROWS):
                 part = batch.slice(at, HELD_ROWS)
-                found = taken([links(texts) for texts in texts_of(part)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in given), found], [*given, "schema_links"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in given), links(texts_of(part))], [*given, "schema_links"])
 
     types = [f"{f.name} {f.dataType.simpleString()}" for f in questions.select(*given).schema]
     return questions.mapInArrow(scan, ", ".join([*types, f"schema_links {LINKS_TYPE}"]))

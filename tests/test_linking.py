@@ -67,6 +67,27 @@ def test_names_in_one_pass(spark, monkeypatch, word_boundary, small):
     assert sum(map(bool, got.values())) > 30
 
 
+@pytest.mark.parametrize("most", [1, 60, 4_000_000])
+def test_held_words_equal_joins(spark, monkeypatch, most):
+    """Many questions in one batch: words of several tables, tables named by themselves, tables at one place, rows of an id in several databases."""
+    rng = random.Random(most)
+    pool = ["red", "blue", "old", "new", "ring", "gear", "bolt", "rod"]
+    rows, names = [], [f"{a}_{b}" for a in pool[:4] for b in pool[4:]]
+    for db in ("x", "y", "z"):
+        for t, table in enumerate(rng.sample([*names, *pool], 7)):
+            rows += [(db, table, t // 2, c, p) for p, c in enumerate(rng.sample(names, rng.randint(1, 6)))]
+    catalog = spark.createDataFrame(rows, "database_name string, table_name string, table_pos int, column_name string, column_pos int")
+    text = lambda: " ".join(rng.choice([*pool, *names, "nothing"]) for _ in range(rng.randint(0, 4)))
+    asked = [(rng.choice([i, i // 3]), rng.choice("xyz"), text(), None) for i in range(200)]
+    questions = spark.createDataFrame(asked, "question_id long, database_name string, question string, knowledge string").coalesce(2)
+    lists = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.collect())
+    monkeypatch.setattr(L, "MOST_COLUMNS", most)
+    single = questions.dropDuplicates(["question_id"]).localCheckpoint()
+    held, alone = lists(L.link_by_tokens(questions, catalog)), lists(L.link_by_tokens(single, catalog, single_ids=True))
+    monkeypatch.setattr(L, "is_small", lambda df: False)
+    assert held == lists(L.link_by_tokens(questions, catalog)) and alone == lists(L.link_by_tokens(single, catalog))
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_links_keep_columns(spark, make_catalog, monkeypatch, small):
     """Columns of the questions stay beside the links, with NULLs and lists; rows of single ids have the links of their own text."""
